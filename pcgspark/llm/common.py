@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pcgspark.functions.shipping import ship
+
 #: Rows in one Arrow batch. With it a batch of long texts stays small beside a worker's memory.
 ARROW_ROWS = 256
 #: Bytes of text that a kernel takes at once; a longer text is taken alone.
@@ -39,7 +41,8 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits a worker."""
+    """Arrow batches of few rows, so that a batch of very long texts fits a worker; workers get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pcgspark.llm import bpe, quality, token_counts
+from pcgspark.llm import bpe, langid, quality, token_counts
 from pcgspark.llm.common import table
 from pcgspark.llm.oracle import ORACLE
 
@@ -19,6 +19,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op5_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
