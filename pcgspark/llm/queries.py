@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pcgspark.llm import bpe, langid, quality, token_counts, toxicity
+from pcgspark.llm import bpe, jaccard_join, langid, quality, token_counts, toxicity
 from pcgspark.llm.common import table
 from pcgspark.llm.oracle import ORACLE
 
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents"), jaccard_join.Spec(3, 90, 100))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_quality_rules, op8_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op8_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
