@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pcgspark.llm import bpe, jaccard_join, langid, quality, token_counts, toxicity
+from pcgspark.llm import bpe, jaccard_join, langid, line_dedup, quality, spotsigs, token_counts, toxicity
 from pcgspark.llm.common import table
 from pcgspark.llm.oracle import ORACLE
 
@@ -15,6 +15,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -35,6 +40,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op8_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op8_toxicity, op9_spotsigs, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
