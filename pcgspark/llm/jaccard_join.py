@@ -1,9 +1,10 @@
 """Jaccard self-join of documents on word shingles, by universe partition and pigeonhole.
 
 Sets with similarity t or more differ in at most H = (1-t)/(1+t) * (|r|+|s|) shingles. The shingle universe (64-bit
-hashes) is cut into m segments by hash range, m fixed for each band of set sizes (a power of two wide). Of the first
-H+1 segments two such sets have at least one in common, so each set indexes the hashes of that many segment subsets,
-in the band of its own size and, if a partner may be larger, in the next one.
+hashes) is cut into segments by hash range, their number fixed for each band of set sizes (a power of two wide). A
+set indexes the hashes of its first H+1 segment subsets that aren't empty (all its segments, if these are fewer), in
+the band of its own size and, if a partner may be larger, in the next one. Two such sets have one of them in common:
+of the H+1 of the set that stops first, at most H differ, and the other set has not stopped before the one that agrees.
 
 Candidates aren't all pairs of a bucket:
 
@@ -40,9 +41,11 @@ from pcgspark.llm.wordkernel import U64, find_words, mix, raw, window_hash
 
 LOCAL = 8  # members of a segment in one slice of texts from which on the slice sends one
 HOT = 200  # classes in a bucket beyond which it is not compared
+SURPLUS = 15  # per cent of segments beyond the needed ones, which stand in for empty ones
 CAP = 10  # shingles of a segment with a one-deletion neighbourhood, at most
 GROUP = 512  # members verified with one copy of their centre
 BROADCAST_ROWS = 200_000  # pairs (24 bytes) that may be broadcast to fetch texts
+WIDE_FROM, WIDE_BITS = 512, 4096  # sets of so many shingles also have so many parity bits, since 256 are soon used up
 _SEGMENT, _BAND, _DELETED = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA0761D6478BD642F)
 
 
@@ -59,12 +62,13 @@ class Spec:
 
     def segments(self, low):
         """Segments of the band of sizes low .. 2 low - 1."""
-        return self.most_different(2 * (2 * low - 1)) + 1
+        least = self.most_different(2 * (2 * low - 1)) + 1
+        return least + least * SURPLUS // 100 + np.where(least > 4, 2, 0)
 
-    def used(self, n, low):
-        """Segments that a set of n shingles indexes in a band."""
+    def needed(self, n, low):
+        """Weights that a set of n shingles needs in a band: one more than the shingles it may differ in."""
         partner = np.minimum(2 * low - 1, n * self.den // self.num)
-        return np.minimum(self.segments(low), self.most_different(n + partner) + 1)
+        return self.most_different(n + partner) + 1
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,21 +98,27 @@ def _segment_of(h: np.ndarray, m) -> np.ndarray:
 
 def segment_signatures(h: np.ndarray, d: np.ndarray, n: np.ndarray, docs: np.ndarray, low: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the used segments of the documents ``docs`` in the bands ``low``, and their documents."""
-    m, used = spec.segments(low), spec.used(n[docs], low)
-    base = np.concatenate(([0], np.cumsum(used)))
+    m, need = spec.segments(low), spec.needed(n[docs], low)
     row = np.full(len(n), -1, np.int64)
     row[docs] = np.arange(len(docs))
     of = row[d]
     h, of = h[of >= 0], of[of >= 0]
+    if not len(h):
+        return np.empty(0, U64), np.empty(0, np.int64)
     seg = _segment_of(h, m[of])
-    keep = seg < used[of]
-    key, values = base[of[keep]] + seg[keep], mix(h[keep])
-    sums = np.zeros(base[-1], U64)
-    if len(key):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sums[key[starts]] = np.add.reduceat(values, starts)
-    index = np.arange(base[-1]) - np.repeat(base[:-1], used)
-    return signature(sums, index, np.repeat(low, used)), np.repeat(docs, used)
+    starts = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (of[1:] != of[:-1]))))
+    sums, seg, of = np.add.reduceat(mix(h), starts), seg[starts], of[starts]
+    filled = np.bincount(of, minlength=len(docs))
+    rank = np.arange(len(of)) - np.concatenate(([0], np.cumsum(filled)))[of]
+    keep = rank < need[of]
+    sums, seg, of = [sums[keep]], [seg[keep]], [of[keep]]
+    for r in np.flatnonzero(filled < need):  # the empty segments count as well
+        empty = np.setdiff1d(np.arange(m[r]), seg[0][of[0] == r])
+        sums.append(np.zeros(len(empty), U64))
+        seg.append(empty)
+        of.append(np.full(len(empty), r))
+    sums, seg, of = (np.concatenate(x) for x in (sums, seg, of))
+    return signature(sums, seg, low[of]), docs[of]
 
 
 def signature(sums, index, low):
@@ -123,7 +133,7 @@ def bands(n: np.ndarray, spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(some, low), (some[higher], 2 * low[higher])]
 
 
-INDEX = "doc_id bigint, n bigint, sum bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, sigs array<bigint>, held array<struct<sig:bigint,center:bigint>>"
+INDEX = "doc_id bigint, n bigint, sum bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, wide array<bigint>, sigs array<bigint>, held array<struct<sig:bigint,center:bigint>>"
 
 
 def index_slice(part: pa.RecordBatch, spec: Spec) -> pa.RecordBatch:
@@ -138,6 +148,14 @@ def index_slice(part: pa.RecordBatch, spec: Spec) -> pa.RecordBatch:
         total[d[starts]] = np.add.reduceat(mix(h + _DELETED), starts)
     parity = np.bincount(d * 256 + (h & U64(255)).astype(np.int64), minlength=count * 256) & 1
     bits = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(count, 4)
+    large = np.flatnonzero(n >= WIDE_FROM)
+    row = np.full(count, -1, np.int64)
+    row[large] = np.arange(len(large))
+    of = row[d]
+    at = of[of >= 0] * WIDE_BITS + ((h[of >= 0] >> U64(8)) & U64(WIDE_BITS - 1)).astype(np.int64)
+    wide = np.packbits((np.bincount(at, minlength=len(large) * WIDE_BITS) & 1).astype(np.uint8)).view(np.int64)
+    words = WIDE_BITS // 64
+    wide = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n >= WIDE_FROM, words, 0)))), pa.int32()), pa.array(wide))
     _, first = np.unique(np.stack([n.astype(U64), total], 1), axis=0, return_index=True)
     lead = np.zeros(count, bool)
     lead[first] = True  # equal sets of a slice are indexed once
@@ -167,8 +185,8 @@ def index_slice(part: pa.RecordBatch, spec: Spec) -> pa.RecordBatch:
     signed = pa.array(s.view(np.int64))
     centers = pa.array(ids[of[lead_of]] if len(s) else np.empty(0, np.int64))
     columns = [part.column("doc_id"), pa.array(n), pa.array(total.view(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)]]
-    columns += [lists(sent, signed), lists(held, pa.StructArray.from_arrays([signed, centers], ["sig", "center"]))]
-    return pa.record_batch(columns, names=["doc_id", "n", "sum", "b0", "b1", "b2", "b3", "sigs", "held"])
+    columns += [wide, lists(sent, signed), lists(held, pa.StructArray.from_arrays([signed, centers], ["sig", "center"]))]
+    return pa.record_batch(columns, names=["doc_id", "n", "sum", "b0", "b1", "b2", "b3", "wide", "sigs", "held"])
 
 
 def _alike(spec: Spec, a: str, b: str):
@@ -179,12 +197,20 @@ def _alike(spec: Spec, a: str, b: str):
     return sized & (differ * (spec.den + spec.num) <= total * (spec.den - spec.num))
 
 
+def _alike_wide(spec: Spec):
+    """The parity filter again on the wide bits, which only large sets have."""
+    both = (F.size("a_wide") > 0) & (F.size("b_wide") > 0)
+    differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("a_n") + F.col("b_n")
+    return F.when(both, differ * (spec.den + spec.num) <= total * (spec.den - spec.num)).otherwise(True)
+
+
 def _sides(pairs: DataFrame, d: DataFrame, spec: Spec) -> DataFrame:
     """Pairs (a, b) with equal sets left out and the filters applied."""
     for side in "ab":
-        columns = [F.col(c).alias(f"{side}_{c}") for c in ("n", "sum", "b0", "b1", "b2", "b3")]
+        columns = [F.col(c).alias(f"{side}_{c}") for c in ("n", "sum", "b0", "b1", "b2", "b3", "wide")]
         pairs = pairs.join(d.select(F.col("doc_id").alias(side), *columns), side)
-    return pairs.filter(~((F.col("a_n") == F.col("b_n")) & (F.col("a_sum") == F.col("b_sum")))).filter(_alike(spec, "a_", "b_")).select("a", "b")
+    return pairs.filter(~((F.col("a_n") == F.col("b_n")) & (F.col("a_sum") == F.col("b_sum")))).filter(_alike(spec, "a_", "b_") & _alike_wide(spec)).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
@@ -243,19 +269,23 @@ def _neighbourhoods(hot: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
                 for members, low in bands(n, spec):
                     for i, lo in zip(members, low, strict=True):
                         own = h[bounds[i] : bounds[i + 1]]
-                        m, used = int(spec.segments(lo)), int(spec.used(n[i], lo))
+                        m, need = int(spec.segments(lo)), int(spec.needed(n[i], lo))
                         seg = _segment_of(own, np.full(len(own), m))
+                        filled = np.unique(seg)
+                        short = len(filled) < need
+                        cut = m if short else int(filled[need - 1]) + 1
                         values = mix(own)
-                        ends = np.searchsorted(seg, np.arange(used + 1))
-                        sums = np.array([values[ends[j] : ends[j + 1]].sum(dtype=U64) for j in range(used)], U64)
-                        sigs = signature(sums, np.arange(used), np.full(used, lo)).view(np.int64)
-                        cost = {x["sig"]: x["classes"] for x in known[i]}
-                        is_hot = np.array([s in cost for s in sigs.tolist()], bool)
+                        ends = np.searchsorted(seg, np.arange(cut + 1))
                         sizes = np.diff(ends)
-                        able = np.flatnonzero(~is_hot & (sizes <= CAP))
+                        sums = np.array([values[ends[j] : ends[j + 1]].sum(dtype=U64) for j in range(cut)], U64)
+                        sigs = signature(sums, np.arange(cut), np.full(cut, lo)).view(np.int64)
+                        cost = {x["sig"]: x["classes"] for x in known[i]}
+                        indexed = (sizes > 0) | short
+                        is_hot = np.array([s in cost for s in sigs.tolist()], bool) & indexed
+                        able = np.flatnonzero(indexed & ~is_hot & (sizes <= CAP))
                         need = int(is_hot.sum())
                         chosen = set(able[np.argsort(sizes[able], kind="stable")][:need].tolist())
-                        for j in np.flatnonzero(~is_hot & (sizes <= CAP + 1)):
+                        for j in np.flatnonzero(sizes <= CAP + 1):
                             tag = (np.full(1, j), np.full(1, lo))
                             put(ids[i], signature(sums[j : j + 1] + _DELETED, *tag).view(np.int64).tolist(), 0, int(j) in chosen)
                             less = sums[j] - values[ends[j] : ends[j + 1]] + _DELETED
@@ -281,7 +311,7 @@ def link(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
                 yield index_slice(part, spec)
 
     index = materialise(keyed.mapInArrow(run, INDEX))
-    d = index.filter("n > 0").select("doc_id", "n", "sum", "b0", "b1", "b2", "b3").dropDuplicates(["doc_id"])
+    d = index.filter("n > 0").select("doc_id", "n", "sum", "b0", "b1", "b2", "b3", "wide").dropDuplicates(["doc_id"])
     same = ["n", "sum", "b0", "b1", "b2", "b3"]
     least = index.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
     equal = materialise(index.filter("n > 0").join(least, same).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
@@ -300,7 +330,7 @@ def link(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     rows = members.select("sig", "doc_id").distinct().join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rows = rows.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("class"))
     mixed = rows.groupBy("sig", "class").agg(F.lit(1).alias("one")).groupBy("sig").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    open_rows = materialise(rows.join(mixed, "sig").join(d, "doc_id"))
+    open_rows = materialise(rows.join(mixed, "sig").join(d.drop("wide"), "doc_id"))
     columns = [c for c in open_rows.columns if c != "sig"]
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
@@ -322,7 +352,7 @@ def link(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
         columns = ["doc_id", "class", *same]
         kept = side(near.filter("kind = 2"), "a").join(side(hot_rows, "b"), "sig").filter("a_class <> b_class").filter(_alike(spec, "a_", "b_"))
         found = found.unionByName(kept.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")))
-    more = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = _sides(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), d, spec)
     return index.select("doc_id", "n"), materialise(verify(more, keyed, spec).unionByName(links))
 
 
