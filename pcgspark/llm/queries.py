@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pcgspark.llm import bpe, jaccard_join, langid, line_dedup, quality, spotsigs, token_counts, toxicity
+from pcgspark.llm import bpe, jaccard_join, langid, line_dedup, mixing, quality, spotsigs, token_counts, toxicity, url_filter
 from pcgspark.llm.common import table
 from pcgspark.llm.oracle import ORACLE
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
@@ -36,6 +40,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(table(spark, sf_dir, "documents"), jaccard_join.Spec(3, 90, 100))
 
 
+#: Fixed values of the contract: host, path, verdict.
+CURATED = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), CURATED)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op8_toxicity, op9_spotsigs, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
