@@ -27,7 +27,7 @@ from pcgspark.llm.common import materialise
 
 ROWS = 3000
 LEXICON = 200
-MIN_SUPPORT, MIN_RATIO = 0.008, 8.0
+MIN_SUPPORT, MIN_RATIO = 0.008, 20.0
 PASSES = 25
 TOLERANCE = 1e-6
 SYMBOLS = "#*$%&|<>"

@@ -63,8 +63,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
