@@ -1,11 +1,592 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries over the event table and their DuckDB counterparts. Doubles are rounded to six places in both."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pcgspark.functions import exprs as X
+from pcgspark.operators import align, classify, metrics, peaks, rolling
+from pcgspark.operators import labels as lab
+from pcgspark.operators import signal as sig
+from pcgspark.plans import adapter
+from pcgspark.plans.adapter import SQL, beats, labels, series, signal
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracle: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that follows the common tables."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _oracle[f.__name__] = SQL + sql
+        return f
+
+    return add
+
+
+def r(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def out(df: DataFrame, *keep: str, **rounded: Column | str) -> DataFrame:
+    return df.select(*keep, *[r(c).alias(k) for k, c in rounded.items()])
+
+
+# -- signal shaping ------------------------------------------------------------------------------------------------
+@query(", d as (select *, abs(amp) as x from signal) select recording_id, idx, round(avg(x) over (partition by recording_id order by idx rows between 5 preceding and 4 following), 6) as env from d")
+def envelope_centered_mean(spark, sf):
+    return out(signal(spark, sf), "recording_id", "idx", env=sig.envelope("amp", 10))
+
+
+@query("select recording_id, idx // 4 as idx, amp from signal where idx % 4 = 0")
+def decimate(spark, sf):
+    return sig.decimate(signal(spark, sf), F.lit(4)).select("recording_id", "idx", "amp")
+
+
+@query("select recording_id, idx, amp from signal where idx % 5 = 0")
+def plot_downsample(spark, sf):
+    return sig.plot_thin(signal(spark, sf), 5).select("recording_id", "idx", "amp")
+
+
+@query("select recording_id, idx, cast(trunc(amp / max(abs(amp)) over (partition by recording_id) * 32767) as smallint) as pcm from signal")
+def peak_normalise(spark, sf):
+    return signal(spark, sf).select("recording_id", "idx", sig.peak_normalised("amp").alias("pcm"))
+
+
+@query("select o_orderkey, cast(least(300, greatest(1, floor(o_totalprice / 300 - 1))) as integer) as factor, cast(floor(o_totalprice / cast(least(300, greatest(1, floor(o_totalprice / 300 - 1))) as integer)) as integer) as new_rate from orders")
+def decimation_factor(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return orders.select("o_orderkey", X.safe_decimation("o_totalprice", 300).alias("factor"), sig.decimated_rate("o_totalprice").alias("new_rate"))
+
+
+@query("select recording_id, idx, round((amp + t_sec) / 2, 6) as mono from signal")
+def channel_mean(spark, sf):
+    return out(signal(spark, sf), "recording_id", "idx", mono=sig.channel_mean(F.array("amp", "t_sec")))
+
+
+@query("select recording_id, idx, round(greatest(0, amp - m), 6) as strength from (select *, median(amp) over (partition by recording_id) as m from signal)")
+def peak_strength(spark, sf):
+    m = F.median("amp").over(Window.partitionBy("recording_id"))
+    return out(signal(spark, sf).withColumn("m", m), "recording_id", "idx", strength=X.strength("amp", "m"))
+
+
+# -- floors and gaps ------------------------------------------------------------------------------------------------
+_TROUGH = "case when idx % 4 = 1 then amp end"
+
+
+@query(
+    f""", k as (select *, {_TROUGH} as v from signal),
+b as (select *, last_value(case when v is not null then idx end ignore nulls) over p as i0, last_value(v ignore nulls) over p as v0,
+      first_value(case when v is not null then idx end ignore nulls) over f as i1, first_value(v ignore nulls) over f as v1 from k
+      window p as (partition by recording_id order by idx rows between unbounded preceding and current row),
+             f as (partition by recording_id order by idx rows between current row and unbounded following))
+select recording_id, idx, round(case when v is not null then v when i0 is null then null when i1 is null then v0 else v0 + (v1 - v0) * (idx - i0) / (i1 - i0) end, 6) as line from b"""
+)
+def gap_interpolate(spark, sf):
+    rows = signal(spark, sf).withColumn("v", F.expr(_TROUGH))
+    return out(rows, "recording_id", "idx", line=rolling.interpolate_gaps("v", "idx"))
+
+
+@query(
+    f""", k as (select *, {_TROUGH} as v from signal)
+select recording_id, idx, round(coalesce(first_value(v ignore nulls) over (partition by recording_id order by idx rows between current row and unbounded following),
+  last_value(v ignore nulls) over (partition by recording_id order by idx rows between unbounded preceding and current row)), 6) as filled from k"""
+)
+def ffill_bfill(spark, sf):
+    rows = signal(spark, sf).withColumn("v", F.expr(_TROUGH))
+    return out(rows, "recording_id", "idx", filled=rolling.fill_both("v"))
+
+
+@query(
+    f""", k as (select *, {_TROUGH} as v from signal),
+b as (select *, last_value(case when v is not null then idx end ignore nulls) over p as i0, last_value(v ignore nulls) over p as v0,
+      first_value(case when v is not null then idx end ignore nulls) over f as i1, first_value(v ignore nulls) over f as v1 from k
+      window p as (partition by recording_id order by idx rows between unbounded preceding and current row),
+             f as (partition by recording_id order by idx rows between current row and unbounded following)),
+l as (select *, case when v is not null then v when i0 is null then null when i1 is null then v0 else v0 + (v1 - v0) * ((idx - i0) / (i1 - i0)) end as line from b),
+q as (select *, case when count(line) over w >= 3 then quantile_cont(line, 0.2) over w end as q from l
+      window w as (partition by recording_id order by idx rows between 10 preceding and 10 following))
+select recording_id, idx, round(coalesce(first_value(q ignore nulls) over (partition by recording_id order by idx rows between current row and unbounded following),
+  last_value(q ignore nulls) over (partition by recording_id order by idx rows between unbounded preceding and current row)), 6) as floor from q"""
+)
+def rolling_quantile_floor(spark, sf):
+    rows = signal(spark, sf).withColumn("v", F.expr(_TROUGH))
+    return out(sig.with_floor(rows, "v", 21), "recording_id", "idx", floor="floor")
+
+
+# -- rates -----------------------------------------------------------------------------------------------------------
+@query("select recording_id, t_us, round(instant_bpm, 6) as instant_bpm, round(smoothed_bpm, 6) as smoothed_bpm from series")
+def smoothed_bpm_range(spark, sf):
+    return out(series(spark, sf), "recording_id", "t_us", instant_bpm="instant_bpm", smoothed_bpm="smoothed_bpm")
+
+
+@query("select recording_id, count(*) as n_points, round(avg(smoothed_bpm), 6) as avg_bpm, round(min(smoothed_bpm), 6) as min_bpm, round(max(smoothed_bpm), 6) as max_bpm from series group by 1")
+def analysis_summary(spark, sf):
+    return out(metrics.summary(series(spark, sf)), "recording_id", "n_points", avg_bpm="avg_bpm", min_bpm="min_bpm", max_bpm="max_bpm")
+
+
+@query(
+    "select recording_id, count(rr) as n_rr, round(median(rr), 6) as median_rr, round(quantile_cont(rr, 0.25), 6) as q1, round(quantile_cont(rr, 0.75), 6) as q3, round(avg(rr), 6) as mean_rr from gaps where rr is not null group by 1"
+)
+def rr_stats(spark, sf):
+    return out(metrics.rr_stats(beats(spark, sf)), "recording_id", "n_rr", median_rr="median_rr", q1="q1", q3="q3", mean_rr="mean_rr")
+
+
+@query(
+    """, q as (select recording_id, quantile_cont(rr, 0.25) as q1, quantile_cont(rr, 0.75) as q3 from gaps where rr is not null group by 1)
+select recording_id, t_us, round(rr, 6) as rr from gaps join q using (recording_id) where rr > q1 - 1.5 * (q3 - q1) and rr < q3 + 1.5 * (q3 - q1)"""
+)
+def iqr_fence(spark, sf):
+    return out(metrics.stable_intervals(beats(spark, sf)), "recording_id", "t_us", rr="rr")
+
+
+@query(
+    """, iv as (select recording_id, t_us, lead(t_us) over w as next_us, lead(t_us, 40) over w as end_us, row_number() over w - 1 as i from signal window w as (partition by recording_id order by t_us)),
+x as (select *, (next_us - t_us) / 1e6 as rr from iv where next_us is not null),
+y as (select *, rr - lag(rr) over (partition by recording_id order by i) as d from x),
+z as (select *, count(rr) over f as n, avg(rr) over f as mean_rr, stddev_pop(rr * 1000) over f as sdnn, sqrt(avg(d * d) over g) * 1000 as rmssd from y
+      window f as (partition by recording_id order by i rows between current row and 39 following), g as (partition by recording_id order by i rows between 1 following and 39 following))
+select recording_id, i // 5 as window_no, round((t_us + end_us) / 2e6, 6) as t_mid, round(rmssd / mean_rr, 6) as rmssdc, round(sdnn, 6) as sdnn, round(60 / mean_rr, 6) as bpm from z where n = 40 and i % 5 = 0"""
+)
+def hrv_sliding(spark, sf):
+    return out(metrics.hrv_windows(beats(spark, sf)), "recording_id", "window_no", t_mid="t_mid", rmssdc="rmssdc", sdnn="sdnn", bpm="bpm")
+
+
+_HRV = _oracle["hrv_sliding"].removeprefix(SQL)
+_HRV_CTE, _HRV_SELECT = _HRV[: _HRV.rindex("select recording_id, i // 5")], _HRV[_HRV.rindex("select recording_id, i // 5") :]
+
+
+@query(
+    _HRV_CTE
+    + "select recording_id, count(*) as n_windows, round(avg(rmssd / mean_rr), 6) as avg_rmssdc, round(avg(sdnn), 6) as avg_sdnn from z where n = 40 and i % 5 = 0 group by 1"
+)
+def hrv_summary(spark, sf):
+    return out(metrics.hrv_summary(metrics.hrv_windows(beats(spark, sf))), "recording_id", "n_windows", avg_rmssdc="avg_rmssdc", avg_sdnn="avg_sdnn")
+
+
+@query(
+    """, g as (select recording_id, median(rr) as m, count(*) as n from gaps group by 1)
+select recording_id, round(case when n >= 10 and m > 0 then 60 / m end, 6) as estimate_bpm, round(coalesce(case when n >= 10 and m > 0 then 60 / m end, 80), 6) as start_bpm from g"""
+)
+def global_bpm_estimate(spark, sf):
+    return out(metrics.global_estimate(beats(spark, sf)), "recording_id", estimate_bpm="estimate_bpm", start_bpm="start_bpm")
+
+
+# -- slopes and recovery ---------------------------------------------------------------------------------------------
+_SLOPES = """, p as (select *, first_value(t_us) over w as e_us, first_value(smoothed_bpm) over w as e_bpm from series
+   window w as (partition by recording_id order by t_us range between 20000000 following and unbounded following)),
+slopes as (select recording_id, t_us, t_us / 1e6 as start_sec, e_us / 1e6 as end_sec, smoothed_bpm as start_bpm, e_bpm as end_bpm, (e_us - t_us) / 1e6 as duration_sec,
+   (e_bpm - smoothed_bpm) / ((e_us - t_us) / 1e6) as slope from p where e_us is not null)
+"""
+_PERIOD = "recording_id, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, round(start_bpm, 6) as start_bpm, round(end_bpm, 6) as end_bpm, round(duration_sec, 6) as duration_sec, round(slope, 6) as slope"
+
+
+def _period(df: DataFrame) -> DataFrame:
+    return out(df, "recording_id", **{c: c for c in ("start_sec", "end_sec", "start_bpm", "end_bpm", "duration_sec", "slope")})
+
+
+@query(_SLOPES + f"select {_PERIOD} from slopes")
+def slope_offset_20s(spark, sf):
+    return _period(metrics.slope_partners(series(spark, sf)))
+
+
+@query(_SLOPES + f"select {_PERIOD} from slopes where slope > 0 qualify row_number() over (partition by recording_id order by slope desc, t_us) = 1")
+def peak_exertion(spark, sf):
+    return _period(metrics.peak_exertion(series(spark, sf)))
+
+
+_TOP = ", top as (select recording_id, arg_min(t_us, (-smoothed_bpm, t_us)) as top_us, max(smoothed_bpm) as top_bpm, max(t_us) as end_us, count(*) as n from series group by 1)"
+
+
+@query(_SLOPES + _TOP + f"select {_PERIOD} from slopes join top using (recording_id) where slope < 0 and t_us >= top_us qualify row_number() over (partition by recording_id order by slope, t_us) = 1")
+def peak_recovery(spark, sf):
+    return _period(metrics.peak_recovery(series(spark, sf)))
+
+
+@query(
+    _TOP
+    + """, x as (select s.recording_id, s.t_us, floor(s.t_us / 1e6) as x, s.smoothed_bpm as y, top_bpm, top_us, top_us + 60000000 as at_us from series s join top using (recording_id) where top_us + 60000000 <= end_us),
+g as (select recording_id, any_value(top_bpm) as top_bpm, any_value(top_us) as top_us, any_value(at_us) as at_us, arg_max({'x': x, 'y': y}, t_us) filter (x <= at_us / 1e6) as b, arg_min({'x': x, 'y': y}, t_us) filter (x > at_us / 1e6) as a from x group by 1),
+v as (select *, case when a is null then b.y else b.y + (a.y - b.y) * ((at_us / 1e6 - b.x) / (a.x - b.x)) end as v from g)
+select recording_id, round(top_bpm, 6) as peak_bpm, round(top_us / 1e6, 6) as peak_sec, round(v, 6) as recovery_bpm, round(top_bpm - v, 6) as hrr_bpm from v"""
+)
+def hrr_60s(spark, sf):
+    return out(metrics.rate_recovery(series(spark, sf)), "recording_id", peak_bpm="peak_bpm", peak_sec="peak_sec", recovery_bpm="recovery_bpm", hrr_bpm="hrr_bpm")
+
+
+@query(_TOP + "select recording_id, round(top_us / 1e6, 6) as peak_sec, round(top_us / 1e6 + 120, 6) as end_sec from top where n >= 2")
+def recovery_phase(spark, sf):
+    return out(metrics.recovery_phase(series(spark, sf)), "recording_id", peak_sec="peak_sec", end_sec="end_sec")
+
+
+@query()
+def turning_points(spark, sf):
+    return out(metrics.turning_points(series(spark, sf)), "recording_id", "t_us", "kind", smoothed_bpm="smoothed_bpm")
+
+
+def _changes(spark, sf, rising: bool) -> DataFrame:
+    return _period(metrics.major_changes(metrics.turning_points(series(spark, sf)), rising))
+
+
+@query()
+def major_inclines(spark, sf):
+    return _changes(spark, sf, True)
+
+
+@query()
+def major_declines(spark, sf):
+    return _changes(spark, sf, False)
+
+
+# -- peaks -----------------------------------------------------------------------------------------------------------
+_MAXIMA = """, rl as (select *, sum(ch) over (partition by recording_id order by idx) as run from (select recording_id, idx, amp, case when lag(amp) over (partition by recording_id order by idx) = amp then 0 else 1 end as ch from signal)),
+runs as (select recording_id, run, any_value(amp) as amp, min(idx) as i0, max(idx) as i1 from rl group by 1, 2),
+nb as (select *, lag(amp) over w as l, lead(amp) over w as rt from runs window w as (partition by recording_id order by run)),
+maxima as (select recording_id, (i0 + i1) // 2 as idx, amp from nb where l < amp and rt < amp)
+"""
+
+
+@query(_MAXIMA + "select recording_id, idx, round(amp, 6) as amp from maxima")
+def local_maxima(spark, sf):
+    return out(peaks.local_maxima(signal(spark, sf), "amp"), "recording_id", "idx", amp="amp")
+
+
+@query(
+    _MAXIMA
+    + """, h as (select m.*, (select max(s.idx) from signal s where s.recording_id = m.recording_id and s.idx < m.idx and s.amp > m.amp) as lo,
+   (select min(s.idx) from signal s where s.recording_id = m.recording_id and s.idx > m.idx and s.amp > m.amp) as hi from maxima m)
+select h.recording_id, h.idx, round(h.amp - greatest(min(s.amp) filter (s.idx <= h.idx and s.idx > coalesce(h.lo, -1)), min(s.amp) filter (s.idx >= h.idx and s.idx < coalesce(h.hi, 1000000000))), 6) as prominence
+from h join signal s on s.recording_id = h.recording_id group by h.recording_id, h.idx, h.amp"""
+)
+def peak_prominence(spark, sf):
+    rows = signal(spark, sf)
+    found = peaks.local_maxima(rows, "amp").select("recording_id", "idx", "amp")
+    return out(peaks.prominences(found, rows, "amp"), "recording_id", "idx", prominence="prominence")
+
+
+@query()
+def find_peaks_full(spark, sf):
+    rows = signal(spark, sf).select("recording_id", "idx", "amp")
+    return out(peaks.find_peaks(rows, "amp", height=10.0, prominence=20.0, distance=3), "recording_id", "idx", amp="amp")
+
+
+@query()
+def find_troughs(spark, sf):
+    rows = signal(spark, sf).select("recording_id", "idx", "amp")
+    return out(peaks.find_peaks(rows, "amp", prominence=20.0, distance=3, negate=True), "recording_id", "idx", amp="amp")
+
+
+@query("select recording_id, idx, round(abs(b - amp) / (greatest(amp, b) + 1e-9), 6) as dev, round((t_sec + bt) / 2, 6) as t_mid from (select *, lead(amp) over w as b, lead(t_sec) over w as bt from signal window w as (partition by recording_id order by idx)) where b is not null")
+def deviation_pairs(spark, sf):
+    w = rolling.window()
+    rows = signal(spark, sf).withColumns({"b": F.lead("amp").over(w), "bt": F.lead("t_sec").over(w)}).filter("b is not null")
+    return out(rows, "recording_id", "idx", dev=X.deviation("amp", "b"), t_mid=(F.col("t_sec") + F.col("bt")) / 2)
+
+
+@query(
+    """, dv as (select recording_id, idx, abs(b - amp) / (greatest(amp, b) + 1e-9) as dev from (select *, lead(amp) over (partition by recording_id order by idx) as b from signal) where b is not null),
+c as (select *, greatest(5, cast(floor(count(*) over (partition by recording_id) * 0.05) as bigint)) as w, row_number() over (partition by recording_id order by idx) as n from dv)
+select a.recording_id, a.idx, round(avg(b.dev), 6) as dev_smooth from c a join c b on a.recording_id = b.recording_id and b.n between a.n - a.w // 2 and a.n + (a.w - 1) // 2 group by 1, 2"""
+)
+def deviation_series(spark, sf):
+    rows = signal(spark, sf).withColumn("b", F.lead("amp").over(rolling.window())).filter("b is not null").withColumn("dev", X.deviation("amp", "b"))
+    return out(rows, "recording_id", "idx", dev_smooth=rolling.centred_mean_by_share("dev", 0.05))
+
+
+# -- scores ----------------------------------------------------------------------------------------------------------
+def _interp_sql(x: str, xs, ys) -> str:
+    parts = [f"when {x} is null then null when {x} <= {xs[0]} then {ys[0]}"]
+    parts += [f"when {x} < {b} then {c} + ({x} - {a}) * (({d}) - ({c})) / (({b}) - ({a}))" for a, b, c, d in zip(xs[:-1], xs[1:], ys[:-1], ys[1:], strict=True)]
+    return "(case " + " ".join(parts) + f" else {ys[-1]} end)"
+
+
+_K, _LO, _HI = (0.0, 0.25, 0.40, 0.80, 1.0), (0.9, 0.9, 0.7, 0.1, 0.1), (0.1, 0.5, 0.75, 0.65, 0.0)
+_PAIRS = """, pr as (select *, amp / 100 as dev, 60 + 10 * (idx % 12) as bpm, lead(amp) over (partition by recording_id order by idx) as b, lead(t_sec) over (partition by recording_id order by idx) - t_sec as gap,
+  lag(amp) over (partition by recording_id order by idx) as l, t_sec - lag(t_sec) over (partition by recording_id order by idx) as rrp from signal)
+"""
+_BLEND = f"(({_interp_sql('dev', _K, _LO)}) + (({_interp_sql('dev', _K, _HI)}) - ({_interp_sql('dev', _K, _LO)})) * greatest(0, least(1, (bpm - 120) / 20.0)))"
+
+
+def _pairs(spark, sf) -> DataFrame:
+    w = rolling.window()
+    return signal(spark, sf).withColumns(
+        {
+            "dev": F.col("amp") / 100,
+            "bpm": (60 + 10 * (F.col("idx") % 12)).cast("double"),
+            "b": F.lead("amp").over(w),
+            "gap": F.lead("t_sec").over(w) - F.col("t_sec"),
+            "l": F.lag("amp").over(w),
+            "rrp": F.col("t_sec") - F.lag("t_sec").over(w),
+        }
+    )
+
+
+@query(_PAIRS + f"select recording_id, idx, round({_BLEND}, 6) as confidence from pr")
+def blended_confidence(spark, sf):
+    return out(_pairs(spark, sf), "recording_id", "idx", confidence=X.blended_confidence("dev", "bpm"))
+
+
+_EXPECTED = _interp_sql("eff", (120.0, 140.0), (1.5, 1.1))
+
+
+@query(
+    _PAIRS
+    + f""", e as (select *, {_BLEND} * (case when idx >= 5 then 0.6 + (1.25 - 0.6) * ((idx % 7) / 6.0) else 1.0 end) as conf, case when t_sec > 20 and t_sec < 140 then greatest(bpm, 120) else bpm end as eff from pr where b is not null),
+f as (select *, {_EXPECTED} as expected, b / (amp + 1e-9) as ratio, amp / (b + 1e-9) as inv from e)
+select recording_id, idx, round(expected, 6) as expected, round(greatest(0, least(1, conf + case
+  when ratio > expected then -(0.1 + (0.3 - 0.1) * greatest(0, least(1, (ratio / expected - 1) / 2)))
+  when amp > b * 1.2 then 0.1 + (0.35 - 0.1) * greatest(0, least(1, (inv - 1.2) / (4.0 - 1.2))) else 0 end)), 6) as confidence from f"""
+)
+def pair_adjust(spark, sf):
+    rows = _pairs(spark, sf).filter("b is not null")
+    factor = X.stability_factor((F.col("idx") % 7) / 6.0, "idx")
+    expected = X.expected_ratio("bpm", X.in_recovery("t_sec", 20, 140))
+    rows = rows.withColumn("expected", expected)
+    return out(rows, "recording_id", "idx", expected="expected", confidence=X.adjusted_confidence(X.blended_confidence("dev", "bpm"), "amp", "b", "expected", factor))
+
+
+@query(
+    _PAIRS
+    + f""", e as (select *, {_BLEND} as conf, least(0.4, 60 / bpm * 0.7) as mx from pr where gap is not null)
+select recording_id, idx, round(mx, 6) as max_interval, round(case when gap > mx then greatest(0, conf - greatest(0, least(1, (gap - mx) / (mx * 1.4 - mx + 1e-9))) * 0.75) else conf end, 6) as confidence from e"""
+)
+def interval_penalty(spark, sf):
+    rows = _pairs(spark, sf).filter("gap is not null").withColumn("mx", X.max_pair_interval("bpm"))
+    return out(rows, "recording_id", "idx", max_interval="mx", confidence=X.interval_penalised(X.blended_confidence("dev", "bpm"), "gap", "mx"))
+
+
+_RHYTHM = _interp_sql("dr", (0.0, 0.15, 0.30, 0.50), (1.0, 0.8, 0.4, 0.0))
+_AMPLITUDE = _interp_sql("da", (0.0, 0.4, 0.7, 1.0), (0.0, 0.4, 0.8, 1.0))
+
+
+@query(_PAIRS + f""", e as (select *, abs(rrp - 60 / bpm) / (60 / bpm) as dr, amp / (l + 1e-9) as da from pr where l is not null)
+select recording_id, idx, round({_RHYTHM}, 6) as rhythm, round({_AMPLITUDE}, 6) as amplitude, round(0.65 * {_RHYTHM} + 0.35 * {_AMPLITUDE}, 6) as confidence, 0.65 * {_RHYTHM} + 0.35 * {_AMPLITUDE} >= 0.5 as valid from e""")
+def lone_confidence(spark, sf):
+    rows = _pairs(spark, sf).filter("l is not null")
+    conf = X.lone_confidence("rrp", "bpm", "amp", "l")
+    return out(rows, "recording_id", "idx", rhythm=X.rhythm_fit("rrp", "bpm"), amplitude=X.amplitude_fit("amp", "l"), confidence=conf).join(
+        rows.select("recording_id", "idx", (conf >= 0.5).alias("valid")), ["recording_id", "idx"]
+    )
+
+
+@query(_PAIRS + "select recording_id, idx, not coalesce(gap < 60 / bpm * 0.5 and not amp > b * 1.7, false) as passes from pr")
+def forward_check(spark, sf):
+    return _pairs(spark, sf).select("recording_id", "idx", X.passes_forward_check("gap", "bpm", "amp", "b").alias("passes"))
+
+
+@query(
+    """, a as (select recording_id, list(rr order by t_us) filter (rr is not null) as rrs from gaps group by 1)
+select recording_id, round(list_reduce(list_prepend(80.0, rrs), lambda b, rr: greatest(40, least(240, b + greatest(-3.0 * rr, least(3.0 * rr, 0.95 * b + 0.05 * (60 / rr) - b))))), 6) as belief from a"""
+)
+def belief_ema(spark, sf):
+    gaps = beats(spark, sf).withColumn("rr", rolling.difference("t_sec", order=("t_us",))).filter("rr is not null")
+    part = gaps.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t_us", "rr"))), lambda x: x.rr).alias("rrs"))
+    return out(part, "recording_id", belief=X.belief_fold("rrs"))
+
+
+# -- sequences -------------------------------------------------------------------------------------------------------
+@query(
+    """, n as (select recording_id, t_us, amp, row_number() over (partition by recording_id order by t_us) as k, count(*) over (partition by recording_id) as n from signal),
+m as (select recording_id, median(rr) * 0.4 * 1e6 as least from gaps group by 1),
+st as (with recursive f as (
+  select recording_id, k, t_us as last_us, amp as last_amp, [t_us] as kept from n where k = 1
+  union all
+  select f.recording_id, n.k,
+    case when n.t_us - f.last_us >= least or n.amp > f.last_amp then n.t_us else f.last_us end,
+    case when n.t_us - f.last_us >= least or n.amp > f.last_amp then n.amp else f.last_amp end,
+    case when n.t_us - f.last_us >= least then list_append(f.kept, n.t_us) when n.amp > f.last_amp then list_append(f.kept[:-2], n.t_us) else f.kept end
+  from f join n on n.recording_id = f.recording_id and n.k = f.k + 1 join m on m.recording_id = f.recording_id)
+  select f.recording_id, f.kept from f join n on n.recording_id = f.recording_id and n.k = f.k and f.k = n.n)
+select recording_id, unnest(kept) as t_us from st"""
+)
+def rhythm_correction(spark, sf):
+    return classify.drop_conflicts(beats(spark, sf)).select("recording_id", "t_us")
+
+
+def _parts(spark, sf, kind: str) -> DataFrame:
+    return signal(spark, sf).filter(F.col("event_type") == kind).select("recording_id", "t_us", "amp")
+
+
+@query(
+    """, l as (select * from signal where event_type = 'click'), q as (select * from signal where event_type = 'view')
+select l.recording_id, l.t_us, round(q.amp, 6) as state from l asof left join q on l.recording_id = q.recording_id and l.t_us >= q.t_us"""
+)
+def asof_backward(spark, sf):
+    left = _parts(spark, sf, "click").select("recording_id", "t_us")
+    return out(align.asof_backward(left, _parts(spark, sf, "view"), "t_us", "amp", "state"), "recording_id", "t_us", state="state")
+
+
+@query(
+    """, l as (select * from signal where event_type = 'click'), q as (select * from signal where event_type = 'view'),
+d as (select l.recording_id, l.t_us, q.amp, abs(q.t_us - l.t_us) as d, q.t_us as q_us from l join q on l.recording_id = q.recording_id and abs(q.t_us - l.t_us) <= 500000),
+b as (select recording_id, t_us, arg_min(amp, (d, q_us)) as state from d group by 1, 2)
+select l.recording_id, l.t_us, round(b.state, 6) as state from l left join b using (recording_id, t_us)"""
+)
+def asof_nearest(spark, sf):
+    left = _parts(spark, sf, "click").select("recording_id", "t_us")
+    return out(align.asof_nearest(left, _parts(spark, sf, "view"), "t_us", "amp", "state", 500_000), "recording_id", "t_us", state="state")
+
+
+@query(
+    """, l as (select * from signal where event_type = 'click'), q as (select * from signal where event_type = 'view'),
+b as (select l.recording_id, l.t_us, arg_max({'t': q.t_us, 'v': q.amp}, q.t_us) filter (q.t_us <= l.t_us) as p, arg_min({'t': q.t_us, 'v': q.amp}, q.t_us) filter (q.t_us > l.t_us) as n from l left join q using (recording_id) group by 1, 2)
+select recording_id, t_us, round(case when p is null then n.v when n is null then p.v else p.v + (n.v - p.v) * (t_us - p.t) / (n.t - p.t) end, 6) as v from b"""
+)
+def interpolate_at_labels(spark, sf):
+    left = _parts(spark, sf, "click").select("recording_id", "t_us")
+    return out(align.interpolate_at(left, _parts(spark, sf, "view"), "t_us", "amp", "v"), "recording_id", "t_us", v="v")
+
+
+@query(
+    """, e as (select *, min(case when event_type = 'view' then t_us end) over (partition by recording_id order by t_us rows between 1 following and unbounded following) as following_us from signal)
+select recording_id, t_us, following_us from e where event_type = 'click'"""
+)
+def first_following(spark, sf):
+    rows = signal(spark, sf).select("recording_id", "t_us", "event_type", (F.col("event_type") == "view").alias("wanted"))
+    return align.first_following(rows, "wanted", "t_us").filter("event_type = 'click'").select("recording_id", "t_us", F.col("following.t_us").alias("following_us"))
+
+
+@query("select recording_id, idx, lead(idx) over (partition by recording_id order by idx) as next_idx from signal")
+def next_peak(spark, sf):
+    return signal(spark, sf).select("recording_id", "idx", F.lead("idx").over(rolling.window()).alias("next_idx"))
+
+
+@query(
+    """, b as (select recording_id, t_us, lead(t_us) over (partition by recording_id order by t_us) as n_us from signal where event_type = 'click')
+select s.recording_id, s.t_us, b.t_us as gap_start, b.n_us as gap_end from signal s join b on s.recording_id = b.recording_id and s.t_us > b.t_us and s.t_us < b.n_us where s.event_type = 'error'"""
+)
+def range_join_gap_peaks(spark, sf):
+    points = _parts(spark, sf, "error").select("recording_id", "t_us")
+    return align.inside_gaps(points, _parts(spark, sf, "click"), "t_us").select("recording_id", "t_us", "gap_start", "gap_end")
+
+
+# -- labels ----------------------------------------------------------------------------------------------------------
+_GREEDY = """, a as (select recording_id, t_sec, bpm, row_number() over (partition by recording_id order by t_sec) - 1 as k from labels where peak_type = 'S1'),
+b as (select recording_id, t_sec, row_number() over (partition by recording_id order by t_sec) - 1 as j from labels where peak_type = 'S2'),
+c as (select a.*, (select count(*) from b where b.recording_id = a.recording_id and b.t_sec <= a.t_sec) as c from a),
+jj as (select *, k + max(c - k) over (partition by recording_id order by k) as j from c),
+pairs as (select jj.recording_id, jj.t_sec as S1_Time, b.t_sec as S2_Time, b.t_sec - jj.t_sec as Delta_t, jj.bpm as S1_BPM from jj join b on b.recording_id = jj.recording_id and b.j = jj.j)
+"""
+
+
+@query(_GREEDY + "select recording_id, round(S1_Time, 6) as S1_Time, round(S2_Time, 6) as S2_Time, round(Delta_t, 6) as Delta_t, round(S1_BPM, 6) as S1_BPM from pairs")
+def s1s2_pairs_greedy(spark, sf):
+    return out(lab.pairs(labels(spark, sf)), "recording_id", S1_Time="S1_Time", S2_Time="S2_Time", Delta_t="Delta_t", S1_BPM="S1_BPM")
+
+
+@query(_GREEDY + "select recording_id, count(*) as n_pairs, round(avg(Delta_t), 6) as avg_delta_t, round(avg(S1_BPM), 6) as avg_bpm from pairs where S1_Time between 10 and 30 group by 1")
+def range_avg_delta(spark, sf):
+    return out(lab.range_average(lab.pairs(labels(spark, sf)), 10, 30), "recording_id", "n_pairs", avg_delta_t="avg_delta_t", avg_bpm="avg_bpm")
+
+
+def _groups_sql(gap: float) -> str:
+    return f""", s1 as (select *, count(*) over (partition by recording_id) as n, t_sec - lag(t_sec) over (partition by recording_id order by t_sec) as g from labels where peak_type = 'S1'),
+grouped as (select recording_id, t_sec, bpm, 1 + sum(case when g >= {gap} then 1 else 0 end) over (partition by recording_id order by t_sec) as group_id from s1 where n >= 2)
+"""
+
+
+@query(_groups_sql(1.0) + "select recording_id, round(t_sec, 6) as t_sec, cast(group_id as bigint) as group_id from grouped")
+def label_groups(spark, sf):
+    return out(lab.groups(labels(spark, sf), 1.0), "recording_id", "group_id", t_sec="t_sec")
+
+
+@query(
+    _GREEDY
+    + _groups_sql(5.0)
+    + """, sp as (select recording_id, group_id, min(t_sec) as start_time, max(t_sec) as end_time, count(*) as s1_count from grouped group by 1, 2 having count(*) >= 2),
+pp as (select g.recording_id, g.group_id, avg(Delta_t) as avg_delta_t, avg(S1_BPM) as avg_bpm, count(*) as pairs_count from pairs p join grouped g on g.recording_id = p.recording_id and g.t_sec = p.S1_Time group by 1, 2)
+select recording_id, cast(group_id as bigint) as group_id, s1_count, pairs_count, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(end_time - start_time, 6) as duration, round(avg_delta_t, 6) as avg_delta_t, round(avg_bpm, 6) as avg_bpm from sp join pp using (recording_id, group_id)"""
+)
+def group_stats(spark, sf):
+    return out(lab.group_stats(labels(spark, sf), 5.0), "recording_id", "group_id", "s1_count", "pairs_count", **{c: c for c in ("start_time", "end_time", "duration", "avg_delta_t", "avg_bpm")})
+
+
+@query("select recording_id, t_sec, bpm, peak_type from labels qualify row_number() over (partition by recording_id order by t_sec desc) <= 20")
+def latest_labels(spark, sf):
+    return lab.latest(labels(spark, sf)).select("recording_id", "t_sec", "bpm", "peak_type")
+
+
+@query("select recording_id, t_sec, bpm, peak_type from labels where not (peak_type = 'S2' and bpm < 30)")
+def remove_labels(spark, sf):
+    rows = labels(spark, sf)
+    return lab.remove_labels(rows, rows.filter("peak_type = 'S2' and bpm < 30")).select("recording_id", "t_sec", "bpm", "peak_type")
+
+
+# -- sets and strings --------------------------------------------------------------------------------------------------
+@query("select recording_id, t_us, 'peak' as kind from signal where event_type = 'click' union all select recording_id, t_us, 'trough' from signal where event_type = 'view'")
+def union_events(spark, sf):
+    a, b = (_parts(spark, sf, e).select("recording_id", "t_us", F.lit(k).alias("kind")) for e, k in (("click", "peak"), ("view", "trough")))
+    return a.unionByName(b)
+
+
+@query("select recording_id, idx from signal s where exists (select 1 from signal q where q.recording_id = s.recording_id and q.event_type = 'error' and q.t_us = s.t_us)")
+def semi_classified(spark, sf):
+    rows = signal(spark, sf)
+    return rows.join(_parts(spark, sf, "error"), ["recording_id", "t_us"], "left_semi").select("recording_id", "idx")
+
+
+@query("select recording_id, idx from signal s where not exists (select 1 from signal q where q.recording_id = s.recording_id and q.event_type = 'error' and q.t_us = s.t_us)")
+def anti_unclassified(spark, sf):
+    rows = signal(spark, sf)
+    return rows.join(_parts(spark, sf, "error"), ["recording_id", "t_us"], "left_anti").select("recording_id", "idx")
+
+
+_LABEL = "case event_type when 'click' then ' S1 (Paired)' when 'view' then 'S2 (Paired) ' when 'error' then 'Noise' when 'signup' then 'Lone S1 (Last Peak)' else 'Lone S1' end"
+
+
+@query(
+    f""", t as (select *, {_LABEL} as label from signal)
+select recording_id, idx, case when starts_with(trim(label), 'S1') or starts_with(trim(label), 'Lone S1') then 'S1' when starts_with(trim(label), 'S2') then 'S2' else 'noise' end as bucket,
+  contains(label, 'Noise') as is_noise, contains(label, 'Lone S1') as is_lone from t"""
+)
+def label_prefix_bucket(spark, sf):
+    rows = signal(spark, sf).withColumn("label", F.expr(_LABEL))
+    bucket = F.when(X.is_s1("label"), "S1").when(X.is_s2("label"), "S2").otherwise("noise")
+    return rows.select("recording_id", "idx", bucket.alias("bucket"), F.col("label").contains("Noise").alias("is_noise"), F.col("label").contains("Lone S1").alias("is_lone"))
+
+
+@query(
+    """, t as (select recording_id, idx, event_type || '§TAG§' || cast(idx as varchar) || '§' || 'end' as record from signal)
+select recording_id, idx, split_part(record, '§', 1) as peak_type, split_part(record, '§', 2) as tag, array_to_string(string_split(record, '§')[3:], '|') as detail from t"""
+)
+def reason_split(spark, sf):
+    rows = signal(spark, sf).withColumn("parts", F.split(F.concat_ws("§", "event_type", F.lit("TAG"), F.col("idx").cast("string"), F.lit("end")), "§"))
+    return rows.select("recording_id", "idx", F.element_at("parts", 1).alias("peak_type"), F.element_at("parts", 2).alias("tag"), F.array_join(F.slice("parts", 3, 9), "|").alias("detail"))
+
+
+@query("select recording_id, idx, printf('%02d:%02d', cast(floor(t_sec) as bigint) // 60, cast(floor(t_sec) as bigint) % 60) as clock from signal")
+def clock_rendering(spark, sf):
+    return signal(spark, sf).select("recording_id", "idx", X.clock("t_sec").alias("clock"))
+
+
+# -- classification (sequential: rows only) ---------------------------------------------------------------------------
+@query()
+def classify_events(spark, sf):
+    found = classify.peaks_of(classify.analyse(adapter.prepared(spark, sf)))
+    return out(found.withColumn("n_reasons", F.size("reasons").cast("bigint")), "recording_id", "sample_idx", "peak_type", "is_final_beat", "n_reasons", t_sec="t_sec", confidence="confidence")
+
+
+@query()
+def classified_rate(spark, sf):
+    found = metrics.rate_series(classify.beats_of(classify.analyse(adapter.prepared(spark, sf))))
+    return out(metrics.summary(found), "recording_id", "n_points", avg_bpm="avg_bpm", min_bpm="min_bpm", max_bpm="max_bpm")
+
+
+@query()
+def belief_history(spark, sf):
+    return out(classify.belief_of(classify.analyse(adapter.prepared(spark, sf))), "recording_id", "step_no", t_sec="t_sec", bpm="bpm")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracle)
