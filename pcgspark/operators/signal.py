@@ -81,17 +81,20 @@ def _prepared(batches: Iterator, p: Params, filter_first: bool, raw: bool) -> It
     for pdf in batches:
         rows = []
         for rid, rate, samples in zip(pdf["recording_id"], pdf["sample_rate"], pdf["samples"], strict=True):
+            rate = 0 if rate is None or rate != rate else int(rate)
             status, env, floor, troughs, peaks, new_rate = "ok", np.empty(0), np.empty(0), np.empty(0, int), np.empty(0, int), rate
             try:
+                if rate <= 0:
+                    raise ValueError("no sample rate")
                 x = np.nan_to_num(np.asarray(samples if samples is not None else [], float))
-                env, new_rate = (kernels.centred_mean(np.abs(x), rate // 10), rate) if raw else kernels.envelope_of(x, int(rate), p, filter_first)
+                env, new_rate = (kernels.centred_mean(np.abs(x), rate // 10), rate) if raw else kernels.envelope_of(x, rate, p, filter_first)
                 floor, troughs = kernels.noise_floor(env, new_rate, p)
                 peaks = kernels.raw_peaks(env, floor, new_rate, p)
                 if len(peaks) < 2:
                     status = "too few peaks"
             except (ValueError, ZeroDivisionError, TypeError) as error:
                 status = str(error) or type(error).__name__
-            rows.append((rid, int(new_rate or 0), len(env), env.tolist(), floor.tolist(), troughs.tolist(), peaks.tolist(), status))
+            rows.append((rid, int(new_rate), len(env), env.tolist(), floor.tolist(), troughs.tolist(), peaks.tolist(), status))
         yield pd.DataFrame(rows, columns=["recording_id", "sample_rate", "n_samples", "env", "floor", "troughs", "raw_peaks", "status"])
 
 

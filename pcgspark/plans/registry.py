@@ -221,6 +221,11 @@ def hrr_60s(spark, sf):
     return out(metrics.rate_recovery(series(spark, sf)), "recording_id", peak_bpm="peak_bpm", peak_sec="peak_sec", recovery_bpm="recovery_bpm", hrr_bpm="hrr_bpm")
 
 
+@query(_oracle["hrr_60s"].removeprefix(SQL).replace("60000000", "10000000"))
+def hrr_10s(spark, sf):
+    return out(metrics.rate_recovery(series(spark, sf), 10), "recording_id", peak_bpm="peak_bpm", peak_sec="peak_sec", recovery_bpm="recovery_bpm", hrr_bpm="hrr_bpm")
+
+
 @query(_TOP + "select recording_id, round(top_us / 1e6, 6) as peak_sec, round(top_us / 1e6 + 120, 6) as end_sec from top where n >= 2")
 def recovery_phase(spark, sf):
     return out(metrics.recovery_phase(series(spark, sf)), "recording_id", peak_sec="peak_sec", end_sec="end_sec")
