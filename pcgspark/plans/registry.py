@@ -577,6 +577,76 @@ def clock_rendering(spark, sf):
     return signal(spark, sf).select("recording_id", "idx", X.clock("t_sec").alias("clock"))
 
 
+# -- further filters, aggregates and renderings -------------------------------------------------------------------------
+@query(
+    """, f as (select *, quantile_cont(amp, 0.2) over (partition by recording_id) as q from signal)
+select recording_id, idx, round(amp, 6) as amp from f where q is not null and amp <= 4.0 * q"""
+)
+def trough_sanity(spark, sf):
+    q = F.percentile("amp", F.lit(0.2)).over(Window.partitionBy("recording_id"))
+    return out(signal(spark, sf).withColumn("q", q).filter("q is not null and amp <= 4.0 * q"), "recording_id", "idx", amp="amp")
+
+
+@query("select recording_id, t_sec, bpm, peak_type from labels where t_sec between 5 and 20")
+def time_range_filter(spark, sf):
+    return labels(spark, sf).filter(F.col("t_sec").between(5, 20)).select("recording_id", "t_sec", "bpm", "peak_type")
+
+
+@query(
+    """, c as (select recording_id, max(t_sec) / 2 as click from signal group by 1)
+select recording_id, round(arg_min(t_sec, (abs(t_sec - greatest(0, click)), t_sec)), 3) as t_sec, round(arg_min(amp, (abs(t_sec - greatest(0, click)), t_sec)), 3) as bpm from signal join c using (recording_id) group by 1"""
+)
+def nearest_lookup(spark, sf):
+    rows = signal(spark, sf)
+    click = rows.groupBy("recording_id").agg((F.max("t_sec") / 2).alias("t_sec"), F.lit("S1").alias("peak_type"))
+    none = labels(spark, sf).limit(0)
+    return lab.add_label(none, click, rows.select("recording_id", "t_sec", F.col("amp").alias("bpm"))).select("recording_id", "t_sec", "bpm")
+
+
+@query("select recording_id, cast(floor(t_sec) as bigint) as second, round(avg(amp), 6) as mean_amp from signal group by 1, 2")
+def duplicate_times_mean(spark, sf):
+    rows = signal(spark, sf).withColumn("second", F.floor("t_sec"))
+    return out(rows.groupBy("recording_id", "second").agg(F.avg("amp").alias("mean_amp")), "recording_id", "second", mean_amp="mean_amp")
+
+
+@query(
+    """, v as (select recording_id, idx, case when event_type = 'view' then amp end as v, case when event_type = 'click' then t_sec end as b from signal)
+select recording_id, idx, round(last_value(v ignore nulls) over w, 6) as rate, round(last_value(b ignore nulls) over w, 6) as belief from v
+window w as (partition by recording_id order by idx rows between unbounded preceding and current row)"""
+)
+def state_at_events(spark, sf):
+    rows = signal(spark, sf)
+    rate = rows.filter("event_type = 'view'").select("recording_id", "idx", F.col("amp").alias("v"))
+    belief = rows.filter("event_type = 'click'").select("recording_id", "idx", F.col("t_sec").alias("b"))
+    met = rows.select("recording_id", "idx").join(rate, ["recording_id", "idx"], "left").join(belief, ["recording_id", "idx"], "left")
+    return out(met, "recording_id", "idx", rate=rolling.fill_forward("v"), belief=rolling.fill_forward("b"))
+
+
+@query("select recording_id, idx, printf('%.3f', t_sec + 1e-7) || ',' || printf('%.2f', amp) as line from signal")
+def rate_file_lines(spark, sf):
+    return signal(spark, sf).select("recording_id", "idx", F.format_string("%.3f,%.2f", F.col("t_sec") + 1e-7, "amp").alias("line"))
+
+
+@query("select recording_id, idx, case when idx % 5 = 0 then 0.0 else amp end as clean from signal")
+def sanitised(spark, sf):
+    odd = F.when(F.col("idx") % 10 == 0, F.lit(float("nan"))).when(F.col("idx") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("amp"))
+    return signal(spark, sf).select("recording_id", "idx", X.sane(odd).alias("clean"))
+
+
+@query("select page_id, regexp_matches(lower(url), '(\\.wav|\\.mp3|\\.m4a|\\.flac|\\.ogg|\\.mp4|\\.mkv|\\.mov)$') as is_recording from pages")
+def recording_files(spark, sf):
+    from pcgspark.sources.tables import is_recording
+
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", is_recording("url").alias("is_recording"))
+
+
+@query("select case when n_rr >= 60 then 'processed' else 'failed' end as outcome, count(*) as n from (select recording_id, count(rr) as n_rr from gaps group by 1) group by 1")
+def outcome_counts(spark, sf):
+    from pcgspark.sources.sinks import status_counts
+
+    return status_counts(metrics.rr_stats(beats(spark, sf)).withColumn("status", F.when(F.col("n_rr") >= 60, "ok").otherwise("short")))
+
+
 # -- classification (sequential: rows only) ---------------------------------------------------------------------------
 @query()
 def classify_events(spark, sf):
