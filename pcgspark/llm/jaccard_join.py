@@ -40,7 +40,10 @@ from pcgspark.llm.components import components
 from pcgspark.llm.wordkernel import U64, find_words, mix, raw, window_hash
 
 LOCAL = 8  # members of a segment in one slice of texts from which on the slice sends one
-HOT = 200  # classes in a bucket beyond which it is not compared
+#: Classes in a bucket beyond which it is not compared. Comparing costs about 10 ns a pair, k * k / 2 pairs; a
+#: document's neighbourhoods cost about 300 rows of 1.5 us, shared by some ten hot buckets. They break even near 9000
+#: classes; less is taken, since one task compares a bucket.
+HOT = 4000
 SURPLUS = 15  # per cent of segments beyond the needed ones, which stand in for empty ones
 CAP = 10  # shingles of a segment with a one-deletion neighbourhood, at most
 GROUP = 512  # members verified with one copy of their centre
