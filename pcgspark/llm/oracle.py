@@ -30,4 +30,18 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from b
 """
 
-ORACLE = {"op5_quality_rules": OP5}
+OP6 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (
+  select doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)
+  union all select doc_id, 'short ' || array_to_string(w, ' ') from d where len(w) between 1 and 2)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id
+from d left join n using (doc_id) join r on r.a = d.doc_id group by 1, 2
+"""
+
+ORACLE = {"op5_quality_rules": OP5, "op6_jaccard_join": OP6}
