@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,11 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine), under the temp folder."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this process, which only
+    a session on one machine can use; it goes when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="pcgspark-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = f"file://{_own[0]}"
     return f"{base.rstrip('/')}/pcgspark/{uuid.uuid4().hex}"
 
 
