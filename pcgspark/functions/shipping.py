@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(pcgspark.__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="pcgspark-")) / "pcgspark.zip"
+    folder = Path(tempfile.mkdtemp(prefix="pcgspark-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "pcgspark.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
