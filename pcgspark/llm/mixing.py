@@ -34,25 +34,28 @@ SYMBOLS = "#*$%&|<>"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), "")
 
 
 def features(docs: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     """Adds ``tokens`` and the array ``x``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("__w", _words(F.col("text"))).withColumn("tokens", F.size("__w").cast("bigint"))
+    every = sorted({w for words in lexicons for w in words})
+    out = out.withColumn("__hit", F.array_intersect("__w", F.array(*map(F.lit, every))) if every else F.array().cast("array<string>"))
     n, chars = F.col("tokens"), F.length(text)
-    share = lambda kept: (chars - F.length(F.translate(text, kept, ""))) / F.greatest(chars, F.lit(1))
+    share = lambda count: F.sqrt(count / F.greatest(chars, F.lit(1)))
+    exclaims = chars - F.length(F.replace(text, F.lit("!"), F.lit("")))
     kinds = F.size(F.array_distinct("__w"))
     x = [
-        F.sqrt(share(SYMBOLS)),
-        F.sqrt(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        F.sqrt(share("!")),
+        share(chars - F.length(F.translate(text, SYMBOLS, ""))),
+        share(chars - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))),
+        share(exclaims),
         F.log1p(n) - F.log1p(kinds),
         F.log1p(chars) - F.log1p(n),
-        *[F.least(F.lit(4.0), F.log1p(F.size(F.array_intersect("__w", F.array(*map(F.lit, words)))))) for words in lexicons],
+        *[F.least(F.lit(4.0), F.log1p(F.size(F.array_intersect("__hit", F.array(*map(F.lit, words)))))) for words in lexicons],
     ]
-    return out.withColumn("x", F.array(*[c.cast("double") for c in x])).drop("__w")
+    return out.withColumn("x", F.array(*[c.cast("double") for c in x])).drop("__w", "__hit")
 
 
 @dataclass
