@@ -66,18 +66,21 @@ def inside_gaps(points: DataFrame, beats: DataFrame, order: str, by=BY) -> DataF
     return out.select("p.*", "gap_start", "gap_end")
 
 
-def greedy_pairs(first: DataFrame, second: DataFrame, on: str, by=BY) -> DataFrame:
+def greedy_pairs(first: DataFrame, second: DataFrame, on: str, by=BY, keep_unmatched: bool = False) -> DataFrame:
     """One-to-one forward match: each row of ``first`` takes the earliest unused row of ``second`` strictly later.
 
     Closed form: with c_k rows of ``second`` at or before the k-th of ``first`` (k from 0), it takes number
-    k + max over m <= k of (c_m - m), while there are that many.
+    k + max over m <= k of (c_m - m), while there are that many. Matching numbers then stand next to each other in
+    one ordering, so nothing is joined and both sides are shuffled once. Returns structs (a, b).
     """
-    w = Window.partitionBy(*by).orderBy(on)
-    numbered = second.select(*by, on, F.struct(*second.columns).alias("b"))
-    numbered = numbered.withColumn("j", F.row_number().over(w) - 1)
-    marks = numbered.select(*by, on, F.lit(1).alias("is_b"), F.lit(None).cast(first.select(F.struct(*first.columns).alias("a")).schema["a"].dataType).alias("a"))
-    rows = first.select(*by, on, F.lit(0).alias("is_b"), F.struct(*first.columns).alias("a"))
-    counted = rows.unionByName(marks).withColumn("c", F.sum("is_b").over(w.rangeBetween(Window.unboundedPreceding, 0))).filter("is_b = 0")
-    k = F.row_number().over(w) - 1
-    ranked = counted.withColumn("k", k).withColumn("j", F.col("k") + F.max(F.col("c") - F.col("k")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.select(*by, "j", "a").join(numbered.select(*by, "j", "b"), [*by, "j"]).select("a", "b")
+    sides = first.select(F.struct(*first.columns).alias("a")).schema["a"].dataType, second.select(F.struct(*second.columns).alias("b")).schema["b"].dataType
+    rows = first.select(*by, on, F.lit(0).alias("is_b"), F.struct(*first.columns).alias("a"), F.lit(None).cast(sides[1]).alias("b"))
+    marks = second.select(*by, on, F.lit(1).alias("is_b"), F.lit(None).cast(sides[0]).alias("a"), F.struct(*second.columns).alias("b"))
+    w, own = Window.partitionBy(*by).orderBy(on), Window.partitionBy(*by, "is_b").orderBy(on)
+    counted = rows.unionByName(marks).withColumns({"c": F.sum("is_b").over(w.rangeBetween(Window.unboundedPreceding, 0)), "k": F.row_number().over(own) - 1})
+    ahead = F.max(F.col("c") - F.col("k")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = counted.withColumn("j", F.when(F.col("is_b") == 1, F.col("k")).otherwise(F.col("k") + ahead))
+    beside = F.lag(F.struct("j", "is_b", "b")).over(Window.partitionBy(*by).orderBy("j", F.desc("is_b")))
+    met = numbered.withColumn("l", beside).filter("is_b = 0")
+    out = met.select("a", F.when((F.col("l.is_b") == 1) & (F.col("l.j") == F.col("j")), F.col("l.b")).alias("b"))
+    return out if keep_unmatched else out.filter("b is not null")

@@ -30,15 +30,16 @@ def groups(labels: DataFrame, gap: float = 1.0) -> DataFrame:
 
 
 def group_stats(labels: DataFrame, gap: float = 5.0) -> DataFrame:
-    """Span, counts and mean pair interval of each group with two S1 or more and a pair.
-
-    A pair belongs to the group of its S1, so the range join becomes an equi-join on the S1's time.
-    """
-    grouped = groups(labels, gap)
-    of = grouped.select(*BY, F.col("t_sec").alias("S1_Time"), "group_id")
-    paired = pairs(labels).join(of, [*BY, "S1_Time"]).groupBy(*BY, "group_id").agg(F.avg("Delta_t").alias("avg_delta_t"), F.avg("S1_BPM").alias("avg_bpm"), F.count(F.lit(1)).alias("pairs_count"))
-    spans = grouped.groupBy(*BY, "group_id").agg(F.min("t_sec").alias("start_time"), F.max("t_sec").alias("end_time"), F.count(F.lit(1)).alias("s1_count")).filter("s1_count >= 2")
-    return spans.withColumn("duration", F.col("end_time") - F.col("start_time")).join(paired, [*BY, "group_id"])
+    """Span, counts and mean pair interval of each group with two S1 or more and a pair. A pair belongs to the group
+    of its S1, which carries its number through the match, so nothing is joined."""
+    s1 = groups(labels, gap).select(*BY, "t_sec", "bpm", "group_id")
+    met = align.greedy_pairs(s1, labels.filter("peak_type = 'S2'").select(*BY, "t_sec"), "t_sec", keep_unmatched=True)
+    paired = F.col("b").isNotNull()
+    stats = met.groupBy(F.col("a.recording_id").alias("recording_id"), F.col("a.group_id").alias("group_id")).agg(
+        F.min("a.t_sec").alias("start_time"), F.max("a.t_sec").alias("end_time"), F.count(F.lit(1)).alias("s1_count"),
+        F.avg(F.col("b.t_sec") - F.col("a.t_sec")).alias("avg_delta_t"), F.avg(F.when(paired, F.col("a.bpm"))).alias("avg_bpm"), F.count(F.when(paired, 1)).alias("pairs_count"),
+    )
+    return stats.filter("s1_count >= 2 and pairs_count >= 1").withColumn("duration", F.col("end_time") - F.col("start_time"))
 
 
 def add_label(labels: DataFrame, click: DataFrame, series: DataFrame) -> DataFrame:
