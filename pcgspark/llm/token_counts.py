@@ -60,8 +60,10 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _distinct(cache: DataFrame) -> DataFrame:
-    """One row for each digest; two writers may have appended the same one."""
-    return cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    """One row for each digest. Two writers may have appended the same one; where none did, the stored rows are used
+    as they are, so that Spark can split a hot digest in a join (it can't below an aggregate)."""
+    n, kinds = cache.agg(F.count(F.lit(1)), F.count_distinct("digest")).first()
+    return cache if n == kinds else cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def append_misses(docs: DataFrame, tokenizer: SentencePieceCounter, root: str, text: str = "text") -> str:
