@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pcgspark.llm.common import materialise
+
 # Very common words of English, German, French and Spanish.
 ANCHORS = (
     "a and at be by for in is it of on that the this to was with "
@@ -24,7 +26,7 @@ ANCHORS = (
 CHAIN = 2
 RUN = 8  # anchors skipped between content words, at most
 BUCKET_ROWS = 2000
-MAX_BUCKETS = 512
+MAX_BUCKETS, SEGMENTS = 100_000, 64
 
 
 def _pattern(anchors: list[str]) -> str:
@@ -55,28 +57,34 @@ def render(s: Column) -> Column:
 def with_next(docs: DataFrame, column: str, order: list[str], key: str, into: str) -> DataFrame:
     """Adds the value of ``column`` in the next row by ``order`` (after the last: the first).
 
-    Rows are dealt to ranges of ``key`` (a not-null number) whose limits are approximate percentiles; the first rows
-    of each range are also dealt to the range before, so that every range finds its last row's successor itself.
+    Rows are dealt to consecutive ranges of ``key`` (a not-null number): between approximate percentiles, ranges of
+    equal width. Of each range only the least key is known to all tasks (at most MAX_BUCKETS numbers are broadcast);
+    rows with that key are also dealt to the range before, so every range finds its last row's successor itself.
     """
-    n = docs.count()
-    buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    limits = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)] or [0.5], 100_000).alias("p"), F.min(key).alias("low")).first()
-    if limits["low"] is None:
-        return docs.withColumn(into, F.lit(None).cast(docs.schema[column].dataType))
-    starts = sorted({limits["low"], *(limits["p"] if buckets > 1 else [])})
+    known = F.when(F.col(key) > -(1 << 63), F.col(key))
+    shape = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(known, [i / SEGMENTS for i in range(SEGMENTS + 1)], 10_000).alias("p")).first()
+    buckets = max(1, min(MAX_BUCKETS, shape["n"] // BUCKET_ROWS))
+    edges = sorted(set(shape["p"] or []))
+    each = -(-buckets // max(1, len(edges) - 1))
 
     def bucket(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(F.col(key) < starts[mid], bucket(lo, mid - 1)).otherwise(bucket(mid, hi))
-
-    own = bucket(0, len(starts) - 1)
-    is_first = F.col(key).isin(starts)
-    before = F.when(own == 0, F.lit(len(starts) - 1)).otherwise(own - 1)
-    places = F.when(is_first, F.array(F.struct(own.alias("b"), F.lit(False).alias("again"), F.lit(0).alias("lap")), F.struct(before.alias("b"), F.lit(True).alias("again"), F.when(own == 0, 1).otherwise(0).alias("lap"))))
-    places = places.otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("again"), F.lit(0).alias("lap"))))
-    dealt = docs.withColumn("__place", F.explode(places))
+        if hi - lo <= 1:
+            width = max(1, edges[hi] - edges[lo]) / each
+            place = F.floor((F.col(key).cast("double") - float(edges[lo])) / width)
+            return F.lit(lo * each).cast("bigint") + F.greatest(F.lit(0), F.least(F.lit(each - 1), place))
+        mid = (lo + hi) // 2
+        return F.when(F.col(key) < edges[mid], bucket(lo, mid)).otherwise(bucket(mid, hi))
+
+    placed = docs.withColumn("__own", bucket(0, len(edges) - 1) if buckets > 1 and len(edges) > 1 else F.lit(0).cast("bigint"))
+    firsts = materialise(placed.groupBy("__own").agg(F.min(key).alias("__first")))  # at most MAX_BUCKETS + SEGMENTS rows
+    in_turn = Window.orderBy("__own")
+    firsts = firsts.select(F.col("__first"), F.lag("__own").over(in_turn).alias("__before"), F.max("__own").over(in_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__last"))
+    met = placed.join(F.broadcast(firsts), F.col(key) == F.col("__first"), "left")
+    place = lambda b, again, lap: F.struct(b.alias("b"), F.lit(again).alias("again"), lap.alias("lap"))
+    own = place(F.col("__own"), False, F.lit(0))
+    ahead = place(F.coalesce("__before", "__last"), True, F.when(F.col("__before").isNull(), 1).otherwise(0))
+    places = F.when(F.col("__first").isNotNull(), F.array(own, ahead)).otherwise(F.array(own))
+    dealt = met.withColumn("__place", F.explode(places)).drop("__own", "__first", "__before", "__last")
     by = Window.partitionBy("__place.b").orderBy("__place.lap", *order)
     return dealt.withColumn(into, F.lead(column).over(by)).filter("not __place.again").drop("__place")
 
