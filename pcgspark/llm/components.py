@@ -22,6 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         from_all = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = from_all.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialise(least)  # read from a table, the join's two sides are dealt anew, and a hot node can be split
     met = from_all.join(least, "u")
     if large:
         out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
