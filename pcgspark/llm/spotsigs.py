@@ -30,7 +30,11 @@ MAX_BUCKETS, SEGMENTS = 100_000, 64
 
 
 def _pattern(anchors: list[str]) -> str:
-    anchor = "(?:" + "|".join(sorted(set(anchors))) + ")"
+    rests: dict[str, list[str]] = {}
+    for a in sorted(set(anchors), reverse=True):
+        rests.setdefault(a[0], []).append(a[1:])
+    # by first letter, so that most words are turned away after one character
+    anchor = "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items()) + ")"
     content = rf"(?:{anchor}\s+){{0,{RUN}}}+\S+"
     return rf"(?<!\S)(?=({anchor}\s+{content}" + rf"\s+{content}" * (CHAIN - 1) + "))"
 
@@ -54,8 +58,9 @@ def render(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, column: str, order: list[str], key: str, into: str) -> DataFrame:
-    """Adds the value of ``column`` in the next row by ``order`` (after the last: the first).
+def with_next(docs: DataFrame, columns: dict[str, str], order: list[str], key: str, derive: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, for each ``{name: column}``, the column's value in the next row by ``order`` (after the last: the first).
+    ``derive`` names columns to be made once the rows are dealt, so that they aren't shuffled.
 
     Rows are dealt to consecutive ranges of ``key`` (a not-null number): between approximate percentiles, ranges of
     equal width. Of each range only the least key is known to all tasks (at most MAX_BUCKETS numbers are broadcast);
@@ -85,19 +90,21 @@ def with_next(docs: DataFrame, column: str, order: list[str], key: str, into: st
     ahead = place(F.coalesce("__before", "__last"), True, F.when(F.col("__before").isNull(), 1).otherwise(0))
     places = F.when(F.col("__first").isNotNull(), F.array(own, ahead)).otherwise(F.array(own))
     dealt = met.withColumn("__place", F.explode(places)).drop("__own", "__first", "__before", "__last")
-    by = Window.partitionBy("__place.b").orderBy("__place.lap", *order)
-    return dealt.withColumn(into, F.lead(column).over(by)).filter("not __place.again").drop("__place")
+    dealt = dealt.withColumns({"__b": F.col("__place.b"), "__again": F.col("__place.again"), "__lap": F.col("__place.lap")}).drop("__place")
+    dealt = dealt.repartition("__b").withColumns(derive or {})
+    by = Window.partitionBy("__b").orderBy("__lap", *order)
+    return dealt.withColumns({into: F.lead(column).over(by) for into, column in columns.items()}).filter("not __again").drop("__b", "__again", "__lap")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The digest: fingerprints of each text and of its edited text, and their likeness."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("__key"))
-    follow = with_next(base, "text", ["__key", "text"], "__key", "__next")
+    follow = with_next(base, {"__next": "text", "__n": "__s"}, ["__key", "text"], "__key", {"__s": signatures(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 4)))"), F.substring("__next", F.lit(1), cut))
     out = follow.withColumn("__edited", edited)
-    out = out.withColumns({"__s": signatures(F.col("text")), "__e": signatures(F.col("__edited")), "__n": signatures(F.col("__next"))})
+    out = out.withColumn("__e", signatures(F.col("__edited")))
     return out.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
