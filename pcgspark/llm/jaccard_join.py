@@ -317,6 +317,7 @@ def link(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     d = index.filter("n > 0").select("doc_id", "n", "sum", "b0", "b1", "b2", "b3", "wide").dropDuplicates(["doc_id"])
     same = ["n", "sum", "b0", "b1", "b2", "b3"]
     least = index.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    least = materialise(least)  # as a table, so that Spark can split a large group of copies in the join
     equal = materialise(index.filter("n > 0").join(least, same).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
 
     by_sig = Window.partitionBy("sig")
