@@ -36,10 +36,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw peaks for the classifier: the sample grid is t_us / 10000 (rate 100), the floor a tenth of the median."""
-    rows = signal(spark, sf_dir).select("recording_id", F.struct((F.col("t_us") / 10_000).cast("bigint").alias("i"), F.col("amp").alias("v")).alias("s"))
-    packed = rows.groupBy("recording_id").agg(F.array_sort(F.collect_list("s")).alias("s"), F.median("s.v").alias("m"))
+    rows = signal(spark, sf_dir).select("recording_id", (F.col("t_us") / 10_000).cast("bigint").alias("i"), "amp")
+    middle = F.median("amp").over(Window.partitionBy("recording_id"))
+    points = rows.withColumn("m", middle).groupBy("recording_id", "i").agg(F.max("amp").alias("v"), F.first("m").alias("m"))
+    packed = points.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"), F.first("m").alias("m"))
     n = F.element_at("s", -1).i + 1
-    env = F.aggregate("s", F.array_repeat(F.lit(0.0), n.cast("int")), lambda a, x: F.concat(F.slice(a, 1, x.i.cast("int")), F.array(x.v), F.slice(a, x.i.cast("int") + 2, F.size(a))))
+    gap = lambda x, k: F.coalesce(F.try_element_at("s", k + 2).i, n) - x.i - 1
+    env = F.flatten(F.transform("s", lambda x, k: F.concat(F.array(x.v), F.array_repeat(F.lit(0.0), gap(x, k).cast("int")))))
     return packed.select(
         F.col("recording_id").cast("string").alias("recording_id"), F.lit(100).alias("sample_rate"), n.cast("bigint").alias("n_samples"), env.alias("env"),
         F.array_repeat(F.col("m") / 10, n.cast("int")).alias("floor"), F.array().cast("array<bigint>").alias("troughs"), F.array_distinct(F.transform("s", lambda x: x.i)).alias("raw_peaks"), F.lit("ok").alias("status"),
