@@ -1,14 +1,15 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages of lines, found by content-defined windows of lines.
 
-Lines are the parts between ``\\n``. A rolling hash over the hashes of two neighbouring lines decides where a chunk
-begins, so that inserted or deleted lines move no other boundary. Several families of boundaries are used: forward
-ones (the two lines after the boundary decide, so a passage's first line is found wherever the passage stands) and
-backward ones (the two before it), with ``SEEDS`` seeds each. A piece of one line is taken with the next piece, so
-every chunk has two lines or more; chunks of under ``MIN_CHARS`` characters stay.
+Lines are the parts between ``\n``. A passage is a run of two lines or more with ``MIN_CHARS`` characters or more (line
+ends don't count). At every line a least window begins, and one ends: the fewest lines that make a passage. Their ends
+depend on their own lines only, so a repeated passage has the same windows wherever it stands; and each of its lines
+lies in one of its windows (the one that begins there or, near the passage's end, the one that ends with it). So every
+repeated passage is found with its exact edges, and nothing that isn't one. A stretch of ``LOOK`` lines with under
+``MIN_CHARS`` characters in all ends a passage.
 
-A chunk whose hash occurs again anywhere is compared byte for byte with the first occurrence (least doc_id, then text,
-then line); where they agree, its lines are removed from all but the first. What is removed is therefore always kept
-somewhere earlier.
+A window whose hash occurs again anywhere is compared byte for byte with the first occurrence (least doc_id, then text,
+then line); where they agree, its lines are removed from all but the first. A line that is removed is therefore always
+kept somewhere earlier.
 
 Null and empty texts and texts of one line stay as they are, so do rows with a null doc_id. Rows with the same doc_id
 and the same text are one document. Other columns pass through.
@@ -21,32 +22,35 @@ from pyspark.sql import functions as F
 
 from pcgspark.llm.common import materialise
 
-SEEDS = 2
 MIN_CHARS = 60
+NEAR, LOOK = 64, 4096  # lines looked at for a window's end: at first, and where these have too few characters
 BROADCAST_ROWS = 500_000  # first occurrences (about 40 bytes each) that may be broadcast to fetch their texts
 
 
-def _boundaries(h: Column, n: Column, seed: int, forward: bool) -> Column:
-    """0, the lines that begin a piece, and n."""
+def _ends(size: Column, n: Column) -> Column:
+    """For each line but the last, the line after the least window that begins there, or null."""
+    bits = MIN_CHARS.bit_length()
+    chars = lambda acc: acc.bitwiseAND((1 << bits) - 1)
 
-    def begins(i: Column) -> Column:
-        near = [F.try_element_at(h, (i + j).cast("int")) for j in ((1, 2) if forward else (-1, 0))]
-        near = [near[0] if forward else F.when(i > 1, near[0]), near[1]]
-        return F.xxhash64(F.lit(seed), *near).bitwiseAND(1) == 0
+    def end(s: Column) -> Column:
+        at = [F.coalesce(F.try_element_at(size, s + j), F.lit(0)).cast("bigint") for j in (1, 2, 3)]
 
-    inner = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), begins)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(F.lit(0)), inner, F.array(n))
+        def within(look: int) -> Column:
+            """Counts lines above, and characters up to MIN_CHARS in the low bits."""
+            step = lambda acc, x: F.when(chars(acc) >= MIN_CHARS, acc).otherwise(acc + (1 << bits) + F.least(MIN_CHARS - chars(acc), x.cast("bigint")))
+            return F.aggregate(F.slice(size, s + 1, F.lit(look)), F.lit(0).cast("bigint"), step, lambda acc: F.when(chars(acc) >= MIN_CHARS, s + F.shiftright(acc, bits).cast("int")))
 
+        found = F.when(at[0] + at[1] >= MIN_CHARS, s + 2).when((s + 3 <= n) & (at[0] + at[1] + at[2] >= MIN_CHARS), s + 3)
+        return found.otherwise(F.coalesce(within(NEAR), F.when(s + NEAR < n, within(LOOK))))
 
-def _chunks(h: Column, b: Column) -> Column:
-    """Chunks (first line, line after the last, hash) of two lines or more, from the boundaries."""
-    k = F.size(b)
-    ends = F.transform(
-        F.sequence(F.lit(0), k - 2),
-        lambda j: F.struct(b[j].alias("s"), F.when(b[j + 1] - b[j] >= 2, b[j + 1]).otherwise(b[F.least(j + 2, k - 1)]).alias("e")),
-    )
-    several = F.filter(ends, lambda x: x.e - x.s >= 2)
-    return F.transform(several, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.xxhash64(F.slice(h, x.s + 1, x.e - x.s)).alias("h")))
+    return F.transform(F.sequence(F.lit(0), n - 2), end)
+
+
+def _windows(size: Column, n: Column) -> Column:
+    """The least windows (first line s, line after the last e) that begin or end at each line."""
+    ahead = F.transform(_ends(size, n), lambda e, s: F.struct(s.alias("s"), e.alias("e")))
+    back = F.transform(_ends(F.reverse(size), n), lambda e, s: F.struct((n - e).alias("s"), (n - s).alias("e")))
+    return F.array_distinct(F.concat(F.filter(ahead, lambda x: x.e.isNotNull()), F.filter(back, lambda x: x.s.isNotNull())))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -55,12 +59,8 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     hashed = lined.filter(F.size("lines") > 1).select(
         "doc_id", "t", F.transform("lines", lambda x: F.xxhash64(x)).alias("lh"), F.transform("lines", lambda x: F.length(x)).alias("len"), F.size("lines").alias("n")
     )
-    h, n = F.col("lh"), F.col("n")
-    families = {f"b{seed}{forward:d}": _boundaries(h, n, seed, forward) for seed in range(SEEDS) for forward in (True, False)}
-    cut = hashed.withColumns(families)
-    chunks = F.array_distinct(F.concat(*[_chunks(h, F.col(f)) for f in families]))
-    out = cut.select("doc_id", "t", "len", F.explode(chunks).alias("c"))
-    return out.filter(F.aggregate(F.slice("len", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")), F.lit(0), lambda a, x: a + x) >= MIN_CHARS).select("doc_id", "t", "c.*")
+    cut = hashed.withColumn("c", F.explode(_windows(F.col("len"), F.col("n"))))
+    return cut.select("doc_id", "t", "c.s", "c.e", F.xxhash64(F.slice("lh", F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))).alias("h"))
 
 
 def _bytes(lines: Column, c: Column) -> Column:
@@ -68,7 +68,7 @@ def _bytes(lines: Column, c: Column) -> Column:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, marked): the candidate chunks of a document with the bytes of their first occurrences."""
+    """(doc_id, t, marked): the candidate windows of a document with the bytes of their first occurrences."""
     rows = materialise(chunk_rows(docs))
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "t", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = materialise(first.select("h", "first.*"))

@@ -109,6 +109,55 @@ def test_passages_are_removed_once(spark, docs_of):
     assert all([x for x in texts[i].split("\n") if x in set(got[i].split("\n"))] == got[i].split("\n") for i in got)
 
 
+def passages_removed(texts):
+    """Brute force: all lines in runs of two lines or more and MIN_CHARS characters that occur earlier."""
+    seen, out = set(), {}
+    for i, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for s in range(len(lines)):
+            for e in range(s + 2, len(lines) + 1):
+                run = tuple(lines[s:e])
+                if sum(map(len, run)) >= line_dedup.MIN_CHARS:
+                    if run in seen:
+                        gone.update(range(s, e))
+                    seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("n_lines,n_words", [(2, 27), (3, 18), (4, 14)])
+def test_every_passage_is_removed(spark, docs_of, n_lines, n_words):
+    """Passages of few lines between foreign lines."""
+    rng = random.Random(n_lines)
+    line = lambda k: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(k))
+    texts, kept = [], []
+    for _ in range(12):
+        passage = [line(n_words) for _ in range(n_lines)]
+        for again in range(2):
+            own = [line(10) for _ in range(5)]
+            texts.append("\n".join(own[:2] + passage + own[2:]))
+            kept.append("\n".join(own) if again else texts[-1])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(texts)).collect()}
+    assert got == dict(enumerate(kept))
+
+
+@pytest.mark.parametrize("near,look", [(64, 4096), (4, 200)])
+def test_passages_against_brute_force(spark, docs_of, near, look, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEAR", near)
+    monkeypatch.setattr(line_dedup, "LOOK", look)
+    rng = random.Random(5)
+    pool = ["", "", "a", "bb", "}"] + ["".join(rng.choices("xyz ", k=k)) for k in (3, 9, 20, 31, 45, 59, 60, 61, 90)]
+    runs = [[rng.choice(pool) for _ in range(rng.randrange(2, 15))] for _ in range(8)] + [["", "q"] * 40, ["r"] + [""] * 90 + ["s" * 59]]
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            lines += rng.choice(runs) + [rng.choice([*pool, f"own{rng.random()}"]) for _ in range(rng.randrange(3))]
+        texts.append("\n".join(lines))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(texts)).collect()}
+    assert got == passages_removed(texts)
+
+
 def test_bytes_decide(spark, docs_of):
     """Chunks that only share a hash stay: bytes of the first occurrence are compared."""
     texts = ["a" * 70 + "\n" + "b" * 70, "c" * 70 + "\n" + "d" * 70]
