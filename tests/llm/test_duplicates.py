@@ -125,9 +125,9 @@ def passages_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("n_lines,n_words", [(2, 27), (3, 18), (4, 14)])
+@pytest.mark.parametrize("n_lines,n_words", [(2, 27), (3, 18), (4, 14), (18, 3), (30, 2), (55, 1)])
 def test_every_passage_is_removed(spark, docs_of, n_lines, n_words):
-    """Passages of few lines between foreign lines."""
+    """Passages of few lines, and of many short ones, between foreign lines."""
     rng = random.Random(n_lines)
     line = lambda k: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(k))
     texts, kept = [], []
