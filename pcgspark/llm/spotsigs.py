@@ -1,8 +1,14 @@
 """Spot-signature fingerprints.
 
-At every anchor (a very common word) a signature is the chain of the anchor and the next two content words, with the
-anchors between them; a text's fingerprint is the set of its signatures' 64-bit hashes. A text without a chain has one
-signature, of its whole lower-case text. Fingerprints are compared by Jaccard similarity; sets whose sizes differ too
+Words are taken in lower case and without punctuation and symbols at their ends; a word of nothing else is none. At
+every anchor (a very common word) a signature is the chain of the anchor and the next two content words, with the
+anchors between them; a text's fingerprint is the set of its signatures' 64-bit hashes.
+
+A text with fewer than FEW chains, or fewer than one in SPARSE words (another language, no spaces, lists, junk), also
+gets chains at hash-chosen tokens: of each PICK consecutive ones that with the least hash, so that an edit changes only
+chains near it. A token is a word; in scripts without spaces and in words of over LONG characters it is a character,
+and chains that begin with a single character are longer. Only a text of fewer than CHAIN + 1 tokens and without a chain
+has one signature of its whole lower-case text. Fingerprints are compared by Jaccard similarity; sets whose sizes differ too
 much can't reach a threshold, so ``similar_pairs`` partitions by size and prunes before it compares.
 
 Null texts are empty; all empty texts are equal. Repeated rows have equal fingerprints. Ties of doc_id are ordered by
@@ -11,6 +17,8 @@ text, and a null doc_id comes first. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +33,12 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 RUN = 8  # anchors skipped between content words, at most
+FEW, SPARSE = 3, 50
+PICK, LONG, CHARACTERS = 4, 32, 6
+_EDGE = r"[\p{P}\p{S}]"
+_STRIP = rf"(?<!\S){_EDGE}++(?:(?!\S)\s*+)?+|(?<!{_EDGE}){_EDGE}++(?!\S)"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+_TOKEN = rf"[{_UNSPACED}]\p{{M}}*+|(?<![^\s{_UNSPACED}])[^\s{_UNSPACED}]{{1,{LONG}}}+(?![^\s{_UNSPACED}])|[^\s{_UNSPACED}]"
 BUCKET_ROWS = 2000
 MAX_BUCKETS, SEGMENTS = 100_000, 64
 
@@ -39,12 +53,39 @@ def _pattern(anchors: list[str]) -> str:
     return rf"(?<!\S)(?=({anchor}\s+{content}" + rf"\s+{content}" * (CHAIN - 1) + "))"
 
 
+def _chosen(words: Column) -> Column:
+    """Hashes of the chains at hash-chosen tokens."""
+    tokens = F.regexp_extract_all(words, F.lit(_TOKEN), 0)
+
+    def picked(x: Column) -> Column:
+        starts = F.size(x.h) - CHAIN
+        width = F.least(F.lit(PICK), starts)
+        least = lambda i: F.array_min(F.slice(x.h, i, width))
+        at = F.transform(F.sequence(F.lit(1), starts - width + 1), lambda i: (i - 1 + F.array_position(F.slice(x.h, i, width), least(i))).cast("int"))
+        chain = lambda i: F.xxhash64(F.slice(x.t, i, F.when(F.length(F.element_at(x.t, i)) == 1, CHARACTERS).otherwise(CHAIN + 1)))
+        return F.when(starts > 0, F.transform(F.array_distinct(at), chain)).otherwise(F.array().cast("array<bigint>"))
+
+    hashed = _once(tokens, lambda t: F.struct(t.alias("t"), F.transform(t, lambda x: F.xxhash64(x)).alias("h")))
+    return _once(hashed, picked)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, where ``value`` is evaluated once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
     """The sorted set of signature hashes."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    chains = F.regexp_extract_all(low, F.lit(_pattern(anchors)), 1)
-    hashes = F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(c))))
-    return F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.xxhash64(low)))
+
+    def of(words: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(words, F.lit(_pattern(anchors)), 1), lambda c: F.xxhash64(c))
+        # a word has two characters or more with its space, so longer texts with so many chains need no count
+        few = lambda c: (F.size(c) < FEW) | ((F.size(c) * (2 * SPARSE) < F.length(words)) & (F.size(c) * SPARSE < F.size(F.regexp_extract_all(words, F.lit(_TOKEN), 0))))
+        return _once(found, lambda c: F.when(few(c), F.concat(c, _chosen(words))).otherwise(c))
+
+    hashes = _once(F.regexp_replace(low, _STRIP, ""), of)
+    return _once(hashes, lambda h: F.when(F.size(h) > 0, F.array_sort(F.array_distinct(h))).otherwise(F.array(F.xxhash64(low))))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -203,6 +203,40 @@ def test_chains(spark, docs_of):
     assert got["s"] == got["w"]
 
 
+def test_signatures_of_every_kind_of_text(spark, docs_of):
+    """An edited quarter leaves half of the signatures, with punctuation, in any language and without spaces."""
+    rng = random.Random(11)
+    word = lambda letters, k=6: "".join(rng.choices(letters, k=k))
+    latin, russian, han = "bcdfghijklmnoprstuvz", "абвгдежзиклмнопрст", "".join(map(chr, range(0x4E00, 0x5000)))
+    kinds = [
+        lambda: " ".join(rng.choice(["the,", '"of', "AND!!", "(to)", "is&&&"]) + " " + word(latin) for _ in range(200)),
+        lambda: " ".join(word(latin) for _ in range(300)),
+        lambda: " ".join(word(russian) for _ in range(300)),
+        lambda: word(han, 1500),
+        lambda: "。".join(word(han, 40) for _ in range(40)),
+        lambda: word(latin + "0123456789", 4000),
+        lambda: " ".join([word(latin) for _ in range(150)] + ["the", word(latin)] + [word(latin) for _ in range(150)]),
+    ]
+    texts = []
+    for kind in kinds:
+        a, b = kind(), kind()
+        n = len(a)
+        texts += [a, a[: n - n // 4] + b[: n // 4], b[: n // 8] + a[n // 8 :], a[: n // 2] + b[:7] + a[n // 2 :]]
+    texts += [" ".join(["again", "and", "again"] * 50), "one two six", "!? ... !", "one two"]
+    s = {r["doc_id"]: set(r["s"]) for r in docs_of(texts).select("doc_id", spotsigs.signatures(spotsigs.F.col("text")).alias("s")).collect()}
+    like = lambda i, j: len(s[i] & s[j]) / len(s[i] | s[j])
+    for k in range(0, 4 * len(kinds), 4):
+        assert len(s[k]) >= 20 and like(k, k + 1) > 0.45 and like(k, k + 2) > 0.6 and like(k, k + 3) > 0.9
+        assert all(like(k, j) < 0.1 for j in range(4 * len(kinds)) if j // 4 != k // 4)
+    assert all(s[i] for i in range(len(texts)))
+
+
+def test_anchors_with_punctuation(spark, docs_of):
+    texts = ["the cat of the mat is on a very fine day", '"The, cat. of THE!! (mat) is& on -- a very fine day...']
+    a, b = (r["s"] for r in docs_of(texts).select(spotsigs.signatures(spotsigs.F.col("text")).alias("s")).collect())
+    assert a == b and len(a) == 6
+
+
 def test_fingerprint_odd_rows(spark, odd, empty, docs_of, monkeypatch):
     assert spotsigs.fingerprints(empty).count() == 0
     got = spotsigs.fingerprints(odd).collect()
