@@ -14,9 +14,9 @@ from pcgspark.llm.common import materialise, scratch_dir, table
 
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 NEAR = jaccard_join.Spec(5, 80, 100)
-#: The mixture's tokens by domain, and its size against the input. Junk and toxic text is drawn down; the rates of
-#: clean documents come out at one or more, so these all stay.
+#: The mixture's tokens by domain. Junk and toxic text is drawn down to its share; documents of KEPT all stay.
 WEIGHTS = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
+KEPT = "clean"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.keep_one(docs, NEAR)
 
 
+def draw(rated: DataFrame) -> DataFrame:
+    """Adds ``chance``, with which a document of ``mixing.mix`` stays, and ``stays``. Rates are taken against the mean rate
+    of the tokens of KEPT, so that the budget is that at which these documents all stay and the others have their
+    weights beside them; without KEPT, against the largest rate. A domain with less than its weight stays whole."""
+    of = rated.agg(
+        F.sum(F.when(F.col("domain") == KEPT, F.col("rate") * F.col("tokens"))).alias("mass"),
+        F.sum(F.when(F.col("domain") == KEPT, F.col("tokens"))).alias("tokens"),
+        F.max("rate").alias("most"),
+    ).first()
+    unit = of["mass"] / of["tokens"] if of["mass"] else of["most"] or 1.0
+    chance = F.when(F.col("domain") == KEPT, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("rate") / F.lit(float(unit))))
+    return rated.withColumn("chance", chance).withColumn("stays", F.col("u") < F.col("chance"))
+
+
+def shares(drawn: DataFrame) -> DataFrame:
+    """(domain, before, after): shares of the tokens by posterior's best domain, before and after the draw."""
+    tokens = F.sum("tokens"), F.sum(F.when(F.col("stays"), F.col("tokens")).otherwise(0))
+    by = drawn.groupBy("domain").agg(tokens[0].alias("before"), tokens[1].alias("after"))
+    every = by.agg(F.sum("before").alias("__b"), F.sum("after").alias("__a"))
+    return by.crossJoin(F.broadcast(every)).select("domain", (F.col("before") / F.col("__b")).alias("before"), (F.col("after") / F.col("__a")).alias("after"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws each document with its fitted rate (1 or more: it stays; rates beyond 1 are epochs, not rows here)."""
+    """Draws each document with its fitted rate; the documents of KEPT are never drawn."""
     rated, _ = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), WEIGHTS)
-    gone = rated.filter(F.col("u") >= F.col("rate")).select("doc_id").distinct()
+    gone = draw(rated).groupBy("doc_id").agg(F.max("stays").alias("stays")).filter("not stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 

@@ -264,6 +264,21 @@ def test_similar_pairs_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in spotsigs.similar_pairs(docs, 0.6).collect()} == want
 
 
+@pytest.mark.parametrize("clean,junk", [(0.9, 0.45), (1.3, 0.65), (0.9, 2.0)])
+def test_mixing_draws_no_clean_document(spark, docs_of, monkeypatch, clean, junk):
+    import corpus_pipeline as cp
+
+    n = 400
+    rows = [(i, 10, "junk" if i % 4 == 0 else "clean", junk if i % 4 == 0 else clean, (i * 7 % n) / n) for i in range(n)]
+    rated = spark.createDataFrame(rows, "doc_id bigint, tokens bigint, domain string, rate double, u double")
+    monkeypatch.setattr(cp.mixing, "mix", lambda *a: (rated, None))
+    kept = {r["doc_id"] for r in cp.mix_sources(spark, docs_of(["x"] * n), SF).collect()}
+    assert sum(i % 4 > 0 for i in kept) == 300
+    assert abs(sum(i % 4 == 0 for i in kept) - 100 * min(1, junk / clean)) <= 1
+    after = {r["domain"]: r["after"] for r in cp.shares(cp.draw(rated)).collect()}
+    assert after["clean"] == pytest.approx(300 / len(kept))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
