@@ -8,8 +8,9 @@ A text with fewer than FEW chains, or fewer than one in SPARSE words (another la
 gets chains at hash-chosen tokens: of each PICK consecutive ones that with the least hash, so that an edit changes only
 chains near it. A token is a word; in scripts without spaces and in words of over LONG characters it is a character,
 and chains that begin with a single character are longer. Only a text of fewer than CHAIN + 1 tokens and without a chain
-has one signature of its whole lower-case text. Fingerprints are compared by Jaccard similarity; sets whose sizes differ too
-much can't reach a threshold, so ``similar_pairs`` partitions by size and prunes before it compares.
+has one signature of its whole lower-case text. Fingerprints are compared by Jaccard similarity.
+``similar_pairs`` joins an index of the sets' rarest signatures by signature; it isn't partitioned by set length: sizes
+that differ too much for the threshold are filtered after that join, before sets are compared.
 
 Null texts are empty; all empty texts are equal. Repeated rows have equal fingerprints. Ties of doc_id are ordered by
 text, and a null doc_id comes first. Only DataFrame functions are used.
@@ -162,7 +163,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness) for classes of equal fingerprints, a < b their least doc_ids, at or above the threshold.
 
     Signatures are indexed by prefix: in the order of their frequency (rare first), two sets that reach the threshold
-    t share one of the first |s| - ceil(t |s|) + 1; sizes below t times the other are pruned in the join. Classes that
+    t share one of the first |s| - ceil(t |s|) + 1; sizes below t times the other are filtered from the pairs of a bucket,
+    all of which the join makes. Classes that
     are alike share rare signatures, which keeps buckets small; Spark splits a skewed bucket.
     """
     sets = docs.select("doc_id", signatures(F.col("text")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
