@@ -27,6 +27,7 @@ ORDER = 4
 SAMPLE = 1200
 MAX_GRAMS = 200_000
 CALIBRATION_SHARE = 0.2
+CALIBRATION_ROWS = 20  # a language with fewer rows is learned from all of them and has no limit of its own
 REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.1
 #: Score: softmax over languages of minus this times the cross-entropy in nats.
 SHARPNESS = 8.0
@@ -180,7 +181,8 @@ def fit(train: DataFrame, sample: int = SAMPLE, max_grams: int = MAX_GRAMS) -> M
         return None
     langs = sorted(sizes)
     rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / sizes[lang]))])
-    rows = materialise(train.filter(_share(1) < rate[F.col("lang")]).withColumn("held", _share(2) < CALIBRATION_SHARE))
+    enough = [lang for lang in langs if sizes[lang] >= CALIBRATION_ROWS]
+    rows = materialise(train.filter(_share(1) < rate[F.col("lang")]).withColumn("held", F.col("lang").isin(enough) & (_share(2) < CALIBRATION_SHARE)))
     bounded_batches(rows.sparkSession)
 
     def count(batches):

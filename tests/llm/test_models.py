@@ -137,3 +137,13 @@ def test_mined_rules(spark):
     known = spark.createDataFrame([(["a", "b"], i % 2 == 0) for i in range(40)] + [(["c", "a"], True)] * 20, "tokens array<string>, bad boolean")
     rules = {tuple(r["items"]) for r in url_filter.mine(known).collect()}
     assert rules == {("c",)}
+
+
+def test_a_language_of_one_row_is_learned(spark, docs_of):
+    texts = ["the quick brown fox jumps over the lazy dog"] * 20 + [f"wort{i} und satz{i} mit grund" for i in range(20)]
+    for lone in range(100, 130):  # any id, so also those that calibration would withhold
+        rows = docs_of(texts, ["en"] * 20 + ["de"] * 20).union(spark.createDataFrame([(lone, "zażółć gęślą jaźń", "pl", "s", 17)], docs_of([]).schema))
+        if rows.filter(f"doc_id = {lone}").select(langid._share(2) < langid.CALIBRATION_SHARE).first()[0]:
+            assert "pl" in langid.fit(rows).langs
+            return
+    raise AssertionError("no id would be withheld")
