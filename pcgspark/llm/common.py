@@ -50,6 +50,36 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator's run: ``keep(df)`` stores one, and on exit all go but those stored by ``keep.result``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(scratch_dir(self.spark))
+        return materialise(df, self.paths[-1])
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return materialise(df)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders in the file system they lie in. A session without a JVM of its own leaves them."""
+    if (jvm := getattr(spark, "_jvm", None)) is None:
+        return
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that a batch of very long texts fits a worker; workers get the package."""
     ship(spark)

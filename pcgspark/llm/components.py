@@ -1,28 +1,33 @@
-"""Connected components of an edge table by alternating large and small stars; nothing is collected but two sums."""
+"""Connected components of an edge table by alternating large and small stars; nothing is collected but two sums.
+
+Nodes are of any type with an order. Every round writes its edges as a table, so a lost executor costs one round at
+most; stars are repeated until they change nothing, which takes a number of rounds that grows with the logarithm of the
+longest path. An empty table has no components; loops and repeated edges change nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pcgspark.llm.common import materialise
 
-MAX_ROUNDS = 60
-
 
 def _fingerprint(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Large star: links each larger neighbour of a node with the least of the neighbourhood; small star: the others."""
     if large:
         from_all = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         from_all = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = from_all.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    least = materialise(least)  # read from a table, the join's two sides are dealt anew, and a hot node can be split
+    least = keep(least)  # read from a table, the join's two sides are dealt anew, and a hot node can be split
     met = from_all.join(least, "u")
     if large:
         out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -31,17 +36,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node with a link in (a, b); the component is its least node."""
-    edges = materialise(links.select("a", "b").filter("a <> b").distinct())
-    seen = _fingerprint(edges)
-    for _ in range(MAX_ROUNDS):
-        edges = materialise(_star(_star(edges, large=True), large=False))
-        now = _fingerprint(edges)
-        if now == seen:
-            break
+def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
+    """(node, component) for every node with a link in (a, b); the component is its least node. ``keep`` stores tables."""
+    edges = keep(links.select("a", "b").filter("a <> b").distinct())
+    seen = None
+    while (now := _fingerprint(edges)) != seen:
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        edges = keep(_star(_star(edges, True, keep), False, keep))
     # settled edges lead from each node to the least one
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -2,54 +2,55 @@
 
 Sets with similarity t or more differ in at most H = (1-t)/(1+t) * (|r|+|s|) shingles. The shingle universe (64-bit
 hashes) is cut into segments by hash range, their number fixed for each band of set sizes (a power of two wide). A
-set indexes the hashes of its first H+1 segment subsets that aren't empty (all its segments, if these are fewer), in
-the band of its own size and, if a partner may be larger, in the next one. Two such sets have one of them in common:
-of the H+1 of the set that stops first, at most H differ, and the other set has not stopped before the one that agrees.
-
-Candidates aren't all pairs of a bucket:
-
-1. each member of a bucket is paired with the bucket's least document; verified links give classes;
-2. buckets whose members are all in one class are done; in the others only pairs of different classes are compared,
-   after two lossless filters (set sizes, and 256 parity bits: sets that differ in d shingles differ in at most d bits);
-3. buckets of more than HOT classes (a passage that very many documents share) get no such comparison. Allocation of
-   cost: a document gives such a segment weight 0 and makes up for it with weight 2 on as many of its cheapest other
-   segments, whose one-deletion neighbourhoods are indexed (subsets that differ in one shingle meet there); if these
-   do not suffice, its least expensive hot segments keep weight 1. By the pigeonhole principle the weights still find
-   every partner.
-
-Everything is verified on the documents' texts. Equal sets are one class from the start. A hot bucket is first reduced
-in the map tasks (a slice of texts sends one member for each segment it repeats), and the members of a hot centre are
-verified in salted groups.
+set indexes the subsets in all its segments, in the band of its own size and, if a partner may be larger, in the next
+one; empty subsets count only where the others are fewer than H+1. Weights 0, 1 and 2 that add up to H+1 or more find
+every partner: of so much weight at most H is spent on differing shingles, so in some segment fewer differ than its
+weight says. Weight 1 finds equal subsets, weight 2 also subsets that differ in one shingle (one-deletion
+neighbourhoods). Which weights a document takes is decided by their costs:
+
+1. copies (equal words, by SHA-256) are one class from the start, and one of them stands for all;
+2. each member of a bucket (documents with equal subsets) is paired with the bucket's least document; verified links
+   give classes, and a bucket is open if its members are of two classes or more;
+3. one of two documents searches for the other: that of the smaller class. Weight 1 on a segment costs as many pairs
+   as its bucket has members of other classes, nothing where all others rank lower; so each document first takes the
+   free segments, and then the cheapest until the weights suffice;
+4. a document to which these cost more pairs than it has entries gets its neighbourhoods indexed, as do all
+   members of its open buckets, where its partners are. The entries are counted, which gives the cost of each
+   segment's second unit of weight; weights are then dealt anew, the cheapest units of either kind first.
+
+Pairs pass two lossless filters (set sizes, and parity bits: sets that differ in d shingles differ in at most d bits).
+They are then compared by their shingles' hashes, and those that pass by the words of their texts.
 
 Words are maximal runs of characters other than space and U+0009-U+000D, A-Z in lower case; a text with fewer than k
-words is one shingle; null and empty texts have none and link with nothing. Repeated rows of a doc_id each get a row
-and share its links; a row with a null doc_id has a null component. Other columns are ignored.
+words is one shingle; null and empty texts have none and link with nothing. Very long texts are read whole, one at a
+time. Rows with one doc_id are one document, whatever their texts: it has the links of each, and each row gets the
+document's component. A row with a null doc_id has a null component; an empty table gives an empty result. Ties go to
+the least doc_id. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import bounded_batches, materialise, slices
+from pcgspark.llm.common import Scratch, bounded_batches, slices
 from pcgspark.llm.components import components
 from pcgspark.llm.wordkernel import U64, find_words, mix, raw, window_hash
 
-LOCAL = 8  # members of a segment in one slice of texts from which on the slice sends one
-#: Classes in a bucket beyond which it is not compared. Comparing costs about 10 ns a pair, k * k / 2 pairs; a
-#: document's neighbourhoods cost about 300 rows of 1.5 us, shared by some ten hot buckets. They break even near 9000
-#: classes; less is taken, since one task compares a bucket.
-HOT = 4000
-SURPLUS = 15  # per cent of segments beyond the needed ones, which stand in for empty ones
-CAP = 10  # shingles of a segment with a one-deletion neighbourhood, at most
+LOCAL = 8  # members of a segment in one slice of texts from which on the task sends one and holds the others back
+REMEMBERED = 1 << 20  # copies and held segments that a task remembers; beyond it sends more rows than it need
+SURPLUS = 15  # per cent of segments beyond the needed ones
+ENTRY_COST = 1  # pairs that an entry of the index of neighbourhoods costs as much as
 GROUP = 512  # members verified with one copy of their centre
-BROADCAST_ROWS = 200_000  # pairs (24 bytes) that may be broadcast to fetch texts
+BROADCAST_ROWS = 200_000  # pairs (40 bytes) that may be broadcast to fetch texts
 WIDE_FROM, WIDE_BITS = 512, 4096  # sets of so many shingles also have so many parity bits, since 256 are soon used up
 _SEGMENT, _BAND, _DELETED = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA0761D6478BD642F)
+NODE = "struct<doc_id:bigint,t:bigint>"  # a text: its document and a hash of it
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ class Spec:
         return least + least * SURPLUS // 100 + np.where(least > 4, 2, 0)
 
     def needed(self, n, low):
-        """Weights that a set of n shingles needs in a band: one more than the shingles it may differ in."""
+        """Weight that a set of n shingles needs in a band: one more than the shingles it may differ in."""
         partner = np.minimum(2 * low - 1, n * self.den // self.num)
         return self.most_different(n + partner) + 1
 
@@ -95,37 +96,58 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], d[new]
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def similar(a: list[bytes], b: list[bytes], spec: Spec) -> bool:
+    """Whether the shingle sets of two word lists reach the similarity, by the words themselves."""
+    if a == b:
+        return bool(a)
+    x, y = ({b" ".join(w[i : i + spec.k]) for i in range(max(1, len(w) - spec.k + 1))} for w in (a, b))
+    common = len(x & y)
+    return bool(a and b) and spec.den * common >= spec.num * (len(x) + len(y) - common)
+
+
 def _segment_of(h: np.ndarray, m) -> np.ndarray:
     return (((h >> U64(32)) * np.asarray(m).astype(U64)) >> U64(32)).astype(np.int64)
 
 
-def segment_signatures(h: np.ndarray, d: np.ndarray, n: np.ndarray, docs: np.ndarray, low: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the used segments of the documents ``docs`` in the bands ``low``, and their documents."""
-    m, need = spec.segments(low), spec.needed(n[docs], low)
-    row = np.full(len(n), -1, np.int64)
+def signature(sums, index, low):
+    return mix(mix(sums + np.asarray(index).astype(U64) * _SEGMENT) + np.asarray(low).astype(U64) * _BAND)
+
+
+def _subsets(h: np.ndarray, d: np.ndarray, docs: np.ndarray, low: np.ndarray, count: int, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of the documents ``docs`` in the bands ``low``, where each subset starts, its segment and its row of ``docs``."""
+    row = np.full(count, -1, np.int64)
     row[docs] = np.arange(len(docs))
     of = row[d]
     h, of = h[of >= 0], of[of >= 0]
     if not len(h):
-        return np.empty(0, U64), np.empty(0, np.int64)
-    seg = _segment_of(h, m[of])
+        return h, np.empty(0, np.int64), np.empty(0, np.int64), of
+    seg = _segment_of(h, spec.segments(low)[of])
     starts = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (of[1:] != of[:-1]))))
-    sums, seg, of = np.add.reduceat(mix(h), starts), seg[starts], of[starts]
+    return h, starts, seg[starts], of[starts]
+
+
+def segment_signatures(h: np.ndarray, d: np.ndarray, n: np.ndarray, docs: np.ndarray, low: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the indexed subsets of ``docs`` in the bands ``low``, their documents, and for each of ``docs`` the
+    number of these and whether empty ones are among them."""
+    h, starts, seg, of = _subsets(h, d, docs, low, len(n), spec)
+    if not len(starts):
+        return np.empty(0, U64), np.empty(0, np.int64), np.zeros(len(docs), np.int64), np.zeros(len(docs), bool)
+    sums = np.add.reduceat(mix(h), starts)
     filled = np.bincount(of, minlength=len(docs))
-    rank = np.arange(len(of)) - np.concatenate(([0], np.cumsum(filled)))[of]
-    keep = rank < need[of]
-    sums, seg, of = [sums[keep]], [seg[keep]], [of[keep]]
-    for r in np.flatnonzero(filled < need):  # the empty segments count as well
-        empty = np.setdiff1d(np.arange(m[r]), seg[0][of[0] == r])
+    short = filled < spec.needed(n[docs], low)
+    m = spec.segments(low)
+    sums, segs, of = [sums], [seg], [of]
+    for r in np.flatnonzero(short):
+        empty = np.setdiff1d(np.arange(m[r]), segs[0][of[0] == r])
         sums.append(np.zeros(len(empty), U64))
-        seg.append(empty)
+        segs.append(empty)
         of.append(np.full(len(empty), r))
-    sums, seg, of = (np.concatenate(x) for x in (sums, seg, of))
-    return signature(sums, seg, low[of]), docs[of]
-
-
-def signature(sums, index, low):
-    return mix(mix(sums + np.asarray(index).astype(U64) * _SEGMENT) + np.asarray(low).astype(U64) * _BAND)
+    sums, segs, of = (np.concatenate(x) for x in (sums, segs, of))
+    return signature(sums, segs, low[of]), docs[of], np.where(short, m, filled), short
 
 
 def bands(n: np.ndarray, spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -136,71 +158,114 @@ def bands(n: np.ndarray, spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(some, low), (some[higher], 2 * low[higher])]
 
 
-INDEX = "doc_id bigint, n bigint, sum bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, wide array<bigint>, sigs array<bigint>, held array<struct<sig:bigint,center:bigint>>"
-
-
-def index_slice(part: pa.RecordBatch, spec: Spec) -> pa.RecordBatch:
-    """Size, sum, parity bits and segment signatures of each document; ``held`` has those met LOCAL times in this slice."""
-    ids = np.array(part.column("doc_id").to_pylist(), np.int64)
-    h, d = shingle_sets(part.column("text"), spec.k)
-    count = len(ids)
-    n = np.bincount(d, minlength=count).astype(np.int64)
-    total = np.zeros(count, U64)
-    if len(h):
-        starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-        total[d[starts]] = np.add.reduceat(mix(h + _DELETED), starts)
-    parity = np.bincount(d * 256 + (h & U64(255)).astype(np.int64), minlength=count * 256) & 1
-    bits = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(count, 4)
-    large = np.flatnonzero(n >= WIDE_FROM)
-    row = np.full(count, -1, np.int64)
-    row[large] = np.arange(len(large))
-    of = row[d]
-    at = of[of >= 0] * WIDE_BITS + ((h[of >= 0] >> U64(8)) & U64(WIDE_BITS - 1)).astype(np.int64)
-    wide = np.packbits((np.bincount(at, minlength=len(large) * WIDE_BITS) & 1).astype(np.uint8)).view(np.int64)
-    words = WIDE_BITS // 64
-    wide = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n >= WIDE_FROM, words, 0)))), pa.int32()), pa.array(wide))
-    _, first = np.unique(np.stack([n.astype(U64), total], 1), axis=0, return_index=True)
-    lead = np.zeros(count, bool)
-    lead[first] = True  # equal sets of a slice are indexed once
-    sigs, docs = [np.empty(0, U64)], [np.empty(0, np.int64)]
-    for members, low in bands(np.where(lead, n, 0), spec):
-        s, of = segment_signatures(h, d, n, members, low, spec)
-        sigs.append(s)
-        docs.append(of)
-    s, of = np.concatenate(sigs), np.concatenate(docs)
-    by_id = ids[of]
-    order = np.lexsort((by_id, s))
-    s, of = s[order], of[order]
-    head = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
-    starts = np.flatnonzero(head)
-    sizes = np.diff(np.append(starts, len(s)))
-    lead_of = np.repeat(starts, sizes)
-    big = np.repeat(sizes >= LOCAL, sizes)
-    held = big
-    sent = ~big | head
-
-    def lists(mask: np.ndarray, values: pa.Array) -> pa.ListArray:
-        at = np.flatnonzero(mask)
-        at = at[np.argsort(of[at], kind="stable")]
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(of[at], minlength=count))))
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values.take(pa.array(at)))
-
-    signed = pa.array(s.view(np.int64))
-    centers = pa.array(ids[of[lead_of]] if len(s) else np.empty(0, np.int64))
-    columns = [part.column("doc_id"), pa.array(n), pa.array(total.view(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)]]
-    columns += [wide, lists(sent, signed), lists(held, pa.StructArray.from_arrays([signed, centers], ["sig", "center"]))]
-    return pa.record_batch(columns, names=["doc_id", "n", "sum", "b0", "b1", "b2", "b3", "wide", "sigs", "held"])
-
-
-def _alike(spec: Spec, a: str, b: str):
+PARITY = ["b0", "b1", "b2", "b3"]
+INDEX = (
+    f"v {NODE}, digest binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, wide array<bigint>, leads boolean, "
+    "need array<int>, have array<int>, short array<boolean>, sent array<struct<sig:bigint,band:int,center:boolean>>, "
+    f"held array<struct<sig:bigint,band:int,center:{NODE}>>"
+)
+
+
+class Indexer:
+    """Indexes slices of texts; lives as long as a task. It remembers the task's copies, whose subsets it sends once,
+    and the segments with many members, of which it sends one and holds back the others with that one as centre."""
+
+    def __init__(self, spec: Spec):
+        self.spec = spec
+        self.copies: set[bytes] = set()
+        self.sigs, self.centers = np.empty(0, U64), np.empty((0, 2), np.int64)
+
+    def _lead(self, digests: list[bytes]) -> np.ndarray:
+        lead = np.zeros(len(digests), bool)
+        here: set[bytes] = set()
+        for i, x in enumerate(digests):
+            if x not in self.copies and x not in here:
+                lead[i] = True
+                here.add(x)
+        if len(self.copies) + len(here) <= REMEMBERED:
+            self.copies |= here
+        return lead
+
+    def index(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        spec, count = self.spec, part.num_rows
+        ids = np.array(part.column("doc_id").to_pylist(), np.int64)
+        ts = np.array(part.column("t").to_pylist(), np.int64)
+        h, d = shingle_sets(part.column("text"), spec.k)
+        n = np.bincount(d, minlength=count).astype(np.int64)
+        digests = [hashlib.sha256(b" ".join(plain_words(x))).digest() for x in part.column("text").to_pylist()]
+        parity = np.bincount(d * 256 + (h & U64(255)).astype(np.int64), minlength=count * 256) & 1
+        bits = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(count, 4)
+        lead = self._lead(digests)
+        large = np.flatnonzero(n >= WIDE_FROM)
+        row = np.full(count, -1, np.int64)
+        row[large] = np.arange(len(large))
+        of = row[d]
+        at = of[of >= 0] * WIDE_BITS + ((h[of >= 0] >> U64(8)) & U64(WIDE_BITS - 1)).astype(np.int64)
+        wide = np.packbits((np.bincount(at, minlength=len(large) * WIDE_BITS) & 1).astype(np.uint8)).view(np.int64)
+        wide = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n >= WIDE_FROM, WIDE_BITS // 64, 0)))), pa.int32()), pa.array(wide))
+
+        parts, levels = [], []
+        need, have, short = np.zeros((2, count), np.int64), np.zeros((2, count), np.int64), np.zeros((2, count), bool)
+        for band, (docs, low) in enumerate(bands(np.where(lead, n, 0), spec)):
+            s, of, indexed, lacking = segment_signatures(h, d, n, docs, low, spec)
+            parts.append((s, of, np.full(len(s), band)))
+            levels.append(docs)
+            need[band, docs], have[band, docs], short[band, docs] = spec.needed(n[docs], low), indexed, lacking
+        s, of, band = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ts[of], ids[of], s))
+        s, of, band = s[order], of[order], band[order]
+        known, center = self._known(s)
+        head = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
+        starts = np.flatnonzero(head)
+        sizes = np.diff(np.append(starts, len(s)))
+        lead_of = np.repeat(starts, sizes)
+        big = np.repeat(sizes >= LOCAL, sizes) & ~known
+        own = np.stack([ids[of], ts[of]], 1) if len(s) else np.empty((0, 2), np.int64)
+        center[big] = own[lead_of[big]]
+        led = big & head
+        held = (big & ~head) | known
+        self._remember(s[led], own[led])
+
+        def lists(mask: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> pa.ListArray:
+            at = np.flatnonzero(mask)
+            at = at[np.argsort(of[at], kind="stable")]
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(of[at], minlength=count)))) if len(of) else np.zeros(count + 1, np.int64)
+            arrays = [c.take(pa.array(at)) if isinstance(c, pa.Array) else pa.array(c[at]) for c in columns.values()]
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(arrays, list(columns)))
+
+        def pairs(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * count + 1, 2), pa.int32()), pa.array(np.ascontiguousarray(x.T).reshape(-1)).cast(kind))
+
+        node = lambda x: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["doc_id", "t"])
+        signed, of_band = s.view(np.int64), band.astype(np.int32)
+        columns = [node(np.stack([ids, ts], 1)), pa.array(digests, pa.binary()), pa.array(n), *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)]]
+        columns += [wide, pa.array(lead), pairs(need, pa.int32()), pairs(have, pa.int32()), pairs(short, pa.bool_())]
+        columns += [lists(~held, {"sig": signed, "band": of_band, "center": led}), lists(held, {"sig": signed, "band": of_band, "center": node(center)})]
+        return pa.record_batch(columns, names=["v", "digest", "n", *PARITY, "wide", "leads", "need", "have", "short", "sent", "held"])
+
+    def _known(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.sigs):
+            return np.zeros(len(s), bool), np.zeros((len(s), 2), np.int64)
+        at = np.minimum(np.searchsorted(self.sigs, s), len(self.sigs) - 1)
+        return self.sigs[at] == s, self.centers[at]
+
+    def _remember(self, s: np.ndarray, own: np.ndarray) -> None:
+        if not len(s) or len(self.sigs) + len(s) > REMEMBERED:
+            return
+        sigs, centers = np.concatenate((self.sigs, s)), np.concatenate((self.centers, own))
+        order = np.argsort(sigs, kind="stable")
+        self.sigs, self.centers = sigs[order], centers[order]
+
+
+def _alike(spec: Spec, a: str, b: str) -> Column:
     """The lossless filters on two rows with n and b0 .. b3."""
-    differ = sum((F.bit_count(F.col(f"{a}b{j}").bitwiseXOR(F.col(f"{b}b{j}"))) for j in range(1, 4)), F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))))
+    differ = sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARITY[1:]), F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))))
     total = F.col(f"{a}n") + F.col(f"{b}n")
     sized = F.least(f"{a}n", f"{b}n") * spec.den >= F.greatest(f"{a}n", f"{b}n") * spec.num
     return sized & (differ * (spec.den + spec.num) <= total * (spec.den - spec.num))
 
 
-def _alike_wide(spec: Spec):
+def _alike_wide(spec: Spec) -> Column:
     """The parity filter again on the wide bits, which only large sets have."""
     both = (F.size("a_wide") > 0) & (F.size("b_wide") > 0)
     differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
@@ -208,169 +273,220 @@ def _alike_wide(spec: Spec):
     return F.when(both, differ * (spec.den + spec.num) <= total * (spec.den - spec.num)).otherwise(True)
 
 
-def _sides(pairs: DataFrame, d: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs (a, b) with equal sets left out and the filters applied."""
-    for side in "ab":
-        columns = [F.col(c).alias(f"{side}_{c}") for c in ("n", "sum", "b0", "b1", "b2", "b3", "wide")]
-        pairs = pairs.join(d.select(F.col("doc_id").alias(side), *columns), side)
-    return pairs.filter(~((F.col("a_n") == F.col("b_n")) & (F.col("a_sum") == F.col("b_sum")))).filter(_alike(spec, "a_", "b_") & _alike_wide(spec)).select("a", "b")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose texts' sets reach the similarity. b is the centre; its members are verified in groups."""
-    pairs = materialise(pairs.select("a", "b").distinct())
-    small = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    groups = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
-    salted = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / GROUP)).alias("salt"))
-    wanted = salted.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("role"))
-    wanted = wanted.unionByName(salted.select(F.col("b").alias("doc_id"), "b", "salt", F.lit(0).alias("role")).distinct())
-    fetched = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    dealt = fetched.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").select("doc_id", "text", "b", "role")
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        center, center_set = None, np.empty(0, U64)
-        for batch in batches:
-            for part in slices(batch):
+def _side(df: DataFrame, prefix: str, key: str = "sig") -> DataFrame:
+    return df.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != key])
+
+
+def _rank(prefix: str) -> Column:
+    """Of two documents of different classes the one that ranks lower searches: it isn't short (a short one indexes empty
+    subsets, which others don't), and its class is the smaller."""
+    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("short", "members", "class")])
+
+
+class Join:
+    """One run of the join; ``keep`` stores its tables."""
+
+    def __init__(self, docs: DataFrame, spec: Spec, keep: Scratch):
+        self.spec, self.keep = spec, keep
+        self.texts = docs.filter("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("v"), "text")
+
+    def _kernel(self, rows: DataFrame, kernel, schema: str) -> DataFrame:
+        """``rows`` through ``kernel`` on slices of texts; ``kernel()`` gives the function for a task."""
+        bounded_batches(rows.sparkSession)
+
+        def run(batches):
+            of_task = kernel()
+            for batch in batches:
+                for part in slices(batch):
+                    yield of_task(part)
+
+        return self.keep(rows.mapInArrow(run, schema))
+
+    def index(self) -> None:
+        spec = self.spec
+        rows = self.texts.select("v.doc_id", "v.t", "text")
+        self.rows = self._kernel(rows, lambda: Indexer(spec).index, INDEX)
+        some = self.rows.filter("n > 0")
+        least = some.groupBy("digest").agg(F.min(F.when(F.col("leads"), F.col("v"))).alias("b"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+        # tables, not subplans, on either side of a join: only then Spark can split a large group
+        self.equal = self.keep(some.select("digest", F.col("v").alias("a")).join(self.keep(least), "digest").filter("a <> b").select("a", "b").distinct())
+        mapped = self.rows.filter("n > 0").join(self.equal.select(F.col("a").alias("v"), F.col("b").alias("rep")), "v", "left")
+        one = Window.partitionBy("v").orderBy("v")
+        self.facts = self.keep(mapped.filter("rep is null and leads").select("v", "n", *PARITY, "wide", "need", "have", "short").withColumn("r", F.row_number().over(one)).filter("r = 1").drop("r"))
+        sent = mapped.select("v", "rep", F.explode("sent").alias("x")).filter("rep is null or x.center").select("x.sig", F.coalesce("rep", "v").alias("v"), "x.band")
+        by_sig = Window.partitionBy("sig")
+        buckets = sent.select("*", F.min("v").over(by_sig).alias("center"), F.max("v").over(by_sig).alias("last")).filter("center <> last").drop("last")
+        # a held member needs its centre's row, also if that is alone in the bucket
+        led = mapped.select("v", "rep", F.explode("sent").alias("x")).filter("x.center").select("x.sig", F.coalesce("rep", "v").alias("v"), "x.band", F.coalesce("rep", "v").alias("center"))
+        held = mapped.filter("rep is null").select("v", F.explode("held").alias("x")).select("x.sig", "v", "x.band", "x.center")
+        self.members = self.keep(buckets.unionByName(led).unionByName(held))
+
+    def filtered(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) that pass the filters with the wide bits."""
+        pairs = self.keep(pairs.select("a", "b").filter("a <> b").distinct())
+        for side in "ab":
+            pairs = pairs.join(_side(self.facts.select("v", "n", *PARITY, "wide"), side, "v").withColumnRenamed("v", side), side)
+        return pairs.filter(_alike(self.spec, "a_", "b_") & _alike_wide(self.spec)).select("a", "b")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose texts' sets reach the similarity. b is the centre; its members are verified in groups."""
+        spec = self.spec
+        pairs = self.keep(pairs)
+        small = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        groups = self.keep(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members")))
+        salted = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / GROUP)).alias("salt"))
+        wanted = salted.select(F.col("a").alias("v"), "b", "salt", F.lit(1).alias("role"))
+        wanted = wanted.unionByName(salted.select(F.col("b").alias("v"), "b", "salt", F.lit(0).alias("role")).distinct())
+        wanted = self.keep(wanted)
+        fetched = self.texts.join(F.broadcast(wanted) if small else wanted, "v")
+        dealt = fetched.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").select("v", "text", "b", "role")
+
+        def kernel():
+            center, center_set, center_words = None, np.empty(0, U64), []
+
+            def run(part: pa.RecordBatch) -> pa.RecordBatch:
+                nonlocal center, center_set, center_words
                 h, d = shingle_sets(part.column("text"), spec.k)
                 bounds = np.searchsorted(d, np.arange(part.num_rows + 1))
-                a_out, b_out = [], []
-                for i, (a, b, role) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "b", "role")), strict=True)):
+                met: list[int] = []
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "b", "role")), strict=True)
+                for i, (text, b, role) in enumerate(rows):
                     own = h[bounds[i] : bounds[i + 1]]
                     if role == 0:
-                        center, center_set = b, own
+                        center, center_set, center_words = b, own, plain_words(text)
                     elif center == b:
                         common = len(np.intersect1d(own, center_set, assume_unique=True))
-                        if spec.den * common >= spec.num * (len(own) + len(center_set) - common) and common:
-                            a_out.append(a)
-                            b_out.append(b)
-                yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    return materialise(dealt.mapInArrow(run, "a bigint, b bigint"))
-
-
-def _neighbourhoods(hot: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """Rows (doc_id, key, kind, chosen) of documents with hot segments: kind 0 is a segment, 1 a segment less one
-    shingle, 2 a hot segment that keeps weight 1. ``hot``: doc_id, list of (classes, sig)."""
-    small = hot.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8
-    rows = docs.select("doc_id", "text").join(F.broadcast(hot) if small else hot, "doc_id")
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
+                        if spec.den * common >= spec.num * (len(own) + len(center_set) - common) and similar(plain_words(text), center_words, spec):
+                            met.append(i)
+                at = pa.array(met, pa.int64())
+                return pa.record_batch([part.column("v").take(at), part.column("b").take(at)], names=["a", "b"])
+
+            return run
+
+        return self._kernel(dealt, kernel, f"a {NODE}, b {NODE}")
+
+    def open_members(self, links: DataFrame) -> None:
+        """Members of buckets of two classes or more: sig, v, band, class, members of the class, short, n, parity."""
+        classes = components(links, self.keep).select(F.col("node").alias("v"), F.col("component").alias("class"))
+        of = self.facts.drop("wide").join(classes, "v", "left").withColumn("class", F.coalesce("class", "v"))
+        sizes = self.keep(of.groupBy("class").agg(F.count(F.lit(1)).alias("members")))
+        facts = self.keep(of.join(sizes, "class"))
+        rows = self.keep(self.members.select("sig", "v", "band").distinct().join(facts.select("v", "class"), "v"))
+        mixed = self.keep(rows.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("sig"))
+        some = rows.join(mixed, "sig").drop("class").join(facts, "v")
+        self.open = self.keep(some.withColumns({c: F.col(c)[F.col("band")] for c in ("need", "have", "short")}))
+
+    def allocate(self) -> DataFrame:
+        """The weights of each document that searches: v, band, left (units beyond the free ones), units (cost, sig),
+        dear (whether these cost more than its neighbourhoods' entries), own (class and facts)."""
+        by_class = self.open.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("mine"), F.max(F.struct("short", "members", "class")).alias("top"))
+        by_class = self.keep(by_class)
+        by_sig = self.keep(by_class.groupBy("sig").agg(F.sum("mine").alias("every"), F.max("top").alias("top")))
+        priced = self.open.join(by_class.drop("top"), ["sig", "class"]).join(by_sig, "sig")
+        priced = priced.withColumn("cost", F.when(_rank("") < F.col("top"), F.col("every") - F.col("mine")).otherwise(0)).filter("cost > 0")
+        own = F.struct("class", "members", "short", "n", *PARITY)
+        units = priced.groupBy("v", "band").agg(F.array_sort(F.collect_list(F.struct("cost", "sig"))).alias("units"), F.first(own).alias("own"), F.first("need").alias("need"), F.first("have").alias("have"))
+        units = units.withColumn("left", F.col("need") - F.col("have") + F.size("units")).filter("left > 0")
+        cheapest = F.aggregate(F.slice("units", F.lit(1), F.col("left")), F.lit(0).cast("bigint"), lambda t, x: t + x.cost)
+        return self.keep(units.select("v", "band", "left", "units", "own", (cheapest > ENTRY_COST * (F.col("own.n") + F.col("have"))).alias("dear")))
+
+    def _meet(self, asking: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+        """Pairs of a row of ``asking`` (key, v, own) and one of ``asked`` that ranks higher in another class."""
+        a = asking.select(key, F.col("v").alias("a_v"), *[F.col(f"own.{c}").alias(f"a_{c}") for c in ("class", "members", "short", "n", *PARITY)])
+        b = _side(asked.select(key, "v", "class", "members", "short", "n", *PARITY), "b", key)
+        met = a.join(b, key).filter((F.col("a_class") != F.col("b_class")) & (_rank("a_") < _rank("b_")) & _alike(self.spec, "a_", "b_"))
+        return met.select(F.col("a_v").alias("a"), F.col("b_v").alias("b"))
+
+    def _neighbourhoods(self, wanted: DataFrame) -> DataFrame:
+        """(v, band, seg, key, kind) for the documents ``wanted``: kind 0 is a subset, 1 a subset less one shingle."""
+        spec = self.spec
+        small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        rows = self.texts.join(F.broadcast(wanted) if small else wanted, "v").select("v", "text")
+
+        def kernel():
+            def run(part: pa.RecordBatch) -> pa.RecordBatch:
                 h, d = shingle_sets(part.column("text"), spec.k)
                 n = np.bincount(d, minlength=part.num_rows).astype(np.int64)
-                bounds = np.searchsorted(d, np.arange(part.num_rows + 1))
-                ids, known = part.column("doc_id").to_pylist(), part.column("hot").to_pylist()
-                out: list[list] = [[], [], [], []]
-
-                def put(doc, keys, kind, chosen, out=out):
-                    for column, value in zip(out, ([doc] * len(keys), keys, [kind] * len(keys), [chosen] * len(keys)), strict=True):
-                        column.extend(value)
-
-                for members, low in bands(n, spec):
-                    for i, lo in zip(members, low, strict=True):
-                        own = h[bounds[i] : bounds[i + 1]]
-                        m, need = int(spec.segments(lo)), int(spec.needed(n[i], lo))
-                        seg = _segment_of(own, np.full(len(own), m))
-                        filled = np.unique(seg)
-                        short = len(filled) < need
-                        cut = m if short else int(filled[need - 1]) + 1
-                        values = mix(own)
-                        ends = np.searchsorted(seg, np.arange(cut + 1))
-                        sizes = np.diff(ends)
-                        sums = np.array([values[ends[j] : ends[j + 1]].sum(dtype=U64) for j in range(cut)], U64)
-                        sigs = signature(sums, np.arange(cut), np.full(cut, lo)).view(np.int64)
-                        cost = {x["sig"]: x["classes"] for x in known[i]}
-                        indexed = (sizes > 0) | short
-                        is_hot = np.array([s in cost for s in sigs.tolist()], bool) & indexed
-                        able = np.flatnonzero(indexed & ~is_hot & (sizes <= CAP))
-                        need = int(is_hot.sum())
-                        chosen = set(able[np.argsort(sizes[able], kind="stable")][:need].tolist())
-                        for j in np.flatnonzero(sizes <= CAP + 1):
-                            tag = (np.full(1, j), np.full(1, lo))
-                            put(ids[i], signature(sums[j : j + 1] + _DELETED, *tag).view(np.int64).tolist(), 0, int(j) in chosen)
-                            less = sums[j] - values[ends[j] : ends[j + 1]] + _DELETED
-                            put(ids[i], signature(less, np.full(len(less), j), np.full(len(less), lo)).view(np.int64).tolist(), 1, int(j) in chosen)
-                        left = need - len(chosen)
-                        if left > 0:
-                            worst = sorted((cost[s], s) for s in sigs[is_hot].tolist())[:left]
-                            put(ids[i], [s for _, s in worst], 2, True)
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], names=["doc_id", "key", "kind", "chosen"])
-
-    return materialise(rows.select("doc_id", "text", "hot").mapInArrow(run, "doc_id bigint, key bigint, kind int, chosen boolean"))
-
-
-def link(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """(index, links): a row of sizes for each input row, and verified links (a, b) that connect every class."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    keyed = docs.filter("doc_id is not null")
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield index_slice(part, spec)
-
-    index = materialise(keyed.mapInArrow(run, INDEX))
-    d = index.filter("n > 0").select("doc_id", "n", "sum", "b0", "b1", "b2", "b3", "wide").dropDuplicates(["doc_id"])
-    same = ["n", "sum", "b0", "b1", "b2", "b3"]
-    least = index.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    least = materialise(least)  # as a table, so that Spark can split a large group of copies in the join
-    equal = materialise(index.filter("n > 0").join(least, same).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
-
-    by_sig = Window.partitionBy("sig")
-    sent = index.select("doc_id", F.explode("sigs").alias("sig"))
-    buckets = sent.select("sig", "doc_id", F.min("doc_id").over(by_sig).alias("center"), F.count(F.lit(1)).over(by_sig).alias("size")).filter("size > 1").drop("size")
-    held = index.select("doc_id", F.explode("held").alias("x")).select("x.sig", "doc_id", "x.center")
-    members = materialise(buckets.unionByName(held))
-
-    first = members.filter("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
-    links = verify(_sides(first, d, spec), keyed, spec).unionByName(equal)
-    links = materialise(links)
-    classes = components(links)
-
-    rows = members.select("sig", "doc_id").distinct().join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rows = rows.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("class"))
-    mixed = rows.groupBy("sig", "class").agg(F.lit(1).alias("one")).groupBy("sig").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    open_rows = materialise(rows.join(mixed, "sig").join(d.drop("wide"), "doc_id"))
-    columns = [c for c in open_rows.columns if c != "sig"]
-
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("sig", *[F.col(c).alias(f"{prefix}_{c}") for c in columns if c != "classes"])
-
-    cool = open_rows.filter(F.col("classes") <= HOT)
-    met = side(cool, "a").join(side(cool, "b"), "sig").filter("a_class < b_class").filter(_alike(spec, "a_", "b_"))
-    found = met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
-    hot_rows = open_rows.filter(F.col("classes") > HOT)
-    if not hot_rows.isEmpty():
-        hot = materialise(hot_rows.groupBy("doc_id").agg(F.collect_set(F.struct("classes", "sig")).alias("hot")))
-        near = _neighbourhoods(hot, keyed, spec)
-        facts = open_rows.select("doc_id", "class", *same).dropDuplicates(["doc_id"])
-        near = near.join(facts, "doc_id").withColumnRenamed("key", "sig")
-        columns = [c for c in near.columns if c != "sig"]
-        zero, one = side(near.filter("kind = 0"), "a"), side(near.filter("kind = 1"), "b")
-        met = zero.join(one, "sig").filter("(a_chosen or b_chosen) and a_class <> b_class").filter(_alike(spec, "a_", "b_"))
-        found = found.unionByName(met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")))
-        columns = ["doc_id", "class", *same]
-        kept = side(near.filter("kind = 2"), "a").join(side(hot_rows, "b"), "sig").filter("a_class <> b_class").filter(_alike(spec, "a_", "b_"))
-        found = found.unionByName(kept.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")))
-    more = _sides(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), d, spec)
-    return index.select("doc_id", "n"), materialise(verify(more, keyed, spec).unionByName(links))
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                for band, (docs, low) in enumerate(bands(n, spec)):
+                    flat, starts, seg, of = _subsets(h, d, docs, low, len(n), spec)
+                    if not len(starts):
+                        continue
+                    values = mix(flat)
+                    sums = np.add.reduceat(values, starts)
+                    each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+                    whole = signature(sums + _DELETED, seg, low[of])
+                    less = signature(sums[each] - values + _DELETED, seg[each], low[of[each]])
+                    for kind, key, at in ((0, whole, np.arange(len(starts))), (1, less, each)):
+                        for column, x in zip(out, (docs[of[at]], np.full(len(at), band), seg[at], key.view(np.int64), np.full(len(at), kind)), strict=True):
+                            column.append(x)
+                doc, band, seg, key, kind = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
+                columns = [part.column("v").take(pa.array(doc)), pa.array(band, pa.int32()), pa.array(seg), pa.array(key), pa.array(kind, pa.int32())]
+                return pa.record_batch(columns, names=["v", "band", "seg", "key", "kind"])
+
+            return run
+
+        return self._kernel(rows, kernel, f"v {NODE}, band int, seg bigint, key bigint, kind int")
+
+    def search(self) -> DataFrame:
+        """Pairs (a, b) of different classes that may be similar: all that are, and others."""
+        weights = self.allocate()
+        first = weights.filter("not dear").select("v", "band", "own", F.explode(F.slice("units", F.lit(1), F.col("left"))).alias("u")).select("u.sig", "v", "own")
+        found = self._meet(first, self.open, "sig")
+        dear = self.keep(weights.filter("dear").drop("dear"))
+        if dear.isEmpty():
+            return found
+        reach = self.keep(dear.select(F.explode("units.sig").alias("sig")).distinct())
+        others = self.keep(self.open.join(reach, "sig", "left_semi").select("v").distinct())
+        near = self._neighbourhoods(others)
+        often = self.keep(near.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("whole"), F.sum("kind").alias("less")))
+        mine = near.join(dear.select("v", "band", F.lit(True).alias("asks")), ["v", "band"])
+        price = F.when(F.col("kind") == 0, F.col("whole") + F.col("less") - 1).otherwise(F.col("whole"))
+        second = mine.join(often, "key").groupBy("v", "band", "seg").agg(F.sum(price).alias("cost"))
+        second = second.groupBy("v", "band").agg(F.collect_list(F.struct("cost", F.lit(2).alias("unit"), F.col("seg").alias("of"))).alias("second"))
+        ones = F.transform("units", lambda u: F.struct(u.cost.alias("cost"), F.lit(1).alias("unit"), u.sig.alias("of")))
+        dealt = dear.join(second, ["v", "band"], "left")
+        dealt = dealt.withColumn("u", F.slice(F.array_sort(F.concat(ones, F.coalesce("second", F.array().cast("array<struct<cost:bigint,unit:int,of:bigint>>")))), F.lit(1), F.col("left")))
+        dealt = self.keep(dealt.select("v", "band", "own", F.explode("u").alias("u")))
+        found = found.unionByName(self._meet(dealt.filter("u.unit = 1").select("u.of", "v", "own").withColumnRenamed("of", "sig"), self.open, "sig"))
+        asks = near.join(dealt.filter("u.unit = 2").select("v", "band", "own", F.col("u.of").alias("seg")), ["v", "band", "seg"]).select("key", "kind", "v", "own")
+        told = self.open.select("v", "band", "class", "members", "short", "n", *PARITY).dropDuplicates(["v", "band"])
+        whole = self.keep(near.filter("kind = 0").join(told, ["v", "band"]).drop("kind"))
+        less = self.keep(near.filter("kind = 1").join(told, ["v", "band"]).drop("kind"))
+        return found.unionByName(self._meet(asks, whole, "key")).unionByName(self._meet(asks.filter("kind = 0"), less, "key"))
+
+    def links(self) -> DataFrame:
+        """Verified links (a, b) that connect every class of texts."""
+        self.index()
+        first = self.members.select(F.col("v").alias("a"), F.col("center").alias("b"))
+        # a centre may be a copy that does not stand for its class
+        stands = self.equal.select(F.col("a").alias("b"), F.col("b").alias("rep"))
+        first = first.filter("a <> b").distinct().join(stands, "b", "left").select("a", F.coalesce("rep", "b").alias("b"))
+        links = self.keep(self.verify(self.filtered(first)).unionByName(self.equal))
+        self.open_members(links)
+        return self.keep(self.verify(self.filtered(self.search())).unionByName(links))
 
 
 def join_classes(docs: DataFrame, spec: Spec) -> DataFrame:
     """doc_id, n_shingles, component_id for every input row."""
-    index, links = link(docs, spec)
-    classes = components(links).withColumnRenamed("node", "doc_id")
-    out = index.join(classes, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    lost = docs.filter("doc_id is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with Scratch(docs.sparkSession) as keep:
+        join = Join(docs, spec, keep)
+        links = join.links()
+        # the texts of one document are linked through it
+        several = join.rows.groupBy("v.doc_id").agg(F.min("v").alias("b"), F.max("v").alias("last")).filter("b <> last").drop("last")
+        own = join.rows.select("v.doc_id", F.col("v").alias("a")).join(keep(several), "doc_id").filter("a <> b").select("a", "b")
+        classes = components(links.unionByName(own), keep).select(F.col("node").alias("v"), F.col("component.doc_id").alias("component_id"))
+        out = join.rows.select("v", "n").join(classes, "v", "left").select("v.doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "v.doc_id").alias("component_id"))
+        out = keep.result(out)
+    lost = docs.filter("doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
     return out.unionByName(lost)
 
 
 def keep_one(docs: DataFrame, spec: Spec) -> DataFrame:
-    """The rows of ``docs`` without those of a class whose doc_id is not the class's least."""
-    _, links = link(docs, spec)
-    dropped = components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows of ``docs`` without those whose text is in a class with a text of a lesser doc_id."""
+    with Scratch(docs.sparkSession) as keep:
+        links = Join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), spec, keep).links()
+        dropped = components(links, keep).filter("node.doc_id <> component.doc_id").select(F.col("node.doc_id").alias("__id"), F.col("node.t").alias("__t"))
+        dropped = keep.result(dropped)
+    return docs.join(dropped, (F.col("doc_id").cast("bigint") == F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")

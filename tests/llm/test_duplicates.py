@@ -54,16 +54,71 @@ def near():
     return texts
 
 
-@pytest.mark.parametrize("hot,cap,surplus", [(200, 10, 15), (1, 10, 15), (1, 1, 0), (3, 3, 5)])
+@pytest.mark.parametrize("entry,surplus,remembered", [(1, 15, 1 << 20), (0, 15, 3), (0, 0, 1 << 20), (1 << 40, 5, 1 << 20)])
 @pytest.mark.parametrize("spec", [Spec(3, 90, 100), Spec(5, 80, 100)])
-def test_classes_against_brute_force(spark, docs_of, near, spec, hot, cap, surplus, monkeypatch):
-    for name, value in (("HOT", hot), ("CAP", cap), ("SURPLUS", surplus), ("LOCAL", 3), ("GROUP", 2)):
+def test_classes_against_brute_force(spark, docs_of, near, spec, entry, surplus, remembered, monkeypatch):
+    """With the weights dealt by cost, all by neighbourhoods (entry 0), and by segments alone (a huge entry)."""
+    for name, value in (("ENTRY_COST", entry), ("SURPLUS", surplus), ("REMEMBERED", remembered), ("LOCAL", 3), ("GROUP", 2)):
         monkeypatch.setattr(jaccard_join, name, value)
     want, sizes = plain_classes(dict(enumerate(near)), spec.k, spec.num, spec.den)
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard_join.join_classes(docs_of(near), spec).collect()}
     assert got == {i: (want[i], sizes[i]) for i in want}
 
 
+def family(rng, n, members, edits):
+    """Near copies of one text: so many words replaced in each that only few of them link."""
+    base = [f"f{rng.randrange(10_000)}" for _ in range(n)]
+    return [" ".join(w if rng.random() > edits * (i % 4) / n else f"e{rng.randrange(1000)}" for w in base) for i in range(members)]
+
+
+@pytest.mark.parametrize("entry", [0, 1])
+def test_families_of_near_copies(spark, docs_of, entry, monkeypatch):
+    """Families whose members lie about the threshold: buckets of many classes, in which weights are dealt."""
+    monkeypatch.setattr(jaccard_join, "ENTRY_COST", entry)
+    rng = random.Random(21)
+    texts = [t for n, e in ((9, 1), (14, 1), (30, 1), (80, 2), (200, 4), (1100, 12)) for t in family(rng, n, 40, e)]
+    rng.shuffle(texts)
+    for spec in (Spec(3, 90, 100), Spec(5, 80, 100)):
+        want, _ = plain_classes(dict(enumerate(texts)), spec.k, spec.num, spec.den)
+        assert len(set(want.values())) > 20
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_classes(docs_of(texts), spec).collect()}
+        assert got == want
+
+
+def test_one_document_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, a), (9, None), (4, "other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.join_classes(docs, Spec(3, 90, 100)).collect()}
+    assert got == {(1, 58): 1, (2, 59): 1, (3, 59): 1, (9, 58): 1, (9, 0): 1, (4, 1): 4}
+    rows = [(5, a), (5, b), (2, a + " x"), (7, b + " y"), (7, "own text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {tuple(r) for r in jaccard_join.keep_one(docs, Spec(3, 90, 100)).collect()}
+    assert kept == {(2, a + " x"), (5, b), (7, "own text")}
+
+
+def test_words_decide(spark, docs_of, monkeypatch):
+    """Shingles that only share a hash don't link: the words are compared."""
+    assert not jaccard_join.similar([b"a"], [b"b"], Spec(3, 90, 100)) and not jaccard_join.similar([], [], Spec(3, 90, 100))
+    pairs = [(0, "a b c d e f", "a b c d e f"), (1, "a b c", "x y z"), (2, "a b", "a b c"), (3, " ".join("abcdefghijklmnop"), " ".join("abcdefghijklmnopq"))]
+    for _, x, y in pairs:
+        p, q = plain_set(x, 3), plain_set(y, 3)
+        assert jaccard_join.similar(jaccard_join.plain_words(x), jaccard_join.plain_words(y), Spec(3, 90, 100)) == (100 * len(p & q) >= 90 * len(p | q))
+
+
+def test_tables_go(spark, monkeypatch, tmp_path):
+    """Of a run's tables only the result stays in the shared folder."""
+    from pcgspark.llm import common
+
+    names = iter("abc")
+    monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}/{next(names)}")
+    with common.Scratch(spark) as keep:
+        df = keep(spark.range(5).toDF("a"))
+        out = keep.result(df.filter("a > 2"))
+        assert sorted(x.name for x in tmp_path.iterdir()) == ["a", "b"]
+    assert [x.name for x in tmp_path.iterdir()] == ["b"] and out.count() == 2
+
+
 def test_without_broadcasts(spark, docs_of, near, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     want, _ = plain_classes(dict(enumerate(near)), 3, 90, 100)
