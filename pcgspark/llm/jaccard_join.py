@@ -2,24 +2,25 @@
 
 Sets with similarity t or more differ in at most H = (1-t)/(1+t) * (|r|+|s|) shingles. The shingle universe (64-bit
 hashes) is cut into segments by hash range, their number fixed for each band of set sizes (a power of two wide). A
-set indexes the subsets in all its segments, in the band of its own size and, if a partner may be larger, in the next
-one; empty subsets count only where the others are fewer than H+1. Weights 0, 1 and 2 that add up to H+1 or more find
-every partner: of so much weight at most H is spent on differing shingles, so in some segment fewer differ than its
-weight says. Weight 1 finds equal subsets, weight 2 also subsets that differ in one shingle (one-deletion
-neighbourhoods). Which weights a document takes is decided by their costs:
+set indexes the subsets in its first H+1 segments that aren't empty (all segments, if these are fewer), in the band of
+its own size and, if a partner may be larger, in the next one. Two such sets have one in common: of the H+1 of the set
+that stops first, at most H differ, and the other set has not stopped before the one that agrees. Which pairs are then
+compared is decided by their costs:
 
 1. copies (equal words, by SHA-256) are one class from the start, and one of them stands for all;
-2. each member of a bucket (documents with equal subsets) is paired with the bucket's least document; verified links
+2. each member of a bucket (documents with equal subsets) is paired with the bucket's first document; verified links
    give classes, and a bucket is open if its members are of two classes or more;
-3. one of two documents searches for the other: that of the smaller class. Weight 1 on a segment costs as many pairs
-   as its bucket has members of other classes, nothing where all others rank lower; so each document first takes the
-   free segments, and then the cheapest until the weights suffice;
-4. a document to which these cost more pairs than it has entries gets its neighbourhoods indexed, as do all
-   members of its open buckets, where its partners are. The entries are counted, which gives the cost of each
-   segment's second unit of weight; weights are then dealt anew, the cheapest units of either kind first.
-
-Pairs pass two lossless filters (set sizes, and parity bits: sets that differ in d shingles differ in at most d bits).
-They are then compared by their shingles' hashes, and those that pass by the words of their texts.
+3. of two documents of an open bucket that of the smaller class searches for the other. A document's search costs as
+   many pairs as its open buckets have members of other classes, and nothing where it ranks highest;
+4. a document to which that costs more pairs than it has shingles and segments gets its neighbourhoods indexed, as do
+   all members of its open buckets, where its partners are: the subsets of all segments, and each less one shingle. A
+   document gives its segments weights 0, 1 (equal subsets are found) or 2 (also those that differ in one shingle);
+   weights that add up to H+1 find every partner, since differing shingles use up H at most. The index's entries are
+   counted, which gives the cost of each unit of weight, and the cheapest units are taken.
+
+So no document meets more others than it has entries, unless the cheapest weights of all cost more. Pairs pass two
+lossless filters (set sizes, and parity bits: sets that differ in d shingles differ in at most d bits). They are then
+compared by their shingles' hashes, and those that pass by the words of their texts.
 
 Words are maximal runs of characters other than space and U+0009-U+000D, A-Z in lower case; a text with fewer than k
 words is one shingle; null and empty texts have none and link with nothing. Very long texts are read whole, one at a
@@ -50,7 +51,6 @@ GROUP = 512  # members verified with one copy of their centre
 BROADCAST_ROWS = 200_000  # pairs (40 bytes) that may be broadcast to fetch texts
 WIDE_FROM, WIDE_BITS = 512, 4096  # sets of so many shingles also have so many parity bits, since 256 are soon used up
 _SEGMENT, _BAND, _DELETED = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA0761D6478BD642F)
-NODE = "struct<doc_id:bigint,t:bigint>"  # a text: its document and a hash of it
 
 
 @dataclass(frozen=True)
@@ -130,24 +130,22 @@ def _subsets(h: np.ndarray, d: np.ndarray, docs: np.ndarray, low: np.ndarray, co
     return h, starts, seg[starts], of[starts]
 
 
-def segment_signatures(h: np.ndarray, d: np.ndarray, n: np.ndarray, docs: np.ndarray, low: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of the indexed subsets of ``docs`` in the bands ``low``, their documents, and for each of ``docs`` the
-    number of these and whether empty ones are among them."""
+def segment_signatures(h: np.ndarray, d: np.ndarray, n: np.ndarray, docs: np.ndarray, low: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the indexed subsets of ``docs`` in the bands ``low``, and their documents."""
     h, starts, seg, of = _subsets(h, d, docs, low, len(n), spec)
     if not len(starts):
-        return np.empty(0, U64), np.empty(0, np.int64), np.zeros(len(docs), np.int64), np.zeros(len(docs), bool)
-    sums = np.add.reduceat(mix(h), starts)
+        return np.empty(0, U64), np.empty(0, np.int64)
+    need, sums = spec.needed(n[docs], low), np.add.reduceat(mix(h), starts)
     filled = np.bincount(of, minlength=len(docs))
-    short = filled < spec.needed(n[docs], low)
-    m = spec.segments(low)
-    sums, segs, of = [sums], [seg], [of]
-    for r in np.flatnonzero(short):
-        empty = np.setdiff1d(np.arange(m[r]), segs[0][of[0] == r])
+    keep = np.arange(len(of)) - np.concatenate(([0], np.cumsum(filled)))[of] < need[of]
+    sums, segs, of = [sums[keep]], [seg[keep]], [of[keep]]
+    for r in np.flatnonzero(filled < need):  # the empty segments count as well
+        empty = np.setdiff1d(np.arange(spec.segments(low[r])), segs[0][of[0] == r])
         sums.append(np.zeros(len(empty), U64))
         segs.append(empty)
         of.append(np.full(len(empty), r))
     sums, segs, of = (np.concatenate(x) for x in (sums, segs, of))
-    return signature(sums, segs, low[of]), docs[of], np.where(short, m, filled), short
+    return signature(sums, segs, low[of]), docs[of]
 
 
 def bands(n: np.ndarray, spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -160,20 +158,22 @@ def bands(n: np.ndarray, spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
 
 PARITY = ["b0", "b1", "b2", "b3"]
 INDEX = (
-    f"v {NODE}, digest binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, wide array<bigint>, leads boolean, "
-    "need array<int>, have array<int>, short array<boolean>, sent array<struct<sig:bigint,band:int,center:boolean>>, "
-    f"held array<struct<sig:bigint,band:int,center:{NODE}>>"
+    "i bigint, doc_id bigint, t bigint, digest binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, wide array<bigint>, "
+    "leads boolean, sent array<struct<sig:bigint,code:tinyint>>, held array<struct<sig:bigint,code:tinyint,center:bigint>>"
 )
+LED = 2  # in a code: the band (0 or 1), and this where others are held back with this member as their centre
 
 
 class Indexer:
-    """Indexes slices of texts; lives as long as a task. It remembers the task's copies, whose subsets it sends once,
-    and the segments with many members, of which it sends one and holds back the others with that one as centre."""
+    """Indexes slices of texts; lives as long as a task, whose rows it numbers. It remembers the task's copies, whose
+    subsets it sends once, and the segments with many members, of which it sends one and holds back the others with
+    that one as centre."""
 
-    def __init__(self, spec: Spec):
+    def __init__(self, spec: Spec, task: int = 0):
         self.spec = spec
+        self.next = task << 33
         self.copies: set[bytes] = set()
-        self.sigs, self.centers = np.empty(0, U64), np.empty((0, 2), np.int64)
+        self.sigs, self.centers = np.empty(0, U64), np.empty(0, np.int64)
 
     def _lead(self, digests: list[bytes]) -> np.ndarray:
         lead = np.zeros(len(digests), bool)
@@ -188,75 +188,93 @@ class Indexer:
 
     def index(self, part: pa.RecordBatch) -> pa.RecordBatch:
         spec, count = self.spec, part.num_rows
-        ids = np.array(part.column("doc_id").to_pylist(), np.int64)
-        ts = np.array(part.column("t").to_pylist(), np.int64)
+        ids = np.arange(self.next, self.next + count)
+        self.next += count
         h, d = shingle_sets(part.column("text"), spec.k)
         n = np.bincount(d, minlength=count).astype(np.int64)
         digests = [hashlib.sha256(b" ".join(plain_words(x))).digest() for x in part.column("text").to_pylist()]
         parity = np.bincount(d * 256 + (h & U64(255)).astype(np.int64), minlength=count * 256) & 1
         bits = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(count, 4)
         lead = self._lead(digests)
-        large = np.flatnonzero(n >= WIDE_FROM)
+        large = np.flatnonzero((n >= WIDE_FROM) & lead)
         row = np.full(count, -1, np.int64)
         row[large] = np.arange(len(large))
         of = row[d]
         at = of[of >= 0] * WIDE_BITS + ((h[of >= 0] >> U64(8)) & U64(WIDE_BITS - 1)).astype(np.int64)
         wide = np.packbits((np.bincount(at, minlength=len(large) * WIDE_BITS) & 1).astype(np.uint8)).view(np.int64)
-        wide = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n >= WIDE_FROM, WIDE_BITS // 64, 0)))), pa.int32()), pa.array(wide))
-
-        parts, levels = [], []
-        need, have, short = np.zeros((2, count), np.int64), np.zeros((2, count), np.int64), np.zeros((2, count), bool)
-        for band, (docs, low) in enumerate(bands(np.where(lead, n, 0), spec)):
-            s, of, indexed, lacking = segment_signatures(h, d, n, docs, low, spec)
-            parts.append((s, of, np.full(len(s), band)))
-            levels.append(docs)
-            need[band, docs], have[band, docs], short[band, docs] = spec.needed(n[docs], low), indexed, lacking
-        s, of, band = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ts[of], ids[of], s))
-        s, of, band = s[order], of[order], band[order]
+        wide = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(row >= 0, WIDE_BITS // 64, 0)))), pa.int32()), pa.array(wide))
+
+        parts = [(*segment_signatures(h, d, n, docs, low, spec), band) for band, (docs, low) in enumerate(bands(np.where(lead, n, 0), spec))]
+        s, of = (np.concatenate([x[j] for x in parts]) for j in (0, 1))
+        code = np.concatenate([np.full(len(x[0]), x[2], np.int8) for x in parts])
+        order = np.lexsort((of, s))
+        s, of, code = s[order], of[order], code[order]
         known, center = self._known(s)
         head = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
         starts = np.flatnonzero(head)
         sizes = np.diff(np.append(starts, len(s)))
-        lead_of = np.repeat(starts, sizes)
         big = np.repeat(sizes >= LOCAL, sizes) & ~known
-        own = np.stack([ids[of], ts[of]], 1) if len(s) else np.empty((0, 2), np.int64)
-        center[big] = own[lead_of[big]]
+        center[big] = ids[of[np.repeat(starts, sizes)[big]]]
         led = big & head
         held = (big & ~head) | known
-        self._remember(s[led], own[led])
+        code[led] += LED
+        self._remember(s[led], ids[of[led]])
 
-        def lists(mask: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> pa.ListArray:
+        def lists(mask: np.ndarray, columns: dict[str, np.ndarray]) -> pa.ListArray:
             at = np.flatnonzero(mask)
             at = at[np.argsort(of[at], kind="stable")]
-            bounds = np.concatenate(([0], np.cumsum(np.bincount(of[at], minlength=count)))) if len(of) else np.zeros(count + 1, np.int64)
-            arrays = [c.take(pa.array(at)) if isinstance(c, pa.Array) else pa.array(c[at]) for c in columns.values()]
-            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(arrays, list(columns)))
-
-        def pairs(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * count + 1, 2), pa.int32()), pa.array(np.ascontiguousarray(x.T).reshape(-1)).cast(kind))
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(of[at], minlength=count))))
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(c[at]) for c in columns.values()], list(columns)))
 
-        node = lambda x: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["doc_id", "t"])
-        signed, of_band = s.view(np.int64), band.astype(np.int32)
-        columns = [node(np.stack([ids, ts], 1)), pa.array(digests, pa.binary()), pa.array(n), *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)]]
-        columns += [wide, pa.array(lead), pairs(need, pa.int32()), pairs(have, pa.int32()), pairs(short, pa.bool_())]
-        columns += [lists(~held, {"sig": signed, "band": of_band, "center": led}), lists(held, {"sig": signed, "band": of_band, "center": node(center)})]
-        return pa.record_batch(columns, names=["v", "digest", "n", *PARITY, "wide", "leads", "need", "have", "short", "sent", "held"])
+        signed = s.view(np.int64)
+        columns = [pa.array(ids), part.column("doc_id"), part.column("t"), pa.array(digests, pa.binary()), pa.array(n), *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)]]
+        columns += [wide, pa.array(lead), lists(~held, {"sig": signed, "code": code}), lists(held, {"sig": signed, "code": code, "center": center})]
+        return pa.record_batch(columns, names=["i", "doc_id", "t", "digest", "n", *PARITY, "wide", "leads", "sent", "held"])
 
     def _known(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.sigs):
-            return np.zeros(len(s), bool), np.zeros((len(s), 2), np.int64)
+            return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
         at = np.minimum(np.searchsorted(self.sigs, s), len(self.sigs) - 1)
         return self.sigs[at] == s, self.centers[at]
 
-    def _remember(self, s: np.ndarray, own: np.ndarray) -> None:
+    def _remember(self, s: np.ndarray, ids: np.ndarray) -> None:
         if not len(s) or len(self.sigs) + len(s) > REMEMBERED:
             return
-        sigs, centers = np.concatenate((self.sigs, s)), np.concatenate((self.centers, own))
+        sigs, centers = np.concatenate((self.sigs, s)), np.concatenate((self.centers, ids))
         order = np.argsort(sigs, kind="stable")
         self.sigs, self.centers = sigs[order], centers[order]
 
 
+def neighbourhoods(part: pa.RecordBatch, spec: Spec, deep: bool) -> pa.RecordBatch:
+    """(i, low, need, seg, key, kind) for every segment of each text: kind 0 is the subset; with ``deep``, kind 1 is the
+    subset less one shingle."""
+    h, d = shingle_sets(part.column("text"), spec.k)
+    n = np.bincount(d, minlength=part.num_rows).astype(np.int64)
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for docs, low in bands(n, spec):
+        if not len(docs):
+            continue
+        flat, starts, seg, of = _subsets(h, d, docs, low, len(n), spec)
+        values = mix(flat)
+        m = np.asarray(spec.segments(low))
+        first = np.concatenate(([0], np.cumsum(m)))
+        sums = np.zeros(first[-1], U64)  # of every segment, empty ones too
+        cell = first[of] + seg
+        sums[cell] = np.add.reduceat(values, starts)
+        doc = np.repeat(np.arange(len(docs)), m)
+        number = np.arange(first[-1]) - first[doc]
+        rows = [(0, signature(sums + _DELETED, number, low[doc]), np.arange(first[-1]))]
+        if deep:
+            each = np.repeat(cell, np.diff(np.append(starts, len(flat))))
+            rows.append((1, signature(sums[each] - values + _DELETED, number[each], low[doc[each]]), each))
+        for kind, key, at in rows:
+            for column, x in zip(out, (docs[doc[at]], low[doc[at]], number[at], key.view(np.int64), np.full(len(at), kind)), strict=True):
+                column.append(x)
+    doc, low, seg, key, kind = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
+    columns = [part.column("i").take(pa.array(doc)), pa.array(low), pa.array(spec.needed(n[doc], low)), pa.array(seg), pa.array(key), pa.array(kind, pa.int8())]
+    return pa.record_batch(columns, names=["i", "low", "need", "seg", "key", "kind"])
+
+
 def _alike(spec: Spec, a: str, b: str) -> Column:
     """The lossless filters on two rows with n and b0 .. b3."""
     differ = sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARITY[1:]), F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))))
@@ -277,25 +295,30 @@ def _side(df: DataFrame, prefix: str, key: str = "sig") -> DataFrame:
     return df.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != key])
 
 
-def _rank(prefix: str) -> Column:
-    """Of two documents of different classes the one that ranks lower searches: it isn't short (a short one indexes empty
-    subsets, which others don't), and its class is the smaller."""
-    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("short", "members", "class")])
+def _higher(a: str, b: str) -> Column:
+    """Whether b ranks higher than a and is of another class: its class is the larger."""
+    more, equal = F.col(f"{b}members") > F.col(f"{a}members"), F.col(f"{b}members") == F.col(f"{a}members")
+    return more | (equal & (F.col(f"{b}class") > F.col(f"{a}class")))
 
 
 class Join:
-    """One run of the join; ``keep`` stores its tables."""
+    """One run of the join; ``keep`` stores its tables. Texts are known by the number ``i`` of their row in the index.
+
+    Joins with a table of all texts or all members are merge joins, so that the plan is the same at every size.
+    """
 
     def __init__(self, docs: DataFrame, spec: Spec, keep: Scratch):
         self.spec, self.keep = spec, keep
-        self.texts = docs.filter("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("v"), "text")
+        self.texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
 
     def _kernel(self, rows: DataFrame, kernel, schema: str) -> DataFrame:
-        """``rows`` through ``kernel`` on slices of texts; ``kernel()`` gives the function for a task."""
+        """``rows`` through ``kernel`` on slices of texts; ``kernel(number of the task)`` gives the function for a task."""
         bounded_batches(rows.sparkSession)
 
         def run(batches):
-            of_task = kernel()
+            from pyspark import TaskContext
+
+            of_task = kernel(TaskContext.get().partitionId())
             for batch in batches:
                 for part in slices(batch):
                     yield of_task(part)
@@ -303,45 +326,51 @@ class Join:
         return self.keep(rows.mapInArrow(run, schema))
 
     def index(self) -> None:
+        """``rows``: the index; ``equal``: copies and what stands for them; ``facts``: texts that stand for themselves;
+        ``members``: of buckets of two or more, with a centre to link them by."""
         spec = self.spec
-        rows = self.texts.select("v.doc_id", "v.t", "text")
-        self.rows = self._kernel(rows, lambda: Indexer(spec).index, INDEX)
+        self.rows = self._kernel(self.texts, lambda task: Indexer(spec, task).index, INDEX)
         some = self.rows.filter("n > 0")
-        least = some.groupBy("digest").agg(F.min(F.when(F.col("leads"), F.col("v"))).alias("b"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+        least = some.groupBy("digest").agg(F.min(F.when(F.col("leads"), F.col("i"))).alias("b"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
         # tables, not subplans, on either side of a join: only then Spark can split a large group
-        self.equal = self.keep(some.select("digest", F.col("v").alias("a")).join(self.keep(least), "digest").filter("a <> b").select("a", "b").distinct())
-        mapped = self.rows.filter("n > 0").join(self.equal.select(F.col("a").alias("v"), F.col("b").alias("rep")), "v", "left")
-        one = Window.partitionBy("v").orderBy("v")
-        self.facts = self.keep(mapped.filter("rep is null and leads").select("v", "n", *PARITY, "wide", "need", "have", "short").withColumn("r", F.row_number().over(one)).filter("r = 1").drop("r"))
-        sent = mapped.select("v", "rep", F.explode("sent").alias("x")).filter("rep is null or x.center").select("x.sig", F.coalesce("rep", "v").alias("v"), "x.band")
+        self.equal = self.keep(some.select("digest", F.col("i").alias("a")).join(self.keep(least), "digest").filter("a <> b").select("a", "b"))
+        facts = some.filter("leads").select("i", "n", *PARITY, "wide")
+        self.facts = self.keep(facts.join(self.equal.select(F.col("a").alias("i")).hint("merge"), "i", "left_anti"))
+        # one number for a text and its code keeps the shuffle of the index small
+        sent = self.rows.select("i", F.explode("sent").alias("x")).select("x.sig", (F.col("i") * 4 + F.col("x.code")).alias("k"))
         by_sig = Window.partitionBy("sig")
-        buckets = sent.select("*", F.min("v").over(by_sig).alias("center"), F.max("v").over(by_sig).alias("last")).filter("center <> last").drop("last")
-        # a held member needs its centre's row, also if that is alone in the bucket
-        led = mapped.select("v", "rep", F.explode("sent").alias("x")).filter("x.center").select("x.sig", F.coalesce("rep", "v").alias("v"), "x.band", F.coalesce("rep", "v").alias("center"))
-        held = mapped.filter("rep is null").select("v", F.explode("held").alias("x")).select("x.sig", "v", "x.band", "x.center")
-        self.members = self.keep(buckets.unionByName(led).unionByName(held))
+        met = sent.select("sig", "k", F.min("k").over(by_sig).alias("first"), F.max("k").over(by_sig).alias("last"))
+        # a held member needs its centre's row, also if that is alone
+        met = met.filter((F.col("first") != F.col("last")) | (F.col("k").bitwiseAND(LED) > 0))
+        buckets = met.select("sig", F.shiftright("k", 2).alias("i"), F.shiftright("first", 2).alias("center"))
+        held = self.rows.select("i", F.explode("held").alias("x")).select("x.sig", "i", "x.center")
+        self.members = self.keep(buckets.unionByName(held))
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) that pass the filters with the wide bits."""
+        """Distinct pairs (a, b) that pass the filters with the wide bits. Texts that another one stands for drop out."""
         pairs = self.keep(pairs.select("a", "b").filter("a <> b").distinct())
         for side in "ab":
-            pairs = pairs.join(_side(self.facts.select("v", "n", *PARITY, "wide"), side, "v").withColumnRenamed("v", side), side)
+            pairs = pairs.join(_side(self.facts, side, "i").withColumnRenamed("i", side).hint("merge"), side)
         return pairs.filter(_alike(self.spec, "a_", "b_") & _alike_wide(self.spec)).select("a", "b")
 
+    def _fetch(self, wanted: DataFrame, on: str) -> DataFrame:
+        """``wanted`` with the text of the row numbered ``on``. Only a small table of numbers is broadcast."""
+        ids = self.rows.select(F.col("i").alias(on), "doc_id", "t")
+        wanted = self.keep(wanted.join(ids.hint("merge"), on))
+        small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return self.texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "t"]).drop("doc_id", "t")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts' sets reach the similarity. b is the centre; its members are verified in groups."""
         spec = self.spec
         pairs = self.keep(pairs)
-        small = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         groups = self.keep(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members")))
         salted = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / GROUP)).alias("salt"))
-        wanted = salted.select(F.col("a").alias("v"), "b", "salt", F.lit(1).alias("role"))
-        wanted = wanted.unionByName(salted.select(F.col("b").alias("v"), "b", "salt", F.lit(0).alias("role")).distinct())
-        wanted = self.keep(wanted)
-        fetched = self.texts.join(F.broadcast(wanted) if small else wanted, "v")
-        dealt = fetched.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").select("v", "text", "b", "role")
+        wanted = salted.select("a", "b", "salt", F.lit(1).alias("role"))
+        wanted = wanted.unionByName(salted.select(F.col("b").alias("a"), "b", "salt", F.lit(0).alias("role")).distinct())
+        dealt = self._fetch(wanted, "a").repartition("b", "salt").sortWithinPartitions("b", "salt", "role").select("a", "text", "b", "role")
 
-        def kernel():
+        def kernel(_):
             center, center_set, center_words = None, np.empty(0, U64), []
 
             def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -359,113 +388,100 @@ class Join:
                         if spec.den * common >= spec.num * (len(own) + len(center_set) - common) and similar(plain_words(text), center_words, spec):
                             met.append(i)
                 at = pa.array(met, pa.int64())
-                return pa.record_batch([part.column("v").take(at), part.column("b").take(at)], names=["a", "b"])
+                return pa.record_batch([part.column("a").take(at), part.column("b").take(at)], names=["a", "b"])
 
             return run
 
-        return self._kernel(dealt, kernel, f"a {NODE}, b {NODE}")
+        return self._kernel(dealt, kernel, "a bigint, b bigint")
 
     def open_members(self, links: DataFrame) -> None:
-        """Members of buckets of two classes or more: sig, v, band, class, members of the class, short, n, parity."""
-        classes = components(links, self.keep).select(F.col("node").alias("v"), F.col("component").alias("class"))
-        of = self.facts.drop("wide").join(classes, "v", "left").withColumn("class", F.coalesce("class", "v"))
+        """Members of buckets of two classes or more: sig, i, class, members of the class, n, parity."""
+        classes = components(links, self.keep).select(F.col("node").alias("i"), F.col("component").alias("class"))
+        of = self.facts.drop("wide").join(classes.hint("merge"), "i", "left").withColumn("class", F.coalesce("class", "i"))
         sizes = self.keep(of.groupBy("class").agg(F.count(F.lit(1)).alias("members")))
-        facts = self.keep(of.join(sizes, "class"))
-        rows = self.keep(self.members.select("sig", "v", "band").distinct().join(facts.select("v", "class"), "v"))
-        mixed = self.keep(rows.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("sig"))
-        some = rows.join(mixed, "sig").drop("class").join(facts, "v")
-        self.open = self.keep(some.withColumns({c: F.col(c)[F.col("band")] for c in ("need", "have", "short")}))
-
-    def allocate(self) -> DataFrame:
-        """The weights of each document that searches: v, band, left (units beyond the free ones), units (cost, sig),
-        dear (whether these cost more than its neighbourhoods' entries), own (class and facts)."""
-        by_class = self.open.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("mine"), F.max(F.struct("short", "members", "class")).alias("top"))
-        by_class = self.keep(by_class)
-        by_sig = self.keep(by_class.groupBy("sig").agg(F.sum("mine").alias("every"), F.max("top").alias("top")))
-        priced = self.open.join(by_class.drop("top"), ["sig", "class"]).join(by_sig, "sig")
-        priced = priced.withColumn("cost", F.when(_rank("") < F.col("top"), F.col("every") - F.col("mine")).otherwise(0)).filter("cost > 0")
-        own = F.struct("class", "members", "short", "n", *PARITY)
-        units = priced.groupBy("v", "band").agg(F.array_sort(F.collect_list(F.struct("cost", "sig"))).alias("units"), F.first(own).alias("own"), F.first("need").alias("need"), F.first("have").alias("have"))
-        units = units.withColumn("left", F.col("need") - F.col("have") + F.size("units")).filter("left > 0")
-        cheapest = F.aggregate(F.slice("units", F.lit(1), F.col("left")), F.lit(0).cast("bigint"), lambda t, x: t + x.cost)
-        return self.keep(units.select("v", "band", "left", "units", "own", (cheapest > ENTRY_COST * (F.col("own.n") + F.col("have"))).alias("dear")))
+        facts = self.keep(of.join(sizes.hint("merge"), "class"))
+        rows = self.keep(self.members.select("sig", "i").join(facts.select("i", "class").hint("merge"), "i"))
+        mixed = rows.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("sig")
+        thin = self.keep(rows.join(self.keep(mixed).hint("merge"), "sig"))
+        self.open = self.keep(thin.drop("class").join(facts.hint("merge"), "i"))
+
+    def price(self) -> DataFrame:
+        """What each document's search costs: i, sigs to ask, cost, own (class and facts)."""
+        by_class = self.keep(self.open.groupBy("sig", "members", "class").agg(F.count(F.lit(1)).alias("mine")))
+        by_sig = by_class.groupBy("sig").agg(F.sum("mine").alias("every"), F.max(F.struct("members", "class")).alias("top"))
+        priced = by_class.join(self.keep(by_sig), "sig").filter(F.struct("members", "class") < F.col("top"))
+        priced = self.keep(priced.select("sig", "class", (F.col("every") - F.col("mine")).alias("cost")))
+        own = F.struct("class", "members", "n", *PARITY)
+        asks = self.open.join(priced, ["sig", "class"]).groupBy("i").agg(F.collect_set("sig").alias("sigs"), F.sum("cost").alias("cost"), F.first(own).alias("own"))
+        return self.keep(asks)
 
     def _meet(self, asking: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-        """Pairs of a row of ``asking`` (key, v, own) and one of ``asked`` that ranks higher in another class."""
-        a = asking.select(key, F.col("v").alias("a_v"), *[F.col(f"own.{c}").alias(f"a_{c}") for c in ("class", "members", "short", "n", *PARITY)])
-        b = _side(asked.select(key, "v", "class", "members", "short", "n", *PARITY), "b", key)
-        met = a.join(b, key).filter((F.col("a_class") != F.col("b_class")) & (_rank("a_") < _rank("b_")) & _alike(self.spec, "a_", "b_"))
-        return met.select(F.col("a_v").alias("a"), F.col("b_v").alias("b"))
-
-    def _neighbourhoods(self, wanted: DataFrame) -> DataFrame:
-        """(v, band, seg, key, kind) for the documents ``wanted``: kind 0 is a subset, 1 a subset less one shingle."""
-        spec = self.spec
-        small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        rows = self.texts.join(F.broadcast(wanted) if small else wanted, "v").select("v", "text")
-
-        def kernel():
-            def run(part: pa.RecordBatch) -> pa.RecordBatch:
-                h, d = shingle_sets(part.column("text"), spec.k)
-                n = np.bincount(d, minlength=part.num_rows).astype(np.int64)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for band, (docs, low) in enumerate(bands(n, spec)):
-                    flat, starts, seg, of = _subsets(h, d, docs, low, len(n), spec)
-                    if not len(starts):
-                        continue
-                    values = mix(flat)
-                    sums = np.add.reduceat(values, starts)
-                    each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-                    whole = signature(sums + _DELETED, seg, low[of])
-                    less = signature(sums[each] - values + _DELETED, seg[each], low[of[each]])
-                    for kind, key, at in ((0, whole, np.arange(len(starts))), (1, less, each)):
-                        for column, x in zip(out, (docs[of[at]], np.full(len(at), band), seg[at], key.view(np.int64), np.full(len(at), kind)), strict=True):
-                            column.append(x)
-                doc, band, seg, key, kind = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
-                columns = [part.column("v").take(pa.array(doc)), pa.array(band, pa.int32()), pa.array(seg), pa.array(key), pa.array(kind, pa.int32())]
-                return pa.record_batch(columns, names=["v", "band", "seg", "key", "kind"])
-
-            return run
-
-        return self._kernel(rows, kernel, f"v {NODE}, band int, seg bigint, key bigint, kind int")
+        """Pairs of a row of ``asking`` (key, i, own) and one of ``asked`` that ranks higher in another class."""
+        a = asking.select(key, F.col("i").alias("a"), *[F.col(f"own.{c}").alias(f"a_{c}") for c in ("class", "members", "n", *PARITY)])
+        b = _side(asked.select(key, "i", "class", "members", "n", *PARITY), "b", key)
+        met = a.join(b, key).filter(_higher("a_", "b_") & _alike(self.spec, "a_", "b_"))
+        return met.select("a", F.col("b_i").alias("b"))
 
     def search(self) -> DataFrame:
         """Pairs (a, b) of different classes that may be similar: all that are, and others."""
-        weights = self.allocate()
-        first = weights.filter("not dear").select("v", "band", "own", F.explode(F.slice("units", F.lit(1), F.col("left"))).alias("u")).select("u.sig", "v", "own")
-        found = self._meet(first, self.open, "sig")
-        dear = self.keep(weights.filter("dear").drop("dear"))
-        if dear.isEmpty():
-            return found
-        reach = self.keep(dear.select(F.explode("units.sig").alias("sig")).distinct())
-        others = self.keep(self.open.join(reach, "sig", "left_semi").select("v").distinct())
-        near = self._neighbourhoods(others)
-        often = self.keep(near.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("whole"), F.sum("kind").alias("less")))
-        mine = near.join(dear.select("v", "band", F.lit(True).alias("asks")), ["v", "band"])
-        price = F.when(F.col("kind") == 0, F.col("whole") + F.col("less") - 1).otherwise(F.col("whole"))
-        second = mine.join(often, "key").groupBy("v", "band", "seg").agg(F.sum(price).alias("cost"))
-        second = second.groupBy("v", "band").agg(F.collect_list(F.struct("cost", F.lit(2).alias("unit"), F.col("seg").alias("of"))).alias("second"))
-        ones = F.transform("units", lambda u: F.struct(u.cost.alias("cost"), F.lit(1).alias("unit"), u.sig.alias("of")))
-        dealt = dear.join(second, ["v", "band"], "left")
-        dealt = dealt.withColumn("u", F.slice(F.array_sort(F.concat(ones, F.coalesce("second", F.array().cast("array<struct<cost:bigint,unit:int,of:bigint>>")))), F.lit(1), F.col("left")))
-        dealt = self.keep(dealt.select("v", "band", "own", F.explode("u").alias("u")))
-        found = found.unionByName(self._meet(dealt.filter("u.unit = 1").select("u.of", "v", "own").withColumnRenamed("of", "sig"), self.open, "sig"))
-        asks = near.join(dealt.filter("u.unit = 2").select("v", "band", "own", F.col("u.of").alias("seg")), ["v", "band", "seg"]).select("key", "kind", "v", "own")
-        told = self.open.select("v", "band", "class", "members", "short", "n", *PARITY).dropDuplicates(["v", "band"])
-        whole = self.keep(near.filter("kind = 0").join(told, ["v", "band"]).drop("kind"))
-        less = self.keep(near.filter("kind = 1").join(told, ["v", "band"]).drop("kind"))
-        return found.unionByName(self._meet(asks, whole, "key")).unionByName(self._meet(asks.filter("kind = 0"), less, "key"))
+        priced = self.price()
+        dear = F.col("cost") > ENTRY_COST * F.col("own.n")
+        found = self._meet(priced.filter(~dear).select(F.explode("sigs").alias("sig"), "i", "own"), self.open, "sig")
+        searching = priced.filter(dear).drop("cost")
+        for deep in (False, True):
+            searching = self.keep(searching)
+            if searching.isEmpty():
+                break
+            more, searching = self._deal(searching, deep)
+            found = found.unionByName(more)
+        return found
+
+    def _deal(self, searching: DataFrame, deep: bool) -> tuple[DataFrame, DataFrame]:
+        """Deals weights of 0 and 1, with ``deep`` also 2, to all segments of the documents ``searching``, and returns the
+        pairs they meet and, unless ``deep``, the documents that are still too dear."""
+        spec = self.spec
+        reach = self.keep(searching.select(F.explode("sigs").alias("sig")).distinct())
+        told = self.keep(self.open.join(reach.hint("merge"), "sig", "left_semi").drop("sig").dropDuplicates(["i"]))
+        near = self._kernel(self._fetch(told.select("i"), "i"), lambda _: lambda part: neighbourhoods(part, spec, deep), "i bigint, low bigint, need bigint, seg bigint, key bigint, kind tinyint")
+        often = self.keep(near.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("whole"), F.sum("kind").alias("less")).filter("whole + less > 1"))
+        mine = near.join(searching.select("i"), "i").join(often, "key", "left")
+        whole, less = F.coalesce("whole", F.lit(1)), F.coalesce("less", F.lit(0))
+        # the second unit of weight costs no less than the first, which it includes
+        cost = {1: F.when(F.col("kind") == 0, whole - 1).otherwise(0), 2: F.when(F.col("kind") == 0, whole + less - 1).otherwise(F.coalesce("whole", F.lit(0)))}
+        cost = {w: c for w, c in cost.items() if deep or w == 1}
+        segs = mine.groupBy("i", "low", "need", "seg").agg(*[F.sum(c).alias(f"cost{w}") for w, c in cost.items()])
+        units = F.array(*[F.struct(F.col(f"cost{w}").alias("cost"), F.lit(w).alias("weight"), "seg") for w in cost])
+        dealt = segs.select("i", "low", "need", F.explode(units).alias("u")).groupBy("i", "low").agg(F.array_sort(F.collect_list("u")).alias("u"), F.first("need").cast("int").alias("need"))
+        dealt = self.keep(dealt.select("i", "low", F.slice("u", F.lit(1), F.col("need")).alias("u")))
+        still = dealt.groupBy("i").agg(F.sum(F.aggregate("u", F.lit(0).cast("bigint"), lambda t, x: t + x.cost)).alias("cost")).join(searching, "i")
+        still = self.keep(still.select("i", "sigs", "own", (F.lit(not deep) & (F.col("cost") > ENTRY_COST * F.col("own.n"))).alias("dear")))
+        taken = dealt.join(still.filter("not dear").select("i", "own"), "i").select("i", "own", "low", F.explode("u").alias("u")).filter("u.cost > 0")
+        taken = taken.groupBy("i", "low", "u.seg").agg(F.max("u.weight").alias("weight"), F.first("own").alias("own"))
+        asks = self.keep(near.join(taken, ["i", "low", "seg"]).filter("weight = 2 or kind = 0").select("key", "kind", "weight", "i", "own"))
+        found = None
+        for kind in (0, 1) if deep else (0,):
+            asked = self.keep(near.filter(f"kind = {kind}").select("key", "i").join(told.hint("merge"), "i"))
+            met = self._meet(asks.filter("kind = 0 and weight = 2") if kind else asks, asked, "key")
+            found = met if found is None else found.unionByName(met)
+        return found, still.filter("dear").drop("dear")
 
     def links(self) -> DataFrame:
         """Verified links (a, b) that connect every class of texts."""
         self.index()
-        first = self.members.select(F.col("v").alias("a"), F.col("center").alias("b"))
         # a centre may be a copy that does not stand for its class
-        stands = self.equal.select(F.col("a").alias("b"), F.col("b").alias("rep"))
-        first = first.filter("a <> b").distinct().join(stands, "b", "left").select("a", F.coalesce("rep", "b").alias("b"))
+        stands = self.equal.select(F.col("a").alias("center"), F.col("b").alias("rep"))
+        first = self.members.select("i", "center").filter("i <> center").distinct().join(stands, "center", "left")
+        first = first.select(F.col("i").alias("a"), F.coalesce("rep", "center").alias("b"))
         links = self.keep(self.verify(self.filtered(first)).unionByName(self.equal))
         self.open_members(links)
         return self.keep(self.verify(self.filtered(self.search())).unionByName(links))
 
+    def classes(self, links: DataFrame) -> DataFrame:
+        """(i, doc_id, t, least): each linked text with the least doc_id of its class."""
+        of = self.keep(self.rows.select("i", "doc_id", "t").join(components(links, self.keep).select(F.col("node").alias("i"), "component"), "i"))
+        least = self.keep(of.groupBy("component").agg(F.min("doc_id").alias("least")))
+        return of.join(least, "component").select("i", "doc_id", "t", "least")
+
 
 def join_classes(docs: DataFrame, spec: Spec) -> DataFrame:
     """doc_id, n_shingles, component_id for every input row."""
@@ -474,11 +490,11 @@ def join_classes(docs: DataFrame, spec: Spec) -> DataFrame:
         join = Join(docs, spec, keep)
         links = join.links()
         # the texts of one document are linked through it
-        several = join.rows.groupBy("v.doc_id").agg(F.min("v").alias("b"), F.max("v").alias("last")).filter("b <> last").drop("last")
-        own = join.rows.select("v.doc_id", F.col("v").alias("a")).join(keep(several), "doc_id").filter("a <> b").select("a", "b")
-        classes = components(links.unionByName(own), keep).select(F.col("node").alias("v"), F.col("component.doc_id").alias("component_id"))
-        out = join.rows.select("v", "n").join(classes, "v", "left").select("v.doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "v.doc_id").alias("component_id"))
-        out = keep.result(out)
+        several = join.rows.groupBy("doc_id").agg(F.min("i").alias("b"), F.max("i").alias("last")).filter("b <> last").drop("last")
+        own = join.rows.select("doc_id", F.col("i").alias("a")).join(keep(several), "doc_id").filter("a <> b").select("a", "b")
+        least = join.classes(links.unionByName(own)).select("i", "least")
+        out = join.rows.select("i", "doc_id", "n").join(least, "i", "left")
+        out = keep.result(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
     lost = docs.filter("doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
     return out.unionByName(lost)
 
@@ -486,7 +502,7 @@ def join_classes(docs: DataFrame, spec: Spec) -> DataFrame:
 def keep_one(docs: DataFrame, spec: Spec) -> DataFrame:
     """The rows of ``docs`` without those whose text is in a class with a text of a lesser doc_id."""
     with Scratch(docs.sparkSession) as keep:
-        links = Join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), spec, keep).links()
-        dropped = components(links, keep).filter("node.doc_id <> component.doc_id").select(F.col("node.doc_id").alias("__id"), F.col("node.t").alias("__t"))
-        dropped = keep.result(dropped)
+        join = Join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), spec, keep)
+        dropped = join.classes(join.links()).filter("doc_id <> least").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+        dropped = keep.result(dropped.distinct())
     return docs.join(dropped, (F.col("doc_id").cast("bigint") == F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
