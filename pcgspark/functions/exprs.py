@@ -55,6 +55,11 @@ def safe_decimation(rate: ColumnOr, factor: ColumnOr, least_rate: float = 300.0)
     return F.least(col(factor), F.greatest(F.lit(1.0), F.floor(col(rate) / least_rate - 1))).cast("int")
 
 
+def sound_trough(env: ColumnOr, floor: ColumnOr, p: Params = DEFAULTS) -> Column:
+    """Whether a trough lies near a draft of the floor; not where that is unknown."""
+    return F.coalesce(col(env) <= col(floor) * p.trough_rejection_multiplier, F.lit(False))
+
+
 def rate_blend(bpm: ColumnOr, p: Params = DEFAULTS) -> Column:
     return clip((col(bpm) - p.contractility_bpm_low) / (p.contractility_bpm_high - p.contractility_bpm_low), 0, 1)
 

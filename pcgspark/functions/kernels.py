@@ -128,8 +128,8 @@ def find_peaks(x: np.ndarray, height: np.ndarray | float | None = None, prominen
     return peaks
 
 
-def envelope_of(samples: np.ndarray, rate: int, p: Params = DEFAULTS, filter_first: bool = False) -> tuple[np.ndarray, int]:
-    """Decimated, band-passed, rectified and smoothed signal, and its rate."""
+def envelope_of(samples: np.ndarray, rate: int, p: Params = DEFAULTS, filter_first: bool = False) -> tuple[np.ndarray, int, np.ndarray]:
+    """The decimated, band-passed, rectified and smoothed signal, its rate, and the signal before it is rectified."""
     longest = int(rate / 300 - 1)
     k = p.downsample_factor if p.downsample_factor <= longest else max(1, longest)
     if filter_first:
@@ -137,7 +137,7 @@ def envelope_of(samples: np.ndarray, rate: int, p: Params = DEFAULTS, filter_fir
     new_rate = rate // k
     if not filter_first:
         samples = filtfilt(*bandpass(new_rate), np.asarray(samples, float)[::k])
-    return centred_mean(np.abs(samples), new_rate // 10), new_rate
+    return centred_mean(np.abs(samples), new_rate // 10), new_rate, samples
 
 
 def _floor_through(troughs: np.ndarray, env: np.ndarray, width: int, q: float) -> np.ndarray:

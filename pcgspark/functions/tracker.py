@@ -11,20 +11,36 @@ import pandas as pd
 from pcgspark.params import (
     AMPLITUDE_KNOTS,
     AMPLITUDE_SCORES,
+    BASE_TEXT,
+    BOOST_TEXT,
     DEFAULTS,
     DEVIATION_KNOTS,
+    FIRST_BEAT,
+    FIT_TEXT,
     HIGH_RATE_CURVE,
+    INTERVAL_TEXT,
     LONE_S1,
     LONE_S1_CASCADE,
     LONE_S1_LAST,
     LOW_RATE_CURVE,
     NOISE,
+    ORIGINAL,
+    PAIRED_BECAUSE,
+    PENALTY_TEXT,
+    REJECTED_BECAUSE,
     RHYTHM_KNOTS,
     RHYTHM_SCORES,
     S1_FROM_GAP,
     S1_PAIRED,
     S2_FROM_GAP,
     S2_PAIRED,
+    SCORE_TEXT,
+    STABILITY_TEXT,
+    TOO_LOW_TEXT,
+    TOO_SOON_TEXT,
+    UNPAIRED_BECAUSE,
+    VALID_BECAUSE,
+    VALID_TEXT,
     Params,
 )
 
@@ -66,32 +82,42 @@ class Tracker:
     before: Peak | None = None
     paired: deque = field(default_factory=deque)  # of the latest beats, whether they are paired
     rejections: int = 0
+    lone: deque = field(default_factory=lambda: deque(maxlen=4))  # of the latest beats: 0 paired, 1 lone, 2 lone and noise after it
+    just_beaten: bool = False  # whether the latest verdict was on a lone beat
 
     def pairing_ratio(self) -> float:
-        n = self.params.stability_history_window
-        return 0.5 if self.beats < n else sum(self.paired) / n
+        p = self.params
+        n = p.stability_history_window
+        ratio = 0.5 if self.beats < n else sum(self.paired) / n
+        return p.kickstart_override_ratio if p.kickstart and ratio < p.kickstart_check_threshold and self.stuck() else ratio
+
+    def stuck(self) -> bool:
+        """Whether of the last four beats three or more are lone ones with noise right after them."""
+        return len(self.lone) == self.lone.maxlen and sum(x == 2 for x in self.lone) >= 3
 
     def pair_confidence(self, a: Peak, b: Peak) -> tuple[float, str]:
         p = self.params
         rate = np.clip((self.bpm - p.contractility_bpm_low) / (p.contractility_bpm_high - p.contractility_bpm_low), 0, 1)
         low, high = (np.interp(a.dev, DEVIATION_KNOTS, c) for c in (LOW_RATE_CURVE, HIGH_RATE_CURVE))
         conf = low + (high - low) * rate
-        said = [f"base {conf:.2f} at {rate:.0%} high"]
+        said = [BASE_TEXT.format(rate, conf)]
         if self.beats >= 5:
-            conf *= np.interp(self.pairing_ratio(), (0, 1), (p.stability_confidence_floor, p.stability_confidence_ceiling))
-            said.append(f"stability {conf:.2f}")
+            paired = self.pairing_ratio()
+            factor = np.interp(paired, (0, 1), (p.stability_confidence_floor, p.stability_confidence_ceiling))
+            conf *= factor
+            said.append(STABILITY_TEXT.format(factor, paired))
         recovering = self.recovery is not None and self.recovery[0] < a.t < self.recovery[1]
         expected = np.interp(max(self.bpm, p.contractility_bpm_low) if recovering else self.bpm, (p.contractility_bpm_low, p.contractility_bpm_high), (p.s2_s1_ratio_low_bpm, p.s2_s1_ratio_high_bpm))
         ratio = b.strength / (a.strength + TINY)
         if ratio > expected:
             cut = p.penalty_amount_min + np.clip((ratio / expected - 1) / 2, 0, 1) * (p.penalty_amount_max - p.penalty_amount_min)
             conf -= cut
-            said.append(f"penalty {cut:.2f} for ratio {ratio:.1f}")
+            said.append(PENALTY_TEXT.format(cut, ratio, expected))
         elif a.strength > b.strength * p.s1_s2_boost_ratio:
             share = np.clip((a.strength / (b.strength + TINY) - p.s1_s2_boost_ratio) / (p.s1_s2_full_boost_ratio - p.s1_s2_boost_ratio), 0, 1)
             gain = p.boost_amount_min + share * (p.boost_amount_max - p.boost_amount_min)
             conf += gain
-            said.append(f"boost {gain:.2f}")
+            said.append(BOOST_TEXT.format(gain, a.strength / (b.strength + TINY)))
         conf = 1.0 if np.isnan(conf) else float(min(1.0, max(0.0, conf)))  # an unknown deviation leaves nothing to doubt
         longest = min(p.s1_s2_interval_cap_sec, 60.0 / self.bpm * p.s1_s2_interval_rr_fraction)
         gap = b.t - a.t
@@ -99,29 +125,34 @@ class Tracker:
         if p.enable_interval_penalty and gap > longest and gap > start:
             cut = float(np.clip((gap - start) / (full - start + TINY), 0, 1)) * p.interval_max_penalty
             conf = max(0.0, conf - cut)
-            said.append(f"interval penalty {cut:.2f} for {gap:.3f} s over {longest:.3f} s")
-        return conf, "; ".join(said)
+            said.append(INTERVAL_TEXT.format(cut, gap, longest))
+        said.append(SCORE_TEXT.format(conf, p.pairing_confidence_threshold, "Paired" if conf >= p.pairing_confidence_threshold else "Not Paired"))
+        return conf, "\n- ".join(said)
 
     def lone_verdict(self, peak: Peak, following: Peak | None) -> tuple[bool, bool, float | None, str]:
         """(valid, rejected by confidence, confidence, detail)."""
         p = self.params
         if self.last is None:
-            return True, False, None, "first beat"
+            return True, False, None, FIRST_BEAT
         expected = 60.0 / self.bpm
         rhythm = np.interp(abs(peak.t - self.last.t - expected) / expected, RHYTHM_KNOTS, RHYTHM_SCORES)
         amplitude = np.interp(peak.strength / (self.last.strength + TINY), AMPLITUDE_KNOTS, AMPLITUDE_SCORES)
         conf = float(rhythm * p.lone_s1_rhythm_weight + amplitude * p.lone_s1_amplitude_weight)
-        detail = f"confidence {conf:.3f} (rhythm {rhythm:.2f}, amplitude {amplitude:.2f})"
-        if conf < p.lone_s1_confidence_threshold:
-            return False, True, conf, detail
+        fits = FIT_TEXT.format(rhythm, peak.t - self.last.t, expected, amplitude, peak.strength / (self.last.strength + TINY))
+        least = p.lone_s1_confidence_threshold
+        if conf < least:
+            return False, True, conf, TOO_LOW_TEXT.format(conf, least, fits)
         if following is not None and following.t - peak.t < expected * p.lone_s1_forward_check_pct and not peak.env > following.env * p.lone_s1_forward_amplitude_ratio:
-            return False, False, conf, f"next peak after {following.t - peak.t:.3f} s"
-        return True, False, conf, detail
+            gap = following.t - peak.t
+            return False, False, conf, TOO_SOON_TEXT.format(60.0 / gap if gap > 0 else float("inf"))
+        return True, False, conf, VALID_TEXT.format(conf, least, fits, p.lone_s1_rhythm_weight, p.lone_s1_amplitude_weight, conf)
 
     def _beat(self, peak: Peak, paired: bool) -> None:
         self.before, self.last = self.last, peak
         self.beats += 1
         self.paired.append(paired)
+        self.lone.append(0 if paired else 1)
+        self.just_beaten = not paired
         if len(self.paired) > self.params.stability_history_window:
             self.paired.popleft()
 
@@ -143,7 +174,7 @@ class Tracker:
             if conf >= self.params.pairing_confidence_threshold:
                 self._beat(peak, True)
                 self.rejections = 0
-                out = [Verdict(x.idx, kind, [("PAIRED", why)], conf) for x, kind in ((peak, S1_PAIRED), (following, S2_PAIRED))]
+                out = [Verdict(x.idx, kind, [(PAIRED_BECAUSE, why)], conf) for x, kind in ((peak, S1_PAIRED), (following, S2_PAIRED))]
             else:
                 out = [self._lone(peak, following, why)]
         self._believe()
@@ -151,13 +182,17 @@ class Tracker:
 
     def _lone(self, peak: Peak, following: Peak, why: str) -> Verdict:
         valid, by_confidence, conf, detail = self.lone_verdict(peak, following)
-        reasons = [("NOT_PAIRED", why), ("LONE_VALID" if valid else "LONE_REJECTED", detail)]
+        reasons = [(UNPAIRED_BECAUSE, why), (VALID_BECAUSE if valid else REJECTED_BECAUSE, detail)]
         self.rejections = self.rejections + 1 if by_confidence and not valid else 0
         kind = LONE_S1 if valid else NOISE
         if not valid and self.rejections >= self.params.cascade_reset_trigger_count:
             kind, self.rejections = LONE_S1_CASCADE, 0
         if kind != NOISE:
             self._beat(peak, False)
+        else:
+            if self.just_beaten:
+                self.lone[-1] = 2
+            self.just_beaten = False
         return Verdict(peak.idx, kind, reasons, conf)
 
 
@@ -207,6 +242,7 @@ def preliminary(peaks: list[Peak], p: Params = DEFAULTS, hint: float | None = No
     t = np.array([b.t for b in beats])
     estimate = 60.0 / np.median(np.diff(t)) if len(t) >= 10 and np.median(np.diff(t)) > 0 else None
     at, bpm = smoothed_rate(t, p) if len(t) >= 2 else (np.empty(0), np.empty(0))
+    bpm = np.round(bpm, 9)  # means of equal frames are equal, and the first counts
     recovery = (float(at[bpm.argmax()]), float(at[bpm.argmax()] + p.recovery_phase_duration_sec)) if len(at) >= 2 else None
     return float(hint or estimate or 80.0), recovery
 
@@ -248,7 +284,7 @@ def fix_discontinuities(beats: list[Peak], peaks: list[Peak], verdicts: dict[int
             plausible = second.env / (first.env + TINY) < p.penalty_waiver_max_s2_s1_ratio
             if first.idx in noise and second.idx in noise and strong and plausible:
                 for x, kind in ((first, S1_FROM_GAP), (second, S2_FROM_GAP)):
-                    verdicts[x.idx] = Verdict(x.idx, kind, [("ORIGINAL", verdicts[x.idx].kind), *verdicts[x.idx].reasons], verdicts[x.idx].confidence)
+                    verdicts[x.idx] = Verdict(x.idx, kind, [(ORIGINAL, verdicts[x.idx].kind), *verdicts[x.idx].reasons], verdicts[x.idx].confidence)
                 added.append(first)
                 made += 1
                 break

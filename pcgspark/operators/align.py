@@ -46,6 +46,30 @@ def interpolate_at(left: DataFrame, right: DataFrame, on: str, value: str, into:
     return out.select("l.*", F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull(), F.col("b.v")).otherwise(line).alias(into))
 
 
+def with_next(rows: DataFrame, x: str, into: str, order: str = "idx", by=BY) -> DataFrame:
+    """Adds ``x`` of the next row."""
+    return rows.withColumn(into, F.lead(x).over(Window.partitionBy(*by).orderBy(order)))
+
+
+def stacked(**tables: DataFrame) -> DataFrame:
+    """All rows of tables with equal columns, and ``kind``, the table's name."""
+    parts = [df.withColumn("kind", F.lit(kind)) for kind, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def among(rows: DataFrame, known: DataFrame, on: str, by=BY) -> DataFrame:
+    """Rows whose place is one of ``known``."""
+    return rows.join(known.select(*by, on), [*by, on], "left_semi")
+
+
+def not_among(rows: DataFrame, known: DataFrame, on: str, by=BY) -> DataFrame:
+    """Rows whose place is none of ``known``."""
+    return rows.join(known.select(*by, on), [*by, on], "left_anti")
+
+
 def first_following(rows: DataFrame, wanted: str, order: str, by=BY) -> DataFrame:
     """Adds ``following``: the struct of the next row for which the boolean column ``wanted`` holds."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
@@ -76,7 +100,7 @@ def greedy_pairs(first: DataFrame, second: DataFrame, on: str, by=BY, keep_unmat
     sides = first.select(F.struct(*first.columns).alias("a")).schema["a"].dataType, second.select(F.struct(*second.columns).alias("b")).schema["b"].dataType
     rows = first.select(*by, on, F.lit(0).alias("is_b"), F.struct(*first.columns).alias("a"), F.lit(None).cast(sides[1]).alias("b"))
     marks = second.select(*by, on, F.lit(1).alias("is_b"), F.lit(None).cast(sides[0]).alias("a"), F.struct(*second.columns).alias("b"))
-    w, own = Window.partitionBy(*by).orderBy(on), Window.partitionBy(*by, "is_b").orderBy(on)
+    w, own = Window.partitionBy(*by).orderBy(on), Window.partitionBy(*by, "is_b").orderBy(on, "a", "b")  # equal times in the order of the other columns
     counted = rows.unionByName(marks).withColumns({"c": F.sum("is_b").over(w.rangeBetween(Window.unboundedPreceding, 0)), "k": F.row_number().over(own) - 1})
     ahead = F.max(F.col("c") - F.col("k")).over(own.rowsBetween(Window.unboundedPreceding, 0))
     numbered = counted.withColumn("j", F.when(F.col("is_b") == 1, F.col("k")).otherwise(F.col("k") + ahead))

@@ -19,8 +19,14 @@ def pairs(labels: DataFrame) -> DataFrame:
 
 
 def range_average(paired: DataFrame, start: float, end: float) -> DataFrame:
-    """Mean interval and rate of the pairs whose S1 lies in a closed time range."""
-    return paired.filter(F.col("S1_Time").between(start, end)).groupBy(*BY).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("Delta_t").alias("avg_delta_t"), F.avg("S1_BPM").alias("avg_bpm"))
+    """Mean interval and rate of the pairs whose S1 lies in a closed time range, and these ``pairs`` in order of time."""
+    pair = F.struct("S1_Time", "S2_Time", "Delta_t", "S1_BPM")
+    return paired.filter(F.col("S1_Time").between(start, end)).groupBy(*BY).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("Delta_t").alias("avg_delta_t"), F.avg("S1_BPM").alias("avg_bpm"), F.array_sort(F.collect_list(pair)).alias("pairs"))
+
+
+def in_range(labels: DataFrame, start: float, end: float) -> DataFrame:
+    """Labels in a closed time range."""
+    return labels.filter(F.col("t_sec").between(start, end))
 
 
 def groups(labels: DataFrame, gap: float = 1.0) -> DataFrame:
@@ -44,9 +50,11 @@ def group_stats(labels: DataFrame, gap: float = 5.0) -> DataFrame:
 
 def add_label(labels: DataFrame, click: DataFrame, series: DataFrame) -> DataFrame:
     """Appends clicks (recording_id, t_sec, peak_type), clamped to the axis and snapped to the nearest point of
-    ``series`` (t_sec, bpm); times and rates are rounded to three places."""
-    part = click.join(series.select(*BY, F.col("t_sec").alias("at"), F.col("bpm").alias("at_bpm")), list(BY))
-    near = part.groupBy(*BY, "t_sec", "peak_type").agg(F.min_by(F.struct("at", "at_bpm"), F.struct(F.abs(F.col("at") - F.greatest(F.lit(0.0), F.col("t_sec"))), "at")).alias("n"))
+    ``series`` (t_sec, bpm), of equally near ones the earlier; times and rates are rounded to three places. A click on a
+    recording without a point is left out. Clicks and points stand in one order, so no click meets all points."""
+    clicks = click.select(*BY, F.greatest(F.lit(0.0), F.col("t_sec")).alias("t_sec"), "peak_type")
+    points = series.select(*BY, "t_sec", F.struct(F.col("t_sec").alias("at"), F.col("bpm").alias("at_bpm")).alias("point"))
+    near = align.asof_nearest(clicks, points, "t_sec", "point", "n", float("inf")).filter("n is not null")
     return labels.unionByName(near.select(*BY, F.round("n.at", 3).alias("t_sec"), F.round("n.at_bpm", 3).alias("bpm"), "peak_type"))
 
 
@@ -56,6 +64,6 @@ def remove_labels(labels: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def latest(labels: DataFrame, n: int = 20, order: str = "t_sec") -> DataFrame:
-    """The last ``n`` labels of each recording."""
-    w = Window.partitionBy(*BY).orderBy(F.desc(order))
+    """The last ``n`` labels of each recording; ties in time are decided by the other columns."""
+    w = Window.partitionBy(*BY).orderBy(F.desc(order), *[F.desc(c) for c in labels.columns if c not in (*BY, order)])
     return labels.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")

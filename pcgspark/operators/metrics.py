@@ -137,6 +137,11 @@ def global_estimate(beats: DataFrame, hint: str | None = None, least: int = 10)
     return got.select(*BY, estimate.alias("estimate_bpm"), F.coalesce("hint", estimate, F.lit(80.0)).alias("start_bpm"))
 
 
+def mean_at(rows: DataFrame, at: str, x: str, into: str) -> DataFrame:
+    """The mean of ``x`` over rows with an equal ``at``."""
+    return rows.groupBy(*BY, at).agg(F.avg(x).alias(into))
+
+
 def summary(series: DataFrame) -> DataFrame:
     return series.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_points"), F.avg("smoothed_bpm").alias("avg_bpm"), F.min("smoothed_bpm").alias("min_bpm"), F.max("smoothed_bpm").alias("max_bpm"))
 

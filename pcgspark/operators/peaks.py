@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pcgspark.functions.shipping import ship
 
@@ -35,19 +36,22 @@ def local_maxima(rows: DataFrame, x: str, order: str = "idx", by=BY) -> DataFram
 
 def prominences(peaks: DataFrame, rows: DataFrame, x: str, order: str = "idx", by=BY) -> DataFrame:
     """Adds ``prominence`` to peak rows: the height above the higher of the two lowest points passed on the way to a
-    strictly higher sample (or the end) on either side. A bounded self-join in each recording: for production-size
-    recordings use ``find_peaks``."""
-    samples = rows.select(*by, F.col(order).alias("__j"), F.col(x).alias("__y"))
-    met = peaks.join(samples, list(by))
-    higher = met.groupBy(*peaks.columns).agg(
-        F.max(F.when((F.col("__y") > F.col(x)) & (F.col("__j") < F.col(order)), F.col("__j"))).alias("__lo"),
-        F.min(F.when((F.col("__y") > F.col(x)) & (F.col("__j") > F.col(order)), F.col("__j"))).alias("__hi"),
-    )
-    again = higher.join(samples, list(by))
-    left = F.min(F.when((F.col("__j") <= F.col(order)) & (F.col("__lo").isNull() | (F.col("__j") > F.col("__lo"))), F.col("__y")))
-    right = F.min(F.when((F.col("__j") >= F.col(order)) & (F.col("__hi").isNull() | (F.col("__j") < F.col("__hi"))), F.col("__y")))
-    out = again.groupBy(*peaks.columns).agg(left.alias("__l"), right.alias("__r"))
-    return out.select(*peaks.columns, (F.col(x) - F.greatest("__l", "__r")).alias("prominence"))
+    strictly higher sample (or the end) on either side. A stack finds these in one pass over a recording's samples, so
+    either table is shuffled once and each recording is one task's."""
+    ship(rows.sparkSession)
+
+    def run(tops, samples):
+        import numpy as np
+
+        from pcgspark.functions import kernels
+
+        samples = samples.sort_values(order)
+        at = np.searchsorted(samples[order].to_numpy(), tops[order].to_numpy())
+        return tops.assign(prominence=kernels.prominences(samples[x].to_numpy(dtype=float), at))
+
+    samples = rows.select(*by, order, x)
+    out = StructType([f for f in peaks.schema.fields if f.name != "prominence"] + [StructField("prominence", DoubleType())])
+    return peaks.groupBy(*by).cogroup(samples.groupBy(*by)).applyInPandas(run, out)
 
 
 def find_peaks(rows: DataFrame, x: str, order: str = "idx", height: str | float | None = None, prominence: float | None = None, distance: int | None = None, negate: bool = False) -> DataFrame:

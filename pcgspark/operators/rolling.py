@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pcgspark.functions.exprs import ColumnOr, col
@@ -23,20 +23,29 @@ def centred_mean(x: ColumnOr, width: int, by=BY, order=ORDER) -> Column:
     return F.avg(col(x)).over(centred(width, by, order))
 
 
-def centred_mean_by_share(x: str, share: float, least: int = 5, by=BY, order=ORDER) -> Column:
-    """Centred mean whose width follows the partition's rows: max(least, int(rows * share)).
+def centred_mean_by_share(rows: DataFrame, x: str, into: str, share: float, least: int = 5, by=BY, order=ORDER) -> DataFrame:
+    """Adds the centred mean whose width follows the partition's rows: max(least, int(rows * share)); nulls are skipped.
 
-    The width differs by partition, which a frame can't express. The partition's values are collected in order into
-    one array (bounded by a recording's peaks) and each row averages its slice.
+    The width differs by partition, which a frame can't express, so each row subtracts two running sums. It asks for
+    them by rank: questions and sums stand in one order, in which the last sum is carried on to the questions after it.
+    That is linear in the rows, and all steps follow one shuffle by partition.
     """
-    whole = window(by, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values, n = F.collect_list(F.struct(F.col(x).alias("v"))).over(whole), F.count(F.lit(1)).over(Window.partitionBy(*by))
-    at = F.row_number().over(window(by, order))
-    width = F.greatest(F.lit(least), F.floor(n * share).cast("int"))
-    start = F.greatest(F.lit(1), at - F.floor(width / 2).cast("int"))
-    end = F.least(n, at + F.floor((width - 1) / 2).cast("int")).cast("int")
-    part = F.filter(F.slice(values, start, end - start + 1), lambda s: s.v.isNotNull())
-    return F.aggregate(part, F.lit(0.0), lambda a, s: a + s.v) / F.when(F.size(part) > 0, F.size(part))
+    whole, ordered = Window.partitionBy(*by), window(by, order)
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumns({"__at": F.row_number().over(ordered), "__n": F.count(F.lit(1)).over(whole), "__sum": F.sum(x).over(running), "__count": F.count(x).over(running)})
+    width = F.greatest(F.lit(least), F.floor(F.col("__n") * share).cast("int"))
+    before, last = F.col("__at") - F.floor(width / 2).cast("int") - 1, F.least(F.col("__n"), F.col("__at") + F.floor((width - 1) / 2).cast("int"))
+    none = F.lit(None).cast("struct<s:double,n:bigint>")
+    row = F.struct(*rows.columns)
+    tell = F.struct(F.col("__at").cast("bigint").alias("place"), F.lit(0).alias("kind"), F.struct(F.col("__sum").cast("double").alias("s"), F.col("__count").alias("n")).alias("t"))
+    asks = [F.struct(place.cast("bigint").alias("place"), F.lit(kind).alias("kind"), none.alias("t")) for kind, place in ((1, before), (2, last))]
+    stacked = ranked.select(*by, F.col("__at"), row.alias("__row"), F.explode(F.array(tell, *asks)).alias("e")).select(*by, "__at", "__row", "e.*")
+    carried = F.last("t", ignorenulls=True).over(Window.partitionBy(*by).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    told = stacked.withColumn("c", carried).filter("kind > 0")
+    pair = told.groupBy(*by, "__at").agg(F.first("__row").alias("__row"), *[F.max(F.when(F.col("kind") == k, F.col("c"))).alias(f"c{k}") for k in (1, 2)])
+    total = F.coalesce("c2.s", F.lit(0.0)) - F.coalesce("c1.s", F.lit(0.0))
+    count = F.coalesce("c2.n", F.lit(0)) - F.coalesce("c1.n", F.lit(0))
+    return pair.select("__row.*", F.when(count > 0, total / count).alias(into))
 
 
 def centred_quantile(x: ColumnOr, q: float, width: int, least: int = 3, by=BY, order=ORDER) -> Column:

@@ -82,27 +82,28 @@ def _prepared(batches: Iterator, p: Params, filter_first: bool, raw: bool) -> It
         rows = []
         for rid, rate, samples in zip(pdf["recording_id"], pdf["sample_rate"], pdf["samples"], strict=True):
             rate = 0 if rate is None or rate != rate else int(rate)
-            status, env, floor, troughs, peaks, new_rate = "ok", np.empty(0), np.empty(0), np.empty(0, int), np.empty(0, int), rate
+            status, env, floor, troughs, peaks, new_rate, passed = "ok", np.empty(0), np.empty(0), np.empty(0, int), np.empty(0, int), rate, None
             try:
                 if rate <= 0:
                     raise ValueError("no sample rate")
                 x = np.nan_to_num(np.asarray(samples if samples is not None else [], float))
-                env, new_rate = (kernels.centred_mean(np.abs(x), rate // 10), rate) if raw else kernels.envelope_of(x, rate, p, filter_first)
+                env, new_rate, passed = (kernels.centred_mean(np.abs(x), rate // 10), rate, None) if raw else kernels.envelope_of(x, rate, p, filter_first)
                 floor, troughs = kernels.noise_floor(env, new_rate, p)
                 peaks = kernels.raw_peaks(env, floor, new_rate, p)
                 if len(peaks) < 2:
                     status = "too few peaks"
             except (ValueError, ZeroDivisionError, TypeError) as error:
                 status = str(error) or type(error).__name__
-            rows.append((rid, int(new_rate), len(env), env.tolist(), floor.tolist(), troughs.tolist(), peaks.tolist(), status))
-        yield pd.DataFrame(rows, columns=["recording_id", "sample_rate", "n_samples", "env", "floor", "troughs", "raw_peaks", "status"])
+            rows.append((rid, int(new_rate), len(env), env.tolist(), floor.tolist(), troughs.tolist(), peaks.tolist(), status, passed.tolist() if passed is not None and p.save_filtered_wav else None))
+        yield pd.DataFrame(rows, columns=["recording_id", "sample_rate", "n_samples", "env", "floor", "troughs", "raw_peaks", "status", "filtered"])
 
 
 def prepare(recordings: DataFrame, p: Params = DEFAULTS, filter_first: bool = False, raw: bool = False) -> DataFrame:
     """Envelope, floor, troughs and raw peaks of each recording (a row each). A recording that fails has its reason in
-    ``status`` and the others go on. ``raw``: the samples are taken as they are, without decimation and filter."""
+    ``status`` and the others go on. ``raw``: the samples are taken as they are, without decimation and filter. With
+    ``save_filtered_wav`` the band-passed signal comes along for the debug file. Spark cuts Arrow batches by bytes
+    (``spark.sql.execution.arrow.maxBytesPerBatch``), so few whole recordings are in a worker at once."""
     ship(recordings.sparkSession)
-    recordings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     rows = recordings.select(F.col("recording_id").cast("string").alias("recording_id"), "sample_rate", "samples")
     return rows.mapInPandas(lambda it: _prepared(it, p, filter_first, raw), schema.ENVELOPES)
 

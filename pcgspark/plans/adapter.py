@@ -61,3 +61,10 @@ series as (select *, avg(instant_bpm) over (partition by recording_id order by t
 labels as (select recording_id, t_sec, amp as bpm, case event_type when 'click' then 'S1' when 'view' then 'S2' end as peak_type
            from signal where event_type in ('click', 'view'))
 """
+
+
+def interp_sql(x: str, xs, ys) -> str:
+    """The piecewise-linear map of a SQL expression."""
+    parts = [f"when {x} is null then null when {x} <= {xs[0]} then {ys[0]}"]
+    parts += [f"when {x} < {b} then {c} + ({x} - {a}) * (({d}) - ({c})) / (({b}) - ({a}))" for a, b, c, d in zip(xs[:-1], xs[1:], ys[:-1], ys[1:], strict=True)]
+    return "(case " + " ".join(parts) + f" else {ys[-1]} end)"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pcgspark.functions import exprs as X
+from pcgspark.functions.reasons import reason_lines
 from pcgspark.operators import classify, metrics
 from pcgspark.operators import signal as sig
 from pcgspark.operators.rolling import fill_forward
@@ -52,10 +53,15 @@ class Analysis:
     def declines(self) -> DataFrame:
         return metrics.major_changes(self.turning, False)
 
+    def release(self) -> None:
+        """Drops the kept tables; results that are read later compute them anew."""
+        self.prepared.unpersist()
+        self.analyses.unpersist()
+
 
 def analyse(recordings: DataFrame, settings: DataFrame | None = None, p: Params = DEFAULTS, raw: bool = False) -> Analysis:
     """From recordings (recording_id, sample_rate, samples). The tables of one row for each recording are kept, since
-    several results start from them; they are small beside the samples."""
+    several results start from them, until ``release``; they are small beside the samples."""
     prepared = sig.prepare(recordings, p, raw=raw).persist()
     analyses = classify.analyse(prepared, settings, p).persist()
     beats = classify.beats_of(analyses)
@@ -70,7 +76,7 @@ def events(a: Analysis) -> DataFrame:
     flat = a.prepared.select("recording_id", "sample_rate", "env", "floor", F.explode("troughs").alias("sample_idx"))
     at = lambda c: F.element_at(c, (F.col("sample_idx") + 1).cast("int"))
     troughs = flat.select("recording_id", "sample_idx", (F.col("sample_idx") / F.col("sample_rate")).alias("t_sec"), at("env").alias("amp"), F.lit("Trough").alias("kind"), F.lit(None).cast(peaks.schema["reasons"].dataType).alias("reasons"), at("floor").alias("floor"))
-    belief = classify.belief_of(a.analyses).groupBy("recording_id", "t_sec").agg(F.avg("bpm").alias("belief")).join(rate, "recording_id")
+    belief = metrics.mean_at(classify.belief_of(a.analyses), "t_sec", "bpm", "belief").join(rate, "recording_id")
     belief = belief.select("recording_id", F.round(F.col("t_sec") * F.col("sample_rate")).cast("bigint").alias("sample_idx"), "belief")
     smooth = a.series.join(rate, "recording_id").select("recording_id", F.round(F.col("t_sec") * F.col("sample_rate")).cast("bigint").alias("sample_idx"), "smoothed_bpm")
     out = peaks.unionByName(troughs).join(belief, ["recording_id", "sample_idx"], "left").join(smooth, ["recording_id", "sample_idx"], "left")
@@ -79,7 +85,7 @@ def events(a: Analysis) -> DataFrame:
 
 def debug_log(a: Analysis) -> DataFrame:
     """recording_id and a chronological log as text."""
-    reasons = F.array_join(F.transform(F.coalesce("reasons", F.array().cast("array<struct<tag:string,detail:string>>")), lambda r: F.concat(F.lit("- "), r.tag, F.lit(": "), r.detail)), "\n")
+    reasons = F.array_join(F.flatten(F.transform(F.coalesce("reasons", F.array().cast("array<struct<tag:string,detail:string>>")), lambda r: reason_lines(r.tag, r.detail))), "\n")
     line = F.format_string("%s [%.3f s] %s, amplitude %.1f, floor %.1f, rate %s, belief %s", X.clock("t_sec"), F.col("t_sec"), F.coalesce("kind", F.lit("Unclassified")), F.col("amp"), F.col("floor"), _shown("%.1f", "smoothed_bpm", absent="-"), _shown("%.1f", "belief", absent="-"))
     text = F.concat(line, F.when(reasons != "", F.concat(F.lit("\n"), reasons)).otherwise(F.lit("")))
     rows = events(a).select("recording_id", F.struct("t_sec", "sample_idx", text.alias("line")).alias("e"))

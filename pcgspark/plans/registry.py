@@ -1,49 +1,19 @@
-"""Registered queries over the event table and their DuckDB counterparts. Doubles are rounded to six places in both.
-
-Many exact results end in a 5 at the seventh place, which the engines round either way; a nudge of ``NUDGE`` before
-rounding decides these alike.
-"""
+"""Registered queries over the event table and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pcgspark.functions import exprs as X
 from pcgspark.operators import align, classify, metrics, peaks, rolling
 from pcgspark.operators import labels as lab
 from pcgspark.operators import signal as sig
+from pcgspark.functions.reasons import split_record
 from pcgspark.plans import adapter
-from pcgspark.plans.adapter import SQL, beats, labels, series, signal
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_oracle: dict[str, str] = {}
-NUDGE = "1.23e-9"
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that follows the common tables."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _oracle[f.__name__] = SQL + re.sub(rf"(?<!{NUDGE}), 6\)", f" + {NUDGE}, 6)", sql)
-        return f
-
-    return add
-
-
-def r(c: Column | str) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) + float(NUDGE), 6)
-
-
-def out(df: DataFrame, *keep: str, **rounded: Column | str) -> DataFrame:
-    return df.select(*keep, *[r(c).alias(k) for k, c in rounded.items()])
-
+from pcgspark.plans.adapter import SQL, beats, interp_sql, labels, series, signal
+from pcgspark.params import AMPLITUDE_KNOTS, AMPLITUDE_SCORES, DEFAULTS, DEVIATION_KNOTS, HIGH_RATE_CURVE, LOW_RATE_CURVE, RHYTHM_KNOTS, RHYTHM_SCORES
+from pcgspark.plans.catalogue import ORACLE, QUERIES, Query, out, query
 
 # -- signal shaping ------------------------------------------------------------------------------------------------
 @query(", d as (select *, abs(amp) as x from signal) select recording_id, idx, round(avg(x) over (partition by recording_id order by idx rows between 5 preceding and 4 following), 6) as env from d")
@@ -165,7 +135,7 @@ def hrv_sliding(spark, sf):
     return out(metrics.hrv_windows(beats(spark, sf)), "recording_id", "window_no", t_mid="t_mid", rmssdc="rmssdc", sdnn="sdnn", bpm="bpm")
 
 
-_HRV = _oracle["hrv_sliding"].removeprefix(SQL)
+_HRV = ORACLE["hrv_sliding"].removeprefix(SQL)
 _HRV_CTE, _HRV_SELECT = _HRV[: _HRV.rindex("select recording_id, i // 5")], _HRV[_HRV.rindex("select recording_id, i // 5") :]
 
 
@@ -227,7 +197,7 @@ def hrr_60s(spark, sf):
     return out(metrics.rate_recovery(series(spark, sf)), "recording_id", peak_bpm="peak_bpm", peak_sec="peak_sec", recovery_bpm="recovery_bpm", hrr_bpm="hrr_bpm")
 
 
-@query(_oracle["hrr_60s"].removeprefix(SQL).replace("60000000", "10000000"))
+@query(ORACLE["hrr_60s"].removeprefix(SQL).replace("60000000", "10000000"))
 def hrr_10s(spark, sf):
     return out(metrics.rate_recovery(series(spark, sf), 10), "recording_id", peak_bpm="peak_bpm", peak_sec="peak_sec", recovery_bpm="recovery_bpm", hrr_bpm="hrr_bpm")
 
@@ -237,25 +207,6 @@ def recovery_phase(spark, sf):
     return out(metrics.recovery_phase(series(spark, sf)), "recording_id", peak_sec="peak_sec", end_sec="end_sec")
 
 
-@query()
-def turning_points(spark, sf):
-    return out(metrics.turning_points(series(spark, sf)), "recording_id", "t_us", "kind", smoothed_bpm="smoothed_bpm")
-
-
-def _changes(spark, sf, rising: bool) -> DataFrame:
-    return _period(metrics.major_changes(metrics.turning_points(series(spark, sf)), rising))
-
-
-@query()
-def major_inclines(spark, sf):
-    return _changes(spark, sf, True)
-
-
-@query()
-def major_declines(spark, sf):
-    return _changes(spark, sf, False)
-
-
 # -- peaks -----------------------------------------------------------------------------------------------------------
 _MAXIMA = """, rl as (select *, sum(ch) over (partition by recording_id order by idx) as run from (select recording_id, idx, amp, case when lag(amp) over (partition by recording_id order by idx) = amp then 0 else 1 end as ch from signal)),
 runs as (select recording_id, run, any_value(amp) as amp, min(idx) as i0, max(idx) as i1 from rl group by 1, 2),
@@ -282,18 +233,6 @@ def peak_prominence(spark, sf):
     return out(peaks.prominences(found, rows, "amp"), "recording_id", "idx", prominence="prominence")
 
 
-@query()
-def find_peaks_full(spark, sf):
-    rows = signal(spark, sf).select("recording_id", "idx", "amp")
-    return out(peaks.find_peaks(rows, "amp", height=10.0, prominence=20.0, distance=3), "recording_id", "idx", amp="amp")
-
-
-@query()
-def find_troughs(spark, sf):
-    rows = signal(spark, sf).select("recording_id", "idx", "amp")
-    return out(peaks.find_peaks(rows, "amp", prominence=20.0, distance=3, negate=True), "recording_id", "idx", amp="amp")
-
-
 @query("select recording_id, idx, round(abs(b - amp) / (greatest(amp, b) + 1e-9), 6) as dev, round((t_sec + bt) / 2, 6) as t_mid from (select *, lead(amp) over w as b, lead(t_sec) over w as bt from signal window w as (partition by recording_id order by idx)) where b is not null")
 def deviation_pairs(spark, sf):
     w = rolling.window()
@@ -308,21 +247,15 @@ select a.recording_id, a.idx, round(avg(b.dev), 6) as dev_smooth from c a join c
 )
 def deviation_series(spark, sf):
     rows = signal(spark, sf).withColumn("b", F.lead("amp").over(rolling.window())).filter("b is not null").withColumn("dev", X.deviation("amp", "b"))
-    return out(rows, "recording_id", "idx", dev_smooth=rolling.centred_mean_by_share("dev", 0.05))
+    return out(rolling.centred_mean_by_share(rows, "dev", "dev_smooth", 0.05), "recording_id", "idx", dev_smooth="dev_smooth")
 
 
 # -- scores ----------------------------------------------------------------------------------------------------------
-def _interp_sql(x: str, xs, ys) -> str:
-    parts = [f"when {x} is null then null when {x} <= {xs[0]} then {ys[0]}"]
-    parts += [f"when {x} < {b} then {c} + ({x} - {a}) * (({d}) - ({c})) / (({b}) - ({a}))" for a, b, c, d in zip(xs[:-1], xs[1:], ys[:-1], ys[1:], strict=True)]
-    return "(case " + " ".join(parts) + f" else {ys[-1]} end)"
-
-
-_K, _LO, _HI = (0.0, 0.25, 0.40, 0.80, 1.0), (0.9, 0.9, 0.7, 0.1, 0.1), (0.1, 0.5, 0.75, 0.65, 0.0)
 _PAIRS = """, pr as (select *, amp / 100 as dev, 60 + 10 * (idx % 12) as bpm, lead(amp) over (partition by recording_id order by idx) as b, lead(t_sec) over (partition by recording_id order by idx) - t_sec as gap,
   lag(amp) over (partition by recording_id order by idx) as l, t_sec - lag(t_sec) over (partition by recording_id order by idx) as rrp from signal)
 """
-_BLEND = f"(({_interp_sql('dev', _K, _LO)}) + (({_interp_sql('dev', _K, _HI)}) - ({_interp_sql('dev', _K, _LO)})) * greatest(0, least(1, (bpm - 120) / 20.0)))"
+_LOW, _HIGH = interp_sql("dev", DEVIATION_KNOTS, LOW_RATE_CURVE), interp_sql("dev", DEVIATION_KNOTS, HIGH_RATE_CURVE)
+_BLEND = f"(({_LOW}) + (({_HIGH}) - ({_LOW})) * greatest(0, least(1, (bpm - 120) / 20.0)))"
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -344,7 +277,7 @@ def blended_confidence(spark, sf):
     return out(_pairs(spark, sf), "recording_id", "idx", confidence=X.blended_confidence("dev", "bpm"))
 
 
-_EXPECTED = _interp_sql("eff", (120.0, 140.0), (1.5, 1.1))
+_EXPECTED = interp_sql("eff", (120.0, 140.0), (1.5, 1.1))
 
 
 @query(
@@ -373,8 +306,8 @@ def interval_penalty(spark, sf):
     return out(rows, "recording_id", "idx", max_interval="mx", confidence=X.interval_penalised(X.blended_confidence("dev", "bpm"), "gap", "mx"))
 
 
-_RHYTHM = _interp_sql("dr", (0.0, 0.15, 0.30, 0.50), (1.0, 0.8, 0.4, 0.0))
-_AMPLITUDE = _interp_sql("da", (0.0, 0.4, 0.7, 1.0), (0.0, 0.4, 0.8, 1.0))
+_RHYTHM = interp_sql("dr", RHYTHM_KNOTS, RHYTHM_SCORES)
+_AMPLITUDE = interp_sql("da", AMPLITUDE_KNOTS, AMPLITUDE_SCORES)
 
 
 @query(_PAIRS + f""", e as (select *, abs(rrp - 60 / bpm) / (60 / bpm) as dr, amp / (l + 1e-9) as da from pr where l is not null)
@@ -382,9 +315,8 @@ select recording_id, idx, round({_RHYTHM}, 6) as rhythm, round({_AMPLITUDE}, 6)
 def lone_confidence(spark, sf):
     rows = _pairs(spark, sf).filter("l is not null")
     conf = X.lone_confidence("rrp", "bpm", "amp", "l")
-    return out(rows, "recording_id", "idx", rhythm=X.rhythm_fit("rrp", "bpm"), amplitude=X.amplitude_fit("amp", "l"), confidence=conf).join(
-        rows.select("recording_id", "idx", (conf >= 0.5).alias("valid")), ["recording_id", "idx"]
-    )
+    rows = rows.withColumn("valid", conf >= DEFAULTS.lone_s1_confidence_threshold)
+    return out(rows, "recording_id", "idx", "valid", rhythm=X.rhythm_fit("rrp", "bpm"), amplitude=X.amplitude_fit("amp", "l"), confidence=conf)
 
 
 @query(_PAIRS + "select recording_id, idx, not coalesce(gap < 60 / bpm * 0.5 and not amp > b * 1.7, false) as passes from pr")
@@ -466,7 +398,7 @@ def first_following(spark, sf):
 
 @query("select recording_id, idx, lead(idx) over (partition by recording_id order by idx) as next_idx from signal")
 def next_peak(spark, sf):
-    return signal(spark, sf).select("recording_id", "idx", F.lead("idx").over(rolling.window()).alias("next_idx"))
+    return align.with_next(signal(spark, sf), "idx", "next_idx").select("recording_id", "idx", "next_idx")
 
 
 @query(
@@ -492,9 +424,16 @@ def s1s2_pairs_greedy(spark, sf):
     return out(lab.pairs(labels(spark, sf)), "recording_id", S1_Time="S1_Time", S2_Time="S2_Time", Delta_t="Delta_t", S1_BPM="S1_BPM")
 
 
-@query(_GREEDY + "select recording_id, count(*) as n_pairs, round(avg(Delta_t), 6) as avg_delta_t, round(avg(S1_BPM), 6) as avg_bpm from pairs where S1_Time between 10 and 30 group by 1")
+@query(
+    _GREEDY
+    + """select recording_id, count(*) as n_pairs, round(avg(Delta_t), 6) as avg_delta_t, round(avg(S1_BPM), 6) as avg_bpm,
+  string_agg(cast(round(S1_Time * 1e6) as bigint) || '-' || cast(round(S2_Time * 1e6) as bigint), ',' order by S1_Time) as pairs from pairs where S1_Time between 10 and 30 group by 1"""
+)
 def range_avg_delta(spark, sf):
-    return out(lab.range_average(lab.pairs(labels(spark, sf)), 10, 30), "recording_id", "n_pairs", avg_delta_t="avg_delta_t", avg_bpm="avg_bpm")
+    found = lab.range_average(lab.pairs(labels(spark, sf)), 10, 30)
+    micros = lambda t: F.round(t * 1e6).cast("bigint").cast("string")
+    listed = F.array_join(F.transform("pairs", lambda p: F.concat_ws("-", micros(p.S1_Time), micros(p.S2_Time))), ",")
+    return out(found.withColumn("pairs", listed), "recording_id", "n_pairs", "pairs", avg_delta_t="avg_delta_t", avg_bpm="avg_bpm")
 
 
 def _groups_sql(gap: float) -> str:
@@ -533,20 +472,17 @@ def remove_labels(spark, sf):
 # -- sets and strings --------------------------------------------------------------------------------------------------
 @query("select recording_id, t_us, 'peak' as kind from signal where event_type = 'click' union all select recording_id, t_us, 'trough' from signal where event_type = 'view'")
 def union_events(spark, sf):
-    a, b = (_parts(spark, sf, e).select("recording_id", "t_us", F.lit(k).alias("kind")) for e, k in (("click", "peak"), ("view", "trough")))
-    return a.unionByName(b)
+    return align.stacked(peak=_parts(spark, sf, "click"), trough=_parts(spark, sf, "view")).select("recording_id", "t_us", "kind")
 
 
 @query("select recording_id, idx from signal s where exists (select 1 from signal q where q.recording_id = s.recording_id and q.event_type = 'error' and q.t_us = s.t_us)")
 def semi_classified(spark, sf):
-    rows = signal(spark, sf)
-    return rows.join(_parts(spark, sf, "error"), ["recording_id", "t_us"], "left_semi").select("recording_id", "idx")
+    return align.among(signal(spark, sf), _parts(spark, sf, "error"), "t_us").select("recording_id", "idx")
 
 
 @query("select recording_id, idx from signal s where not exists (select 1 from signal q where q.recording_id = s.recording_id and q.event_type = 'error' and q.t_us = s.t_us)")
 def anti_unclassified(spark, sf):
-    rows = signal(spark, sf)
-    return rows.join(_parts(spark, sf, "error"), ["recording_id", "t_us"], "left_anti").select("recording_id", "idx")
+    return align.not_among(signal(spark, sf), _parts(spark, sf, "error"), "t_us").select("recording_id", "idx")
 
 
 _LABEL = "case event_type when 'click' then ' S1 (Paired)' when 'view' then 'S2 (Paired) ' when 'error' then 'Noise' when 'signup' then 'Lone S1 (Last Peak)' else 'Lone S1' end"
@@ -568,8 +504,9 @@ def label_prefix_bucket(spark, sf):
 select recording_id, idx, split_part(record, '§', 1) as peak_type, split_part(record, '§', 2) as tag, array_to_string(string_split(record, '§')[3:], '|') as detail from t"""
 )
 def reason_split(spark, sf):
-    rows = signal(spark, sf).withColumn("parts", F.split(F.concat_ws("§", "event_type", F.lit("TAG"), F.col("idx").cast("string"), F.lit("end")), "§"))
-    return rows.select("recording_id", "idx", F.element_at("parts", 1).alias("peak_type"), F.element_at("parts", 2).alias("tag"), F.array_join(F.slice("parts", 3, 9), "|").alias("detail"))
+    peak_type, reasons = split_record(F.concat_ws("§", "event_type", F.lit("TAG"), F.col("idx").cast("string"), F.lit("end")))
+    rows = signal(spark, sf).select("recording_id", "idx", peak_type.alias("peak_type"), reasons.alias("x"))
+    return rows.select("recording_id", "idx", "peak_type", F.col("x")[0].tag.alias("tag"), F.concat_ws("|", F.col("x")[0].detail, F.col("x")[1].tag).alias("detail"))
 
 
 @query("select recording_id, idx, printf('%02d:%02d', cast(floor(t_sec) as bigint) // 60, cast(floor(t_sec) as bigint) % 60) as clock from signal")
@@ -584,12 +521,12 @@ select recording_id, idx, round(amp, 6) as amp from f where q is not null and am
 )
 def trough_sanity(spark, sf):
     q = F.percentile("amp", F.lit(0.2)).over(Window.partitionBy("recording_id"))
-    return out(signal(spark, sf).withColumn("q", q).filter("q is not null and amp <= 4.0 * q"), "recording_id", "idx", amp="amp")
+    return out(signal(spark, sf).withColumn("q", q).filter(X.sound_trough("amp", "q")), "recording_id", "idx", amp="amp")
 
 
 @query("select recording_id, t_sec, bpm, peak_type from labels where t_sec between 5 and 20")
 def time_range_filter(spark, sf):
-    return labels(spark, sf).filter(F.col("t_sec").between(5, 20)).select("recording_id", "t_sec", "bpm", "peak_type")
+    return lab.in_range(labels(spark, sf), 5, 20).select("recording_id", "t_sec", "bpm", "peak_type")
 
 
 @query(
@@ -606,7 +543,7 @@ def nearest_lookup(spark, sf):
 @query("select recording_id, cast(floor(t_sec) as bigint) as second, round(avg(amp), 6) as mean_amp from signal group by 1, 2")
 def duplicate_times_mean(spark, sf):
     rows = signal(spark, sf).withColumn("second", F.floor("t_sec"))
-    return out(rows.groupBy("recording_id", "second").agg(F.avg("amp").alias("mean_amp")), "recording_id", "second", mean_amp="mean_amp")
+    return out(metrics.mean_at(rows, "second", "amp", "mean_amp"), "recording_id", "second", mean_amp="mean_amp")
 
 
 @query(
@@ -622,11 +559,6 @@ def state_at_events(spark, sf):
     return out(met, "recording_id", "idx", rate=rolling.fill_forward("v"), belief=rolling.fill_forward("b"))
 
 
-@query("select recording_id, idx, printf('%.3f', t_sec + 1e-7) || ',' || printf('%.2f', amp) as line from signal")
-def rate_file_lines(spark, sf):
-    return signal(spark, sf).select("recording_id", "idx", F.format_string("%.3f,%.2f", F.col("t_sec") + 1e-7, "amp").alias("line"))
-
-
 @query("select recording_id, idx, case when idx % 5 = 0 then 0.0 else amp end as clean from signal")
 def sanitised(spark, sf):
     odd = F.when(F.col("idx") % 10 == 0, F.lit(float("nan"))).when(F.col("idx") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("amp"))
@@ -660,14 +592,12 @@ def classified_rate(spark, sf):
     return out(metrics.summary(found), "recording_id", "n_points", avg_bpm="avg_bpm", min_bpm="min_bpm", max_bpm="max_bpm")
 
 
-@query()
-def belief_history(spark, sf):
-    return out(classify.belief_of(classify.analyse(adapter.prepared(spark, sf))), "recording_id", "step_no", t_sec="t_sec", bpm="bpm")
-
-
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from pcgspark.plans import files, tracked  # noqa: F401 (they register theirs)
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracle)
+    queries()
+    return dict(ORACLE)

@@ -40,7 +40,7 @@ def write_text(texts: DataFrame, path: str) -> None:
 
 
 def debug_wav(prepared: DataFrame) -> DataFrame:
-    """recording_id and the envelope as the bytes of a 16-bit WAV file."""
+    """recording_id and the band-passed signal as the bytes of a 16-bit WAV file; recordings without one are left out."""
     from pcgspark.functions.shipping import ship
 
     ship(prepared.sparkSession)
@@ -49,9 +49,9 @@ def debug_wav(prepared: DataFrame) -> DataFrame:
         from pcgspark.sources.wav import encode
 
         for pdf in batches:
-            yield pdf.assign(content=[encode(int(r), e) for r, e in zip(pdf["sample_rate"], pdf["env"], strict=True)])[["recording_id", "content"]]
+            yield pdf.assign(content=[encode(int(r), e) for r, e in zip(pdf["sample_rate"], pdf["filtered"], strict=True)])[["recording_id", "content"]]
 
-    return prepared.select("recording_id", "sample_rate", "env").mapInPandas(run, "recording_id string, content binary")
+    return prepared.filter("filtered is not null").select("recording_id", "sample_rate", "filtered").mapInPandas(run, "recording_id string, content binary")
 
 
 def status_counts(analyses: DataFrame) -> DataFrame:

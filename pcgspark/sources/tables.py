@@ -11,8 +11,18 @@ from pcgspark.sources.wav import SUFFIXES
 BY = ("recording_id",)
 
 
-def _named(df: DataFrame, suffix: str) -> DataFrame:
-    return df.withColumn("recording_id", F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix}$", 1))
+#: Folder of one recording, as the sinks write it.
+_FOLDER = r"recording_id=([^/]+)/[^/]+$"
+
+
+def _named(df: DataFrame, suffix: str, folders: bool = False) -> DataFrame:
+    pattern = _FOLDER if folders else rf"([^/]+){suffix}$"
+    return df.withColumn("recording_id", F.regexp_extract(F.input_file_name(), pattern, 1))
+
+
+def _lookup(reader, glob: str, folders: bool):
+    """``folders``: a folder for each recording, instead of files with the recording's name."""
+    return reader.option("recursiveFileLookup", "true") if folders else reader.option("pathGlobFilter", glob)
 
 
 def is_recording(path: str = "path"):
@@ -20,16 +30,16 @@ def is_recording(path: str = "path"):
     return F.lower(F.col(path)).rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$")
 
 
-def read_settings(spark: SparkSession, path: str) -> DataFrame:
+def read_settings(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """recording_id, start_bpm_hint of ``<id>_Analysis_Settings.json`` files; a corrupt file gives no hint."""
-    rows = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*_Analysis_Settings.json").schema(schema.SETTINGS).json(path)
-    return _named(rows, "_Analysis_Settings\\.json").select("recording_id", "start_bpm_hint")
+    rows = _lookup(spark.read.option("multiLine", "true").option("mode", "PERMISSIVE"), "*_Analysis_Settings.json", folders).schema(schema.SETTINGS).json(path)
+    return _named(rows, "_Analysis_Settings\\.json", folders).select("recording_id", "start_bpm_hint")
 
 
-def read_rates(spark: SparkSession, path: str) -> DataFrame:
+def read_rates(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """recording_id, t_sec, bpm of ``<id>_bpm_plot.csv`` files."""
-    rows = spark.read.option("header", "true").option("pathGlobFilter", "*_bpm_plot.csv").schema(schema.BPM_CSV).csv(path)
-    return _named(rows, "_bpm_plot\\.csv").select("recording_id", F.col("Time (s)").alias("t_sec"), F.col("Average BPM").alias("bpm"))
+    rows = _lookup(spark.read.option("header", "true"), "*_bpm_plot.csv", folders).schema(schema.BPM_CSV).csv(path)
+    return _named(rows, "_bpm_plot\\.csv", folders).select("recording_id", F.col("Time (s)").alias("t_sec"), F.col("Average BPM").alias("bpm"))
 
 
 def processed_recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -38,11 +48,11 @@ def processed_recordings(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]+)_bpm_plot\.csv$", 1).alias("recording_id")).distinct()
 
 
-def read_labels(spark: SparkSession, path: str, suffix: str = "_labels") -> DataFrame:
+def read_labels(spark: SparkSession, path: str, suffix: str = "_labels", folders: bool = False) -> DataFrame:
     """recording_id, t_sec, bpm, peak_type of label files, plain or with ``# Peak Labels`` / ``# S1-S2 Intervals``
     sections. Lines that are no labels are left out."""
-    lines = spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}.csv").text(path)
-    rows = _named(lines, f"{suffix}\\.csv").select("recording_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    lines = _lookup(spark.read.option("wholetext", "true"), f"*{suffix}.csv", folders).text(path)
+    rows = _named(lines, f"{suffix}\\.csv", folders).select("recording_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     w = Window.partitionBy(*BY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     section = F.last(F.when(F.col("line").startswith("#"), F.trim(F.col("line"))), ignorenulls=True).over(w)
     rows = rows.withColumn("section", section).filter("section is null or section = '# Peak Labels'")

@@ -88,9 +88,13 @@ def _decoded(batches: Iterator) -> Iterator:
 
 def read_recordings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """recording_id, path, sample_rate, samples; both last are null for a file that can't be decoded."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return files(spark, path).select(recording_id().alias("recording_id"), "path", "content").mapInPandas(_decoded, schema.RECORDINGS)
+    return decoded(files(spark, path).select(recording_id().alias("recording_id"), "path", "content"))
+
+
+def decoded(contents: DataFrame) -> DataFrame:
+    """Recordings from rows (recording_id, path, content) of WAV bytes."""
+    ship(contents.sparkSession)
+    return contents.select("recording_id", "path", "content").mapInPandas(_decoded, schema.RECORDINGS)
 
 
 def with_fallback(processed: DataFrame, original: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pcgspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
+EMPTY = {"hrr_60s", "major_inclines", "major_declines"}  # the recordings are shorter than these look for
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
@@ -29,8 +30,9 @@ def duck():
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     if name not in SQL:
-        assert len(got.columns) > 1
+        assert name in {"classify_events", "classified_rate"} and len(got) > 10 and set(got["recording_id"]) == {str(x) for (x,) in duck.execute("select distinct user_id from events").fetchall()}
         return
+    assert len(got) or name in EMPTY
     want = duck.execute(SQL[name]).df()
     a, b = tidy(got), tidy(want)
     assert list(a.columns) == list(b.columns) and len(a) == len(b)
