@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from pcgspark.functions.shipping import ship
 
-#: Rows in one Arrow batch. With it a batch of long texts stays small beside a worker's memory.
-ARROW_ROWS = 256
 #: Bytes of text that a kernel takes at once; a longer text is taken alone.
 SLICE_BYTES = 4 << 20
 
@@ -81,9 +79,17 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits a worker; workers get the package."""
+    """Workers get the package. Arrow batches are bounded by Spark, in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``,
+    64 MB by default), and kernels take them in slices; no setting of the session is changed."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -7,24 +7,31 @@ lies in one of its windows (the one that begins there or, near the passage's end
 repeated passage is found with its exact edges, and nothing that isn't one. A stretch of ``LOOK`` lines with under
 ``MIN_CHARS`` characters in all ends a passage.
 
-A window whose hash occurs again anywhere is compared byte for byte with the first occurrence (least doc_id, then text,
-then line); where they agree, its lines are removed from all but the first. A line that is removed is therefore always
-kept somewhere earlier.
+A window whose hash occurs again anywhere is matched with the first occurrence (least doc_id, then text, then line).
+Matched windows that follow each other in both documents are one run; a run's bytes are taken from the first occurrence
+and compared with the document's own, and where they agree, its lines are removed from all but the first. A line that
+is removed is therefore always kept somewhere earlier. Where a run's bytes disagree (a hash met by chance), none of its
+lines goes.
+
+Only row numbers of lines move until bytes are compared; texts are shuffled once by document, which serves both the
+first occurrences and the rewriting. The bytes of a run that very many documents share are dealt in salted groups.
+Nothing is broadcast but what Spark finds small at run time.
 
 Null and empty texts and texts of one line stay as they are, so do rows with a null doc_id. Rows with the same doc_id
-and the same text are one document. Other columns pass through.
+and the same text are one document and stay alike. Very long texts are rewritten whole; a table without rows stays
+empty. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import materialise
+from pcgspark.llm.common import Scratch, free_name
 
 MIN_CHARS = 60
 NEAR, LOOK = 64, 4096  # lines looked at for a window's end: at first, and where these have too few characters
-BROADCAST_ROWS = 500_000  # first occurrences (about 40 bytes each) that may be broadcast to fetch their texts
+GROUP = 512  # documents that are sent one copy of a shared run
 
 
 def _ends(size: Column, n: Column) -> Column:
@@ -53,44 +60,67 @@ def _windows(size: Column, n: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(ahead, lambda x: x.e.isNotNull()), F.filter(back, lambda x: x.s.isNotNull())))
 
 
+def _known(docs: DataFrame) -> DataFrame:
+    """Rows with the keys of a document and its text; the keys are never null."""
+    return docs.withColumns({"__k": F.xxhash64(F.lit(2), "doc_id", "text"), "__t": F.xxhash64("text")})
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, s, e, h): t is a hash of the text; lines s .. e - 1."""
-    lined = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n", -1).alias("lines"))
+    """(doc_id, k, t, s, e, h): k and t are the keys of the document and its text; lines s .. e - 1."""
+    known = _known(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"))
+    lined = known.select("doc_id", F.col("__k").alias("k"), F.col("__t").alias("t"), F.split("text", "\n", -1).alias("lines"))
     hashed = lined.filter(F.size("lines") > 1).select(
-        "doc_id", "t", F.transform("lines", lambda x: F.xxhash64(x)).alias("lh"), F.transform("lines", lambda x: F.length(x)).alias("len"), F.size("lines").alias("n")
+        "doc_id", "k", "t", F.transform("lines", lambda x: F.xxhash64(x)).alias("lh"), F.transform("lines", lambda x: F.length(x)).alias("len"), F.size("lines").alias("n")
     )
     cut = hashed.withColumn("c", F.explode(_windows(F.col("len"), F.col("n"))))
-    return cut.select("doc_id", "t", "c.s", "c.e", F.xxhash64(F.slice("lh", F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))).alias("h"))
+    return cut.select("doc_id", "k", "t", "c.s", "c.e", F.xxhash64(F.slice("lh", F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))).alias("h"))
 
 
 def _bytes(lines: Column, c: Column) -> Column:
     return F.array_join(F.slice(lines, c.s + 1, c.e - c.s), "\n")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, marked): the candidate windows of a document with the bytes of their first occurrences."""
-    rows = materialise(chunk_rows(docs))
-    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "t", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = materialise(first.select("h", "first.*"))
-    again = rows.join(first.select("h", F.struct("doc_id", "t", "s").alias("first")), "h").filter(F.struct("doc_id", "t", "s") != F.col("first")).drop("first")
-    owners = first.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "s", "e")).alias("c"))
-    owners = F.broadcast(owners) if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else owners
-    texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text").join(owners, ["doc_id", "t"])
-    texts = texts.select(F.split("text", "\n", -1).alias("lines"), F.explode("c").alias("c")).select("c.h", _bytes(F.col("lines"), F.col("c")).alias("bytes"))
-    texts = texts.groupBy("h").agg(F.first("bytes").alias("bytes"))
-    return again.join(texts, "h").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "e", "bytes")).alias("marked"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and the counts n_lines and n_removed in the struct ``line_dedup``."""
-    marked = removals(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("marked").alias("__marked"))
-    out = docs.withColumn("__h", F.xxhash64("text")).join(marked, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__t")), "left")
-    out = out.withColumn("__lines", F.split("text", "\n", -1))
+def matched_runs(docs: DataFrame, keep: Scratch) -> DataFrame:
+    """(k, t, s, e, ok, ot, os, oe, n): lines of a document that seem to repeat those of an earlier one (or place), and
+    the number of runs that repeat these."""
+    rows = keep(chunk_rows(docs))
+    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "t", "k", "s")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = keep(first.select("h", F.col("o.k").alias("ok"), F.col("o.t").alias("ot"), F.col("o.s").alias("os")))
+    again = rows.drop("doc_id").join(first.hint("merge"), "h").filter("not (k = ok and t = ot and s = os)").withColumn("off", F.col("s") - F.col("os"))
+    by = ["k", "t", "ok", "ot", "off"]
+    w = Window.partitionBy(*by).orderBy("s", "e")
+    reached = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = again.select(*by, "s", "e", F.when(reached >= F.col("s"), 0).otherwise(1).alias("new"))
+    runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    runs = keep(runs.select("k", "t", "s", "e", "ok", "ot", (F.col("s") - F.col("off")).alias("os"), (F.col("e") - F.col("off")).alias("oe")))
+    place = ["ok", "ot", "os", "oe"]
+    return keep(runs.join(keep(runs.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))).hint("merge"), place))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", into: str = "line_dedup") -> DataFrame:
+    """``docs`` with ``text`` rewritten, and the counts n_lines and n_removed in the struct ``into`` (with underscores
+    behind it if there is such a column), which is the last."""
+    names, into = docs.columns, free_name(docs.columns, into)
+    with Scratch(docs.sparkSession) as keep:
+        runs = keep.result(matched_runs(docs.select("doc_id", F.col(text).alias("text")), keep))
+    groups = F.ceil(F.col("n") / GROUP)
+    place = ["ok", "ot", "os", "oe", "salt"]
+    wanted = runs.select("ok", "ot", "os", "oe", groups.alias("groups")).distinct().groupBy(F.col("ok").alias("__k"), F.col("ot").alias("__t")).agg(F.collect_list(F.struct(F.col("os").alias("s"), F.col("oe").alias("e"), "groups")).alias("__c"))
+    # both joins below take this exchange, since their left sides are the same
+    known = _known(docs.select("doc_id", F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("__rest")))
+    texts = known.join(wanted.hint("merge"), ["__k", "__t"])
+    # a use of the other columns, without which they are pruned and the exchange is another one
+    texts = texts.select(F.col("__k").alias("ok"), F.col("__t").alias("ot"), F.split("text", "\n", -1).alias("lines"), F.xxhash64("__rest").alias("used"), F.explode("__c").alias("c"))
+    texts = texts.select("ok", "ot", F.col("c.s").alias("os"), F.col("c.e").alias("oe"), F.struct(_bytes(F.col("lines"), F.col("c")).alias("bytes"), "used").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c.groups") - 1)).alias("salt"))
+    texts = texts.groupBy(*place).agg(F.first("x").alias("x"))  # of repeated rows one
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("k", "t"), groups))
+    marked = salted.join(texts.hint("merge"), place).groupBy(F.col("k").alias("__k"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("s", "e", F.col("x.bytes").alias("bytes"))).alias("__marked"))
+    out = known.join(marked.hint("merge"), ["__k", "__t"], "left").withColumn("__lines", F.split("text", "\n", -1))
     lines = F.col("__lines")
     agreed = F.filter("__marked", lambda c: _bytes(lines, c) == c.bytes)
     gone = F.array_distinct(F.flatten(F.transform(agreed, lambda c: F.sequence(c.s, c.e - 1))))
     out = out.withColumn("__gone", F.when(F.col("__marked").isNotNull(), gone))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.size("__gone") > 0, F.array_join(F.transform(left, lambda i: lines[i]), "\n")).otherwise(F.col("text"))
+    rewritten = F.when(F.size("__gone") > 0, F.array_join(F.transform(left, lambda i: lines[i]), "\n")).otherwise(F.col("text"))
     counts = F.struct(F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("__gone"), F.lit(0))).cast("bigint").alias("n_removed"))
-    return out.withColumn("line_dedup", counts).withColumn("text", text).drop("__id", "__t", "__marked", "__h", "__lines", "__gone")
+    return out.select(*[rewritten.alias(c) if c == text else F.col(f"__rest.`{c}`").alias(c) for c in names], counts.alias(into))

@@ -5,12 +5,16 @@ domain with that share. Nonnegative document rates are then fitted so that the e
 of rate * tokens * posterior, meet the targets: distributed projected gradient on the squared residual. A document's
 rate is a function of its posteriors and the short history of steps, max(0, rate - <posterior, step>) folded over
 them, so nothing but a few sums over the table moves in an iteration. Steps are scaled by the inverse second-moment
-matrix of the posteriors of documents with a positive rate, and halved while they do not lower the residual.
+matrix of the posteriors of documents whose rate is within its bounds, and halved while they do not lower the
+residual; where short ones do not either, a plain gradient step follows. The fit ends when the targets are met or no step gains anything, and ``Classifier.residual`` tells what is
+left. With an upper bound of 1 rates are chances to draw a document with, and the drawn text meets the targets.
 
 The classifier is naive Bayes with normal densities over features of the whole text, fitted on a bounded sample of
 labelled rows (about ``ROWS`` of each domain, by a hash of doc_id); its word lists are bounded by the constants below.
 Tokens are white-space separated words. Null and empty texts have no tokens, prior posteriors and a rate, and weigh
-nothing. Without labels all documents are in one domain. Repeated rows count as often as they occur, with equal rates.
+nothing. Without labels all documents are in one domain. Repeated rows count as often as they occur, with equal rates;
+rows of one doc_id with different texts have rates of their own. Ties between domains go to the first in alphabetical
+order. Other columns are ignored, whatever their names. Very long texts count whole; an empty table stays empty.
 Only DataFrame functions are used.
 """
 
@@ -28,7 +32,7 @@ from pcgspark.llm.common import materialise
 ROWS = 3000
 LEXICON = 200
 MIN_SUPPORT, MIN_RATIO = 0.008, 20.0
-PASSES = 25
+PASSES, SHORTEST, LEAST_GAIN = 60, 0.2, 1e-4
 TOLERANCE = 1e-6
 SYMBOLS = "#*$%&|<>"
 
@@ -65,6 +69,7 @@ class Classifier:
     mean: np.ndarray  # domains by features
     variance: np.ndarray
     lexicons: list[list[str]]
+    residual: float = 0.0  # largest miss of a target that the fitted rates leave, as a share of all targets
 
     def posterior(self, x: str = "x") -> Column:
         """An array of posteriors in the order of ``domains``."""
@@ -130,26 +135,29 @@ def _lexicons(sample: DataFrame, domains: list[str]) -> list[list[str]]:
     return out
 
 
-def _rate(steps: list[list[float]], p: str = "p") -> Column:
-    """The rate after all steps, from the posteriors."""
+def _rate(steps: list[list[float]], p: str = "p", most: float | None = None) -> Column:
+    """The rate after all steps, from the posteriors, between 0 and ``most``."""
     rate = F.lit(1.0)
     if not steps:
         return rate
     table = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     k = len(steps[0])
-    return F.aggregate(table, rate, lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(p)[i] * s[i] for i in range(1, k)), F.col(p)[0] * s[0])))
+    high = lambda r: r if most is None else F.least(F.lit(float(most)), r)
+    return F.aggregate(table, rate, lambda r, s: F.greatest(F.lit(0.0), high(r - sum((F.col(p)[i] * s[i] for i in range(1, k)), F.col(p)[0] * s[0]))))
 
 
-def fit_rates(members: DataFrame, targets: list[float], passes: int = PASSES, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Steps of projected gradient for rows with ``tokens`` and posteriors ``p``; targets are tokens of each domain."""
+def fit_rates(members: DataFrame, targets: list[float], passes: int = PASSES, tolerance: float = TOLERANCE, most: float | None = None) -> tuple[list[list[float]], float]:
+    """Steps of projected gradient for rows with ``tokens`` and posteriors ``p``, and the largest miss they leave, as a
+    share of all targets; targets are tokens of each domain."""
     k = len(targets)
     t = np.array(targets, float)
     scale = max(t.sum(), 1.0)
 
     def state(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rated = members.withColumn("r", _rate(steps))
+        rated = members.withColumn("r", _rate(steps, most=most))
         mass = [F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(k)]
-        active = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        inside = F.col("r") > 0 if most is None else (F.col("r") > 0) & ((F.col("r") < most) | F.lit(not steps))
+        active = F.when(inside, F.col("tokens")).otherwise(0)
         second = [F.sum(active * F.col("p")[i] * F.col("p")[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
         got = rated.agg(*mass, *second).first()
         m = np.array([got[f"m{i}"] or 0.0 for i in range(k)])
@@ -158,23 +166,23 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = PASSES, to
 
     steps: list[list[float]] = []
     residual, second = state(steps)
+    # with steps this short a plain gradient step always descends: the metric is 1/tokens, so this is the curvature of all rows
+    curvature = float(np.linalg.eigvalsh(second)[-1]) or 1.0
     size = 1.0
     for _ in range(passes):
         if np.abs(residual).max() <= tolerance:
             break
-        step = size * np.linalg.solve(second + 1e-9 * np.trace(second) / k * np.eye(k) + 1e-15 * np.eye(k), residual)
+        scaled = size >= SHORTEST
+        step = size * np.linalg.solve(second + (1e-9 * np.trace(second) / k + 1e-15) * np.eye(k), residual) if scaled else residual / curvature
         tried = [*steps, [float(v) for v in step]]
         new_residual, new_second = state(tried)
-        if (new_residual**2).sum() < (residual**2).sum():
-            gained = 1 - (new_residual**2).sum() / (residual**2).sum()
-            steps, residual, second, size = tried, new_residual, new_second, min(1.0, 2 * size)
-            if gained < 1e-4:
-                break
-        else:
-            size /= 2
-            if size < 1e-3:
-                break
-    return steps
+        gained = 1 - (new_residual**2).sum() / (residual**2).sum()
+        if gained > 0:
+            steps, residual, second = tried, new_residual, new_second
+        if not scaled and gained < LEAST_GAIN:
+            break
+        size = min(1.0, 2 * size) if scaled and gained > LEAST_GAIN else size / 2 if scaled else 1.0
+    return steps, float(np.abs(residual).max())
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -183,20 +191,25 @@ def domains_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0) -> tuple[DataFrame, Classifier]:
-    """Rows (doc_id, tokens, p, domain, rate, u) of all documents. ``weights``: the share of the tokens that a domain
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0, most: float | None = None, whole: str | None = None) -> tuple[DataFrame, Classifier]:
+    """Rows (doc_id, t, tokens, p, domain, rate, u) of all documents. ``weights``: the share of the tokens that a domain
     is to get (unknown domains are left out, domains without a weight get none); ``budget``: tokens of the mixture as
-    a multiple of those there are. ``u`` is a uniform number from doc_id, to draw with."""
+    a multiple of those there are, or, with ``whole``, as many as give that domain its weight with all its tokens;
+    ``most``: upper bound of a rate. ``t`` is a hash of the text, ``u`` a uniform number from doc_id, to draw with."""
     model = fit_classifier(docs, labelled)
     members = features(docs.select("doc_id", "text"), model.lexicons)
-    members = materialise(members.select("doc_id", "tokens", model.posterior().alias("p")))
-    total = float(members.agg(F.sum("tokens")).first()[0] or 0)
+    members = materialise(members.select("doc_id", F.xxhash64("text").alias("t"), "tokens", model.posterior().alias("p")))
+    masses = [F.sum(F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(len(model.domains))]
+    masses = np.array([v or 0.0 for v in members.agg(*masses).first()], float)
     wanted = np.array([weights.get(d, 0.0) for d in model.domains])
     wanted = wanted / wanted.sum() if wanted.sum() > 0 else np.full(len(wanted), 1 / len(wanted))
-    steps = fit_rates(members, [float(v) for v in wanted * budget * total])
+    total = budget * masses.sum()
+    if whole in model.domains and wanted[at := model.domains.index(whole)] > 0:
+        total = masses[at] / wanted[at]
+    steps, model.residual = fit_rates(members, [float(v) for v in wanted * total], most=most)
     best = F.array_max(F.col("p"))
     names = F.array(*map(F.lit, model.domains))
-    rated = members.withColumns({"rate": _rate(steps), "domain": F.element_at(names, F.array_position("p", best).cast("int")), "u": F.coalesce(_share(6), F.lit(0.0))})
+    rated = members.withColumns({"rate": _rate(steps, most=most), "domain": F.element_at(names, F.array_position("p", best).cast("int")), "u": F.coalesce(_share(6), F.lit(0.0))})
     return rated, model
 
 

@@ -26,22 +26,81 @@ def test_language_odd_rows(spark, odd, empty, docs_of):
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(nothing).collect()} == {("und", 0.0)}
 
 
-def test_probabilities_sum_to_one():
-    texts = ["the theme of them", "this thing that", "other"]
-    g, _ = langid.grams(texts)
-    kinds, n = np.unique(g, axis=0, return_counts=True)
-    model = langid.fit_counts([{tuple(map(int, k)): int(c) for k, c in zip(kinds, n, strict=True)}], ["en"])
+def plain_model(texts):
+    """Interpolated Kneser-Ney from its definition: a function of a context (three characters) and the next character."""
+    import re
+    import unicodedata
+
+    def clean(text):
+        letter = lambda c: c.isalpha() or unicodedata.category(c)[0] == "M"
+        text = "".join(c if letter(c) else " " for c in text.lower())
+        return re.split(" +", text.strip()) if text.strip() else []
+
+    top = {}
+    for text in texts:
+        for word in clean(text):
+            padded = "\0\0\0" + word + "\0"
+            for i in range(3, len(padded)):
+                top[padded[i - 3 : i + 1]] = top.get(padded[i - 3 : i + 1], 0) + 1
+    levels = {4: top}
+    for size in (3, 2, 1):
+        levels[size] = {}
+        for g in levels[size + 1]:
+            levels[size][g[1:]] = levels[size].get(g[1:], 0) + 1
+
+    def p(context, c):
+        value = 1 / (len(levels[1]) + 1)
+        for size in range(1, 5):
+            level, h = levels[size], context[len(context) - size + 1 :] if size > 1 else ""
+            ones, twos = (sum(v == x for v in level.values()) for x in (1, 2))
+            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+            followers = {g: v for g, v in level.items() if g[:-1] == h}
+            if followers:
+                total = sum(followers.values())
+                value = max(level.get(h + c, 0) - d, 0) / total + d * len(followers) / total * value
+        return value
+
+    return p
+
+
+def test_language_models_against_plain_kneser_ney(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 1000)
+    texts = {"en": ["The theme of them", "this thing that; other", "a an and"], "de": ["Übergröße und mehr", "der die das", "dass dies dort"], "hi": ["नमस्ते दुनिया", "यह एक पाठ है"]}
+    model = langid.fit(docs_of([t for x in texts.values() for t in x], [lang for lang, x in texts.items() for _ in x]))
+    assert model.langs == sorted(texts)
+    for k, lang in enumerate(model.langs):
+        plain = plain_model(texts[lang])
+        for context in ("\0\0\0", "\0\0t", "\0th", "the", "der", "नम"[:2].rjust(3, "\0"), "xyz"):
+            for c in "thea\0zß":
+                row = np.array([[0 if x == "\0" else ord(x) for x in context + c]], np.uint32)
+                assert np.exp(model.log_probabilities(row))[0, k] == pytest.approx(plain(context, c), rel=1e-9)
+
+
+def test_probabilities_sum_to_one(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 1000)
+    model = langid.fit(docs_of(["the theme of them", "this thing that", "other"]))
+    kinds, _ = langid.grams(["the theme of them", "this thing that", "other"])
     letters = sorted({int(c) for k in kinds for c in k} - {0}) + [0]
-    context = (0, ord("t"), ord("h"))
-    rows = np.array([(*context, c) for c in [*letters, ord("z")]], np.uint32)
-    assert np.exp(model.log_probabilities(rows)).sum() == pytest.approx(1, abs=0.02)
+    rows = np.array([(0, ord("t"), ord("h"), c) for c in [*letters, ord("z")]], np.uint32)
+    assert np.exp(model.log_probabilities(rows)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_marks_belong_to_words(spark, docs_of):
+    g, spans = langid.grams(["नमस्ते", "\u0301\u0301", "e\u0301t", None, "12"])
+    assert np.diff(spans).tolist() == [7, 0, 4, 0, 0] and 0 not in g[:6, -1]
+
+
+def test_the_sample_is_bounded(spark, docs_of):
+    docs = docs_of(["x" * 100] * 50 + ["y" * 5000] + ["z" * 10] * 3, ["a"] * 50 + ["b"] + ["c"] * 3)
+    n = {r["lang"]: (r["count"], r["chars"]) for r in langid.sample_of(docs, 20, 1000).groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")).collect()}
+    assert n == {"a": (10, 1000), "b": (1, 5000), "c": (3, 30)}
 
 
 def test_rejection_of_unknown_script(spark):
     docs = table(spark, SF, "documents")
     model = langid.fit(docs)
     strange = spark.createDataFrame([(0, "ζεφυρος " * 30), (1, docs.filter("lang = 'en' and n_chars > 500").first()["text"])], "doc_id bigint, text string")
-    assert [r["rejected"] for r in langid.predict(strange, model).orderBy("doc_id").collect()] == [True, False]
+    assert [r["language"]["rejected"] for r in langid.predict(strange, model).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_toxicity_of_held_out_rows(spark):
@@ -76,7 +135,7 @@ def test_mixture_meets_its_targets(spark):
 
 def test_rates_stay_nonnegative_where_targets_conflict(spark):
     rows = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.6, 0.4]), (0, [0.5, 0.5])], "tokens bigint, p array<double>")
-    steps = mixing.fit_rates(rows, [20.0, 0.0])
+    steps, _ = mixing.fit_rates(rows, [20.0, 0.0])
     rate = np.array([r[0] for r in rows.select(mixing._rate(steps)).collect()])
     assert (rate >= 0).all()
     a = np.array([[9, 6], [1, 4]])
@@ -86,6 +145,27 @@ def test_rates_stay_nonnegative_where_targets_conflict(spark):
     assert got <= start and got < best * 1.6 + 1
 
 
+@pytest.mark.parametrize("most", [None, 1.0])
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_against_plain_projected_gradient(spark, seed, most):
+    """A long plain projected gradient over one rate for each document reaches no lower residual."""
+    rng = np.random.default_rng(seed)
+    n, k = 60, 3
+    p, tokens = rng.dirichlet(np.full(k, 0.4), n), rng.integers(1, 300, n)
+    targets = rng.dirichlet(np.full(k, 0.7)) * tokens.sum() * (0.5 if most else 1.2)
+    rows = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens bigint, p array<double>")
+    steps, residual = mixing.fit_rates(rows, targets.tolist(), most=most)
+    rate = np.array([r[0] for r in rows.select(mixing._rate(steps, most=most)).collect()])
+    a = (p * tokens[:, None]).T
+    plain, size = np.ones(n), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(40_000):
+        plain = np.clip(plain - size * a.T @ (a @ plain - targets), 0, most or np.inf)
+    miss = lambda r: np.abs(a @ r - targets).max() / targets.sum()
+    assert (rate >= 0).all() and (most is None or (rate <= most).all()) and miss(rate) == pytest.approx(residual, abs=1e-9)
+    square = lambda r: ((a @ r - targets) ** 2).sum() / targets.sum() ** 2
+    assert square(rate) <= 1.1 * square(plain) + 2e-5  # where targets can't be met, within a tenth of the least squares
+
+
 def test_mixing_odd_rows(spark, odd, empty, no_labels):
     got = mixing.mixture(odd, no_labels).collect()
     assert len(got) == odd.count() and {r["domain"] for r in got} == {"all"} and all(r["rate"] >= 0 for r in got)
