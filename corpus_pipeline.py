@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pcgspark.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from pcgspark.llm.common import materialise, scratch_dir, table
+from pcgspark.llm.common import free_name, materialise, scratch_dir, table
 
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 NEAR = jaccard_join.Spec(5, 80, 100)
@@ -21,14 +21,16 @@ KEPT = "clean"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or the web policy; the others pass unchanged."""
-    judged = quality.ledger(docs, into="__ledger")
-    bits = F.col("__ledger.fail_bits")
-    return judged.filter(quality.passes(bits, quality.BASE) & quality.passes(bits, quality.WEB)).drop("__ledger")
+    into = free_name(docs.columns, "__ledger")
+    bits = F.col(f"{into}.fail_bits")
+    return quality.ledger(docs, into=into).filter(quality.passes(bits, quality.BASE) & quality.passes(bits, quality.WEB)).drop(into)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; a document of which no word is left goes. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).filter((F.col("line_dedup.n_removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).drop("line_dedup")
+    out = line_dedup.dedup_lines(docs)
+    into = out.columns[-1]
+    out = out.filter((F.col(f"{into}.n_removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).drop(into)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -38,16 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def draw(rated: DataFrame) -> DataFrame:
-    """Adds ``chance``, with which a document of ``mixing.mix`` stays, and ``stays``. Rates are taken against the mean rate
-    of the tokens of KEPT, so that the budget is that at which these documents all stay and the others have their
-    weights beside them; without KEPT, against the largest rate. A domain with less than its weight stays whole."""
-    of = rated.agg(
-        F.sum(F.when(F.col("domain") == KEPT, F.col("rate") * F.col("tokens"))).alias("mass"),
-        F.sum(F.when(F.col("domain") == KEPT, F.col("tokens"))).alias("tokens"),
-        F.max("rate").alias("most"),
-    ).first()
-    unit = of["mass"] / of["tokens"] if of["mass"] else of["most"] or 1.0
-    chance = F.when(F.col("domain") == KEPT, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("rate") / F.lit(float(unit))))
+    """Adds ``chance``, with which a document of ``mixing.mix`` stays, and ``stays``. Rates are at most 1, so they are the
+    chances; documents of KEPT all stay. A domain with less than its weight stays whole."""
+    chance = F.when(F.col("domain") == KEPT, F.lit(1.0)).otherwise(F.col("rate"))
     return rated.withColumn("chance", chance).withColumn("stays", F.col("u") < F.col("chance"))
 
 
@@ -60,10 +55,11 @@ def shares(drawn: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws each document with its fitted rate; the documents of KEPT are never drawn."""
-    rated, _ = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), WEIGHTS)
-    gone = draw(rated).groupBy("doc_id").agg(F.max("stays").alias("stays")).filter("not stays").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Draws each document with its fitted rate; the documents of KEPT all stay, and the others come down to their
+    weights beside them. Texts of one doc_id are drawn by their own rates."""
+    rated, _ = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), WEIGHTS, most=1.0, whole=KEPT)
+    gone = draw(rated).filter("not stays").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
