@@ -1,5 +1,7 @@
 """Language, toxicity, mixing and URL filters: held-out quality and defined results for odd rows."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +221,48 @@ def test_mined_rules(spark):
     assert rules == {("c",)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_against_plain_search(spark, seed):
+    """All minimal combinations by trying every one; tokens that always go together are one."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    words = [f"t{i}" for i in range(7)]
+    rows = []
+    for _ in range(400):
+        has = [w for w in words if rng.random() < 0.45] + ["x", "y"] * int(rng.random() < 0.3)
+        sure = {"t0", "t1"} <= set(has) or {"t2", "t3", "x"} <= set(has) or "t6" in has and seed == 1
+        rows.append((has, bool(rng.random() < (0.95 if sure else 0.1))))
+    base, least = sum(b for _, b in rows) / 400, max(url_filter.MIN_SUPPORT * 400, url_filter.MIN_ROWS)
+    often = sum(sum(b for has, b in rows if w in has) >= least for w in [*words, "x", "y"])
+    want = {}
+    for size in range(1, 9):
+        for c in combinations([*words, "x"], size):
+            of = [b for has, b in rows if set(c) <= set(has)]
+            n, k = len(of), sum(of)
+            if k < least or any(set(w) <= set(c) for w in want):
+                continue
+            p = k / n
+            odds = n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0))
+            if p >= base + url_filter.MIN_GAIN * (1 - base) and odds >= size * math.log(often) - math.log(url_filter.ALPHA):
+                want[c] = (k / 400, p)
+    got = {tuple(r["items"]): (r["support"], r["confidence"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert set(got) == set(want) and len(want) >= 2 and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_labels_that_say_nothing_give_no_rules(spark):
+    rng = np.random.default_rng(5)
+    rows = [([f"w{i}" for i in rng.integers(0, 60, 6)], bool(rng.random() < 0.26)) for _ in range(1000)]
+    assert url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).count() == 0
+
+
+def test_very_long_urls(spark, no_labels):
+    url = "http://a.example.org/es/" + "/".join(f"w{i}" for i in range(20_000)) + "?" + "&".join(f"k{i}=1" for i in range(2000))
+    rows = spark.createDataFrame([(1, url, None), (1, url, None), (None, None, None)], PAGES)
+    got = url_filter.judge(rows, spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int"), CURATED).collect()
+    assert sorted((r["rule"] or "", r["verdict"]) for r in got) == [("", "allow"), ("example.org/es/", "block"), ("example.org/es/", "block")]
+
+
 def test_a_language_of_one_row_is_learned(spark, docs_of):
     texts = ["the quick brown fox jumps over the lazy dog"] * 20 + [f"wort{i} und satz{i} mit grund" for i in range(20)]
     for lone in range(100, 130):  # any id, so also those that calibration would withhold
