@@ -56,6 +56,11 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of fingerprints: links between classes of equal ones."""
+    return spotsigs.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe, pipeline, spotsigs_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:

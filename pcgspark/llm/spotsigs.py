@@ -1,23 +1,25 @@
 """Spot-signature fingerprints.
 
 Words are taken in lower case and without punctuation and symbols at their ends; a word of nothing else is none. At
-every anchor (a very common word) a signature is the chain of the anchor and the next two content words, with the
-anchors between them; a text's fingerprint is the set of its signatures' 64-bit hashes.
+every anchor (a very common word) a signature is the chain of the anchor and the next two content words, whatever
+number of anchors stand between them; a text's fingerprint is the set of its signatures' 64-bit hashes.
 
 A text with fewer than FEW chains, or fewer than one in SPARSE words (another language, no spaces, lists, junk), also
 gets chains at hash-chosen tokens: of each PICK consecutive ones that with the least hash, so that an edit changes only
 chains near it. A token is a word; in scripts without spaces and in words of over LONG characters it is a character,
 and chains that begin with a single character are longer. Only a text of fewer than CHAIN + 1 tokens and without a chain
 has one signature of its whole lower-case text. Fingerprints are compared by Jaccard similarity.
-``similar_pairs`` joins an index of the sets' rarest signatures by signature; it isn't partitioned by set length: sizes
-that differ too much for the threshold are filtered after that join, before sets are compared.
+``similar_pairs`` partitions the sets by length, so that a set's partners lie in its own partition and the two beside
+it, and joins within a partition by an index of each set's rarest signatures.
 
 Null texts are empty; all empty texts are equal. Repeated rows have equal fingerprints. Ties of doc_id are ordered by
-text, and a null doc_id comes first. Only DataFrame functions are used.
+text, and a null doc_id comes first; rows of one doc_id are dealt to one task. Very long texts are read whole; an empty
+table stays empty. Other columns are ignored, whatever their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,25 +35,38 @@ ANCHORS = (
     "con de del el las los no para por se y"
 ).split()
 CHAIN = 2
-RUN = 8  # anchors skipped between content words, at most
 FEW, SPARSE = 3, 50
 PICK, LONG, CHARACTERS = 4, 32, 6
 _EDGE = r"[\p{P}\p{S}]"
 _STRIP = rf"(?<!\S){_EDGE}++(?:(?!\S)\s*+)?+|(?<!{_EDGE}){_EDGE}++(?!\S)"
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 _TOKEN = rf"[{_UNSPACED}]\p{{M}}*+|(?<![^\s{_UNSPACED}])[^\s{_UNSPACED}]{{1,{LONG}}}+(?![^\s{_UNSPACED}])|[^\s{_UNSPACED}]"
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
+FREQUENCIES = 1 << 16  # counters of signatures, the order in which an index takes them
 MAX_BUCKETS, SEGMENTS = 100_000, 64
 
 
-def _pattern(anchors: list[str]) -> str:
+def _content(anchors: list[str]) -> str:
+    """A content word: one that is no anchor."""
     rests: dict[str, list[str]] = {}
     for a in sorted(set(anchors), reverse=True):
         rests.setdefault(a[0], []).append(a[1:])
-    # by first letter, so that most words are turned away after one character
+    # by first letter, so that most words are told after one character
     anchor = "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items()) + ")"
-    content = rf"(?:{anchor}\s+){{0,{RUN}}}+\S+"
-    return rf"(?<!\S)(?=({anchor}\s+{content}" + rf"\s+{content}" * (CHAIN - 1) + "))"
+    return rf"(?<!\S)(?!{anchor}(?!\S))\S+"
+
+
+def _chains(words: Column, anchors: list[str]) -> Column:
+    """Hashes of the chains: the text is cut at its content words, so that what stands before each is a run of anchors."""
+    cut = F.split(F.regexp_replace(words, F.lit(_content(anchors)), "\u0001$0\u0001"), "\u0001")
+
+    def of(x: Column) -> Column:
+        content = lambda k: F.get(x, 2 * k + 1)
+        runs = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(x) / 2).cast("int") - CHAIN)), lambda k: (2 * k + 2 * CHAIN < F.size(x)) & (F.trim(F.get(x, 2 * k)) != ""))
+        chain = lambda k: F.transform(F.array_distinct(F.split(F.trim(F.get(x, 2 * k)), r"\s+")), lambda a: F.xxhash64(a, *[content(k + j) for j in range(CHAIN)]))
+        return F.flatten(F.transform(runs, chain))
+
+    return _once(cut, of)
 
 
 def _chosen(words: Column) -> Column:
@@ -80,7 +95,7 @@ def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
 
     def of(words: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(words, F.lit(_pattern(anchors)), 1), lambda c: F.xxhash64(c))
+        found = _chains(words, anchors)
         # a word has two characters or more with its space, so longer texts with so many chains need no count
         few = lambda c: (F.size(c) < FEW) | ((F.size(c) * (2 * SPARSE) < F.length(words)) & (F.size(c) * SPARSE < F.size(F.regexp_extract_all(words, F.lit(_TOKEN), 0))))
         return _once(found, lambda c: F.when(few(c), F.concat(c, _chosen(words))).otherwise(c))
@@ -159,22 +174,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _partition(n: Column, threshold: float) -> Column:
+    """Partition of a set of n signatures: each begins at 1 / threshold times the size at which the one before begins."""
+    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold)) + 1e-9)
+
+
+def _parity(s: str) -> list[Column]:
+    """256 bits, each the parity of the signatures that fall on it."""
+    return [F.expr(f"aggregate({s}, 0L, (b, x) -> b ^ if(((x >> 6) & 3) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"b{k}") for k in range(4)]
+
+
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness) for classes of equal fingerprints, a < b their least doc_ids, at or above the threshold.
 
-    Signatures are indexed by prefix: in the order of their frequency (rare first), two sets that reach the threshold
-    t share one of the first |s| - ceil(t |s|) + 1; sizes below t times the other are filtered from the pairs of a bucket,
-    all of which the join makes. Classes that
-    are alike share rare signatures, which keeps buckets small; Spark splits a skewed bucket.
+    A set is filed in the partition of its length and, if a larger partner may lie there, in the next one; so two sets
+    that reach the threshold t meet in the partition of the larger. In one global order of signatures (rare first, by
+    counters of their hashes) they share one of the first |s| - ceil(t |s|) + 1. Pairs of a bucket pass lossless filters
+    on sizes and parity bits inside the join, and only then are sets compared.
     """
-    sets = docs.select("doc_id", signatures(F.col("text")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    n = F.size("s")
-    flat = sets.select("doc_id", n.alias("n"), F.explode("s").alias("g"))
-    often = flat.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ranked = flat.join(often, "g").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "g")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).filter("f > 1").select("doc_id", "n", "g")
-    a, b = (prefix.select("g", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    sized = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    pairs = a.join(b, "g").filter(F.col("a") < F.col("b")).filter(sized).select("a", "b").distinct()
+    spark = docs.sparkSession
+    sets = docs.filter("doc_id is not null").select("doc_id", signatures(F.col("text")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+    sets = materialise(sets.select("doc_id", "s", F.size("s").alias("n")))
+    counts = sets.select(F.explode("s").alias("g")).groupBy(F.pmod("g", F.lit(FREQUENCIES)).alias("at")).agg(F.count(F.lit(1)).alias("f"))
+    counters = [0] * FREQUENCIES
+    for r in counts.collect():  # at most FREQUENCIES rows
+        counters[r["at"]] = min(r["f"], (1 << 31) - 1)
+    table = F.broadcast(spark.createDataFrame([(1, counters)], "one int, counters array<int>"))
+    least = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
+    ordered = F.array_sort(F.transform("s", lambda x: F.struct(F.get("counters", F.pmod(x, F.lit(FREQUENCIES)).cast("int")).alias("f"), x.alias("g"))))
+    part = _partition(F.col("n"), threshold)
+    higher = _partition(F.floor(F.col("n") / F.lit(threshold) + 1e-9), threshold)
+    prefix = sets.withColumn("one", F.lit(1)).join(table, "one").select("doc_id", "n", *_parity("s"), F.slice(ordered, F.lit(1), (F.col("n") - least + 1).cast("int")).alias("x"), F.array_distinct(F.array(part, higher)).alias("parts"), part.alias("own"))
+    filed = materialise(prefix.select("*", F.explode("parts").alias("part")).select("doc_id", "n", "b0", "b1", "b2", "b3", "own", "part", F.explode("x.g").alias("g")))
+    a, b = (filed.select("part", "g", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "own", "b0", "b1", "b2", "b3")]) for x in "ab")
+    total = F.col("a_n") + F.col("b_n")
+    differ = sum((F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
+    alike = (F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9) & (differ <= total * (1 - threshold) / (1 + threshold) + 1e-9)
+    meets = F.col("part") == F.greatest("a_own", "b_own")
+    pairs = materialise(a.join(b, ["part", "g"]).filter((F.col("a_doc_id") < F.col("b_doc_id")) & alike & meets).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
     return met.select("a", "b", likeness(F.col("s_a"), F.col("s_b")).alias("likeness")).filter(F.col("likeness") >= threshold)

@@ -273,9 +273,32 @@ def test_fingerprints(spark):
 
 def test_chains(spark, docs_of):
     text = "the Cat of the mat is on a very fine day"
-    want = {"the cat of the mat", "of the mat is on a very", "the mat is on a very", "is on a very fine", "on a very fine", "a very fine"}
-    got = docs_of([text]).select(spotsigs.signatures(spotsigs.F.col("text")).alias("s"), spotsigs.F.array_sort(spotsigs.F.transform(spotsigs.F.array(*map(spotsigs.F.lit, sorted(want))), lambda x: spotsigs.F.xxhash64(x))).alias("w")).first()
-    assert got["s"] == got["w"]
+    chains = sorted({("the", "cat", "mat"), ("of", "mat", "very"), ("the", "mat", "very"), ("is", "very", "fine"), ("on", "very", "fine"), ("a", "very", "fine")})
+    want = spark.createDataFrame(chains, "a string, b string, c string").select(F.xxhash64("a", "b", "c").alias("h")).collect()
+    got = docs_of([text]).select(spotsigs.signatures(F.col("text")).alias("s")).first()["s"]
+    assert got == sorted(r["h"] for r in want)
+
+
+def plain_chains(text):
+    """Chains from their definition: an anchor and the next two words that are none."""
+    out, words = set(), text.lower().split()
+    for i, w in enumerate(words):
+        after = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS]
+        if w in spotsigs.ANCHORS and len(after) >= 2:
+            out.add((w, after[0], after[1]))
+    return out
+
+
+def test_chains_against_their_definition(spark, docs_of):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([*spotsigs.ANCHORS[:9], *[f"w{i}" for i in range(25)]]) for _ in range(rng.randrange(60, 200))) for _ in range(30)]
+    texts += ["the " * 40 + "end of story " * 3, "one the of and two a three " * 9]
+    rows = [(i, *c) for i, t in enumerate(texts) for c in plain_chains(t)]
+    want: dict = {}
+    for r in spark.createDataFrame(rows, "i int, a string, b string, c string").select("i", F.xxhash64("a", "b", "c").alias("h")).collect():
+        want.setdefault(r["i"], []).append(r["h"])
+    got = {r["doc_id"]: r["s"] for r in docs_of(texts).select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    assert all(set(got[i]) >= set(want[i]) for i in want) and all(got[i] == sorted(want[i]) for i in want if len(want[i]) >= 10)
 
 
 def test_signatures_of_every_kind_of_text(spark, docs_of):
@@ -325,18 +348,22 @@ def test_fingerprint_odd_rows(spark, odd, empty, docs_of, monkeypatch):
     assert len(long_run) == 2
 
 
-def test_similar_pairs_against_brute_force(spark):
-    docs = table(spark, SF, "documents")
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_similar_pairs_against_brute_force(spark, docs_of, threshold):
+    rng = random.Random(17)
+    near = [" ".join(w if rng.random() > share else f"e{rng.randrange(99)}" for w in base.split()) for base in (" ".join(rng.choice(["the", "of", "is", *[f"w{i}" for i in range(60)]]) for _ in range(n)) for n in (30, 90, 300, 900)) for share in (0, 0.004, 0.01, 0.02, 0.05, 0.1)]
+    docs = table(spark, SF, "documents").select("doc_id", "text").union(docs_of(near).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
     sets = {}
-    for r in docs.select("doc_id", spotsigs.signatures(spotsigs.F.col("text")).alias("s")).collect():
+    for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect():
         key = tuple(r["s"])
         sets[key] = min(sets.get(key, r["doc_id"]), r["doc_id"])
     want = set()
-    for a, i in sets.items():
-        for b, j in sets.items():
-            if i < j and len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b)):
+    rows = [(set(k), i) for k, i in sets.items()]
+    for a, i in rows:
+        for b, j in rows:
+            if i < j and len(a & b) >= threshold * len(a | b):
                 want.add((i, j))
-    assert {(r["a"], r["b"]) for r in spotsigs.similar_pairs(docs, 0.6).collect()} == want
+    assert len(want) > 10 and {(r["a"], r["b"]) for r in spotsigs.similar_pairs(docs, threshold).collect()} == want
 
 
 @pytest.mark.parametrize("clean,junk", [(0.9, 0.45), (1.0, 0.65), (0.9, 1.0)])
