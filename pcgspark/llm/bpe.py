@@ -4,13 +4,15 @@ Text is cut into pieces by a pattern, and each piece is merged by rank. Both lev
 
 * pieces: a match depends only on the text from its start on, so of a left half only matches that end within three
   characters of the cut (the pattern looks no farther) can change. The join scans again from there until a match
-  ends where the right half has a boundary; what follows is stable.
+  ends where the right half has a boundary; what follows is stable. This is proved for ``PATTERN``; with another
+  pattern a text is scanned from its start, without halves.
 * tokens: a token sequence is the encoding of its bytes exactly if each adjacent pair is the encoding of its own
   bytes (the first merge across a boundary would also happen in the pair alone). The join re-encodes a window
   around the cut and doubles it until both of its outer pairs are stable, which proves all tokens outside.
 
-Decoding concatenates token bytes up a tree of halves. Null and empty texts give no tokens. Encoding is
-deterministic, so repeated rows agree; other columns pass through.
+Decoding concatenates token bytes up a tree of halves. Null and empty texts give no tokens; very long texts and pieces
+are encoded whole, and an empty table stays empty. Encoding is deterministic (of equal ranks the leftmost merges first),
+so repeated rows agree; rows of one doc_id are encoded one by one, and other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pcgspark.llm.common import bounded_batches, column_kernel
 
 TEXT_LEAF = 1 << 16  # characters
 PIECE_LEAF = 32  # bytes
+# Fixed value: the pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOOKS = 3  # characters that a match of the pattern can depend on beyond its end, at most
 MEMO = 1 << 18  # entries of each memo; a full one is emptied
 
@@ -39,6 +43,7 @@ class Bpe:
 
         self.ranks = ranks
         self.find = regex.compile(pattern)
+        self.halves = pattern == PATTERN
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
@@ -48,7 +53,7 @@ class Bpe:
 
     # -- pieces of a text -------------------------------------------------------------------------------------
     def pieces(self, text: str, leaf: int = TEXT_LEAF) -> list[str]:
-        if len(text) <= leaf:
+        if len(text) <= leaf or not self.halves:
             return self.find.findall(text)
         cut = len(text) // 2
         left, right = self.pieces(text[:cut], leaf), self.pieces(text[cut:], leaf)

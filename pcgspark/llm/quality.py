@@ -5,8 +5,9 @@ Policies are versioned masks over those bits, so a change of policy reads only t
 bitwise aggregations over the few distinct bit patterns.
 
 Words are maximal runs of characters other than space and U+0009-U+000D. Null and empty texts have no words and
-fail ``too_few_words``. Repeated rows are judged one by one. Other columns pass through; ``ledger`` puts
-everything it adds into one struct column, so names of the input never clash.
+fail ``too_few_words``. Repeated rows are judged one by one, very long texts whole; a measure that equals a limit
+passes; an empty table stays empty. Other columns pass through; ``ledger`` puts everything it adds into one struct
+column, so names of the input never clash.
 """
 
 from __future__ import annotations

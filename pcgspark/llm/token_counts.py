@@ -5,7 +5,8 @@ documents' digests with the cache, encodes each distinct miss once, appends the
 
 Normalisation is exactly the tokenizer's own (it maps a space to U+2581 and changes nothing else), so texts with
 equal digests have equal counts. Null and empty texts have 0 tokens. Repeated rows share one cache row. Digests are
-SHA-256; counts are of whole texts, without special tokens or truncation.
+SHA-256; counts are of whole texts, very long ones too, without special tokens or truncation. Rows of one doc_id are
+counted one by one; an empty table stays empty; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,9 +11,11 @@ The ordinary dictionary takes words of ordinary windows that the toxic dictionar
 ``ROUNDS`` rounds.
 
 Fitting uses a bounded sample: about ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows, chosen by a hash of doc_id;
-what is collected is bounded by the constants below. Scoring reads every whole text. Null and empty texts are one
-empty window. Without rows of both labels there is nothing to compare: the score is the share of toxic rows (0 if
-there is none). Repeated label rows of a document count once, toxic if any of them is.
+what is collected is bounded by the constants below (words of equal weight in alphabetical order). Scoring reads every
+whole text, very long ones too. Null and empty texts are one empty window. Without rows of both labels there is nothing
+to compare: the score is the share of toxic rows (0 if there is none). Repeated label rows of a document count once,
+toxic if any of them is. Repeated rows agree; rows of one doc_id with different texts are scored one by one, and an
+empty table stays empty. What is added is one struct column.
 """
 
 from __future__ import annotations
@@ -187,21 +189,21 @@ def score_rows(docs: DataFrame, d: Dictionaries, into: str = "x") -> DataFrame:
     return docs.withColumn(into, column_kernel(kernel, "array<double>")(F.col("text")))
 
 
-def predict(docs: DataFrame, model: Model | float) -> DataFrame:
-    """Adds score and predicted to rows with a text."""
+def predict(docs: DataFrame, model: Model | float, into: str = "toxicity") -> DataFrame:
+    """Adds the struct ``into``: score and predicted."""
     if isinstance(model, float):
-        scored = docs.withColumn("score", F.lit(model))
+        scored, score = docs, F.lit(model)
     else:
-        terms = [(F.col("__x")[i] - float(m)) / float(s) * float(w) for i, (m, s, w) in enumerate(zip(model.mean, model.scale, model.weights[:-1], strict=True))]
+        scored = score_rows(docs, model.dictionaries, into)
         z = F.lit(float(model.weights[-1]))
-        for t in terms:
-            z = z + t
-        scored = score_rows(docs, model.dictionaries, "__x").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).drop("__x")
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+        for i, (m, s, w) in enumerate(zip(model.mean, model.scale, model.weights[:-1], strict=True)):
+            z = z + (F.col(into)[i] - float(m)) / float(s) * float(w)
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return scored.withColumn(into, score).withColumn(into, F.struct(F.col(into).alias("score"), F.when(F.col(into) >= 0.5, 1).otherwise(0).alias("predicted")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5) -> DataFrame:
     """The digest: learns outside one fold of documents and scores all of them."""
     model = fit(docs, labels.filter(crc_mod("doc_id", folds) != fold))
     held = F.coalesce(crc_mod("doc_id", folds) == fold, F.lit(False)).alias("held_out")
-    return predict(docs.select("doc_id", "text", held), model).select("doc_id", "held_out", "score", "predicted")
+    return predict(docs.select("doc_id", "text", held), model, "found").select("doc_id", "held_out", "found.*")

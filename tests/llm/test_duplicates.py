@@ -1,8 +1,10 @@
 """Line dedup, Jaccard join, spot signatures and the pipeline: against brute force."""
 
+import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -415,6 +417,62 @@ def test_pipeline_stages(spark):
     assert cp.run(spark, SF).count() == docs.count()
 
 
+def test_every_stage_against_plain_rules(spark):
+    """Each stage on what the one before kept, against Python without Spark; the mixture's rates are taken as fitted."""
+    import corpus_pipeline as cp
+    import public_tokenizers
+    import tiktoken
+
+    keep = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    sf = "/root/testdata/sf0.01"
+    stages = dict(cp.STAGES)
+
+    def fails(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = {x for x, n in Counter(g).items() if n > 1}
+        repeated = len({i + j for i, x in enumerate(g) if x in seen for j in range(3)})
+        chars, symbols = sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>")
+        upper, lower = sum("A" <= c <= "Z" for c in text or ""), sum("a" <= c <= "z" for c in text or "")
+        again = len(lines) - len(set(lines))
+        return len(w) < 50 or 2 * repeated > len(w) or 100 * symbols > 4 * chars or 100 * again > 40 * len(lines) or 100 * upper > 60 * (upper + lower) or not 2 * len(w) <= chars <= 15 * len(w) or (text or "").count("!") > len(w)
+
+    one = cp.materialise(stages["quality_rules"](spark, docs, sf))
+    assert keep(one) == {i: t for i, t in keep(docs).items() if not fails(t)}
+    two = cp.materialise(stages["line_dedup"](spark, one, sf))
+    before = sorted(keep(one).items())
+    lines = {before[i][0]: t for i, t in passages_removed([t for _, t in before]).items()}
+    assert keep(two) == {i: t for i, t in lines.items() if t == dict(before)[i] or t.strip(" \t\n\r\x0b\x0c")}
+    three = cp.materialise(stages["near_duplicates"](spark, two, sf))
+    sets, holders = {i: plain_set(t, 5) for i, t in keep(two).items()}, {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    least = {i: i for i in sets}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            least[max(x, y)] = min(x, y)
+    assert keep(three) == {i: t for i, t in keep(two).items() if root(i) == i}
+    four = cp.materialise(stages["mixing"](spark, three, sf))
+    rated, _ = cp.mixing.mix(three, cp.mixing.domains_of(table(spark, sf, "labels")), cp.WEIGHTS, most=1.0, whole=cp.KEPT)
+    stays = {r["doc_id"] for r in rated.collect() if r["domain"] == cp.KEPT or r["u"] < r["rate"]}
+    assert set(keep(four)) == stays
+    data = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: (len(ids := plain.encode_ordinary(t)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in keep(four).items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in stages["byte_bpe"](spark, four, sf).collect()} == want
+
+
 def test_pipeline_stages_with_odd_rows(spark, odd, empty):
     import corpus_pipeline as cp
 

@@ -121,6 +121,27 @@ def test_toxicity_odd_rows(spark, odd, empty, no_labels):
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_scores_against_plain_windows(spark):
+    """Every window compressed by itself, the features and the curve by their definitions."""
+    import zstandard
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    d = model.dictionaries
+    size = lambda content, w: len(zstandard.ZstdCompressor(level=d.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(w))
+    some = docs.filter("doc_id % 97 = 3 and length(text) < 2500").select("doc_id", "text")
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.predict(some, model).collect()}
+    rows = some.collect()
+    assert len(rows) >= 5
+    for r in rows:
+        words = (r["text"] or "").lower().split()
+        parts = [" " + " ".join(words[i : i + toxicity.WINDOW]) + " " for i in range(0, len(words), toxicity.WINDOW)] or [""]
+        saved = [size(d.ordinary, p.encode()) - size(d.toxic, p.encode()) for p in parts]
+        x = [math.log1p(sum(v >= t for v in saved)) for t in toxicity.THRESHOLDS] + [min(max(saved), 12) / 4, math.log(len(saved)), math.log1p(sum(v <= -4 for v in saved))]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=False)) + model.weights[-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
 def test_windows():
     assert toxicity.windows(None) == [b""] and toxicity.windows("A b", 1) == [b" a ", b" b "]
 
