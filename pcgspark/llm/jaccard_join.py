@@ -9,7 +9,8 @@ compared is decided by their costs:
 
 1. copies (equal words, by SHA-256) are one class from the start, and one of them stands for all;
 2. each member of a bucket (documents with equal subsets) is paired with the bucket's first document; verified links
-   give classes, and a bucket is open if its members are of two classes or more;
+   give classes, and a bucket is open if its members are of two classes or more. Then each member of an open bucket is
+   paired with the bucket's hub, the member in the most open buckets, which links most of a family of near copies;
 3. of two documents of an open bucket that of the smaller class searches for the other. A document's search costs as
    many pairs as its open buckets have members of other classes, and nothing where it ranks highest;
 4. a document to which that costs more pairs than it has shingles and segments gets its neighbourhoods indexed, as do
@@ -394,16 +395,31 @@ class Join:
 
         return self._kernel(dealt, kernel, "a bigint, b bigint")
 
+    def _open(self, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(i, class) of all texts, and the members (sig, i, class) of buckets of two classes or more."""
+        classes = components(links, self.keep).select(F.col("node").alias("i"), F.col("component").alias("class"))
+        of = self.keep(self.facts.select("i").join(classes.hint("merge"), "i", "left").select("i", F.coalesce("class", "i").alias("class")))
+        rows = self.keep(self.buckets.join(of.hint("merge"), "i"))
+        mixed = rows.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("sig")
+        return of, self.keep(rows.join(self.keep(mixed).hint("merge"), "sig"))
+
+    def by_hubs(self, links: DataFrame) -> DataFrame:
+        """Links of members of open buckets with the bucket's hub, the member that is in the most open buckets: of many
+        near copies of one text the one nearest to it, with which most of them link."""
+        _, rows = self._open(links)
+        self.buckets = rows.drop("class")
+        rank = self.keep(rows.groupBy("i").agg(F.count(F.lit(1)).alias("buckets")))
+        rows = self.keep(rows.join(rank.hint("merge"), "i"))
+        hub = self.keep(rows.groupBy("sig").agg(F.max(F.struct("buckets", "i", "class")).alias("hub")))
+        pairs = rows.join(hub, "sig").filter("class <> hub.class").select(F.col("i").alias("a"), F.col("hub.i").alias("b"))
+        return self.verify(self.filtered(pairs))
+
     def open_members(self, links: DataFrame) -> None:
         """Members of buckets of two classes or more: sig, i, class, members of the class, n, parity."""
-        classes = components(links, self.keep).select(F.col("node").alias("i"), F.col("component").alias("class"))
-        of = self.facts.drop("wide").join(classes.hint("merge"), "i", "left").withColumn("class", F.coalesce("class", "i"))
+        of, rows = self._open(links)
         sizes = self.keep(of.groupBy("class").agg(F.count(F.lit(1)).alias("members")))
-        facts = self.keep(of.join(sizes.hint("merge"), "class"))
-        rows = self.keep(self.members.select("sig", "i").join(facts.select("i", "class").hint("merge"), "i"))
-        mixed = rows.groupBy("sig").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("sig")
-        thin = self.keep(rows.join(self.keep(mixed).hint("merge"), "sig"))
-        self.open = self.keep(thin.drop("class").join(facts.hint("merge"), "i"))
+        facts = self.keep(self.facts.drop("wide").join(of.hint("merge"), "i").join(sizes.hint("merge"), "class"))
+        self.open = self.keep(rows.drop("class").join(facts.hint("merge"), "i"))
 
     def price(self) -> DataFrame:
         """What each document's search costs: i, sigs to ask, cost, own (class and facts)."""
@@ -473,6 +489,8 @@ class Join:
         first = self.members.select("i", "center").filter("i <> center").distinct().join(stands, "center", "left")
         first = first.select(F.col("i").alias("a"), F.coalesce("rep", "center").alias("b"))
         links = self.keep(self.verify(self.filtered(first)).unionByName(self.equal))
+        self.buckets = self.members.select("sig", "i")
+        links = self.keep(self.by_hubs(links).unionByName(links))
         self.open_members(links)
         return self.keep(self.verify(self.filtered(self.search())).unionByName(links))
 
