@@ -25,7 +25,7 @@ def _analysed(batches, p: Params):
             if len(idx) < 2:
                 rows.append((r.recording_id, r.sample_rate, r.status, [], [], hint, None, None))
                 continue
-            peaks = tracker.peaks_of(idx, idx / r.sample_rate, env[idx], floor[idx], p)
+            peaks = tracker.peaks_of(idx, idx / r.sample_rate, env, floor, p)
             start, recovery, beats, verdicts, history = tracker.analyse(peaks, p, hint)
             final = {b.idx for b in beats}
             out = []
@@ -41,9 +41,11 @@ def _analysed(batches, p: Params):
 
 def analyse(prepared: DataFrame, settings: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Two passes, conflicts and corrections for every prepared recording; ``settings`` (recording_id, start_bpm_hint)
-    may give hints."""
+    may give hints. Only the peaks are sent to Python, not the samples between them."""
     ship(prepared.sparkSession)
     rows = prepared.join(settings, "recording_id", "left") if settings is not None else prepared.withColumn("start_bpm_hint", F.lit(None).cast("double"))
+    at_peaks = lambda c: F.transform("raw_peaks", lambda i: F.get(c, i.cast("int"))).alias(c)
+    rows = rows.select("recording_id", "sample_rate", "status", "start_bpm_hint", "raw_peaks", at_peaks("env"), at_peaks("floor"))
     return rows.mapInPandas(lambda it: _analysed(it, p), schema.ANALYSES)
 
 
