@@ -36,22 +36,23 @@ def local_maxima(rows: DataFrame, x: str, order: str = "idx", by=BY) -> DataFram
 
 def prominences(peaks: DataFrame, rows: DataFrame, x: str, order: str = "idx", by=BY) -> DataFrame:
     """Adds ``prominence`` to peak rows: the height above the higher of the two lowest points passed on the way to a
-    strictly higher sample (or the end) on either side. A stack finds these in one pass over a recording's samples, so
-    either table is shuffled once and each recording is one task's."""
+    strictly higher sample (or the end) on either side. A stack finds these in one pass over a recording's samples, and
+    peaks look theirs up by place."""
     ship(rows.sparkSession)
 
-    def run(tops, samples):
+    def run(pdf):
         import numpy as np
 
         from pcgspark.functions import kernels
 
-        samples = samples.sort_values(order)
-        at = np.searchsorted(samples[order].to_numpy(), tops[order].to_numpy())
-        return tops.assign(prominence=kernels.prominences(samples[x].to_numpy(dtype=float), at))
+        pdf = pdf.sort_values(order)
+        found = kernels.prominences(pdf[x].to_numpy(dtype=float), np.arange(len(pdf)))
+        return pdf.drop(columns=x).assign(prominence=found)[found > 0]
 
     samples = rows.select(*by, order, x)
-    out = StructType([f for f in peaks.schema.fields if f.name != "prominence"] + [StructField("prominence", DoubleType())])
-    return peaks.groupBy(*by).cogroup(samples.groupBy(*by)).applyInPandas(run, out)
+    kind = StructType([*samples.select(*by, order).schema.fields, StructField("prominence", DoubleType())])
+    found = samples.groupBy(*by).applyInPandas(run, kind)
+    return peaks.drop("prominence").join(found, [*by, order], "left").na.fill(0.0, ["prominence"]).select(*[c for c in peaks.columns if c != "prominence"], "prominence")
 
 
 def find_peaks(rows: DataFrame, x: str, order: str = "idx", height: str | float | None = None, prominence: float | None = None, distance: int | None = None, negate: bool = False) -> DataFrame:

@@ -579,19 +579,6 @@ def outcome_counts(spark, sf):
     return status_counts(metrics.rr_stats(beats(spark, sf)).withColumn("status", F.when(F.col("n_rr") >= 60, "ok").otherwise("short")))
 
 
-# -- classification (sequential: rows only) ---------------------------------------------------------------------------
-@query()
-def classify_events(spark, sf):
-    found = classify.peaks_of(classify.analyse(adapter.prepared(spark, sf)))
-    return out(found.withColumn("n_reasons", F.size("reasons").cast("bigint")), "recording_id", "sample_idx", "peak_type", "is_final_beat", "n_reasons", t_sec="t_sec", confidence="confidence")
-
-
-@query()
-def classified_rate(spark, sf):
-    found = metrics.rate_series(classify.beats_of(classify.analyse(adapter.prepared(spark, sf))))
-    return out(metrics.summary(found), "recording_id", "n_points", avg_bpm="avg_bpm", min_bpm="min_bpm", max_bpm="max_bpm")
-
-
 def queries() -> dict[str, Query]:
     from pcgspark.plans import files, tracked  # noqa: F401 (they register theirs)
 

@@ -25,7 +25,9 @@ from pcgspark.params import (
     NOISE,
     RHYTHM_KNOTS,
     RHYTHM_SCORES,
+    S1_FROM_GAP,
     S1_PAIRED,
+    S2_FROM_GAP,
     S2_PAIRED,
 )
 from pcgspark.plans import adapter
@@ -294,20 +296,20 @@ def _track_sql(name: str, threshold: float, start: str) -> str:
 
 
 _PEAKS = f""", grid as (select recording_id, t_us // 10000 as idx, max(amp) as env, any_value(m) as m from (select *, median(amp) over (partition by recording_id) as m from signal) group by 1, 2),
-pk0 as (select recording_id, idx, idx / 100.0 as t, env, greatest(0, env - m / 10) as s, row_number() over (partition by recording_id order by idx) - 1 as k, count(*) over (partition by recording_id) as n from grid),
+pk0 as (select recording_id, idx, idx / 100.0 as t, env, greatest(0, env - m / 10) as s, m / 10 as fl, row_number() over (partition by recording_id order by idx) - 1 as k, count(*) over (partition by recording_id) as n from grid),
 dv as (select recording_id, k, abs(s1 - s) / (greatest(s, s1) + 1e-9) as dv, greatest(5, cast(floor((n - 1) * {P.deviation_smoothing_factor}) as bigint)) as w from (select *, lead(s) over (partition by recording_id order by k) as s1 from pk0) where s1 is not null),
 sm as (select a.recording_id, a.k, avg(b.dv) as dev from dv a join dv b on b.recording_id = a.recording_id and b.k between a.k - a.w // 2 and a.k + (a.w - 1) // 2 group by 1, 2),
 pk as (select p.*, sm.dev from pk0 p left join sm on sm.recording_id = p.recording_id and sm.k = p.k - 1 where n >= 2)
 """
 _TRACK = (
     _PEAKS
-    + ", st1 as (select distinct recording_id, 80.0 as bpm, cast(null as double) as rec0, cast(null as double) as rec1 from pk)\n"
+    + ", st1 as (select distinct recording_id, cast(80 as double) as bpm, cast(null as double) as rec0, cast(null as double) as rec1 from pk)\n"
     + _track_sql("one", P.preliminary_confidence_threshold, "st1")
     + f""", rr1 as (select *, t - lag(t) over (partition by recording_id order by k) as rr, cast(round(t * 1e6) as bigint) as us from one_b),
 est as (select recording_id, median(rr) as m, count(*) as n from rr1 group by 1),
 sp as (select recording_id, t, k, round(avg(60.0 / rr) over (partition by recording_id order by us range between 2499999 preceding and 2500000 following), 9) as bpm from rr1 where rr > 1e-6),
 top as (select recording_id, arg_min(t, (-bpm, k)) as rec0, count(*) as n from sp group by 1),
-st2 as (select s.recording_id, coalesce(case when e.n >= 10 and e.m > 0 then 60 / e.m end, 80.0) as bpm, case when top.n >= 2 then top.rec0 end as rec0, case when top.n >= 2 then top.rec0 + {P.recovery_phase_duration_sec} end as rec1
+st2 as (select s.recording_id, coalesce(case when e.n >= 10 and e.m > 0 then 60 / e.m end, cast(80 as double)) as bpm, case when top.n >= 2 then top.rec0 end as rec0, case when top.n >= 2 then top.rec0 + {P.recovery_phase_duration_sec} end as rec1
   from st1 s left join est e using (recording_id) left join top using (recording_id))
 """
     + _track_sql("two", P.pairing_confidence_threshold, "st2")
@@ -326,6 +328,33 @@ cf as (select recording_id, j, t as last_t, env as last_env, [k] as kept from ls
 fin as (select recording_id, unnest(kept) as k from (select recording_id, arg_max(kept, j) as kept from cf group by 1))
 """
 )
+ROUNDS, MARGIN = 5, 3
+
+
+def _correction_sql(i: int) -> str:
+    """One round of corrections: beats b{i - 1} and verdicts v{i - 1} become b{i} and v{i}."""
+    b, v = f"b{i - 1}", f"v{i - 1}"
+    return f""", l{i} as materialized (select recording_id, k, p.t, p.env, row_number() over w - 1 as j, count(*) over (partition by recording_id) as n from {b} join pk p using (recording_id, k) window w as (partition by recording_id order by k)),
+r{i} as materialized (select recording_id, n, t - lag(t) over (partition by recording_id order by j) as rr from l{i}),
+q{i} as (select recording_id, quantile_cont(rr, 0.25) as q1, quantile_cont(rr, 0.75) as q3 from r{i} where rr is not null group by 1),
+u{i} as materialized (select recording_id, median(rr) as usual from r{i} join q{i} using (recording_id) where n >= {2 * MARGIN} and rr > q1 - 1.5 * (q3 - q1) and rr < q3 + 1.5 * (q3 - q1) group by 1),
+g{i} as (select a.recording_id, a.k as ka, c.k as kb from l{i} a join l{i} c on c.recording_id = a.recording_id and c.j = a.j + 1 join u{i} u on u.recording_id = a.recording_id
+  where a.j >= {MARGIN} and a.j <= a.n - {MARGIN + 2} and c.t - a.t > usual * {P.rr_correction_long_interval_pct}),
+a{i} as materialized (select g.recording_id, ka, min(x.k) as k from g{i} g join pk x on x.recording_id = g.recording_id and x.k > g.ka and x.k + 1 < g.kb join pk y on y.recording_id = x.recording_id and y.k = x.k + 1
+  join {v} vx on vx.recording_id = x.recording_id and vx.k = x.k join {v} vy on vy.recording_id = y.recording_id and vy.k = y.k
+  where contains(vx.kind, 'Noise') and contains(vy.kind, 'Noise') and x.s > {P.penalty_waiver_strength_ratio} * x.fl and y.env / (x.env + 1e-9) < {P.penalty_waiver_max_s2_s1_ratio} group by 1, 2),
+v{i} as materialized (select v.recording_id, v.k, case when f.k is not null then '{S1_FROM_GAP}' when s.k is not null then '{S2_FROM_GAP}' else kind end as kind, conf, n_reasons + cast(f.k is not null or s.k is not null as integer) as n_reasons
+  from {v} v left join a{i} f on f.recording_id = v.recording_id and f.k = v.k left join a{i} s on s.recording_id = v.recording_id and s.k + 1 = v.k),
+m{i} as materialized (select recording_id, k, p.t, p.env, row_number() over w - 1 as j, count(*) over (partition by recording_id) as n from (select recording_id, k from {b} union select recording_id, k from a{i}) join pk p using (recording_id, k) window w as (partition by recording_id order by k)),
+z{i} as (select recording_id, {MARGIN} as j, cast([] as bigint[]) as gone from u{i}
+  union all select f.recording_id, f.j + 1, case when c.t - a.t < usual * {P.rr_correction_threshold_pct} and not list_contains(gone, a.k) and not list_contains(gone, c.k) then list_append(gone, case when c.env > a.env then a.k else c.k end) else gone end
+  from z{i} f join m{i} a on a.recording_id = f.recording_id and a.j = f.j join m{i} c on c.recording_id = f.recording_id and c.j = f.j + 1 join u{i} u on u.recording_id = f.recording_id where f.j <= a.n - {MARGIN + 2}),
+y{i} as (select recording_id, arg_max(gone, j) as gone from z{i} group by 1),
+b{i} as materialized (select m.recording_id, m.k from m{i} m left join y{i} using (recording_id) where gone is null or not list_contains(gone, m.k))
+"""
+
+
+_CORRECTED = _TRACKED + ", b0 as materialized (select recording_id, k from fin), v0 as materialized (select recording_id, k, kind, conf, n_reasons from vd)\n" + "".join(_correction_sql(i) for i in range(1, ROUNDS + 1))
 UNCORRECTED = P.but(enable_correction_pass=False)
 
 
@@ -368,3 +397,25 @@ def preliminary_pass(spark, sf):
     return out(classify.analyse(adapter.prepared(spark, sf)), "recording_id", start_bpm="start_bpm", peak_bpm_time_sec="peak_bpm_time_sec", recovery_end_sec="recovery_end_sec")
 
 
+@query(
+    _CORRECTED
+    + f"""select cast(p.recording_id as varchar) as recording_id, p.idx as sample_idx, v.kind as peak_type, b.k is not null as is_final_beat, cast(coalesce(n_reasons, 0) as bigint) as n_reasons, round(p.t, 6) as t_sec, round(v.conf, 6) as confidence
+from pk p left join v{ROUNDS} v using (recording_id, k) left join b{ROUNDS} b using (recording_id, k)""",
+    recursive=True,
+)
+def classify_events(spark, sf):
+    found = classify.peaks_of(classify.analyse(adapter.prepared(spark, sf)))
+    return out(found.withColumn("n_reasons", F.size("reasons").cast("bigint")), "recording_id", "sample_idx", "peak_type", "is_final_beat", "n_reasons", t_sec="t_sec", confidence="confidence")
+
+
+@query(
+    _CORRECTED
+    + f""", ft as (select recording_id, cast(round(t * 1e6) as bigint) as us from b{ROUNDS} join pk using (recording_id, k)),
+fr as (select *, (us - lag(us) over (partition by recording_id order by us)) / 1e6 as rr from ft),
+fs as (select recording_id, avg(60.0 / rr) over (partition by recording_id order by us range between 2499999 preceding and 2500000 following) as bpm from fr where rr > 1e-6)
+select cast(recording_id as varchar) as recording_id, count(*) as n_points, round(avg(bpm), 6) as avg_bpm, round(min(bpm), 6) as min_bpm, round(max(bpm), 6) as max_bpm from fs group by 1""",
+    recursive=True,
+)
+def classified_rate(spark, sf):
+    found = metrics.rate_series(classify.beats_of(classify.analyse(adapter.prepared(spark, sf))))
+    return out(metrics.summary(found), "recording_id", "n_points", avg_bpm="avg_bpm", min_bpm="min_bpm", max_bpm="max_bpm")
