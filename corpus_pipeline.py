@@ -1,7 +1,13 @@
 """A corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, tokenisation.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's
-``docs``. All but the last return the columns of ``documents``.
+``docs``. All but the last return the columns of ``documents``, and whatever other columns came with them.
+
+Odd rows: a null or empty text has no words, so the quality rules drop it; further on, null and empty texts pass all
+stages unchanged and get no tokens. A row with a null doc_id is never removed as a repetition, a near duplicate or by
+the draw. Rows of one doc_id with different texts are judged, deduplicated and drawn one by one; rows that are equal in
+doc_id and text stay or go together. Of near duplicates the least doc_id stays. Very long texts are taken whole, and an
+empty table stays empty.
 """
 
 from __future__ import annotations
