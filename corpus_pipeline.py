@@ -12,7 +12,7 @@ empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pcgspark.llm import bpe, jaccard_join, line_dedup, mixing, quality
@@ -56,8 +56,8 @@ def shares(drawn: DataFrame) -> DataFrame:
     """(domain, before, after): shares of the tokens by posterior's best domain, before and after the draw."""
     tokens = F.sum("tokens"), F.sum(F.when(F.col("stays"), F.col("tokens")).otherwise(0))
     by = drawn.groupBy("domain").agg(tokens[0].alias("before"), tokens[1].alias("after"))
-    every = by.agg(F.sum("before").alias("__b"), F.sum("after").alias("__a"))
-    return by.crossJoin(F.broadcast(every)).select("domain", (F.col("before") / F.col("__b")).alias("before"), (F.col("after") / F.col("__a")).alias("after"))
+    whole = Window.partitionBy(F.lit(1))  # a row for each domain
+    return by.select("domain", *[(F.col(c) / F.sum(c).over(whole)).alias(c) for c in ("before", "after")])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
