@@ -118,4 +118,7 @@ TOO_SOON_TEXT = "Rejected Lone S1: Forward check failed (Implies {:.0f} BPM)"
 VALID_TEXT = "Validated Lone S1: Confidence {:.3f} >= Threshold {:.2f}. ({}, Weights: Rhythm={:.2f}, Amplitude={:.2f}, Final={:.3f})"
 PAIRING_TITLE, PAIRING_ABSENT, LONE_TITLE = "- S1-S2 pairing decision:", "    - No details available.", "- Lone S1 decision:"
 WEIGHTED_TITLE, WEIGHTED_ROWS = "\t- Weighted Calculation:", ("\t\t- Rhythm: %.2f × %.2f = %.3f", "\t\t- Amplitude: %.2f × %.2f = %.3f", "\t\t- Final: %.3f + %.3f = %.3f")
+# Separators before the rest of a label; the first in this order that occurs counts.
+SEPARATORS = (". Pairing Justification: ", ". Rejection: ", ". Original: ", ". ")
+UNKNOWN_PEAK = "Unknown Peak"
 FINAL_ROW = "- Final Score: Confidence %.3f %s %.2f -> %s"

@@ -9,7 +9,7 @@ from pcgspark.functions import exprs as X
 from pcgspark.operators import align, classify, metrics, peaks, rolling
 from pcgspark.operators import labels as lab
 from pcgspark.operators import signal as sig
-from pcgspark.functions.reasons import split_record
+from pcgspark.functions.reasons import label_head, split_record
 from pcgspark.plans import adapter
 from pcgspark.plans.adapter import SQL, beats, interp_sql, labels, series, signal
 from pcgspark.params import AMPLITUDE_KNOTS, AMPLITUDE_SCORES, DEFAULTS, DEVIATION_KNOTS, HIGH_RATE_CURVE, LOW_RATE_CURVE, RHYTHM_KNOTS, RHYTHM_SCORES
@@ -509,6 +509,19 @@ def reason_split(spark, sf):
     return rows.select("recording_id", "idx", "peak_type", F.col("x")[0].tag.alias("tag"), F.concat_ws("|", F.col("x")[0].detail, F.col("x")[1].tag).alias("detail"))
 
 
+_HEAD = "event_type || case idx % 5 when 0 then '. Rejection: x. y' when 1 then '. Pairing Justification: a. Rejection: b' when 2 then '. plain' when 3 then ' ' else '. Original: z' end"
+
+
+@query(
+    f""", t as (select recording_id, idx, case when idx % 11 = 0 then '' else {_HEAD} end as label from signal)
+select recording_id, idx, case when label = '' then 'Unknown Peak' else trim(split_part(case when contains(label, '. Pairing Justification: ') then split_part(label, '. Pairing Justification: ', 1)
+  when contains(label, '. Rejection: ') then split_part(label, '. Rejection: ', 1) when contains(label, '. Original: ') then split_part(label, '. Original: ', 1) else label end, '. ', 1)) end as peak_type from t"""
+)
+def label_heads(spark, sf):
+    rows = signal(spark, sf).withColumn("label", F.when(F.col("idx") % 11 == 0, "").otherwise(F.expr(_HEAD)))
+    return rows.select("recording_id", "idx", label_head("label").alias("peak_type"))
+
+
 @query("select recording_id, idx, printf('%02d:%02d', cast(floor(t_sec) as bigint) // 60, cast(floor(t_sec) as bigint) % 60) as clock from signal")
 def clock_rendering(spark, sf):
     return signal(spark, sf).select("recording_id", "idx", X.clock("t_sec").alias("clock"))

@@ -419,3 +419,24 @@ select cast(recording_id as varchar) as recording_id, count(*) as n_points, roun
 def classified_rate(spark, sf):
     found = metrics.rate_series(classify.beats_of(classify.analyse(adapter.prepared(spark, sf))))
     return out(metrics.summary(found), "recording_id", "n_points", avg_bpm="avg_bpm", min_bpm="min_bpm", max_bpm="max_bpm")
+
+
+@query(
+    _CORRECTED
+    + f""", ft as (select recording_id, cast(round(t * 1e6) as bigint) as us from b{ROUNDS} join pk using (recording_id, k)),
+fr as (select *, (us - lag(us) over (partition by recording_id order by us)) / 1e6 as rr from ft),
+fs as (select recording_id, us, avg(60.0 / rr) over (partition by recording_id order by us range between 2499999 preceding and 2500000 following) as bpm from fr where rr > 1e-6)
+select cast(recording_id as varchar) as recording_id, string_agg(printf('| %.2f | %.1f |', us / 1e6, bpm), chr(10) order by us) as rates from fs group by 1""",
+    recursive=True,
+)
+def report_rates(spark, sf):
+    """The rate table of the written report."""
+    from pcgspark.plans import analysis
+
+    prepared = adapter.prepared(spark, sf)
+    analyses = classify.analyse(prepared)
+    beats = classify.beats_of(analyses)
+    rated = metrics.rate_series(beats)
+    found = analysis.report(analysis.Analysis(prepared, analyses, beats, rated, metrics.hrv_windows(beats), metrics.turning_points(rated), P))
+    table = F.substring_index("value", "|---|---|\n", -1)
+    return found.filter(F.col("value").contains("## Rate")).select("recording_id", table.alias("rates"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pcgspark import schema
-from pcgspark.sources.wav import SUFFIXES
+from pcgspark.sources.wav import SUFFIXES, recording_id
 
 BY = ("recording_id",)
 
@@ -30,6 +30,13 @@ def is_recording(path: str = "path"):
     return F.lower(F.col(path)).rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$")
 
 
+def list_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """recording_id, path, length and modificationTime of files with an accepted suffix, in any case, under a folder; their
+    content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return found.filter(is_recording()).select(recording_id().alias("recording_id"), "path", "length", "modificationTime")
+
+
 def read_settings(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """recording_id, start_bpm_hint of ``<id>_Analysis_Settings.json`` files; a corrupt file gives no hint."""
     rows = _lookup(spark.read.option("multiLine", "true").option("mode", "PERMISSIVE"), "*_Analysis_Settings.json", folders).schema(schema.SETTINGS).json(path)

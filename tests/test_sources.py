@@ -40,6 +40,14 @@ def test_reading_folders(spark, tmp_path):
     assert [r["recording_id"] for r in got] == ["a"] and len(got[0]["samples"]) == 2
 
 
+def test_discovery(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.wav", "b.MP3", "in/c.Flac", "d.txt", "e"):
+        (tmp_path / name).write_bytes(b"xy")
+    got = tables.list_recordings(spark, str(tmp_path)).collect()
+    assert sorted((r["recording_id"], r["length"]) for r in got) == [("a", 2), ("b", 2), ("c", 2)]
+
+
 def test_fallback(spark):
     done = spark.createDataFrame([("a_filtered_debug", 1)], "recording_id string, v int")
     plain = spark.createDataFrame([("a", 2), ("b", 3)], "recording_id string, v int")
