@@ -101,8 +101,8 @@ def _prepared(batches: Iterator, p: Params, filter_first: bool, raw: bool) -> It
 def prepare(recordings: DataFrame, p: Params = DEFAULTS, filter_first: bool = False, raw: bool = False) -> DataFrame:
     """Envelope, floor, troughs and raw peaks of each recording (a row each). A recording that fails has its reason in
     ``status`` and the others go on. ``raw``: the samples are taken as they are, without decimation and filter. With
-    ``save_filtered_wav`` the band-passed signal comes along for the debug file. Spark cuts Arrow batches by bytes
-    (``spark.sql.execution.arrow.maxBytesPerBatch``), so few whole recordings are in a worker at once."""
+    ``save_filtered_wav`` the band-passed signal comes along for the debug file. Arrow batches are cut by bytes, so few
+    whole recordings are in a worker at once."""
     ship(recordings.sparkSession)
     rows = recordings.select(F.col("recording_id").cast("string").alias("recording_id"), "sample_rate", "samples")
     return rows.mapInPandas(lambda it: _prepared(it, p, filter_first, raw), schema.ENVELOPES)
