@@ -79,8 +79,7 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Workers get the package. Arrow batches are bounded by Spark, in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``,
-    64 MB by default), and kernels take them in slices; no setting of the session is changed."""
+    """Workers get the package, and Arrow batches a bound in bytes; a longer text stands alone in its batch."""
     ship(spark)
 
 
