@@ -44,6 +44,7 @@ from pcgspark.llm.common import Scratch, bounded_batches, slices
 from pcgspark.llm.components import components
 from pcgspark.llm.wordkernel import U64, find_words, mix, raw, window_hash
 
+SLICE_BYTES = 1 << 20  # text that a kernel takes at once; its arrays are some fifty times as large
 LOCAL = 8  # members of a segment in one slice of texts from which on the task sends one and holds the others back
 REMEMBERED = 1 << 20  # copies and held segments that a task remembers; beyond it sends more rows than it need
 SURPLUS = 15  # per cent of segments beyond the needed ones
@@ -321,7 +322,7 @@ class Join:
 
             of_task = kernel(TaskContext.get().partitionId())
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=SLICE_BYTES):
                     yield of_task(part)
 
         return self.keep(rows.mapInArrow(run, schema))
