@@ -40,11 +40,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pcgspark/{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back; cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet into the shared scratch folder and read it back; cuts lineage and survives lost executors.
+    Nobody reads the shuffles behind a stored table again, so their files go when it is written."""
     spark = df.sparkSession
     path = path or scratch_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
