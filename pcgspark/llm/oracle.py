@@ -44,4 +44,29 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id
 from d left join n using (doc_id) join r on r.a = d.doc_id group by 1, 2
 """
 
-ORACLE = {"op5_quality_rules": OP5, "op6_jaccard_join": OP6}
+OP12 = r"""
+with d as (select row_number() over () as d, coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
+p as (select d, lang, unnest(pieces) as piece, unnest(range(len(pieces))) as p from d),
+v as (select d, lang, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+w as (select d, lang, p, unnest(ws) as w1, unnest(range(len(ws))) as i from v),
+g as (select lang, w1, lead(w1) over o as w2, lead(w1, 2) over o as w3 from w window o as (partition by d, p order by i)),
+n as (select lang, count(*) as n from g group by 1),
+f1 as (select lang, w1, count(*) as f from g group by 1, 2),
+f2 as (select lang, w1, w2, count(*) as f from g where w2 is not null group by 1, 2, 3),
+f3 as (select lang, w1, w2, w3, count(*) as f from g where w3 is not null group by 1, 2, 3, 4),
+c3 as (select * from f3 where f >= 10),
+i2 as (select lang, w1, w2, max(f) as most from (select lang, w1, w2, f from c3 union all select lang, w2, w3, f from c3) group by 1, 2, 3),
+c as (select x.lang, x.w1 || ' ' || x.w2 as phrase, x.f as a, a1.f as l, b1.f as r, 1 as k
+      from f2 x join f1 a1 on a1.lang = x.lang and a1.w1 = x.w1 join f1 b1 on b1.lang = x.lang and b1.w1 = x.w2
+           left join i2 on i2.lang = x.lang and i2.w1 = x.w1 and i2.w2 = x.w2 where x.f >= 10 and (i2.most is null or 100 * i2.most < 50 * x.f)
+      union all select x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, a1.f, b2.f, 1
+      from c3 x join f1 a1 on a1.lang = x.lang and a1.w1 = x.w1 join f2 b2 on b2.lang = x.lang and b2.w1 = x.w2 and b2.w2 = x.w3
+      union all select x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, a2.f, b1.f, 2
+      from c3 x join f2 a2 on a2.lang = x.lang and a2.w1 = x.w1 and a2.w2 = x.w2 join f1 b1 on b1.lang = x.lang and b1.w1 = x.w3),
+s as (select *, cast(cast(a as hugeint) * a * 1000000 // (cast(l as hugeint) * r) as bigint) as score from c),
+m as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from m)
+select t.lang, rank, phrase, a, l, r, n.n, score from t join n on n.lang = t.lang where rank <= 2000
+"""
+
+ORACLE = {"op5_quality_rules": OP5, "op6_jaccard_join": OP6, "op12_collocations": OP12}

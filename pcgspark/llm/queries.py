@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pcgspark.llm import bpe, jaccard_join, langid, line_dedup, mixing, quality, spotsigs, token_counts, toxicity, url_filter
+from pcgspark.llm import bpe, collocations, jaccard_join, langid, line_dedup, merge_bpe, mixing, quality, spotsigs, token_counts, toxicity, url_filter
 from pcgspark.llm.common import table
 from pcgspark.llm.oracle import ORACLE
 
@@ -68,6 +68,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_bpe.round_trip(table(spark, sf_dir, "documents"), merge_bpe.Vocabulary(tokenizer_file("byte_bpe_50k.json")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe, pipeline, spotsigs_pairs)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_language_id, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_toxicity, op9_spotsigs, op10_byte_bpe, op11_merge_bpe, op12_collocations, pipeline, spotsigs_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
