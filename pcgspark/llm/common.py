@@ -63,10 +63,19 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
+        self.of: dict[int, str] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.paths.append(scratch_dir(self.spark))
-        return materialise(df, self.paths[-1])
+        stored = materialise(df, self.paths[-1])
+        self.of[id(stored)] = self.paths[-1]
+        return stored
+
+    def drop(self, stored: DataFrame) -> None:
+        """Deletes a table that is not read again, before the run ends."""
+        path = self.of.pop(id(stored))
+        self.paths.remove(path)
+        remove(self.spark, [path])
 
     def result(self, df: DataFrame) -> DataFrame:
         return materialise(df)

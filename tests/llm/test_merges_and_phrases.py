@@ -143,5 +143,14 @@ def test_no_phrases(spark, empty, docs_of):
 def test_lists_are_vertical(spark, docs_of):
     """A word has one list in a block, in order, and its length is its count."""
     with Scratch(spark) as keep:
-        lists = keep(collocations.word_lists(docs_of(["x y x", "x. y"]).coalesce(1))).collect()
-        assert {r["word"]: (r["n"], r["places"]) for r in lists} == {"x": (3, [1, 3, 5]), "y": (2, [2, 7])}
+        rows = keep(collocations.word_lists(docs_of(["x y x", "x. y"]).coalesce(1))).orderBy("g", "data").collect()
+    counts, places = collocations.unpack(next(r["data"] for r in rows if r["data"]))
+    lists = dict(zip([r["word"] for r in rows if r["word"]], np.split(places, np.cumsum(counts)[:-1]), strict=True))
+    assert {w: x.tolist() for w, x in lists.items()} == {"x": [1, 3, 5], "y": [2, 7]} and {r["word"]: r["n"] for r in rows if r["word"]} == {"x": 3, "y": 2}
+
+
+def test_one_exchange_for_counting_and_looking_up(spark, docs_of):
+    with Scratch(spark) as keep:
+        lists = keep(collocations.word_lists(docs_of(["x y x", "x. y"]))).filter("data is null")
+        tagged = collocations._tagged(lists, ["lang", "word"], 2)
+        assert len(tagged.collect()) == 4 and "ReusedExchange" in tagged._jdf.queryExecution().executedPlan().toString()
