@@ -60,6 +60,20 @@ def time_mean(x: ColumnOr, micros: str, seconds: float, by=BY) -> Column:
     return F.avg(col(x)).over(Window.partitionBy(*by).orderBy(micros).rangeBetween(-half + 1, half))
 
 
+def piece_of(at: Column, length: int) -> Column:
+    """Number of the piece of an integer place, exact and rounded down."""
+    return F.call_function("div", at - F.pmod(at, F.lit(length)), F.lit(length))
+
+
+def in_pieces(rows: DataFrame, at: str, length: int, before: int, after: int, piece: str = "piece", own: str = "own") -> DataFrame:
+    """Cuts a series at multiples of ``length`` of its integer axis, so that one series is worked on in many tasks: adds its
+    ``piece`` and whether the row is the piece's ``own``. Rows up to ``before`` ahead of a piece or ``after`` behind it stand
+    in that piece too, so frames of that reach are whole for own rows; filter by ``own`` after them."""
+    pieces = F.sequence(piece_of(F.col(at) - after, length), piece_of(F.col(at) + before, length))
+    cut = rows.withColumn(piece, F.explode(F.when(F.col(at).isNotNull(), pieces)))
+    return cut.withColumn(own, F.col(piece) == piece_of(F.col(at), length))
+
+
 def fill_forward(x: ColumnOr, by=BY, order=ORDER) -> Column:
     return F.last(col(x), ignorenulls=True).over(window(by, order).rowsBetween(Window.unboundedPreceding, 0))
 

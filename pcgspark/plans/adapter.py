@@ -11,8 +11,11 @@ SCALE = 60_000
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def signal_of(events: DataFrame) -> DataFrame:
     """recording_id, event_id, event_type, amp, idx (from 0), t_us, t_sec."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("recording_id")
     rows = events.select(F.col("user_id").alias("recording_id"), "event_id", "event_type", F.col("value").alias("amp"), "ts")
     rows = rows.withColumns({"first_ts": F.min("ts").over(w), "idx": F.row_number().over(w.orderBy("ts", "event_id")).cast("bigint") - 1})

@@ -593,7 +593,7 @@ def outcome_counts(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from pcgspark.plans import files, tracked  # noqa: F401 (they register theirs)
+    from pcgspark.plans import files, jobs, tracked  # noqa: F401 (they register theirs)
 
     return dict(QUERIES)
 

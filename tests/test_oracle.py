@@ -21,7 +21,7 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "orders", "pages"):
+    for t in ("events", "orders", "pages", "documents"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
