@@ -133,20 +133,19 @@ def grown(data: bytes, ids: tuple[np.ndarray, np.ndarray], frequent: list[np.nda
     counts, places = unpack(data)
     id_of = np.full(len(counts), -1)
     id_of[ids[0]] = ids[1]
-    word = np.repeat(id_of, counts)
-    at, word = places[word >= 0], word[word >= 0]
-    order = np.argsort(at, kind="stable")
-    at, word = at[order], word[order]
-    some, ending = np.unique(word, return_inverse=True)
-    place, phrase, words = at, ending, some[:, None]
+    of_place = np.full(places.max(initial=-1) + 1, -1, np.int32)  # the lists side by side, in order of place
+    of_place[places] = np.repeat(np.where(id_of >= 0, np.arange(len(counts)), -1), counts)
+    at = np.flatnonzero(of_place >= 0)
+    ending = of_place[at].astype(np.int64)
+    place, phrase, words = at, ending, id_of[:, None]
     for length, chosen in enumerate([*frequent, None], 1):
         there, met = _on(place + length, at)
         if length > 1:
             there &= _on(place + 1, place)[0]
         place, phrase, last = place[there], phrase[there], ending[met[there]]
-        order, starts, counts = _runs(phrase * max(1, len(some)) + last)
+        order, starts, counts = _runs(phrase * len(id_of) + last)
         one = order[starts]
-        words = np.column_stack((words[phrase[one]], some[last[one]]))
+        words = np.column_stack((words[phrase[one]], id_of[last[one]]))
         if chosen is not None:
             number = np.full(len(counts), -1)
             number[chosen] = chosen
@@ -186,16 +185,15 @@ def _grow(lists: DataFrame, tags: list[DataFrame]) -> DataFrame:
 
 
 def _tagged(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """(block, g, id, a, key) of the lists of frequent keys. A key's id is the number of its first list; only that one's row
-    has a frequency a and the key, so these rows are the table of keys. Counting and looking up share one exchange, for
+    """(block, g, id, a, key) of the lists of frequent keys. A key's id is its least number of a list; only the row of
+    the first block has a frequency a and the key, so these rows are the table of keys. Counting and looking up share one exchange, for
     which both use all columns. A key has a row for each block at most, and the count of a key is one row of the join."""
     dealt = rows.select("block", "g", *key, "n").repartition(*key)
-    first = F.min(F.struct("block", "g"))
-    counted = dealt.groupBy(*key).agg(F.sum("n").alias("__a"), first.alias("__first")).filter(F.col("__a") >= least)
+    counted = dealt.groupBy(*key).agg(F.sum("n").alias("__a"), F.min("block").alias("__block"), F.min("g").alias("id")).filter(F.col("__a") >= least)
     met = dealt.join(counted.hint("merge"), key)
-    own = F.struct("block", "g") == F.col("__first")
+    own = F.col("block") == F.col("__block")  # a key has one list in a block
     # a is at least n; the n in it keeps the two sides alike
-    return met.select("block", "g", F.col("__first.g").alias("id"), F.when(own, F.greatest("__a", "n")).alias("a"), *[F.when(own, F.col(c)).alias(c) for c in key])
+    return met.select("block", "g", "id", F.when(own, F.greatest("__a", "n")).alias("a"), *[F.when(own, F.col(c)).alias(c) for c in key])
 
 
 # -- phrases ----------------------------------------------------------------------------------------------------------
