@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pcgspark.llm.bpe import PATTERN
 from pcgspark.llm.common import bounded_batches, column_kernel, free_name
 
-MEMO, MEMO_CHARS = 1 << 18, 128  # entries of the memo, which is emptied when full, and characters of a piece in it
+MEMO, MEMO_CHARS = 1 << 18, 128  # entries of the memo, which is put away when full, in place of the older one, and characters of a piece in it
 LAZY = 1 << 20  # characters of a text from which pieces are not listed at once
 # Letters and digits of Unicode 17 and later, which the vocabulary's library takes for other characters.
 NEWER = (
@@ -62,8 +63,10 @@ class MergeBpe:
 
         letters = byte_letters()
         of_letter = {c: bytes([b]) for b, c in enumerate(letters)}
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.merged = [vocab[a + b] for a, b in merges]
         self.symbols = [vocab.get(c) for c in letters]
+        self.all_bytes = None not in self.symbols
         self.bytes = [b""] * (max([*vocab.values(), *added.values()], default=-1) + 1)
         for word, i in [*vocab.items(), *added.items()]:
             self.bytes[i] = b"".join(of_letter[c] for c in word) if all(c in of_letter for c in word) else word.encode()
@@ -75,48 +78,59 @@ class MergeBpe:
         self.strict = regex.compile(strict, regex.V1)
         self.newer = regex.compile(f"[{NEWER}]")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- one piece ----------------------------------------------------------------------------------------------
     def merge(self, symbols: list[int]) -> list[int]:
-        pairs, n = self.pairs, len(symbols)
+        """An entry of the queue is rank * n + place, so it is a number, and the least is the leftmost of the least rank."""
+        rank, merged, n = self.rank.get, self.merged, len(symbols)
         symbols = list(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))  # n: the end
-        queue = [(found[0], i) for i in range(n - 1) if (found := pairs.get((symbols[i], symbols[i + 1])))]
+        rank_at = [rank(pair, -1) for pair in zip(symbols, symbols[1:])]  # of the pair that begins at a place, now
+        queue = [r * n + i for i, r in enumerate(rank_at) if r >= 0]
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        rank_at.append(-1)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))  # n: the end
         while queue:
-            rank, i = heapq.heappop(queue)
-            j = after[i]
-            if j == n or (found := pairs.get((symbols[i], symbols[j]))) is None or found[0] != rank:
+            r, i = divmod(heapq.heappop(queue), n)
+            if rank_at[i] != r:
                 continue  # stale: that pair is gone
-            symbols[i], symbols[j] = found[1], -1
+            j = after[i]
+            symbols[i], symbols[j] = (s := merged[r]), -1
             after[i] = k = after[j]
-            after[j] = n
+            rank_at[i] = rank_at[j] = -1
             if k < n:
                 before[k] = i
-                if found := pairs.get((symbols[i], symbols[k])):
-                    heapq.heappush(queue, (found[0], i))
-            if (h := before[i]) >= 0 and (found := pairs.get((symbols[h], symbols[i]))):
-                heapq.heappush(queue, (found[0], h))
+                rank_at[i] = r = rank((s, symbols[k]), -1)
+                if r >= 0:
+                    heapq.heappush(queue, r * n + i)
+            if (h := before[i]) >= 0:
+                rank_at[h] = r = rank((symbols[h], s), -1)
+                if r >= 0:
+                    heapq.heappush(queue, r * n + h)
         return [s for s in symbols if s >= 0]
 
     def piece(self, piece: str, newer: bool = False) -> bytes:
         """The ids of one piece as little-endian words of four bytes. A byte without a symbol is left out."""
-        if not newer and self.newer.search(piece):
+        if not newer and not piece.isascii() and self.newer.search(piece):
             raise _NewerLetter
-        ids = self.merge([s for b in piece.encode() if (s := self.symbols[b]) is not None])
-        packed = np.array(ids, "<u4").tobytes()
+        if (packed := self.older.get(piece)) is None:
+            symbols = list(map(self.symbols.__getitem__, piece.encode()))
+            ids = self.merge(symbols if self.all_bytes else [s for s in symbols if s is not None])
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MEMO_CHARS and not newer:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = packed
         return packed
 
     # -- texts ----------------------------------------------------------------------------------------------------
     def _part(self, text: str) -> bytes:
-        known, one = self.memo.get, self.piece
+        one = self.piece
         found: Iterator[str] = self.find.findall(text) if len(text) < LAZY else (m[0] for m in self.find.finditer(text))
         try:
-            return b"".join([known(p) or one(p) for p in found])
+            return b"".join([self.memo.get(p) or one(p) for p in found])
         except _NewerLetter:
             return b"".join(self.piece(m[0], True) for m in self.strict.finditer(text))
 
