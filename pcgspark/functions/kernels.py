@@ -27,18 +27,42 @@ def bandpass(rate: float, low: float = LOW_HZ, high: float = HIGH_HZ, order: int
     return np.real(gain * np.poly(z_zeros)), np.real(np.poly(z_poles))
 
 
+STRIDE = 64  # samples of a stretch, of which many are filtered side by side
+
+
+def transition(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(M, B) of the filter's state, which a sample x takes from z to M z + B x; the output is b0 x + z0."""
+    m = np.eye(len(a) - 1, k=1)
+    m[:, 0] -= a[1:]
+    return m, b[1:] - a[1:] * b[0]
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Output and last state of the transposed direct form II, from a state.
+
+    A stretch of samples is an affine map of the state. Stretches are filtered side by side from a state of zero, their maps
+    are applied one after another, and what a stretch's true state adds to its output comes from a table of powers."""
+    m, gain = transition(b, a)
+    n = len(x) // STRIDE
+    y, z = np.empty(len(x)), np.asarray(state, float)
+    if n:
+        side, own, seen = x[: n * STRIDE].reshape(n, STRIDE), np.zeros((n, len(gain))), np.empty((STRIDE, len(gain)))
+        out, power = np.empty_like(side), np.eye(len(gain))
+        for t in range(STRIDE):
+            out[:, t] = b[0] * side[:, t] + own[:, 0]
+            own = own @ m.T + np.outer(side[:, t], gain)
+            seen[t], power = power[0], m @ power
+        states = np.empty((n, len(gain)))
+        for k in range(n):
+            states[k], z = z, power @ z + own[k]
+        y[: n * STRIDE] = (out + states @ seen.T).ravel()
+    for i in range(n * STRIDE, len(x)):
+        y[i], z = b[0] * x[i] + z[0], m @ z + gain * x[i]
+    return y, z
+
+
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II transposed, from a state."""
-    y = np.empty_like(x)
-    z = list(state) + [0.0]
-    coefficients = list(zip(b[1:].tolist(), a[1:].tolist(), strict=True))
-    b0 = float(b[0])
-    for i, v in enumerate(x.tolist()):
-        out = b0 * v + z[0]
-        for j, (bj, aj) in enumerate(coefficients):
-            z[j] = bj * v - aj * out + z[j + 1]
-        y[i] = out
-    return y
+    return filtered(b, a, np.asarray(x, float), state)[0]
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -128,10 +152,14 @@ def find_peaks(x: np.ndarray, height: np.ndarray | float | None = None, prominen
     return peaks
 
 
+def decimation(rate: int, p: Params = DEFAULTS) -> int:
+    """The factor, lowered where it would leave too few samples for the pass band."""
+    return min(p.downsample_factor, max(1, int(rate / 300 - 1)))
+
+
 def envelope_of(samples: np.ndarray, rate: int, p: Params = DEFAULTS, filter_first: bool = False) -> tuple[np.ndarray, int, np.ndarray]:
     """The decimated, band-passed, rectified and smoothed signal, its rate, and the signal before it is rectified."""
-    longest = int(rate / 300 - 1)
-    k = p.downsample_factor if p.downsample_factor <= longest else max(1, longest)
+    k = decimation(rate, p)
     if filter_first:
         samples = filtfilt(*bandpass(rate), np.asarray(samples, float))[::k]
     new_rate = rate // k

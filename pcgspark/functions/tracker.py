@@ -11,14 +11,9 @@ import pandas as pd
 from pcgspark.params import (
     AMPLITUDE_KNOTS,
     AMPLITUDE_SCORES,
-    BASE_TEXT,
-    BOOST_TEXT,
     DEFAULTS,
     DEVIATION_KNOTS,
-    FIRST_BEAT,
-    FIT_TEXT,
     HIGH_RATE_CURVE,
-    INTERVAL_TEXT,
     LONE_S1,
     LONE_S1_CASCADE,
     LONE_S1_LAST,
@@ -26,7 +21,6 @@ from pcgspark.params import (
     NOISE,
     ORIGINAL,
     PAIRED_BECAUSE,
-    PENALTY_TEXT,
     REJECTED_BECAUSE,
     RHYTHM_KNOTS,
     RHYTHM_SCORES,
@@ -34,17 +28,18 @@ from pcgspark.params import (
     S1_PAIRED,
     S2_FROM_GAP,
     S2_PAIRED,
-    SCORE_TEXT,
-    STABILITY_TEXT,
-    TOO_LOW_TEXT,
-    TOO_SOON_TEXT,
     UNPAIRED_BECAUSE,
     VALID_BECAUSE,
-    VALID_TEXT,
     Params,
 )
 
 TINY = 1e-9
+#: A step of a decision: its kind and up to three numbers (see ``reasons``).
+Step = tuple[str, float | None, float | None, float | None]
+
+
+def step_of(kind: str, by: float | None = None, of: float | None = None, against: float | None = None) -> Step:
+    return (kind, *[None if x is None else float(x) for x in (by, of, against)])
 
 
 @dataclass
@@ -66,7 +61,7 @@ class Peak:
 class Verdict:
     idx: int
     kind: str
-    reasons: list[tuple[str, str]] = field(default_factory=list)
+    reasons: list[tuple[str, str | None, list[Step]]] = field(default_factory=list)  # tag, note, steps
     confidence: float | None = None
 
 
@@ -95,29 +90,29 @@ class Tracker:
         """Whether of the last four beats three or more are lone ones with noise right after them."""
         return len(self.lone) == self.lone.maxlen and sum(x == 2 for x in self.lone) >= 3
 
-    def pair_confidence(self, a: Peak, b: Peak) -> tuple[float, str]:
+    def pair_confidence(self, a: Peak, b: Peak) -> tuple[float, list[Step]]:
         p = self.params
         rate = np.clip((self.bpm - p.contractility_bpm_low) / (p.contractility_bpm_high - p.contractility_bpm_low), 0, 1)
         low, high = (np.interp(a.dev, DEVIATION_KNOTS, c) for c in (LOW_RATE_CURVE, HIGH_RATE_CURVE))
         conf = low + (high - low) * rate
-        said = [BASE_TEXT.format(rate, conf)]
+        said = [step_of("base", conf, rate)]
         if self.beats >= 5:
             paired = self.pairing_ratio()
             factor = np.interp(paired, (0, 1), (p.stability_confidence_floor, p.stability_confidence_ceiling))
             conf *= factor
-            said.append(STABILITY_TEXT.format(factor, paired))
+            said.append(step_of("stability", factor, paired))
         recovering = self.recovery is not None and self.recovery[0] < a.t < self.recovery[1]
         expected = np.interp(max(self.bpm, p.contractility_bpm_low) if recovering else self.bpm, (p.contractility_bpm_low, p.contractility_bpm_high), (p.s2_s1_ratio_low_bpm, p.s2_s1_ratio_high_bpm))
         ratio = b.strength / (a.strength + TINY)
         if ratio > expected:
             cut = p.penalty_amount_min + np.clip((ratio / expected - 1) / 2, 0, 1) * (p.penalty_amount_max - p.penalty_amount_min)
             conf -= cut
-            said.append(PENALTY_TEXT.format(cut, ratio, expected))
+            said.append(step_of("penalty", cut, ratio, expected))
         elif a.strength > b.strength * p.s1_s2_boost_ratio:
             share = np.clip((a.strength / (b.strength + TINY) - p.s1_s2_boost_ratio) / (p.s1_s2_full_boost_ratio - p.s1_s2_boost_ratio), 0, 1)
             gain = p.boost_amount_min + share * (p.boost_amount_max - p.boost_amount_min)
             conf += gain
-            said.append(BOOST_TEXT.format(gain, a.strength / (b.strength + TINY)))
+            said.append(step_of("boost", gain, a.strength / (b.strength + TINY)))
         conf = 1.0 if np.isnan(conf) else float(min(1.0, max(0.0, conf)))  # an unknown deviation leaves nothing to doubt
         longest = min(p.s1_s2_interval_cap_sec, 60.0 / self.bpm * p.s1_s2_interval_rr_fraction)
         gap = b.t - a.t
@@ -125,27 +120,27 @@ class Tracker:
         if p.enable_interval_penalty and gap > longest and gap > start:
             cut = float(np.clip((gap - start) / (full - start + TINY), 0, 1)) * p.interval_max_penalty
             conf = max(0.0, conf - cut)
-            said.append(INTERVAL_TEXT.format(cut, gap, longest))
-        said.append(SCORE_TEXT.format(conf, p.pairing_confidence_threshold, "Paired" if conf >= p.pairing_confidence_threshold else "Not Paired"))
-        return conf, "\n- ".join(said)
+            said.append(step_of("interval", cut, gap, longest))
+        said.append(step_of("score", conf, None, p.pairing_confidence_threshold))
+        return conf, said
 
-    def lone_verdict(self, peak: Peak, following: Peak | None) -> tuple[bool, bool, float | None, str]:
-        """(valid, rejected by confidence, confidence, detail)."""
+    def lone_verdict(self, peak: Peak, following: Peak | None) -> tuple[bool, bool, float | None, list[Step]]:
+        """(valid, rejected by confidence, confidence, steps)."""
         p = self.params
         if self.last is None:
-            return True, False, None, FIRST_BEAT
+            return True, False, None, [step_of("first")]
         expected = 60.0 / self.bpm
         rhythm = np.interp(abs(peak.t - self.last.t - expected) / expected, RHYTHM_KNOTS, RHYTHM_SCORES)
         amplitude = np.interp(peak.strength / (self.last.strength + TINY), AMPLITUDE_KNOTS, AMPLITUDE_SCORES)
         conf = float(rhythm * p.lone_s1_rhythm_weight + amplitude * p.lone_s1_amplitude_weight)
-        fits = FIT_TEXT.format(rhythm, peak.t - self.last.t, expected, amplitude, peak.strength / (self.last.strength + TINY))
         least = p.lone_s1_confidence_threshold
+        said = [step_of("rhythm", rhythm, peak.t - self.last.t, expected), step_of("amplitude", amplitude, peak.strength / (self.last.strength + TINY)), step_of("lone", conf, None, least)]
         if conf < least:
-            return False, True, conf, TOO_LOW_TEXT.format(conf, least, fits)
+            return False, True, conf, said
         if following is not None and following.t - peak.t < expected * p.lone_s1_forward_check_pct and not peak.env > following.env * p.lone_s1_forward_amplitude_ratio:
             gap = following.t - peak.t
-            return False, False, conf, TOO_SOON_TEXT.format(60.0 / gap if gap > 0 else float("inf"))
-        return True, False, conf, VALID_TEXT.format(conf, least, fits, p.lone_s1_rhythm_weight, p.lone_s1_amplitude_weight, conf)
+            return False, False, conf, [step_of("soon", 60.0 / gap if gap > 0 else float("inf"))]
+        return True, False, conf, [*said, step_of("weights", p.lone_s1_rhythm_weight, p.lone_s1_amplitude_weight)]
 
     def _beat(self, peak: Peak, paired: bool) -> None:
         self.before, self.last = self.last, peak
@@ -174,15 +169,15 @@ class Tracker:
             if conf >= self.params.pairing_confidence_threshold:
                 self._beat(peak, True)
                 self.rejections = 0
-                out = [Verdict(x.idx, kind, [(PAIRED_BECAUSE, why)], conf) for x, kind in ((peak, S1_PAIRED), (following, S2_PAIRED))]
+                out = [Verdict(x.idx, kind, [(PAIRED_BECAUSE, None, why)], conf) for x, kind in ((peak, S1_PAIRED), (following, S2_PAIRED))]
             else:
                 out = [self._lone(peak, following, why)]
         self._believe()
         return out
 
-    def _lone(self, peak: Peak, following: Peak, why: str) -> Verdict:
-        valid, by_confidence, conf, detail = self.lone_verdict(peak, following)
-        reasons = [(UNPAIRED_BECAUSE, why), (VALID_BECAUSE if valid else REJECTED_BECAUSE, detail)]
+    def _lone(self, peak: Peak, following: Peak, why: list[Step]) -> Verdict:
+        valid, by_confidence, conf, steps = self.lone_verdict(peak, following)
+        reasons = [(UNPAIRED_BECAUSE, None, why), (VALID_BECAUSE if valid else REJECTED_BECAUSE, None, steps)]
         self.rejections = self.rejections + 1 if by_confidence and not valid else 0
         kind = LONE_S1 if valid else NOISE
         if not valid and self.rejections >= self.params.cascade_reset_trigger_count:
@@ -284,7 +279,7 @@ def fix_discontinuities(beats: list[Peak], peaks: list[Peak], verdicts: dict[int
             plausible = second.env / (first.env + TINY) < p.penalty_waiver_max_s2_s1_ratio
             if first.idx in noise and second.idx in noise and strong and plausible:
                 for x, kind in ((first, S1_FROM_GAP), (second, S2_FROM_GAP)):
-                    verdicts[x.idx] = Verdict(x.idx, kind, [(ORIGINAL, verdicts[x.idx].kind), *verdicts[x.idx].reasons], verdicts[x.idx].confidence)
+                    verdicts[x.idx] = Verdict(x.idx, kind, [(ORIGINAL, verdicts[x.idx].kind, []), *verdicts[x.idx].reasons], verdicts[x.idx].confidence)
                 added.append(first)
                 made += 1
                 break

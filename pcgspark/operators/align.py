@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pcgspark.operators.rolling import mirrored, next_known
+
 BY = ("recording_id",)
 
 
@@ -28,7 +30,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, value: str, into: s
     mark = F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("at"), F.col("v").alias("v")))
     w = Window.partitionBy(*by).orderBy(F.col(on), F.col("l").isNotNull())
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = next_known(mark, by, (on, F.col("l").isNotNull()), 1)
     out = stacked.withColumns({"b": before, "a": after}).filter("l is not null")
     db, da = F.col(f"l.{on}") - F.col("b.at"), F.col("a.at") - F.col(f"l.{on}")
     best = F.when(F.col("a").isNull() | (db <= da), F.when(db <= tolerance, F.col("b.v"))).otherwise(F.when(da <= tolerance, F.col("a.v")))
@@ -40,7 +42,7 @@ def interpolate_at(left: DataFrame, right: DataFrame, on: str, value: str, into:
     mark = F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("at"), F.col("v").alias("v")))
     w = Window.partitionBy(*by).orderBy(F.col(on), F.col("l").isNotNull())
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = next_known(mark, by, (on, F.col("l").isNotNull()), 1)
     out = _stacked(left, right, on, value, by).withColumns({"b": before, "a": after}).filter("l is not null")
     line = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * (F.col(f"l.{on}") - F.col("b.at")) / (F.col("a.at") - F.col("b.at"))
     return out.select("l.*", F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull(), F.col("b.v")).otherwise(line).alias(into))
@@ -72,8 +74,7 @@ def not_among(rows: DataFrame, known: DataFrame, on: str, by=BY) -> DataFrame:
 
 def first_following(rows: DataFrame, wanted: str, order: str, by=BY) -> DataFrame:
     """Adds ``following``: the struct of the next row for which the boolean column ``wanted`` holds."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("following", F.first(F.when(F.col(wanted), F.struct(*rows.columns)), ignorenulls=True).over(w))
+    return rows.withColumn("following", next_known(F.when(F.col(wanted), F.struct(*rows.columns)), by, (order,), 1))
 
 
 def inside_gaps(points: DataFrame, beats: DataFrame, order: str, by=BY) -> DataFrame:
@@ -84,7 +85,7 @@ def inside_gaps(points: DataFrame, beats: DataFrame, order: str, by=BY) -> DataF
     w = Window.partitionBy(*by).orderBy(order)
     out = rows.unionByName(marks)
     before = F.last("beat", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.first("beat", ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing))
+    after = F.last("beat", ignorenulls=True).over(mirrored(by, (order,)).rangeBetween(Window.unboundedPreceding, -1))
     same = F.count("beat").over(w.rangeBetween(0, 0))
     out = out.withColumns({"gap_start": before, "gap_end": after, "same": same}).filter("p is not null and same = 0 and gap_start is not null and gap_end is not null")
     return out.select("p.*", "gap_start", "gap_end")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pcgspark import schema
 from pcgspark.functions.shipping import ship
+from pcgspark.operators.blocks import spread
 from pcgspark.params import DEFAULTS, Params
 
 
@@ -31,7 +32,7 @@ def _analysed(batches, p: Params):
             out = []
             for x in peaks:
                 v = verdicts.get(x.idx)
-                reasons = [{"tag": a, "detail": b} for a, b in v.reasons] if v else []
+                reasons = [{"tag": tag, "note": note, "steps": [dict(zip(("kind", "by", "of", "against"), step, strict=True)) for step in steps]} for tag, note, steps in v.reasons] if v else []
                 out.append({"sample_idx": x.idx, "t_sec": x.t, "amp": x.env, "floor": x.floor, "peak_type": v.kind if v else None, "reasons": reasons, "confidence": v.confidence if v else None, "is_final_beat": x.idx in final})
             belief = [{"step_no": i, "t_sec": t, "bpm": b} for i, (t, b) in enumerate(history)]
             status = r.status if len(beats) >= 2 else "too few beats"
@@ -46,7 +47,7 @@ def analyse(prepared: DataFrame, settings: DataFrame | None = None, p: Params =
     rows = prepared.join(settings, "recording_id", "left") if settings is not None else prepared.withColumn("start_bpm_hint", F.lit(None).cast("double"))
     at_peaks = lambda c: F.transform("raw_peaks", lambda i: F.get(c, i.cast("int"))).alias(c)
     rows = rows.select("recording_id", "sample_rate", "status", "start_bpm_hint", "raw_peaks", at_peaks("env"), at_peaks("floor"))
-    return rows.mapInPandas(lambda it: _analysed(it, p), schema.ANALYSES)
+    return spread(rows, "recording_id").mapInPandas(lambda it: _analysed(it, p), schema.ANALYSES)
 
 
 def peaks_of(analyses: DataFrame) -> DataFrame:

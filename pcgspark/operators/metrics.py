@@ -68,8 +68,8 @@ def stable_intervals(beats: DataFrame) -> DataFrame:
 
 def slope_partners(series: DataFrame, seconds: float = 20) -> DataFrame:
     """Each point with the first one at least ``seconds`` later, and the slope to it."""
-    w = _w().rangeBetween(int(seconds * 1_000_000), Window.unboundedFollowing)
-    later = F.first(F.struct(F.col("t_us"), F.col("smoothed_bpm"))).over(w)
+    w = rolling.mirrored(BY, ("t_us",)).rangeBetween(Window.unboundedPreceding, -int(seconds * 1_000_000))
+    later = F.last(F.struct(F.col("t_us"), F.col("smoothed_bpm"))).over(w)
     out = series.withColumn("later", later).filter("later is not null")
     duration = (F.col("later.t_us") - F.col("t_us")) / 1e6
     return out.select(
@@ -150,40 +150,24 @@ def hrv_summary(windows: DataFrame) -> DataFrame:
     return windows.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_windows"), F.avg("rmssdc").alias("avg_rmssdc"), F.avg("sdnn").alias("avg_sdnn"))
 
 
-def _turning_points(pdf):
-    """Rows at peaks and troughs of one recording's smoothed rate."""
-    import numpy as np
-    import pandas as pd
-
-    from pcgspark.functions.kernels import find_peaks
-
-    pdf = pdf.sort_values("t_us")
-    t, x = pdf["t_us"].to_numpy() / 1e6, pdf["smoothed_bpm"].to_numpy()
-    mean = np.diff(t).mean() if len(t) > 1 else 0.0
-    distance = 5 if not mean else max(1, int(5 / mean))
-    out = []
-    for kind, sign in (("peak", 1), ("trough", -1)):
-        at = find_peaks(sign * x, prominence=5, distance=distance)
-        out.append(pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "t_us": pdf["t_us"].to_numpy()[at], "smoothed_bpm": x[at], "kind": kind}))
-    return pd.concat(out)
-
-
 def turning_points(series: DataFrame) -> DataFrame:
-    """Prominent peaks and troughs; distance selection is sequential, so each recording goes through a kernel."""
-    from pcgspark.functions.shipping import ship
+    """Prominent peaks and troughs of the smoothed rate, at least about five seconds apart."""
+    from pcgspark.operators import peaks
 
-    ship(series.sparkSession)
-    key = series.schema["recording_id"].dataType.simpleString()
-    return series.select(*BY, "t_us", "smoothed_bpm").groupBy(*BY).applyInPandas(_turning_points, f"recording_id {key}, t_us bigint, smoothed_bpm double, kind string")
+    part = Window.partitionBy(*BY)
+    rows = series.select(*BY, "t_us", "smoothed_bpm").withColumns({"__at": F.row_number().over(_w()).cast("bigint") - 1, "__gap": F.col("t_us") / 1e6 - F.lag(F.col("t_us") / 1e6).over(_w())})
+    mean = F.avg("__gap").over(part)
+    rows = rows.withColumn("__far", F.when(F.coalesce(mean, F.lit(0.0)) == 0, F.lit(5)).otherwise(F.greatest(F.lit(1), (F.lit(5) / mean).cast("int")))).drop("__gap")
+    out = [peaks.find_peaks(rows, "smoothed_bpm", "__at", prominence=5.0, distance="__far", negate=kind == "trough").select(*BY, "t_us", "smoothed_bpm", F.lit(kind).alias("kind")) for kind in ("peak", "trough")]
+    return out[0].unionByName(out[1])
 
 
 def major_changes(points: DataFrame, rising: bool, least_sec: float = 10, least_bpm: float = 15) -> DataFrame:
-    """From each trough to the next peak (or the reverse), if long and large enough; the steepest first."""
+    """From each trough to the next peak (or the reverse), if long and large enough, in no order."""
     start, end = ("trough", "peak") if rising else ("peak", "trough")
-    w = _w().rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("kind") == end, F.struct("t_us", "smoothed_bpm")), ignorenulls=True).over(w)
+    following = rolling.next_known(F.when(F.col("kind") == end, F.struct("t_us", "smoothed_bpm")), BY, ("t_us",), 1)
     out = points.withColumn("e", following).filter((F.col("kind") == start) & F.col("e").isNotNull())
     duration, change = (F.col("e.t_us") - F.col("t_us")) / 1e6, F.col("e.smoothed_bpm") - F.col("smoothed_bpm")
     out = out.select(*BY, (F.col("t_us") / 1e6).alias("start_sec"), (F.col("e.t_us") / 1e6).alias("end_sec"), F.col("smoothed_bpm").alias("start_bpm"), F.col("e.smoothed_bpm").alias("end_bpm"), duration.alias("duration_sec"), change.alias("change_bpm"), (change / duration).alias("slope"))
     size = F.col("change_bpm") if rising else -F.col("change_bpm")
-    return out.filter((F.col("duration_sec") >= least_sec) & (size >= least_bpm)).orderBy(*BY, F.desc("slope") if rising else F.asc("slope"), "start_sec")
+    return out.filter((F.col("duration_sec") >= least_sec) & (size >= least_bpm))

@@ -14,6 +14,17 @@ def window(by=BY, order=ORDER) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def mirrored(by=BY, order=ORDER) -> WindowSpec:
+    """``window`` in reverse order, in which what follows a row stands before it. Spark carries a frame that begins at the
+    partition's start from row to row, and computes one that ends at its end anew for each row."""
+    return Window.partitionBy(*by).orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order])
+
+
+def next_known(x: ColumnOr, by=BY, order=ORDER, ahead: int = 0) -> Column:
+    """The first value that is not null from ``ahead`` rows after the current one on."""
+    return F.last(col(x), ignorenulls=True).over(mirrored(by, order).rowsBetween(Window.unboundedPreceding, -ahead))
+
+
 def centred(width: int, by=BY, order=ORDER) -> WindowSpec:
     """``width`` rows around the current one; of an even width, one more before it."""
     return window(by, order).rowsBetween(-(width // 2), (width - 1) // 2)
@@ -48,12 +59,6 @@ def centred_mean_by_share(rows: DataFrame, x: str, into: str, share: float, leas
     return pair.select("__row.*", F.when(count > 0, total / count).alias(into))
 
 
-def centred_quantile(x: ColumnOr, q: float, width: int, least: int = 3, by=BY, order=ORDER) -> Column:
-    """Exact quantile of a centred frame; null with fewer than ``least`` values."""
-    frame = centred(width, by, order)
-    return F.when(F.count(col(x)).over(frame) >= least, F.percentile(col(x), F.lit(q)).over(frame))
-
-
 def time_mean(x: ColumnOr, micros: str, seconds: float, by=BY) -> Column:
     """Mean over the half-open time frame (t - s/2, t + s/2], on integer microseconds."""
     half = int(round(seconds * 1_000_000)) // 2
@@ -79,7 +84,7 @@ def fill_forward(x: ColumnOr, by=BY, order=ORDER) -> Column:
 
 
 def fill_backward(x: ColumnOr, by=BY, order=ORDER) -> Column:
-    return F.first(col(x), ignorenulls=True).over(window(by, order).rowsBetween(0, Window.unboundedFollowing))
+    return next_known(x, by, order)
 
 
 def fill_both(x: ColumnOr, by=BY, order=ORDER) -> Column:

@@ -1,7 +1,8 @@
 """From recordings to envelopes, noise floors and raw peaks.
 
-Sample-level tables (recording_id, idx, amp) use native functions. A recording's filter and floor are recurrences over
-all its samples, so these run in one Arrow task for each recording, next to each other: one pass, no shuffle.
+Sample-level tables (recording_id, idx, amp) use native functions and kernels over blocks of samples (``band_passed``,
+``floored``, ``raw_peaks``), so that a long recording spans many tasks. ``prepare`` gives the same for tables of whole short
+recordings, a row each, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pcgspark import schema
-from pcgspark.functions.exprs import ColumnOr, col, safe_decimation
+from pcgspark.functions import kernels
+from pcgspark.functions.exprs import ColumnOr, col, safe_decimation, sound_trough
 from pcgspark.functions.shipping import ship
-from pcgspark.operators import rolling
+from pcgspark.operators import blocks, peaks, rolling
 from pcgspark.params import DEFAULTS, Params
 
 BY = ("recording_id",)
@@ -60,41 +62,68 @@ def envelope(x: ColumnOr, width: int) -> Column:
     return rolling.centred_mean(F.abs(col(x)), width)
 
 
-def floor_from_troughs(trough: ColumnOr, at: str, width: int, q: float = DEFAULTS.noise_floor_quantile) -> list[Column]:
-    """The three steps of a floor through known troughs, each to be added to the table in turn: ``__line``, ``__q``, ``floor``."""
-    return [rolling.interpolate_gaps(trough, at).alias("__line"), rolling.centred_quantile("__line", q, width).alias("__q"), rolling.fill_both("__q").alias("floor")]
+def with_floor(rows: DataFrame, trough: str, width: int, q: float = DEFAULTS.noise_floor_quantile, into: str = "floor") -> DataFrame:
+    """Adds a floor through known troughs: the line between them, its exact rolling quantile in blocks, and its ends filled."""
+    line = rows.withColumn("__line", rolling.interpolate_gaps(trough, "idx"))
+    found = blocks.centred_quantile(line, "__line", "__q", q, width)
+    return found.select(*rows.columns, rolling.fill_both("__q").alias(into))
 
 
-def with_floor(rows: DataFrame, trough: str, width: int, q: float = DEFAULTS.noise_floor_quantile) -> DataFrame:
-    """Adds ``floor``; exact windowed percentiles, meant for short frames. Long recordings use ``prepare``."""
-    for c in floor_from_troughs(trough, "idx", width, q):
-        rows = rows.select("*", c)
-    return rows.drop("__line", "__q")
+def band_passed(samples: DataFrame, rate: int, p: Params = DEFAULTS) -> tuple[DataFrame, int]:
+    """(recording_id, idx, filtered) of the decimated and band-passed samples (recording_id, idx, amp) of recordings of one
+    rate, and the rate after decimation. A recording spans many tasks."""
+    factor = kernels.decimation(rate, p)
+    rows = decimate(samples, F.lit(factor)).withColumn("__hz", F.lit(rate // factor))
+    return blocks.band_pass(rows, "amp", "__hz"), rate // factor
+
+
+def floored(rows: DataFrame, rate: int, p: Params = DEFAULTS) -> DataFrame:
+    """Adds ``floor``, ``is_trough`` and ``peak_level`` to samples (recording_id, idx, env) of recordings of one rate. A draft
+    through all troughs judges them, and the rest make the floor, as in ``prepare``, with a recording in many tasks. Troughs
+    and peaks rise over quantiles of the envelope."""
+    width, distance = max(1, int(p.noise_window_sec * rate)), max(1, int(p.min_peak_distance_sec * rate))
+    levels = F.percentile("env", F.array(*[F.lit(q) for q in (p.trough_prominence_quantile, p.noise_floor_quantile, 0.1, p.peak_prominence_quantile)]))
+    known = rows.groupBy(*BY).agg(levels.alias("__q"))
+    known = known.select(*BY, F.col("__q")[0].alias("__trough_level"), F.col("__q")[1].alias("__flat"), F.col("__q")[2].alias("__low"), F.col("__q")[3].alias("peak_level"))
+    levelled = rows.join(known, [*BY])
+    found = peaks.find_peaks(levelled, "env", prominence="__trough_level", distance=distance, negate=True)
+    marked = levelled.join(found.select(*BY, "idx", F.lit(True).alias("__found")), [*BY, "idx"], "left").withColumn("__trough", F.when(F.col("__found"), F.col("env")))
+    draft = with_floor(marked, "__trough", width, p.noise_floor_quantile, "__draft")
+    judged = draft.withColumn("__sound", F.when(sound_trough("env", "__draft", p), F.col("__trough")))
+    final = with_floor(judged, "__sound", width, p.noise_floor_quantile, "__final")
+    part = Window.partitionBy(*BY)
+    counted = final.withColumns({"__n": F.count("__trough").over(part), "__kept": F.count("__sound").over(part)})
+    floor = F.coalesce(F.when(F.col("__n") < 5, F.col("__flat")).when(F.col("__kept") > 2, F.col("__final")).otherwise(F.col("__draft")), F.col("__low"))
+    trough = F.when(F.col("__n") < 5, F.col("__trough")).otherwise(F.col("__sound")).isNotNull()
+    return counted.select(*rows.columns, floor.alias("floor"), trough.alias("is_trough"), "peak_level")
+
+
+def raw_peaks(rows: DataFrame, rate: int, p: Params = DEFAULTS) -> DataFrame:
+    """The raw peaks among the rows of ``floored``."""
+    return peaks.find_peaks(rows, "env", height="floor", prominence="peak_level", distance=max(1, int(p.min_peak_distance_sec * rate)))
 
 
 def _prepared(batches: Iterator, p: Params, filter_first: bool, raw: bool) -> Iterator:
     import numpy as np
     import pandas as pd
 
-    from pcgspark.functions import kernels
-
     for pdf in batches:
         rows = []
         for rid, rate, samples in zip(pdf["recording_id"], pdf["sample_rate"], pdf["samples"], strict=True):
             rate = 0 if rate is None or rate != rate else int(rate)
-            status, env, floor, troughs, peaks, new_rate, passed = "ok", np.empty(0), np.empty(0), np.empty(0, int), np.empty(0, int), rate, None
+            status, env, floor, troughs, found, new_rate, passed = "ok", np.empty(0), np.empty(0), np.empty(0, int), np.empty(0, int), rate, None
             try:
                 if rate <= 0:
                     raise ValueError("no sample rate")
                 x = np.nan_to_num(np.asarray(samples if samples is not None else [], float))
                 env, new_rate, passed = (kernels.centred_mean(np.abs(x), rate // 10), rate, None) if raw else kernels.envelope_of(x, rate, p, filter_first)
                 floor, troughs = kernels.noise_floor(env, new_rate, p)
-                peaks = kernels.raw_peaks(env, floor, new_rate, p)
-                if len(peaks) < 2:
+                found = kernels.raw_peaks(env, floor, new_rate, p)
+                if len(found) < 2:
                     status = "too few peaks"
             except (ValueError, ZeroDivisionError, TypeError) as error:
                 status = str(error) or type(error).__name__
-            rows.append((rid, int(new_rate), len(env), env.tolist(), floor.tolist(), troughs.tolist(), peaks.tolist(), status, passed.tolist() if passed is not None and p.save_filtered_wav else None))
+            rows.append((rid, int(new_rate), len(env), env.tolist(), floor.tolist(), troughs.tolist(), found.tolist(), status, passed.tolist() if passed is not None and p.save_filtered_wav else None))
         yield pd.DataFrame(rows, columns=["recording_id", "sample_rate", "n_samples", "env", "floor", "troughs", "raw_peaks", "status", "filtered"])
 
 

@@ -97,7 +97,7 @@ PEAK_TYPES = (
 S1_PAIRED, S2_PAIRED, LONE_S1, LONE_S1_CASCADE, LONE_S1_LAST, NOISE_REJECTED, S1_FROM_GAP, S2_FROM_GAP, S2_FROM_CONFLICT = PEAK_TYPES
 NOISE = "Noise"
 
-# Tags of a peak's reasons, and the texts behind them. Reports take their numbers from these texts.
+# Tags of a peak's reasons, and the lines in which a report shows the numbers behind them.
 PAIRED_BECAUSE, UNPAIRED_BECAUSE, VALID_BECAUSE, REJECTED_BECAUSE, ORIGINAL = (
     "PAIRING_SUCCESS_REASON",
     "PAIRING_FAIL_REASON",
@@ -106,17 +106,17 @@ PAIRED_BECAUSE, UNPAIRED_BECAUSE, VALID_BECAUSE, REJECTED_BECAUSE, ORIGINAL = (
     "ORIGINAL_REASON",
 )
 FIRST_BEAT = "First beat"
-BASE_TEXT = "Base Conf (Blended Model {:.0%} High): {:.2f}"
-STABILITY_TEXT = "Stability Pre-Adjust: x{:.2f} (Pairing Ratio: {:.0%})"
-PENALTY_TEXT = "PENALIZED by {:.2f} (S2 Str. Ratio {:.1f}x > Expected {:.1f}x)"
-BOOST_TEXT = "BOOSTED by {:.2f} (S1 Str. Ratio {:.1f}x > S2)"
-INTERVAL_TEXT = "Interval PENALTY by {:.2f} (Interval {:.3f}s > Max {:.3f}s)"
-SCORE_TEXT = "Final Score: {:.2f} vs Threshold {:.2f} -> {}"
-FIT_TEXT = "Rhythm Fit={:.2f} (Interval {:.3f}s vs Expected {:.3f}s), Amplitude Fit={:.2f} (Strength Ratio {:.2f}x)"
-TOO_LOW_TEXT = "Rejected Lone S1: Confidence {:.2f} < Threshold {:.2f}. ({})"
-TOO_SOON_TEXT = "Rejected Lone S1: Forward check failed (Implies {:.0f} BPM)"
-VALID_TEXT = "Validated Lone S1: Confidence {:.3f} >= Threshold {:.2f}. ({}, Weights: Rhythm={:.2f}, Amplitude={:.2f}, Final={:.3f})"
+BASE_TEXT = "Base Conf (Blended Model %.0f%% High): %.2f"
+STABILITY_TEXT = "Stability Pre-Adjust: x%.2f (Pairing Ratio: %.0f%%)"
+PENALTY_TEXT = "PENALIZED by %.2f (S2 Str. Ratio %.1fx > Expected %.1fx)"
+BOOST_TEXT = "BOOSTED by %.2f (S1 Str. Ratio %.1fx > S2)"
+INTERVAL_TEXT = "Interval PENALTY by %.2f (Interval %.3fs > Max %.3fs)"
+SCORE_TEXT = "Final Score: %.2f vs Threshold %.2f -> %s"
+TOO_SOON_TEXT = "Rejected Lone S1: Forward check failed (Implies %.0f BPM)"
+RHYTHM_TEXT = "\t- Rhythm Fit=%.2f (Interval %.3fs vs Expected %.3fs)"
+AMPLITUDE_TEXT = "\t- Amplitude Fit=%.2f (Strength Ratio %.2fx)"
 PAIRING_TITLE, PAIRING_ABSENT, LONE_TITLE = "- S1-S2 pairing decision:", "    - No details available.", "- Lone S1 decision:"
+ORIGINAL_TITLE = "- Original Classification:"
 WEIGHTED_TITLE, WEIGHTED_ROWS = "\t- Weighted Calculation:", ("\t\t- Rhythm: %.2f × %.2f = %.3f", "\t\t- Amplitude: %.2f × %.2f = %.3f", "\t\t- Final: %.3f + %.3f = %.3f")
 # Separators before the rest of a label; the first in this order that occurs counts.
 SEPARATORS = (". Pairing Justification: ", ". Rejection: ", ". Original: ", ". ")

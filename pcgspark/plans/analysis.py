@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pcgspark import schema
 from pcgspark.functions import exprs as X
 from pcgspark.functions.reasons import reason_lines
 from pcgspark.operators import classify, metrics
@@ -85,7 +86,7 @@ def events(a: Analysis) -> DataFrame:
 
 def debug_log(a: Analysis) -> DataFrame:
     """recording_id and a chronological log as text."""
-    reasons = F.array_join(F.flatten(F.transform(F.coalesce("reasons", F.array().cast("array<struct<tag:string,detail:string>>")), lambda r: reason_lines(r.tag, r.detail))), "\n")
+    reasons = F.array_join(F.flatten(F.transform(F.coalesce("reasons", F.array().cast(f"array<{schema.REASON}>")), reason_lines)), "\n")
     line = F.format_string("%s [%.3f s] %s, amplitude %.1f, floor %.1f, rate %s, belief %s", X.clock("t_sec"), F.col("t_sec"), F.coalesce("kind", F.lit("Unclassified")), F.col("amp"), F.col("floor"), _shown("%.1f", "smoothed_bpm", absent="-"), _shown("%.1f", "belief", absent="-"))
     text = F.concat(line, F.when(reasons != "", F.concat(F.lit("\n"), reasons)).otherwise(F.lit("")))
     rows = events(a).select("recording_id", F.struct("t_sec", "sample_idx", text.alias("line")).alias("e"))

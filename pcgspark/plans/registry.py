@@ -228,9 +228,7 @@ select h.recording_id, h.idx, round(h.amp - greatest(min(s.amp) filter (s.idx <=
 from h join signal s on s.recording_id = h.recording_id group by h.recording_id, h.idx, h.amp"""
 )
 def peak_prominence(spark, sf):
-    rows = signal(spark, sf)
-    found = peaks.local_maxima(rows, "amp").select("recording_id", "idx", "amp")
-    return out(peaks.prominences(found, rows, "amp"), "recording_id", "idx", prominence="prominence")
+    return out(peaks.prominent_maxima(signal(spark, sf).select("recording_id", "idx", "amp"), "amp"), "recording_id", "idx", prominence="prominence")
 
 
 @query("select recording_id, idx, round(abs(b - amp) / (greatest(amp, b) + 1e-9), 6) as dev, round((t_sec + bt) / 2, 6) as t_mid from (select *, lead(amp) over w as b, lead(t_sec) over w as bt from signal window w as (partition by recording_id order by idx)) where b is not null")

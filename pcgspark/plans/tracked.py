@@ -158,14 +158,12 @@ lvl as (select recording_id, f.idx, f.v, f.floor as h, 3 as d, lq from flo f joi
 
 
 def _floored(spark, sf) -> DataFrame:
-    packed = signal(spark, sf).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("idx", "amp"))).alias("s"))
-    recordings = packed.select(F.col("recording_id").cast("string"), F.lit(10).alias("sample_rate"), F.transform("s", lambda x: x.amp).alias("samples"))
-    return sig.prepare(recordings, FLOOR, raw=True)
+    return sig.floored(signal(spark, sf).select(F.col("recording_id").cast("string").alias("recording_id"), "idx", F.abs("amp").alias("env")), 10, FLOOR)
 
 
 @query(_FLOOR + "select cast(recording_id as varchar) as recording_id, idx, round(v, 6) as env, round(floor, 6) as floor from flo", recursive=True)
 def noise_floor(spark, sf):
-    return out(sig.samples_of(_floored(spark, sf)), "recording_id", "idx", env="env", floor="floor")
+    return out(_floored(spark, sf), "recording_id", "idx", env="env", floor="floor")
 
 
 @query(
@@ -174,7 +172,8 @@ def noise_floor(spark, sf):
 )
 def raw_extrema(spark, sf):
     found = _floored(spark, sf)
-    return found.select("recording_id", F.explode("troughs").alias("idx"), F.lit("trough").alias("kind")).unionByName(found.select("recording_id", F.explode("raw_peaks").alias("idx"), F.lit("peak").alias("kind")))
+    places = lambda df, kind: df.select("recording_id", "idx", F.lit(kind).alias("kind"))
+    return places(found.filter("is_trough"), "trough").unionByName(places(sig.raw_peaks(found, 10, FLOOR), "peak"))
 
 
 # -- band pass -------------------------------------------------------------------------------------------------------
@@ -214,6 +213,10 @@ wide as (select recording_id, list_concat(list_concat(list_transform(range(0, {p
 _FILTER = _filter_sql()
 
 
+def _band_passed(spark, sf) -> DataFrame:
+    return sig.band_passed(signal(spark, sf).select(F.col("recording_id").cast("string").alias("recording_id"), "idx", "amp"), RATE)[0]
+
+
 def _passed(spark, sf) -> DataFrame:
     packed = signal(spark, sf).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("idx", "amp"))).alias("s"))
     recordings = packed.select(F.col("recording_id").cast("string"), F.lit(RATE).alias("sample_rate"), F.transform("s", lambda x: x.amp).alias("samples"))
@@ -222,8 +225,7 @@ def _passed(spark, sf) -> DataFrame:
 
 @query(_FILTER + "select cast(recording_id as varchar) as recording_id, unnest(range(0, len(y))) as idx, round(unnest(y), 6) as amp from flt", recursive=True)
 def band_pass(spark, sf):
-    rows = _passed(spark, sf).select("recording_id", F.posexplode("filtered").alias("idx", "amp"))
-    return out(rows.withColumn("idx", F.col("idx").cast("bigint")), "recording_id", "idx", amp="amp")
+    return out(_band_passed(spark, sf), "recording_id", "idx", amp="filtered")
 
 
 @query(
@@ -233,7 +235,7 @@ select cast(recording_id as varchar) as recording_id, idx, round(avg(abs(y)) ove
     recursive=True,
 )
 def filtered_envelope(spark, sf):
-    return out(sig.samples_of(_passed(spark, sf)), "recording_id", "idx", env="env")
+    return out(_band_passed(spark, sf), "recording_id", "idx", env=sig.envelope("filtered", RATE // 10))
 
 
 @query(

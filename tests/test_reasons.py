@@ -5,19 +5,20 @@ import pytest
 from pcg import heart
 from pyspark.sql import functions as F
 
+from pcgspark import schema
 from pcgspark.functions import kernels, reasons, tracker
 from pcgspark.operators import signal as sig
-from pcgspark.params import DEFAULTS, PAIRED_BECAUSE, REJECTED_BECAUSE, VALID_BECAUSE
+from pcgspark.params import DEFAULTS, ORIGINAL, PAIRED_BECAUSE, REJECTED_BECAUSE, VALID_BECAUSE
 from pcgspark.sources import sinks, wav
 
 
-def lines(spark, column, text):
-    return spark.createDataFrame([(text,)], "x string").select(column(F.col("x")).alias("l")).first()["l"]
+def lines(spark, column, steps):
+    return spark.createDataFrame([(steps,)], "x array<struct<kind:string,by:double,of:double,against:double>>").select(column(F.col("x")).alias("l")).first()["l"]
 
 
 def test_pairing_lines_carry_the_confidence(spark):
-    text = "Base Conf (Blended Model 20% High): 0.80\n- Stability Pre-Adjust: x0.90 (Pairing Ratio: 46%)\n- PENALIZED by 0.25 (S2 Str. Ratio 2.0x > Expected 1.5x)\n- Interval PENALTY by 0.75 (Interval 0.400s > Max 0.300s)\n- Final Score: 0.00 vs Threshold 0.50 -> Not Paired"
-    assert lines(spark, reasons.pairing_lines, text) == [
+    steps = [("base", 0.8, 0.2, None), ("stability", 0.9, 0.46, None), ("penalty", 0.25, 2.0, 1.5), ("interval", 0.75, 0.4, 0.3), ("score", 0.0, None, 0.5)]
+    assert lines(spark, reasons.pairing_lines, steps) == [
         "- S1-S2 pairing decision:",
         "    - Base Conf (Blended Model 20% High): 0.80",
         "    - Stability Pre-Adjust: x0.90 (Pairing Ratio: 46%) -> 0.720",
@@ -25,13 +26,15 @@ def test_pairing_lines_carry_the_confidence(spark):
         "    - Interval PENALTY by 0.75 (Interval 0.400s > Max 0.300s) -> 0.000",
         "    - Final Score: 0.00 vs Threshold 0.50 -> Not Paired",
     ]
-    for nothing in (None, "", " \n "):
+    boosted = lines(spark, reasons.pairing_lines, [("base", 0.4, 1.0, None), ("boost", 0.125, 3.04, None), ("score", 0.525, None, 0.5)])
+    assert boosted[2:] == ["    - BOOSTED by 0.13 (S1 Str. Ratio 3.0x > S2)", "    - Final Score: 0.53 vs Threshold 0.50 -> Paired"]
+    for nothing in (None, []):
         assert lines(spark, reasons.pairing_lines, nothing) == ["- S1-S2 pairing decision:", "    - No details available."]
 
 
 def test_lone_lines(spark):
-    text = "Validated Lone S1: Confidence 0.825 >= Threshold 0.50. (Rhythm Fit=0.80 (Interval 0.700s vs Expected 0.750s), Amplitude Fit=0.87 (Strength Ratio 0.81x), Weights: Rhythm=0.65, Amplitude=0.35, Final=0.825)"
-    assert lines(spark, reasons.lone_lines, text) == [
+    fits = [("rhythm", 0.8, 0.7, 0.75), ("amplitude", 0.87, 0.81, None)]
+    assert lines(spark, reasons.lone_lines, [*fits, ("lone", 0.8245, None, 0.5), ("weights", 0.65, 0.35, None)]) == [
         "- Lone S1 decision:",
         "\t- Rhythm Fit=0.80 (Interval 0.700s vs Expected 0.750s)",
         "\t- Amplitude Fit=0.87 (Strength Ratio 0.81x)",
@@ -41,10 +44,10 @@ def test_lone_lines(spark):
         "\t\t- Final: 0.520 + 0.305 = 0.825",
         "- Final Score: Confidence 0.825 >= 0.50 -> Validated",
     ]
-    low = "Rejected Lone S1: Confidence 0.10 < Threshold 0.50. (Rhythm Fit=0.00 (Interval 0.100s vs Expected 0.750s), Amplitude Fit=0.30 (Strength Ratio 0.30x))"
-    assert lines(spark, reasons.lone_lines, low)[-1] == "- Final Score: Confidence 0.100 < 0.50 -> Rejected" and len(lines(spark, reasons.lone_lines, low)) == 4
-    for other in ("First beat", "Rejected Lone S1: Forward check failed (Implies 300 BPM)", ""):
-        assert lines(spark, reasons.lone_lines, other) == ["- Lone S1 decision:", f"\t- {other}"]
+    low = lines(spark, reasons.lone_lines, [("rhythm", 0.0, 0.1, 0.75), ("amplitude", 0.3, 0.3, None), ("lone", 0.104, None, 0.5)])
+    assert low[-1] == "- Final Score: Confidence 0.100 < 0.50 -> Rejected" and len(low) == 4
+    for steps, other in (([("first", None, None, None)], "First beat"), ([("soon", 300.0, None, None)], "Rejected Lone S1: Forward check failed (Implies 300 BPM)"), ([], "")):
+        assert lines(spark, reasons.lone_lines, steps) == ["- Lone S1 decision:", f"\t- {other}"]
 
 
 def test_records(spark):
@@ -53,16 +56,17 @@ def test_records(spark):
     assert [(r["k"], [tuple(x) for x in r["p"]]) for r in df.collect()] == [("Noise", [("A", "b"), ("C", "d")]), ("Noise", []), ("Noise", [("A", None)])]
 
 
-def test_the_tracker_gives_texts_that_the_lists_understand(spark):
+def test_the_tracker_gives_steps_that_become_lines(spark):
     rng = np.random.default_rng(4)
     times = np.cumsum(rng.choice([0.3, 0.5, 0.2, 0.8], 120))
     peaks = tracker.peaks_of(np.round(times * 100).astype(int), times, rng.uniform(0.3, 1, 120), np.full(120, 0.1))
     _, verdicts, _ = tracker.track(peaks)
-    rows = [tuple(x) for v in verdicts.values() for x in v.reasons]
-    assert {PAIRED_BECAUSE, VALID_BECAUSE, REJECTED_BECAUSE} <= {t for t, _ in rows}
-    got = spark.createDataFrame(rows, "tag string, detail string").select("tag", "detail", reasons.reason_lines(F.col("tag"), F.col("detail")).alias("l")).collect()
-    assert all(r["l"][0].endswith("decision:") and "null" not in " ".join(r["l"]) for r in got)
+    rows = [(x,) for v in verdicts.values() for x in [*v.reasons, (ORIGINAL, "Noise", [])]]
+    assert {PAIRED_BECAUSE, VALID_BECAUSE, REJECTED_BECAUSE} <= {x[0] for (x,) in rows}
+    got = spark.createDataFrame(rows, f"r {schema.REASON}").select("r.tag", reasons.reason_lines(F.col("r")).alias("l")).collect()
+    assert all(r["l"] and None not in r["l"] and "null" not in " ".join(r["l"]) for r in got)
     assert any("->" in " ".join(r["l"]) for r in got) and any("Weighted" in " ".join(r["l"]) for r in got)
+    assert {tuple(r["l"]) for r in got if r["tag"] == ORIGINAL} == {("- Original Classification:", "    - Noise")}
 
 
 def test_kickstart():
