@@ -9,8 +9,8 @@ repeated passage is found with its exact edges, and nothing that isn't one. A st
 
 A window whose hash occurs again anywhere is matched with the first occurrence (least doc_id, then text, then line).
 Matched windows that follow each other in both documents are one run; a run's bytes are taken from the first occurrence
-and compared with the document's own, and where they agree, its lines are removed from all but the first. A line that
-is removed is therefore always kept somewhere earlier. Where a run's bytes disagree (a hash met by chance), none of its
+and compared with the document's own, and where they agree, its lines are removed from all but the first. A run that overlaps
+its own first occurrence leaves that one's lines. A line that is removed is always kept somewhere earlier. Where a run's bytes disagree (a hash met by chance), none of its
 lines goes.
 
 Only row numbers of lines move until bytes are compared; texts are shuffled once by document, which serves both the
@@ -30,12 +30,18 @@ from pyspark.sql import functions as F
 from pcgspark.llm.common import Scratch, free_name
 
 MIN_CHARS = 60
-NEAR, LOOK = 64, 4096  # lines looked at for a window's end: at first, and where these have too few characters
+NEAR, LOOK = 64, 256  # lines looked at for a window's end: at first, and where these have too few characters
 GROUP = 512  # documents that are sent one copy of a shared run
 
 
+def _part(array: Column, s: Column, e: Column) -> Column:
+    """Elements s .. e - 1 (from 0). In a lambda, ``slice`` reads the whole array first."""
+    return F.transform(F.sequence(s + 1, e), lambda i: F.element_at(array, i))
+
+
 def _ends(size: Column, n: Column) -> Column:
-    """For each line but the last, the line after the least window that begins there, or null."""
+    """For each line but the last, the line after the least window that begins there, or null. ``size`` is used in every line,
+    so it must be a column or a variable: an expression would be evaluated as often."""
     bits = MIN_CHARS.bit_length()
     chars = lambda acc: acc.bitwiseAND((1 << bits) - 1)
 
@@ -45,7 +51,7 @@ def _ends(size: Column, n: Column) -> Column:
         def within(look: int) -> Column:
             """Counts lines above, and characters up to MIN_CHARS in the low bits."""
             step = lambda acc, x: F.when(chars(acc) >= MIN_CHARS, acc).otherwise(acc + (1 << bits) + F.least(MIN_CHARS - chars(acc), x.cast("bigint")))
-            return F.aggregate(F.slice(size, s + 1, F.lit(look)), F.lit(0).cast("bigint"), step, lambda acc: F.when(chars(acc) >= MIN_CHARS, s + F.shiftright(acc, bits).cast("int")))
+            return F.aggregate(_part(size, s, F.least(s + look, n)), F.lit(0).cast("bigint"), step, lambda acc: F.when(chars(acc) >= MIN_CHARS, s + F.shiftright(acc, bits).cast("int")))
 
         found = F.when(at[0] + at[1] >= MIN_CHARS, s + 2).when((s + 3 <= n) & (at[0] + at[1] + at[2] >= MIN_CHARS), s + 3)
         return found.otherwise(F.coalesce(within(NEAR), F.when(s + NEAR < n, within(LOOK))))
@@ -54,10 +60,21 @@ def _ends(size: Column, n: Column) -> Column:
 
 
 def _windows(size: Column, n: Column) -> Column:
-    """The least windows (first line s, line after the last e) that begin or end at each line."""
-    ahead = F.transform(_ends(size, n), lambda e, s: F.struct(s.alias("s"), e.alias("e")))
-    back = F.transform(_ends(F.reverse(size), n), lambda e, s: F.struct((n - e).alias("s"), (n - s).alias("e")))
-    return F.array_distinct(F.concat(F.filter(ahead, lambda x: x.e.isNotNull()), F.filter(back, lambda x: x.s.isNotNull())))
+    """The least windows (first line s, line after the last e) that begin or end at each line. One that ends at a line counts
+    unless it is the one that begins where it does."""
+    window = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+
+    def both(ahead: Column, back: Column) -> Column:
+        begun = F.transform(ahead, lambda e, s: window(s, e))
+        ended = F.transform(back, lambda e, s: window(n - e, n - s))
+        new = F.filter(ended, lambda w: w.s.isNotNull() & ~F.coalesce(F.get(ahead, w.s) == w.e, F.lit(False)))
+        return F.concat(F.filter(begun, lambda w: w.e.isNotNull()), new)
+
+    def of(reversed_: Column) -> Column:
+        ends = F.array(F.struct(_ends(size, n).alias("ahead"), _ends(reversed_, n).alias("back")))
+        return F.flatten(F.transform(ends, lambda x: both(x.ahead, x.back)))
+
+    return F.flatten(F.transform(F.array(F.reverse(size)), of))
 
 
 def _known(docs: DataFrame) -> DataFrame:
@@ -72,12 +89,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     hashed = lined.filter(F.size("lines") > 1).select(
         "doc_id", "k", "t", F.transform("lines", lambda x: F.xxhash64(x)).alias("lh"), F.transform("lines", lambda x: F.length(x)).alias("len"), F.size("lines").alias("n")
     )
-    cut = hashed.withColumn("c", F.explode(_windows(F.col("len"), F.col("n"))))
-    return cut.select("doc_id", "k", "t", "c.s", "c.e", F.xxhash64(F.slice("lh", F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))).alias("h"))
+    # hashed before they become rows, so that no row carries the whole text's lines
+    chunks = F.transform(_windows(F.col("len"), F.col("n")), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), F.xxhash64(_part(F.col("lh"), c.s, c.e)).alias("h")))
+    return hashed.select("doc_id", "k", "t", F.explode(chunks).alias("c")).select("doc_id", "k", "t", "c.*")
 
 
 def _bytes(lines: Column, c: Column) -> Column:
-    return F.array_join(F.slice(lines, c.s + 1, c.e - c.s), "\n")
+    return F.array_join(_part(lines, c.s, c.e), "\n")
 
 
 def matched_runs(docs: DataFrame, keep: Scratch) -> DataFrame:
@@ -92,6 +110,9 @@ def matched_runs(docs: DataFrame, keep: Scratch) -> DataFrame:
     reached = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = again.select(*by, "s", "e", F.when(reached >= F.col("s"), 0).otherwise(1).alias("new"))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    # where a run overlaps its own first occurrence, that one's lines stay
+    same = (F.col("k") == F.col("ok")) & (F.col("t") == F.col("ot"))
+    runs = runs.withColumn("s", F.when(same, F.greatest("s", F.col("e") - F.col("off"))).otherwise(F.col("s"))).filter("s < e")
     runs = keep(runs.select("k", "t", "s", "e", "ok", "ot", (F.col("s") - F.col("off")).alias("os"), (F.col("e") - F.col("off")).alias("oe")))
     place = ["ok", "ot", "os", "oe"]
     return keep(runs.join(keep(runs.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))).hint("merge"), place))

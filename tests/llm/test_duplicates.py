@@ -200,7 +200,7 @@ def test_every_passage_is_removed(spark, docs_of, n_lines, n_words):
     assert got == dict(enumerate(kept))
 
 
-@pytest.mark.parametrize("near,look", [(64, 4096), (4, 200)])
+@pytest.mark.parametrize("near,look", [(64, 256), (4, 200)])
 def test_passages_against_brute_force(spark, docs_of, near, look, monkeypatch):
     monkeypatch.setattr(line_dedup, "NEAR", near)
     monkeypatch.setattr(line_dedup, "LOOK", look)
@@ -217,6 +217,28 @@ def test_passages_against_brute_force(spark, docs_of, near, look, monkeypatch):
     assert got == passages_removed(texts)
 
 
+def test_a_first_occurrence_stays(spark, docs_of):
+    """Lines that repeat the lines before them, in a run that overlaps its own first occurrence, and a known passage after them."""
+    known = "the first line of a passage that all texts know\nand the second line of that same known passage"
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of([f"intro\n{known}\nend", "\n".join(["x"] * 1000 + [known])])).collect()}
+    assert got[1] == "\n".join(["x"] * line_dedup.MIN_CHARS)
+
+
+def test_many_lines_take_linear_time(spark, docs_of):
+    """Twice the lines take about twice the time; a quadratic step shows as four times."""
+    import time
+
+    def seconds(n):
+        docs = docs_of(["\n".join(f"{i:040d}" for i in range(n))])
+        began = time.time()
+        assert line_dedup.chunk_rows(docs).count() >= n - 1
+        return time.time() - began
+
+    seconds(1000)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (20_000, 80_000))
+    assert large < 9 * small + 1
+
+
 def test_bytes_decide(spark, docs_of):
     """Chunks that only share a hash stay: bytes of the first occurrence are compared."""
     texts = ["a" * 70 + "\n" + "b" * 70, "c" * 70 + "\n" + "d" * 70]
