@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from pcgspark import schema
 from pcgspark.functions.shipping import ship
@@ -18,38 +21,62 @@ SUFFIXES = (".wav", ".mp3", ".m4a", ".flac", ".ogg", ".mp4", ".mkv", ".mov")
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-def decode(content: bytes) -> tuple[int, np.ndarray]:
-    """(rate, mono samples) of a RIFF file: unsigned 8-bit, signed 16/24/32-bit or float PCM; channels are averaged."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+@dataclass(frozen=True)
+class Layout:
+    """Where a file's frames lie and what they are."""
+
+    rate: int
+    kind: int
+    channels: int
+    width: int  # bytes of a sample
+    at: int  # of the first frame
+    frames: int
+
+    def samples(self, data: bytes) -> np.ndarray:
+        """Whole frames as mono samples; channels are averaged."""
+        if self.kind == FLOAT:
+            x = np.frombuffer(data, {4: "<f4", 8: "<f8"}[self.width]).astype(float)
+        elif self.width == 1:
+            x = np.frombuffer(data, np.uint8).astype(float)
+        elif self.width == 3:
+            raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+            x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8).astype(float)
+        else:
+            x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[self.width]).astype(float)
+        return x.reshape(-1, self.channels).mean(1) if self.channels > 1 else x
+
+
+def layout(f: BinaryIO) -> Layout:
+    """Of a RIFF file, from the heads of its chunks: unsigned 8-bit, signed 16/24/32-bit or float PCM."""
+    size = f.seek(0, io.SEEK_END)
+    f.seek(0)
+    head = f.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, form, data = 12, None, None
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        body = content[at + 8 : at + 8 + size]
+    while at + 8 <= size:
+        f.seek(at)
+        name, length = struct.unpack("<4sI", f.read(8))
         if name == b"fmt ":
+            body = f.read(min(length, 40))
             form = struct.unpack_from("<HHIIHH", body)
             if form[0] == EXTENSIBLE and len(body) >= 26:
                 form = (struct.unpack_from("<H", body, 24)[0], *form[1:])
         elif name == b"data":
-            data = body
-        at += 8 + size + size % 2
+            data = at + 8, min(length, size - at - 8)
+        at += 8 + length + length % 2
     if form is None or data is None:
         raise ValueError("a fmt or data chunk is missing")
     kind, channels, rate, _, _, bits = form
-    if channels == 0 or bits % 8 or kind not in (PCM, FLOAT):
+    if channels == 0 or bits % 8 or bits == 0 or kind not in (PCM, FLOAT):
         raise ValueError(f"unsupported encoding {kind} with {bits} bits")
-    width = bits // 8
-    data = data[: len(data) // (width * channels) * width * channels]
-    if kind == FLOAT:
-        x = np.frombuffer(data, {4: "<f4", 8: "<f8"}[width]).astype(float)
-    elif width == 1:
-        x = np.frombuffer(data, np.uint8).astype(float)
-    elif width == 3:
-        raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8).astype(float)
-    else:
-        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(float)
-    return rate, x.reshape(-1, channels).mean(1) if channels > 1 else x
+    return Layout(rate, kind, channels, bits // 8, data[0], data[1] // (bits // 8 * channels))
+
+
+def decode(content: bytes) -> tuple[int, np.ndarray]:
+    """(rate, mono samples) of a file's bytes."""
+    found = layout(io.BytesIO(content))
+    return found.rate, found.samples(content[found.at : found.at + found.frames * found.width * found.channels])
 
 
 def encode(rate: int, x: np.ndarray) -> bytes:
@@ -103,9 +130,23 @@ def with_fallback(processed: DataFrame, original: DataFrame) -> DataFrame:
     return named.unionByName(original.join(named.select("recording_id"), "recording_id", "left_anti").select(named.columns))
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _wav_files(path: str) -> list[tuple[str, str]]:
+    """(id, path) of the WAV files under a folder, or of one file."""
+    import os
+
+    found = [path] if os.path.isfile(path) else [os.path.join(folder, name) for folder, _, names in os.walk(path) for name in names]
+    return [(os.path.splitext(os.path.basename(f))[0], f) for f in sorted(found) if f.lower().endswith(".wav")]
+
+
+@dataclass
+class _Stretch(InputPartition):
+    """Frames first .. last - 1 of a file; without a layout the whole file."""
+
+    recording_id: str
+    path: str
+    layout: Layout | None = None
+    first: int = 0
+    last: int = 0
 
 
 class _Reader(DataSourceReader):
@@ -113,18 +154,12 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        found = [self.path] if os.path.isfile(self.path) else glob.glob(f"{self.path}/**/*", recursive=True)
-        return [_Files(f) for f in sorted(found) if f.lower().endswith(".wav")]
-
-    def read(self, partition: _Files):
-        import os
+        return [_Stretch(*x) for x in _wav_files(self.path)]
 
+    def read(self, partition: _Stretch):
         with open(partition.path, "rb") as f:
             rate, x = decode(f.read())
-        yield os.path.splitext(os.path.basename(partition.path))[0], partition.path, rate, x.tolist()
+        yield partition.recording_id, partition.path, rate, x.tolist()
 
 
 class WavDataSource(DataSource):
@@ -141,6 +176,89 @@ class WavDataSource(DataSource):
         return _Reader(self.options)
 
 
+class _SampleReader(DataSourceReader):
+    """A long file is cut into stretches of frames, a task each."""
+
+    def __init__(self, options: dict):
+        self.path, self.stretch = options["path"], int(options.get("stretch", 4_000_000))
+        if self.stretch < 1:
+            raise ValueError("a stretch has a sample or more")
+        self.ids: set[str] | None = None
+        self.first, self.last = 0, 1 << 62
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for rid, path in _wav_files(self.path):
+            if self.ids is None or rid in self.ids:
+                try:
+                    with open(path, "rb") as f:
+                        found = layout(f)
+                except (ValueError, struct.error):
+                    continue  # no recording; ``read_recordings`` lists such files
+                end = min(found.frames, self.last)
+                out += [_Stretch(rid, path, found, i, min(i + self.stretch, end)) for i in range(self.first, end, self.stretch)]
+        return out or [_Stretch("", "")]
+
+    def read(self, partition: _Stretch):
+        import pyarrow as pa
+
+        at, found = partition.first, partition.layout
+        if found is None:
+            return
+        frame = found.width * found.channels
+        with open(partition.path, "rb") as f:
+            f.seek(found.at + at * frame)
+            while at < partition.last:
+                n = min(1 << 16, partition.last - at)
+                x = found.samples(f.read(n * frame))
+                yield pa.record_batch([pa.array([partition.recording_id] * n, pa.string()), pa.array(np.full(n, found.rate, np.int32)), pa.array(np.arange(at, at + n)), pa.array(x)], names=["recording_id", "sample_rate", "idx", "amp"])
+                at += n
+
+
+class _FilteredSampleReader(_SampleReader):
+    """Filters on the id choose files before any is opened, and those on ``idx`` choose the frames that are read; Spark applies
+    what is left."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 (Spark's name)
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("recording_id",) and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.ids = wanted if self.ids is None else self.ids & wanted
+            elif column == ("idx",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.last = min(self.last, f.value + (not isinstance(f, LessThan)))
+            else:
+                yield f
+
+
+class WavSamplesDataSource(DataSource):
+    """``spark.read.format("pcg_wav_samples").option("stretch", n).load(folder)``: a row for each sample, of folders that all
+    workers see. With the option ``push``, which needs ``spark.sql.python.filterPushdown.enabled`` (Spark refuses a reader that
+    takes filters otherwise), filters on recording_id and idx choose what is read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pcg_wav_samples"
+
+    def schema(self) -> str:
+        return "recording_id string, sample_rate int, idx bigint, amp double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return (_FilteredSampleReader if self.options.get("push") == "true" else _SampleReader)(self.options)
+
+
 def register(spark: SparkSession) -> None:
     ship(spark)
-    spark.dataSource.register(WavDataSource)
+    for source in (WavDataSource, WavSamplesDataSource):
+        spark.dataSource.register(source)
+
+
+def read_samples(spark: SparkSession, path: str, stretch: int = 4_000_000) -> DataFrame:
+    """recording_id, sample_rate, idx, amp of all samples under a folder that all workers see; long files span many tasks, and
+    filters reach the files where the session lets Python sources take them."""
+    register(spark)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("pcg_wav_samples").options(stretch=str(stretch), push=push).load(path)

@@ -3,7 +3,11 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from pcgspark.functions import kernels
 from pcgspark.operators import labels as lab
+from pcgspark.operators import signal as sig
 from pcgspark.sources import sinks, tables, wav
 
 
@@ -27,6 +31,34 @@ def test_silence_is_written():
     assert wav.decode(wav.encode(300, [1.0, -2.0]))[1].tolist() == [16383, -32767]
 
 
+def test_samples_of_long_files(spark, tmp_path):
+    """More tasks than files; files and frames that filters rule out are not read."""
+    rng = np.random.default_rng(2)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.wav").write_bytes(wav.encode(4000, rng.normal(size=10_000)))
+    (tmp_path / "in" / "b.WAV").write_bytes(riff(100, 2, 24, bytes(range(96)) + b"x"))
+    (tmp_path / "c.wav").write_bytes(b"broken")
+    rows = wav.read_samples(spark, str(tmp_path), 3000)
+    assert rows.rdd.getNumPartitions() == 5
+    got = {n: [r["amp"] for r in sorted(rows.filter(F.col("recording_id") == n).collect(), key=lambda r: r["idx"])] for n in "ab"}
+    for n, path in (("a", tmp_path / "a.wav"), ("b", tmp_path / "in" / "b.WAV")):
+        assert got[n] == wav.decode(path.read_bytes())[1].tolist() and len(got[n]) == {"a": 10_000, "b": 16}[n]
+    (tmp_path / "gone.wav").symlink_to(tmp_path / "nowhere.wav")  # opening it fails
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        part = wav.read_samples(spark, str(tmp_path), 3000).filter("recording_id in ('a', 'b') and idx >= 2990 and idx < 3010 and idx <= 3008 and idx > 2989 and amp is not null")
+        assert part.count() == 19 and part.rdd.getNumPartitions() == 1
+        assert wav.read_samples(spark, str(tmp_path)).filter("recording_id = 'b' and idx = 3").count() == 1
+        assert wav.read_samples(spark, str(tmp_path)).filter("recording_id = 'none'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    passed, rate = sig.band_passed(wav.read_samples(spark, str(tmp_path / "a.wav"), 700), 4000)
+    want = kernels.envelope_of(wav.decode((tmp_path / "a.wav").read_bytes())[1], 4000)[2]
+    assert rate == 333 and np.allclose([r["filtered"] for r in passed.orderBy("idx").collect()], want)
+    with pytest.raises(ValueError):
+        wav._SampleReader({"path": "x", "stretch": "0"})
+
+
 def test_reading_folders(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "a.wav").write_bytes(wav.encode(400, [1.0, 2.0]))
