@@ -63,6 +63,36 @@ def remove_labels(labels: DataFrame, gone: DataFrame) -> DataFrame:
     return labels.join(gone.select("recording_id", "t_sec", "bpm", "peak_type"), ["recording_id", "t_sec", "bpm", "peak_type"], "left_anti")
 
 
+UNDO_DEPTH = 20
+
+
+def replay(log: DataFrame, order: str = "seq", depth: int = UNDO_DEPTH) -> DataFrame:
+    """The labels after a log (recording_id, action, t_sec, bpm, peak_type) in the order of ``order``.
+
+    ``add`` appends a label, ``undo`` takes back the latest of the last ``depth`` additions that are not taken back yet, and
+    with it all labels equal to it; ``clear`` drops all labels and forgets the additions. An undo without a label or an
+    addition does nothing, other actions neither. What comes before a recording's last ``clear`` is left out by a window; the
+    rest, a person's clicks on one recording, is replayed by a fold over it.
+    """
+    w = Window.partitionBy(*BY).orderBy(order)
+    cleared = F.sum((F.col("action") == "clear").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.sum((F.col("action") == "clear").cast("int")).over(Window.partitionBy(*BY))
+    label = F.struct("t_sec", "bpm", "peak_type")
+    recent = log.withColumns({"__n": cleared, "__all": last}).filter("__n = __all and action in ('add', 'undo')")
+    packed = recent.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("action"), label.alias("label")))).alias("e"))
+    none = F.array().cast("array<struct<t_sec:double,bpm:double,peak_type:string>>")
+
+    def step(acc, e):
+        added = F.struct(F.slice(F.concat(acc.stack, F.array(e.label)), -F.least(F.lit(depth), F.size(acc.stack) + 1), depth).alias("stack"), F.concat(acc.kept, F.array(e.label)).alias("kept"))
+        top = F.element_at(acc.stack, -1)
+        taken = F.struct(F.slice(acc.stack, 1, F.size(acc.stack) - 1).alias("stack"), F.filter(acc.kept, lambda k: ~k.eqNullSafe(top)).alias("kept"))
+        return F.when(e.action == "add", added).when((F.size(acc.stack) > 0) & (F.size(acc.kept) > 0), taken).otherwise(acc)
+
+    start = F.struct(none.alias("stack"), none.alias("kept"))
+    folded = packed.select(*BY, F.explode(F.aggregate("e", start, step, lambda acc: acc.kept)).alias("k"))
+    return folded.select(*BY, "k.t_sec", "k.bpm", "k.peak_type")
+
+
 def latest(labels: DataFrame, n: int = 20, order: str = "t_sec") -> DataFrame:
     """The last ``n`` labels of each recording; ties in time are decided by the other columns."""
     w = Window.partitionBy(*BY).orderBy(F.desc(order), *[F.desc(c) for c in labels.columns if c not in (*BY, order)])

@@ -467,6 +467,26 @@ def remove_labels(spark, sf):
     return lab.remove_labels(rows, rows.filter("peak_type = 'S2' and bpm < 30")).select("recording_id", "t_sec", "bpm", "peak_type")
 
 
+_ACTION = "case event_type when 'click' then 'add' when 'view' then 'add' when 'error' then 'undo' when 'signup' then 'clear' else 'save' end"
+
+
+@query(
+    f""", lg as (select recording_id, row_number() over (partition by recording_id order by idx) as k, {_ACTION} as action, {{'t': t_sec, 'b': round(amp), 'p': event_type}} as label from signal),
+rp as (select recording_id, k, case when action = 'add' then [label] else [] end as stack, case when action = 'add' then [label] else [] end as kept from lg where k = 1
+  union all
+  select r.recording_id, l.k,
+    case action when 'add' then list_append(r.stack, l.label)[-20:] when 'clear' then [] when 'undo' then case when len(r.kept) > 0 and len(r.stack) > 0 then r.stack[:-2] else r.stack end else r.stack end,
+    case action when 'add' then list_append(r.kept, l.label) when 'clear' then [] when 'undo' then case when len(r.kept) > 0 and len(r.stack) > 0 then list_filter(r.kept, lambda x: x <> r.stack[-1]) else r.kept end else r.kept end
+  from rp r join lg l on l.recording_id = r.recording_id and l.k = r.k + 1),
+fin as (select recording_id, unnest(kept) as x from rp r where k = (select max(k) from lg where lg.recording_id = r.recording_id))
+select recording_id, round(x.t, 6) as t_sec, x.b as bpm, x.p as peak_type from fin""",
+    recursive=True,
+)
+def label_replay(spark, sf):
+    log = signal(spark, sf).select("recording_id", F.col("idx").alias("seq"), F.expr(_ACTION).alias("action"), "t_sec", F.round("amp").alias("bpm"), F.col("event_type").alias("peak_type"))
+    return out(lab.replay(log), "recording_id", "bpm", "peak_type", t_sec="t_sec")
+
+
 # -- sets and strings --------------------------------------------------------------------------------------------------
 @query("select recording_id, t_us, 'peak' as kind from signal where event_type = 'click' union all select recording_id, t_us, 'trough' from signal where event_type = 'view'")
 def union_events(spark, sf):

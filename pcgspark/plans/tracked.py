@@ -6,10 +6,11 @@ four states; raw peaks through the tracker's state, one decision a step for all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pcgspark.functions import kernels
+from pcgspark.functions.reasons import lone_lines, pairing_lines
 from pcgspark.operators import classify, metrics, peaks
 from pcgspark.operators import signal as sig
 from pcgspark.params import (
@@ -435,10 +436,77 @@ def report_rates(spark, sf):
     """The rate table of the written report."""
     from pcgspark.plans import analysis
 
+    found = analysis.report(_analysis(spark, sf))
+    table = F.substring_index("value", "|---|---|\n", -1)
+    return found.filter(F.col("value").contains("## Rate")).select("recording_id", table.alias("rates"))
+
+
+# -- what stands in the log and in the report ------------------------------------------------------------------------
+#: Numbers with a digit behind the shown places, so that no engine meets a tie when it rounds for display.
+_STEPS = ", sp as (select recording_id, idx, amp / 1000 + 0.000013 as x, case when idx % 2 = 0 then 0.5 else 1.5 end as f, case when idx % 3 = 0 then 0.6 else 0.2 end as y from signal)\n"
+
+
+@query(
+    _STEPS
+    + """, tx as (select recording_id, idx, cast(printf('%.2f', x) as double) as b, cast(printf('%.2f', y) as double) as cut,
+  printf('Base Conf (Blended Model %.0f%% High): %.2f', 100 * x, x) as l0, printf('Stability Pre-Adjust: x%.2f (Pairing Ratio: %.0f%%)', f, 100 * x) as l1, printf('PENALIZED by %.2f (S2 Str. Ratio %.1fx > Expected %.1fx)', y, 2 + x, x) as l2,
+  printf('BOOSTED by %.2f (S1 Str. Ratio %.1fx > S2)', x, 3 + x) as l3, printf('Interval PENALTY by %.2f (Interval %.3fs > Max %.3fs)', y, x, x / 2) as l4, printf('Final Score: %.2f vs Threshold %.2f -> ', x, y) || case when x >= y then 'Paired' else 'Not Paired' end as l5, f from sp)
+select recording_id, idx, '- S1-S2 pairing decision:|    - ' || l0 || '|    - ' || l1 || printf(' -> %.3f', b * f) || '|    - ' || case when idx % 5 = 0 then l3 else l2 || printf(' -> %.3f', b * f - cut) end
+  || '|    - ' || l4 || printf(' -> %.3f', greatest(0, b * f - case when idx % 5 = 0 then cut else 2 * cut end)) || '|    - ' || l5 as lines from tx"""
+)
+def pairing_texts(spark, sf):
+    """The lines of pairing decisions, from their numbers."""
+    x, y, f = F.col("amp") / 1000 + 0.000013, F.when(F.col("idx") % 3 == 0, 0.6).otherwise(0.2), F.when(F.col("idx") % 2 == 0, 0.5).otherwise(1.5)
+    step = lambda kind, by, of=None, against=None: F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if v is None else v).cast("double").alias(c) for c, v in (("by", by), ("of", of), ("against", against))])
+    fourth = F.when(F.col("idx") % 5 == 0, step("boost", x, 3 + x)).otherwise(step("penalty", y, 2 + x, x))
+    steps = F.array(step("base", x, x), step("stability", f, x), fourth, step("interval", y, x, x / 2), step("score", x, None, y))
+    return signal(spark, sf).select("recording_id", "idx", F.array_join(pairing_lines(steps), "|").alias("lines"))
+
+
+@query(
+    _STEPS
+    + """, tx as (select recording_id, idx, x, y, cast(printf('%.2f', x) as double) as r, cast(printf('%.2f', x / 2) as double) as a,
+  printf('\\t- Rhythm Fit=%.2f (Interval %.3fs vs Expected %.3fs)', x, x + 1, x + 2) || printf('|\\t- Amplitude Fit=%.2f (Strength Ratio %.2fx)', x / 2, x + 3) as fits from sp)
+select recording_id, idx, '- Lone S1 decision:|' || case idx % 4 when 0 then chr(9) || '- First beat' when 1 then printf('\\t- Rejected Lone S1: Forward check failed (Implies %.0f BPM)', 100 + x)
+  when 2 then fits || printf('|- Final Score: Confidence %.3f < %.2f -> Rejected', r, y)
+  else fits || '|' || chr(9) || '- Weighted Calculation:' || printf('|\\t\\t- Rhythm: %.2f × %.2f = %.3f', r, 0.5, r * 0.5) || printf('|\\t\\t- Amplitude: %.2f × %.2f = %.3f', a, 0.5, a * 0.5)
+    || printf('|\\t\\t- Final: %.3f + %.3f = %.3f', r * 0.5, a * 0.5, x) || printf('|- Final Score: Confidence %.3f >= %.2f -> Validated', x, y) end as lines from tx""".replace("\\t", "\t")
+)
+def lone_texts(spark, sf):
+    """The lines of decisions on lone peaks, from their numbers."""
+    x, y = F.col("amp") / 1000 + 0.000013, F.when(F.col("idx") % 3 == 0, 0.6).otherwise(0.2)
+    step = lambda kind, by=None, of=None, against=None: F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if v is None else v).cast("double").alias(c) for c, v in (("by", by), ("of", of), ("against", against))])
+    fits = step("rhythm", x, x + 1, x + 2), step("amplitude", x / 2, x + 3), step("lone", x, None, y)
+    which = F.col("idx") % 4
+    steps = F.when(which == 0, F.array(step("first"))).when(which == 1, F.array(step("soon", 100 + x))).when(which == 2, F.array(*fits)).otherwise(F.array(*fits, step("weights", F.lit(0.5), F.lit(0.5))))
+    return signal(spark, sf).select("recording_id", "idx", F.array_join(lone_lines(steps), "|").alias("lines"))
+
+
+def _analysis(spark, sf):
+    from pcgspark.plans import analysis
+
     prepared = adapter.prepared(spark, sf)
     analyses = classify.analyse(prepared)
     beats = classify.beats_of(analyses)
     rated = metrics.rate_series(beats)
-    found = analysis.report(analysis.Analysis(prepared, analyses, beats, rated, metrics.hrv_windows(beats), metrics.turning_points(rated), P))
-    table = F.substring_index("value", "|---|---|\n", -1)
-    return found.filter(F.col("value").contains("## Rate")).select("recording_id", table.alias("rates"))
+    return analysis.Analysis(prepared, analyses, beats, rated, metrics.hrv_windows(beats), metrics.turning_points(rated), P)
+
+
+@query(
+    _CORRECTED
+    + f""", ft as (select recording_id, cast(round(t * 1e6) as bigint) as us from b{ROUNDS} join pk using (recording_id, k)),
+fr as (select *, (us - lag(us) over (partition by recording_id order by us)) / 1e6 as rr from ft),
+fs as (select recording_id, cast(round(us / 1e4) as bigint) as idx, avg(60.0 / rr) over (partition by recording_id order by us range between 2499999 preceding and 2500000 following) as bpm from fr where rr > 1e-6),
+bl as (select recording_id, cast(round(last_t * 100) as bigint) as idx, avg(bpm) as bpm from two_s where step > 0 and last_t is not null group by recording_id, last_t),
+ev as (select p.recording_id, p.idx, p.t, p.env, v.kind, fs.bpm as rate, bl.bpm as belief from pk p left join v{ROUNDS} v using (recording_id, k) left join fs on fs.recording_id = p.recording_id and fs.idx = p.idx left join bl on bl.recording_id = p.recording_id and bl.idx = p.idx)
+select cast(recording_id as varchar) as recording_id, cast(row_number() over o as bigint) as place, idx as sample_idx, kind, round(env, 6) as amp, round(last_value(rate ignore nulls) over c, 6) as smoothed_bpm, round(last_value(belief ignore nulls) over c, 6) as belief
+from ev window o as (partition by recording_id order by t, idx), c as (partition by recording_id order by t, idx rows between unbounded preceding and current row)""",
+    recursive=True,
+)
+def event_log(spark, sf):
+    """The log's events in their order, with the state carried to each."""
+    from pcgspark.plans import analysis
+
+    found = analysis.events(_analysis(spark, sf))
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("t_sec", "sample_idx")).cast("bigint")
+    return out(found.withColumn("place", place), "recording_id", "place", "sample_idx", "kind", amp="amp", smoothed_bpm="smoothed_bpm", belief="belief")
