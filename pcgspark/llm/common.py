@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -109,6 +110,14 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the machine. A worker waits for its next task between stages, and what its
+    allocators hold meanwhile counts beside the JVM's memory and that of the other workers."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``df.mapInArrow`` with a kernel on slices of about SLICE_BYTES of the column ``text``."""
     bounded_batches(df.sparkSession)
@@ -117,6 +126,7 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in slices(batch):
                 yield kernel(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -156,6 +166,7 @@ def column_kernel(kernel: Callable[[pa.Array], pa.Array], returns: str):
         parts = [kernel(part.column(0)) for part in slices(batch)]
         if not parts:
             return kernel(column)
+        give_back()
         return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import Scratch, bounded_batches, slices
+from pcgspark.llm.common import Scratch, bounded_batches, give_back, slices
 from pcgspark.llm.components import components
 from pcgspark.llm.wordkernel import U64, find_words, mix, raw, window_hash
 
@@ -324,6 +324,9 @@ class Join:
             for batch in batches:
                 for part in slices(batch, limit=SLICE_BYTES):
                     yield of_task(part)
+                    give_back()  # a slice's arrays are large
+            del of_task
+            give_back()
 
         return self.keep(rows.mapInArrow(run, schema))
 
