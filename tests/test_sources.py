@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pcgspark.functions import kernels
 from pcgspark.operators import labels as lab
 from pcgspark.operators import signal as sig
-from pcgspark.sources import sinks, tables, wav
+from pcgspark.sources import named, sinks, tables, wav
 
 
 def riff(rate, channels, bits, data, kind=1):
@@ -112,3 +112,36 @@ def test_rate_files(spark, tmp_path):
     sinks.write_rates(s, str(tmp_path / "out"))
     text = next((tmp_path / "out" / "recording_id=a").glob("*.csv")).read_text().split("\n")
     assert text[:3] == ["Time (s),Average BPM", "1.000,70.000", "2.000,71.235"]
+
+
+def test_files_with_names(spark, tmp_path):
+    """Rates, labels and signals as plain files, which the readers find by their names."""
+    series = spark.createDataFrame([("a", 1.0, 60.0), ("a", 0.5, 61.5), ("b", 2.0, 70.25), ("b", 3.0, None)], "recording_id string, t_sec double, smoothed_bpm double")
+    marks = spark.createDataFrame([("a", 1.0, 60.0, "S1"), ("a", 1.3, 60.0, "S2"), ("b", 2.0, 70.0, "S1")], "recording_id string, t_sec double, bpm double, peak_type string")
+    x = np.sin(np.arange(4000) / 20)
+    prepared = sig.prepare(spark.createDataFrame([("a", 4000, np.tile(x, 3).tolist())], "recording_id string, sample_rate int, samples array<double>"))
+    folder = str(tmp_path / "out")
+    for _ in range(2):
+        named.write_files(named.rate_files(series), folder)
+        named.write_files(named.text_files(sinks.label_text(marks, lab.pairs(marks)), "_labels.csv"), folder)
+        named.write_files(named.debug_files(prepared), folder)
+    names = ["a_bpm_plot.csv", "a_filtered_debug.wav", "a_labels.csv", "b_bpm_plot.csv", "b_labels.csv"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == names
+    assert (tmp_path / "out/a_bpm_plot.csv").read_text() == "Time (s),Average BPM\n0.500,61.500\n1.000,60.000\n"
+    assert sorted(map(tuple, tables.read_rates(spark, folder).collect())) == [("a", 0.5, 61.5), ("a", 1.0, 60.0), ("b", 2.0, 70.25)]
+    assert sorted(map(tuple, tables.read_labels(spark, folder).collect())) == sorted(map(tuple, marks.collect()))
+    assert wav.decode((tmp_path / "out/a_filtered_debug.wav").read_bytes())[0] == 333
+    assert {r["recording_id"] for r in tables.processed_recordings(spark, folder).collect()} == {"a", "b"}
+    named.write_files(named.rate_files(series.filter("recording_id = 'a'")), folder, overwrite=True)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a_bpm_plot.csv"]
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    rows = spark.createDataFrame([("good.txt", b"x"), ("bad/name.txt", b"y"), ("other.txt", None)], named.SCHEMA).repartition(3)
+    with pytest.raises(Exception, match="not a file's name"):
+        named.write_files(rows, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() or list((tmp_path / "out").iterdir()) == []
+    named.write_files(rows.filter("name not like '%/%'"), str(tmp_path / "out"))
+    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "out").iterdir()) == [("good.txt", b"x"), ("other.txt", b"")]
+    named.write_files(rows.limit(0), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
