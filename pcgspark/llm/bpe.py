@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import bounded_batches, column_kernel
+from pcgspark.llm.common import bounded_batches, column_kernel, free_name
 
 TEXT_LEAF = 1 << 16  # characters
 PIECE_LEAF = 32  # bytes
@@ -182,7 +182,7 @@ _loaded: dict[str, Bpe] = {}
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds the token ids of every whole text as ``array<int>``."""
+    """Adds the token ids of every whole text as ``array<int>``, in the last column (see ``free_name``)."""
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -190,11 +190,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
         bpe = shipped.value.load()
         return pa.array([bpe.encode(t or "") for t in column.to_pylist()], pa.list_(pa.int32()))
 
-    return docs.withColumn(into, column_kernel(kernel, "array<int>")(F.col(text)))
+    return docs.withColumn(free_name(docs.columns, into), column_kernel(kernel, "array<int>")(F.col(text)))
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds the bytes of every id list; null is empty."""
+    """Adds the bytes of every id list in the last column; null is empty."""
     from pyspark.sql.functions import arrow_udf
 
     bounded_batches(tokens.sparkSession)
@@ -205,7 +205,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: st
         return pa.array([bpe.decode(t or []) for t in column.to_pylist()], pa.binary())
 
     kernel.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return tokens.withColumn(into, arrow_udf(kernel, "binary")(F.col(ids)))
+    return tokens.withColumn(free_name(tokens.columns, into), arrow_udf(kernel, "binary")(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -26,7 +26,7 @@ compared by their shingles' hashes, and those that pass by the words of their te
 Words are maximal runs of characters other than space and U+0009-U+000D, A-Z in lower case; a text with fewer than k
 words is one shingle; null and empty texts have none and link with nothing. Very long texts are read whole, one at a
 time. Rows with one doc_id are one document, whatever their texts: it has the links of each, and each row gets the
-document's component. A row with a null doc_id has a null component; an empty table gives an empty result. Ties go to
+document's component. A row with a null doc_id has its set's size, no links and a null component; an empty table gives an empty result. Ties go to
 the least doc_id. Other columns are ignored, whatever their names.
 """
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import Scratch, bounded_batches, give_back, slices
+from pcgspark.llm.common import Scratch, bounded_batches, column_kernel, give_back, slices
 from pcgspark.llm.components import components
 from pcgspark.llm.wordkernel import U64, find_words, mix, raw, window_hash
 
@@ -517,10 +517,20 @@ def join_classes(docs: DataFrame, spec: Spec) -> DataFrame:
         least = join.classes(links.unionByName(own)).select("i", "least")
         out = join.rows.select("i", "doc_id", "n").join(least, "i", "left")
         out = keep.result(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
-    lost = docs.filter("doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    # a row without an id has the size of its set, and no component, since that is an id
+    lost = docs.filter("doc_id is null").select("doc_id", set_sizes("text", spec).alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
     return out.unionByName(lost)
 
 
+def set_sizes(text: str, spec: Spec) -> Column:
+    """The number of a text's distinct shingles."""
+
+    def kernel(column: pa.Array) -> pa.Array:
+        return pa.array(np.bincount(shingle_sets(column, spec.k)[1], minlength=len(column)).astype(np.int64))
+
+    return column_kernel(kernel, "bigint")(F.col(text))
+
+
 def keep_one(docs: DataFrame, spec: Spec) -> DataFrame:
     """The rows of ``docs`` without those whose text is in a class with a text of a lesser doc_id."""
     with Scratch(docs.sparkSession) as keep:

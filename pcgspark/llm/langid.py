@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import bounded_batches, column_kernel, crc_mod, materialise, slices
+from pcgspark.llm.common import bounded_batches, column_kernel, crc_mod, free_name, materialise, slices
 from pcgspark.llm.wordkernel import U64, mix
 
 ORDER = 4
@@ -235,7 +235,9 @@ KIND = "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>"
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str = "language") -> DataFrame:
-    """Adds the struct ``into``: lang_pred, score, entropy (nats a character) and rejected."""
+    """Adds the struct ``into``: lang_pred, score, entropy (nats a character) and rejected. It is the last column, with
+    underscores behind its name if there is such a column."""
+    into = free_name(docs.columns, into)
     names = ["lang_pred", "score", "entropy", "rejected"]
     if model is None:
         return docs.withColumn(into, F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import bounded_batches, column_kernel
+from pcgspark.llm.common import bounded_batches, column_kernel, free_name
 from pcgspark.llm.wordkernel import find_words, per_text, raw
 
 SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,9 @@ def fail_bits(measures: str) -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame:
-    """Adds the struct ``into``: the measurements and ``fail_bits``. One pass, no shuffle."""
+    """Adds the struct ``into``: the measurements and ``fail_bits``, in the last column (with underscores behind its name if
+    there is such a column). One pass, no shuffle."""
+    into = free_name(docs.columns, into)
     bounded_batches(docs.sparkSession)
     kernel = column_kernel(measure, MEASURE_TYPE)
     out = docs.withColumn(into, kernel(F.col(text)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import bounded_batches, scratch_dir, slices, texts
+from pcgspark.llm.common import bounded_batches, free_name, scratch_dir, slices, texts
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
 OVER_LIMIT = 4096
@@ -92,10 +92,12 @@ def append_misses(docs: DataFrame, tokenizer: SentencePieceCounter, root: str, t
 
 
 def count_tokens(docs: DataFrame, tokenizer: SentencePieceCounter, root: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """Adds the token count of every row. Only digests are shuffled in this last join, not texts; AQE splits a hot digest."""
+    """Adds the token count of every row in the last column, with underscores behind its name if there is such a column. Rows
+    with equal contents get equal counts. Only digests are shuffled in this last join, not texts; AQE splits a hot digest."""
     path = append_misses(docs, tokenizer, root, text)
-    cache = _distinct(read_cache(docs.sparkSession, path)).select(F.col("digest").alias("__digest"), F.col("n_tokens").alias(into))
-    return docs.withColumn("__digest", digest(text)).join(cache, "__digest", "left").drop("__digest")
+    key, into = free_name(docs.columns, "__digest"), free_name(docs.columns, into)
+    cache = _distinct(read_cache(docs.sparkSession, path)).select(F.col("digest").alias(key), F.col("n_tokens").alias(into))
+    return docs.withColumn(key, digest(text)).join(cache, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], into)
 
 
 def count_documents(docs: DataFrame, model: str, root: str | None = None, limit: int = OVER_LIMIT) -> DataFrame:

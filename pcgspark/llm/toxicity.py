@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcgspark.llm.common import bounded_batches, column_kernel, crc_mod, materialise, slices
+from pcgspark.llm.common import bounded_batches, column_kernel, crc_mod, free_name, materialise, slices
 
 WINDOW = 6
 LEVEL = 4
@@ -190,7 +190,9 @@ def score_rows(docs: DataFrame, d: Dictionaries, into: str = "x") -> DataFrame:
 
 
 def predict(docs: DataFrame, model: Model | float, into: str = "toxicity") -> DataFrame:
-    """Adds the struct ``into``: score and predicted."""
+    """Adds the struct ``into``: score and predicted. It is the last column, with underscores behind its name if there is such
+    a column."""
+    into = free_name(docs.columns, into)
     if isinstance(model, float):
         scored, score = docs, F.lit(model)
     else:

@@ -135,6 +135,7 @@ def test_join_odd_rows(spark, odd, empty):
     assert len(got) == odd.count()
     by = {r["doc_id"]: r for r in got}
     assert by[5]["component_id"] == 4 and by[9]["component_id"] == 8 and by[0]["n_shingles"] == 0 and by[None]["component_id"] is None
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [0, 1]
     assert jaccard_join.join_classes(empty, Spec(3, 90, 100)).count() == 0
     kept = jaccard_join.keep_one(odd, Spec(5, 80, 100))
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2

@@ -122,3 +122,22 @@ def test_bpe_rows(spark, odd, empty, vocabulary, library):
     tokens = bpe.encode(odd, vocabulary)
     back = bpe.decode(tokens, vocabulary).collect()
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in back) and set(odd.columns) < set(tokens.columns)
+
+
+def test_added_columns_never_replace_others(spark, docs_of, tmp_path):
+    """A column with the name of an added one stays, and the added one gets underscores behind it."""
+    from pcgspark.llm import langid, toxicity
+
+    names = ["ids", "decoded", "n_tokens", "__digest", "ledger", "language", "toxicity"]
+    docs = docs_of(["a b", None]).selectExpr("doc_id", "text", *[f"'mine' as `{n}`" for n in names])
+    vocabulary = bpe.Vocabulary(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    counter = token_counts.SentencePieceCounter(P.path("piece_bpe_32k.model"))
+    tokens = bpe.encode(docs, vocabulary)
+    added = {
+        "ids_": tokens, "decoded_": bpe.decode(tokens, vocabulary, "ids_"), "n_tokens_": token_counts.count_tokens(docs, counter, f"file://{tmp_path}"), "ledger_": quality.ledger(docs),
+        "language_": langid.predict(docs, None), "toxicity_": toxicity.predict(docs, 0.5),
+    }
+    for name, df in added.items():
+        assert df.columns[-1] == name and df.columns[: len(docs.columns)] == docs.columns
+        assert all(r[n] == "mine" for r in df.collect() for n in names)
+    assert [list(r["ids_"] or []) for r in tokens.orderBy("doc_id").collect()][1] == [] and [bytes(r["decoded_"]) for r in added["decoded_"].orderBy("doc_id").collect()] == [b"a b", b""]
