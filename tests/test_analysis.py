@@ -7,7 +7,6 @@ from pcgspark.operators import align, classify, metrics
 from pcgspark.operators import labels as lab
 from pcgspark.operators import signal as sig
 from pcgspark.plans import analysis
-from pcgspark.streaming.tracking import track_stream
 
 
 @pytest.fixture(scope="module")
@@ -107,24 +106,6 @@ def test_guards(spark):
     assert metrics.hrv_windows(spark.createDataFrame([("a", 0, 0.0)], "recording_id string, t_us bigint, t_sec double")).count() == 0
 
 
-def test_stream_agrees_with_the_fold(spark, tmp_path):
-    from pcgspark.functions import tracker
-
-    s1 = np.arange(0, 20, 0.8)
-    times = np.sort(np.concatenate((s1, s1 + 0.3)))
-    rows = [("a", int(t * 100), float(t), 1.0 if t in s1 else 0.8, 0.1) for t in times]
-    schema = "recording_id string, sample_idx bigint, t_sec double, amp double, floor double"
-    for k in range(0, len(rows), 10):
-        spark.createDataFrame(rows[k : k + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    q = track_stream(stream).writeStream.format("memory").queryName("verdicts").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["sample_idx"]: r["peak_type"] for r in spark.table("verdicts").collect()}
-    assert len(got) >= len(rows) - 2 and got[0] == "S1 (Paired)"
-    step = tracker.Tracker()
-    assert sum(v == "S1 (Paired)" for v in got.values()) >= len(s1) - 2 and step.beats == 0
-
-
 def test_table_function(spark):
     from pcgspark.operators.peaks import register_find_peaks
 
