@@ -99,3 +99,41 @@ def test_the_store_must_be_named(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in")
     with pytest.raises(ValueError, match="RocksDB"):
         tracking.track_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+
+
+def test_recordings_are_analysed_once(spark, tmp_path):
+    from pcg import heart
+
+    from pcgspark.plans import analysis
+    from pcgspark.sources import wav
+    from pcgspark.streaming import discovery
+
+    folder, mark, out = (tmp_path / x for x in ("in", "mark", "out"))
+    (folder / "deep").mkdir(parents=True)
+    sounds = {"a": heart(np.arange(0.5, 14, 0.8)), "b": heart(np.arange(0.5, 14, 0.7)), "c": heart(np.arange(0.5, 14, 0.6))}
+
+    def put(name, at=None):
+        (folder / (at or f"{name}.wav")).write_bytes(wav.encode(4000, sounds[name]))
+
+    paths = f"file://{folder}", f"file://{out}", f"file://{mark}"
+    put("a")
+    (folder / "broken.WAV").write_bytes(b"no sound")
+    (folder / "notes.txt").write_text("x")
+    assert discovery.analyse_new(spark, *paths) == 2
+    put("b", "deep/b.wav")
+    put("c")
+    assert discovery.analyse_new(spark, *paths, files_per_batch=1) == 2
+    assert discovery.analyse_new(spark, *paths) == 0
+    got = {r["recording_id"]: r for r in discovery.latest(spark, paths[1]).collect()}
+    whole = analysis.analyse(wav.read_recordings(spark, paths[0]))
+    want = {r["recording_id"]: r for r in whole.summary.collect()}
+    assert set(got) == {"a", "b", "c", "broken"} and got["broken"]["status"] != "ok"
+    assert all(got[n].asDict(True) == want[n].asDict(True) for n in want)
+    rates = sorted((r["recording_id"], r["t_sec"], r["smoothed_bpm"]) for r in discovery.latest(spark, paths[1], "rates").collect())
+    assert rates == sorted((r["recording_id"], r["t_sec"], r["smoothed_bpm"]) for r in whole.series.collect())
+    batch = spark.createDataFrame([("c", "c.wav", wav.encode(4000, sounds["a"]))], "recording_id string, path string, content binary")
+    for _ in range(2):  # a later batch replaces a recording's rows, and may be run again
+        discovery._take(batch, 9, paths[1], None, DEFAULTS)
+    again = {r["recording_id"]: r["avg_bpm"] for r in discovery.latest(spark, paths[1]).collect()}
+    assert again["c"] == got["a"]["avg_bpm"] and again["b"] == got["b"]["avg_bpm"] and len(again) == 4
+    whole.release()
