@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pcgspark.functions import kernels
 from pcgspark.functions.reasons import lone_lines, pairing_lines
-from pcgspark.operators import classify, metrics, peaks
+from pcgspark.operators import classify, corrections, metrics, peaks
 from pcgspark.operators import signal as sig
 from pcgspark.params import (
     AMPLITUDE_KNOTS,
@@ -32,8 +32,8 @@ from pcgspark.params import (
     S2_PAIRED,
 )
 from pcgspark.plans import adapter
-from pcgspark.plans.adapter import interp_sql, series, signal
-from pcgspark.plans.catalogue import out, query
+from pcgspark.plans.adapter import SQL, interp_sql, series, signal
+from pcgspark.plans.catalogue import ORACLE, out, query
 
 P = DEFAULTS
 
@@ -510,3 +510,10 @@ def event_log(spark, sf):
     found = analysis.events(_analysis(spark, sf))
     place = F.row_number().over(Window.partitionBy("recording_id").orderBy("t_sec", "sample_idx")).cast("bigint")
     return out(found.withColumn("place", place), "recording_id", "place", "sample_idx", "kind", amp="amp", smoothed_bpm="smoothed_bpm", belief="belief")
+
+
+@query(ORACLE["classify_events"].split(SQL.replace("with ", "with recursive ", 1), 1)[1], recursive=True)
+def native_corrections(spark, sf):
+    """``classify_events`` with corrections as DataFrame operations."""
+    found = corrections.correct(classify.peaks_of(classify.analyse(adapter.prepared(spark, sf), p=UNCORRECTED)))
+    return out(found.withColumn("n_reasons", F.size("reasons").cast("bigint")), "recording_id", "sample_idx", "peak_type", "is_final_beat", "n_reasons", t_sec="t_sec", confidence="confidence")
