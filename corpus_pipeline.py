@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pcgspark.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from pcgspark.llm.common import free_name, materialise, scratch_dir, table
+from pcgspark.llm.common import free_name, materialise, remove, scratch_dir, table
 
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 NEAR = jaccard_join.Spec(5, 80, 100)
@@ -88,8 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared scratch folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared scratch folder and read again. A stage's table goes when the
+    next one is written; that of the last but one stays, since the result is read from it."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), scratch_dir(spark) + "-" + name)
+        path = scratch_dir(spark) + "-" + name
+        docs = materialise(stage(spark, docs, sf_dir), path)
+        remove(spark, before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
