@@ -37,8 +37,14 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, value: str, into: s
     return out.select("l.*", best.alias(into))
 
 
+def first_at(rows: DataFrame, on: str, value: str, order: str, by=BY) -> DataFrame:
+    """(by, on, value): one row for each place; of several at one place the first by ``order``."""
+    return rows.groupBy(*by, on).agg(F.min_by(value, order).alias(value))
+
+
 def interpolate_at(left: DataFrame, right: DataFrame, on: str, value: str, into: str, by=BY) -> DataFrame:
-    """``value`` of ``right`` interpolated at the times of ``left``, constant beyond the ends."""
+    """``value`` of ``right`` interpolated at the times of ``left``, constant beyond the ends. Which of several
+    values at one time counts is for ``first_at`` to say before."""
     mark = F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("at"), F.col("v").alias("v")))
     w = Window.partitionBy(*by).orderBy(F.col(on), F.col("l").isNotNull())
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
