@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -154,5 +155,38 @@ def sane(x: ColumnOr) -> Column:
     return F.when(F.isnan(col(x)) | (F.abs(col(x)) == float("inf")), 0.0).otherwise(col(x))
 
 
+def product_error(a: Column, b: Column) -> Column:
+    """What the rounded product of two doubles lacks, exactly (both are split into halves whose products are exact)."""
+    halves = lambda x: (134217729.0 * x - (134217729.0 * x - x), x - (134217729.0 * x - (134217729.0 * x - x)))
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return ((ah * bh - a * b) + ah * bl + al * bh) + al * bl
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once."""
+    p, e = a * b, product_error(a, b)
+    s = p + c
+    lost = (p - (s - (s - p))) + (c - (s - p))
+    return s + (lost + e)
+
+
+def to_places(x: ColumnOr, places: int) -> Column:
+    """The double next to ``x`` rounded to ``places`` by its exact binary value, halves to even, as Python and C print it.
+    Java's formatter rounds the halves of the shortest decimal up."""
+    x = col(x).cast("double")
+    y, scale = F.abs(x) * float(10**places), F.lit(float(10**places))
+    whole = F.floor(y).cast("double")
+    error = product_error(F.abs(x), scale)
+    up = (y - whole > 0.5) | ((y - whole == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    near = (whole + up.cast("double")) / scale * F.when(x < 0, -1.0).otherwise(1.0)
+    return F.when(y < 1e15, near).otherwise(x)
+
+
+def printf(pattern: str, *columns: ColumnOr) -> Column:
+    """``format_string`` whose fixed numbers are rounded by ``to_places``."""
+    specs = re.findall(r"%[-+ 0#]*\d*(?:\.(\d+))?([a-zA-Z])", pattern.replace("%%", ""))
+    return F.format_string(pattern, *[to_places(c, int(n or 6)) if kind == "f" else c for (n, kind), c in zip(specs, columns, strict=True)])
+
+
 def null_if_nan(x: ColumnOr) -> Column:
     return F.when(F.isnan(col(x)), None).otherwise(col(x))

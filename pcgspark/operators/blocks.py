@@ -79,6 +79,15 @@ def numbers(table: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([c.to_numpy(zero_copy_only=False) for c in table[column].chunks]).astype(float) if table.num_rows else np.empty(0)
 
 
+def _fused(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a * b + c, rounded once (see ``exprs.fused``)."""
+    ah, bh = (134217729.0 * x - (134217729.0 * x - x) for x in (a, b))
+    p = a * b
+    error = ((ah * bh - p) + ah * (b - bh) + (a - ah) * bh) + (a - ah) * (b - bh)
+    s = p + c
+    return s + (((p - (s - (s - p))) + (c - (s - p))) + error)
+
+
 # -- rolling quantiles ------------------------------------------------------------------------------------------------
 def centred_quantile(rows: DataFrame, x: str, into: str, q: float, width: int, least: int = 3, order: str = "idx", by=BY) -> DataFrame:
     """Adds the exact quantile of a centred frame of ``width`` rows (of an even width, one more before); null with fewer than
@@ -86,7 +95,11 @@ def centred_quantile(rows: DataFrame, x: str, into: str, q: float, width: int, l
     import pandas as pd
 
     def kernel(table: pa.Table) -> pa.Table:
-        found = pd.Series(numbers(table, x)).rolling(width, min_periods=min(least, width), center=True).quantile(q)
+        frame = pd.Series(numbers(table, x)).rolling(width, min_periods=min(least, width), center=True)
+        low, high = (frame.quantile(q, interpolation=side).to_numpy() for side in ("lower", "higher"))
+        place = (frame.count().to_numpy() - 1) * q
+        share = place - np.floor(place)
+        found = _fused(low, 1.0 - share, high * share)
         return table.append_column(into, pa.array(found, from_pandas=True, type=pa.float64())).filter(table[OWN]).drop_columns([PIECE, OWN])
 
     kind = StructType([*rows.schema.fields, StructField(into, DoubleType())])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pcgspark.functions.exprs import ColumnOr, col
+from pcgspark.functions.exprs import ColumnOr, col, fused
 
 BY, ORDER = ("recording_id",), ("idx",)
 
@@ -59,6 +59,21 @@ def centred_mean_by_share(rows: DataFrame, x: str, into: str, share: float, leas
     return pair.select("__row.*", F.when(count > 0, total / count).alias(into))
 
 
+def quantiles(rows: DataFrame, x: ColumnOr, by=BY, **shares: float) -> DataFrame:
+    """(by, a column for each share): exact quantiles, of which the two neighbours are weighted with one rounding less than
+    ``percentile`` has, as the SQL's engine weights them; values that stand just at a multiple of one compare alike."""
+    part = Window.partitionBy(*by)
+    ranked = rows.select(*by, col(x).cast("double").alias("__x")).withColumns({"__k": F.row_number().over(part.orderBy(F.col("__x").asc_nulls_last())) - 1, "__end": F.count("__x").over(part) - 1})
+    met = []
+    for name, q in shares.items():
+        place = F.col("__end") * F.lit(q)
+        low = F.floor(place)
+        at = lambda k: F.max(F.when(F.col("__k") == k, F.col("__x")))
+        met += [at(low).alias(f"{name}_a"), at(F.least(low + 1, F.col("__end"))).alias(f"{name}_b"), F.max(place - low).alias(f"{name}_d")]
+    found = ranked.groupBy(*by).agg(*met)
+    return found.select(*by, *[fused(F.col(f"{n}_a"), 1.0 - F.col(f"{n}_d"), F.col(f"{n}_b") * F.col(f"{n}_d")).alias(n) for n in shares])
+
+
 def time_mean(x: ColumnOr, micros: str, seconds: float, by=BY) -> Column:
     """Mean over the half-open time frame (t - s/2, t + s/2], on integer microseconds."""
     half = int(round(seconds * 1_000_000)) // 2

@@ -19,8 +19,8 @@ BY = ("recording_id",)
 
 
 def _shown(pattern: str, *columns: str, absent: str = "n/a"):
-    """Formatted values; format_string itself would show a null as text."""
-    return F.when(F.col(columns[0]).isNotNull(), F.format_string(pattern, *columns)).otherwise(absent)
+    """Formatted values; printf itself would show a null as text."""
+    return F.when(F.col(columns[0]).isNotNull(), X.printf(pattern, *columns)).otherwise(absent)
 
 
 @dataclass
@@ -87,14 +87,14 @@ def events(a: Analysis) -> DataFrame:
 def debug_log(a: Analysis) -> DataFrame:
     """recording_id and a chronological log as text."""
     reasons = F.array_join(F.flatten(F.transform(F.coalesce("reasons", F.array().cast(f"array<{schema.REASON}>")), reason_lines)), "\n")
-    line = F.format_string("%s [%.3f s] %s, amplitude %.1f, floor %.1f, rate %s, belief %s", X.clock("t_sec"), F.col("t_sec"), F.coalesce("kind", F.lit("Unclassified")), F.col("amp"), F.col("floor"), _shown("%.1f", "smoothed_bpm", absent="-"), _shown("%.1f", "belief", absent="-"))
+    line = X.printf("%s [%.3f s] %s, amplitude %.1f, floor %.1f, rate %s, belief %s", X.clock("t_sec"), F.col("t_sec"), F.coalesce("kind", F.lit("Unclassified")), F.col("amp"), F.col("floor"), _shown("%.1f", "smoothed_bpm", absent="-"), _shown("%.1f", "belief", absent="-"))
     text = F.concat(line, F.when(reasons != "", F.concat(F.lit("\n"), reasons)).otherwise(F.lit("")))
     rows = events(a).select("recording_id", F.struct("t_sec", "sample_idx", text.alias("line")).alias("e"))
     return rows.groupBy(*BY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.line), "\n").alias("value"))
 
 
 def _periods(df: DataFrame, title: str) -> DataFrame:
-    line = F.format_string("| %s - %s | %.1f s | %.1f to %.1f BPM | %+.1f BPM | %+.2f BPM/s |", X.clock("start_sec"), X.clock("end_sec"), "duration_sec", "start_bpm", "end_bpm", "change_bpm", "slope")
+    line = X.printf("| %s - %s | %.1f s | %.1f to %.1f BPM | %+.1f BPM | %+.2f BPM/s |", X.clock("start_sec"), X.clock("end_sec"), "duration_sec", "start_bpm", "end_bpm", "change_bpm", "slope")
     ordered = df.select("recording_id", F.struct((-F.abs("slope")).alias("o"), "start_sec", line.alias("line")).alias("x"))
     return ordered.groupBy(*BY).agg(F.concat(F.lit(f"## {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n")).alias(title))
 
@@ -108,7 +108,7 @@ def report(a: Analysis) -> DataFrame:
         "\n", F.concat(F.lit("# Analysis of "), "recording_id"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|---|---|"), fmt("Average BPM", "avg_bpm", "%.1f BPM"), span,
         fmt("Corrected RMSSD", "avg_rmssdc", "%.2f"), fmt("Windowed SDNN", "avg_sdnn", "%.2f ms"), fmt("1-minute recovery", "hrr_bpm", "%.1f BPM"), slope("Peak exertion", "peak_exertion"), slope("Peak recovery", "peak_recovery"),
     )
-    rates = a.series.select("recording_id", F.struct("t_sec", F.format_string("| %.2f | %.1f |", "t_sec", "smoothed_bpm").alias("line")).alias("x"))
+    rates = a.series.select("recording_id", F.struct("t_sec", X.printf("| %.2f | %.1f |", "t_sec", "smoothed_bpm").alias("line")).alias("x"))
     rates = rates.groupBy(*BY).agg(F.concat(F.lit("## Rate\n\n| Time (s) | BPM |\n|---|---|\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n")).alias("rates"))
     out = a.summary.select("recording_id", head.alias("head")).join(_periods(a.inclines, "Exertion periods"), "recording_id", "left").join(_periods(a.declines, "Recovery periods"), "recording_id", "left").join(rates, "recording_id", "left")
     return out.select("recording_id", F.concat_ws("\n\n", "head", "`Exertion periods`", "`Recovery periods`", "rates").alias("value"))

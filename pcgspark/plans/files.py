@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from pcgspark.functions import exprs as X
 from pcgspark.operators import labels as lab
 from pcgspark.operators import metrics
 from pcgspark.plans.adapter import beats, labels, series, signal
@@ -79,4 +80,4 @@ def processed_fallback(spark, sf):
 
 @query("select cast(recording_id as varchar) || ',' || printf('%.2f', avg(smoothed_bpm)) as line from series group by recording_id")
 def rate_lines(spark, sf):
-    return metrics.summary(series(spark, sf)).select(F.concat_ws(",", F.col("recording_id").cast("string"), F.format_string("%.2f", "avg_bpm")).alias("line"))
+    return metrics.summary(series(spark, sf)).select(F.concat_ws(",", F.col("recording_id").cast("string"), X.printf("%.2f", "avg_bpm")).alias("line"))
