@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -42,6 +43,21 @@ def step_of(kind: str, by: float | None = None, of: float | None = None, against
     return (kind, *[None if x is None else float(x) for x in (by, of, against)])
 
 
+def interp(x: float, xs: tuple[float, ...], ys: tuple[float, ...]) -> float:
+    """``numpy.interp`` of one number, without the cost of arrays."""
+    if x != x:
+        return x
+    if x <= xs[0] or x >= xs[-1]:
+        return ys[0] if x <= xs[0] else ys[-1]
+    j = bisect_right(xs, x) - 1
+    return ys[j] if xs[j] == x else (ys[j + 1] - ys[j]) / (xs[j + 1] - xs[j]) * (x - xs[j]) + ys[j]
+
+
+def unit(x: float) -> float:
+    """Cut to 0..1."""
+    return min(1.0, max(0.0, x))
+
+
 @dataclass
 class Peak:
     """A raw peak: sample number, seconds, envelope, noise floor, and the smoothed deviation known at its time."""
@@ -92,33 +108,33 @@ class Tracker:
 
     def pair_confidence(self, a: Peak, b: Peak) -> tuple[float, list[Step]]:
         p = self.params
-        rate = np.clip((self.bpm - p.contractility_bpm_low) / (p.contractility_bpm_high - p.contractility_bpm_low), 0, 1)
-        low, high = (np.interp(a.dev, DEVIATION_KNOTS, c) for c in (LOW_RATE_CURVE, HIGH_RATE_CURVE))
+        rate = unit((self.bpm - p.contractility_bpm_low) / (p.contractility_bpm_high - p.contractility_bpm_low))
+        low, high = (interp(a.dev, DEVIATION_KNOTS, c) for c in (LOW_RATE_CURVE, HIGH_RATE_CURVE))
         conf = low + (high - low) * rate
         said = [step_of("base", conf, rate)]
         if self.beats >= 5:
             paired = self.pairing_ratio()
-            factor = np.interp(paired, (0, 1), (p.stability_confidence_floor, p.stability_confidence_ceiling))
+            factor = interp(paired, (0, 1), (p.stability_confidence_floor, p.stability_confidence_ceiling))
             conf *= factor
             said.append(step_of("stability", factor, paired))
         recovering = self.recovery is not None and self.recovery[0] < a.t < self.recovery[1]
-        expected = np.interp(max(self.bpm, p.contractility_bpm_low) if recovering else self.bpm, (p.contractility_bpm_low, p.contractility_bpm_high), (p.s2_s1_ratio_low_bpm, p.s2_s1_ratio_high_bpm))
+        expected = interp(max(self.bpm, p.contractility_bpm_low) if recovering else self.bpm, (p.contractility_bpm_low, p.contractility_bpm_high), (p.s2_s1_ratio_low_bpm, p.s2_s1_ratio_high_bpm))
         ratio = b.strength / (a.strength + TINY)
         if ratio > expected:
-            cut = p.penalty_amount_min + np.clip((ratio / expected - 1) / 2, 0, 1) * (p.penalty_amount_max - p.penalty_amount_min)
+            cut = p.penalty_amount_min + unit((ratio / expected - 1) / 2) * (p.penalty_amount_max - p.penalty_amount_min)
             conf -= cut
             said.append(step_of("penalty", cut, ratio, expected))
         elif a.strength > b.strength * p.s1_s2_boost_ratio:
-            share = np.clip((a.strength / (b.strength + TINY) - p.s1_s2_boost_ratio) / (p.s1_s2_full_boost_ratio - p.s1_s2_boost_ratio), 0, 1)
+            share = unit((a.strength / (b.strength + TINY) - p.s1_s2_boost_ratio) / (p.s1_s2_full_boost_ratio - p.s1_s2_boost_ratio))
             gain = p.boost_amount_min + share * (p.boost_amount_max - p.boost_amount_min)
             conf += gain
             said.append(step_of("boost", gain, a.strength / (b.strength + TINY)))
-        conf = 1.0 if np.isnan(conf) else float(min(1.0, max(0.0, conf)))  # an unknown deviation leaves nothing to doubt
+        conf = 1.0 if conf != conf else float(min(1.0, max(0.0, conf)))  # an unknown deviation leaves nothing to doubt
         longest = min(p.s1_s2_interval_cap_sec, 60.0 / self.bpm * p.s1_s2_interval_rr_fraction)
         gap = b.t - a.t
         start, full = longest * p.interval_penalty_start_factor, longest * p.interval_penalty_full_factor
         if p.enable_interval_penalty and gap > longest and gap > start:
-            cut = float(np.clip((gap - start) / (full - start + TINY), 0, 1)) * p.interval_max_penalty
+            cut = float(unit((gap - start) / (full - start + TINY))) * p.interval_max_penalty
             conf = max(0.0, conf - cut)
             said.append(step_of("interval", cut, gap, longest))
         said.append(step_of("score", conf, None, p.pairing_confidence_threshold))
@@ -130,8 +146,8 @@ class Tracker:
         if self.last is None:
             return True, False, None, [step_of("first")]
         expected = 60.0 / self.bpm
-        rhythm = np.interp(abs(peak.t - self.last.t - expected) / expected, RHYTHM_KNOTS, RHYTHM_SCORES)
-        amplitude = np.interp(peak.strength / (self.last.strength + TINY), AMPLITUDE_KNOTS, AMPLITUDE_SCORES)
+        rhythm = interp(abs(peak.t - self.last.t - expected) / expected, RHYTHM_KNOTS, RHYTHM_SCORES)
+        amplitude = interp(peak.strength / (self.last.strength + TINY), AMPLITUDE_KNOTS, AMPLITUDE_SCORES)
         conf = float(rhythm * p.lone_s1_rhythm_weight + amplitude * p.lone_s1_amplitude_weight)
         least = p.lone_s1_confidence_threshold
         said = [step_of("rhythm", rhythm, peak.t - self.last.t, expected), step_of("amplitude", amplitude, peak.strength / (self.last.strength + TINY)), step_of("lone", conf, None, least)]
@@ -292,10 +308,15 @@ def fix_discontinuities(beats: list[Peak], peaks: list[Peak], verdicts: dict[int
     return [b for b in merged if b.idx not in gone], made
 
 
-def analyse(peaks: list[Peak], p: Params = DEFAULTS, hint: float | None = None, rounds: int = 5):
-    """(start rate, recovery, final beats, verdicts, belief history) of a recording."""
+def analyse(peaks: list[Peak], p: Params = DEFAULTS, hint: float | None = None, rounds: int = 5, parts: tuple[str, ...] = ("peaks", "belief")):
+    """(start rate, recovery, final beats, verdicts, belief history) of a recording; without ``peaks`` no corrections, without
+    any of ``parts`` only the first pass."""
     start, recovery = preliminary(peaks, p, hint)
+    if not parts:
+        return start, recovery, [], {}, []
     beats, verdicts, history = track(peaks, p, start, recovery)
+    if "peaks" not in parts:
+        return start, recovery, beats, verdicts, history
     beats = drop_conflicts(beats, p)
     for _ in range(rounds if p.enable_correction_pass else 0):
         beats, made = fix_discontinuities(beats, peaks, verdicts, p)
