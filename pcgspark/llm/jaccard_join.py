@@ -248,11 +248,11 @@ class Indexer:
 
 
 def neighbourhoods(part: pa.RecordBatch, spec: Spec, deep: bool) -> pa.RecordBatch:
-    """(i, low, need, seg, key, kind) for every segment of each text: kind 0 is the subset; with ``deep``, kind 1 is the
-    subset less one shingle."""
+    """(i, low, over, seg, key, kind) for every segment of each text: kind 0 is the subset; with ``deep``, kind 1 is the
+    subset less one shingle. ``over`` is the needed weight less the units of weight that the band's segments can take."""
     h, d = shingle_sets(part.column("text"), spec.k)
     n = np.bincount(d, minlength=part.num_rows).astype(np.int64)
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     for docs, low in bands(n, spec):
         if not len(docs):
             continue
@@ -265,16 +265,17 @@ def neighbourhoods(part: pa.RecordBatch, spec: Spec, deep: bool) -> pa.RecordBat
         sums[cell] = np.add.reduceat(values, starts)
         doc = np.repeat(np.arange(len(docs)), m)
         number = np.arange(first[-1]) - first[doc]
+        over = spec.needed(n[docs], low) - (2 if deep else 1) * m
         rows = [(0, signature(sums + _DELETED, number, low[doc]), np.arange(first[-1]))]
         if deep:
             each = np.repeat(cell, np.diff(np.append(starts, len(flat))))
             rows.append((1, signature(sums[each] - values + _DELETED, number[each], low[doc[each]]), each))
         for kind, key, at in rows:
-            for column, x in zip(out, (docs[doc[at]], low[doc[at]], number[at], key.view(np.int64), np.full(len(at), kind)), strict=True):
+            for column, x in zip(out, (docs[doc[at]], low[doc[at]], over[doc[at]], number[at], key.view(np.int64), np.full(len(at), kind)), strict=True):
                 column.append(x)
-    doc, low, seg, key, kind = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
-    columns = [part.column("i").take(pa.array(doc)), pa.array(low), pa.array(spec.needed(n[doc], low)), pa.array(seg), pa.array(key), pa.array(kind, pa.int8())]
-    return pa.record_batch(columns, names=["i", "low", "need", "seg", "key", "kind"])
+    doc, low, over, seg, key, kind = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
+    columns = [part.column("i").take(pa.array(doc)), pa.array(low), pa.array(over), pa.array(seg), pa.array(key), pa.array(kind, pa.int8())]
+    return pa.record_batch(columns, names=["i", "low", "over", "seg", "key", "kind"])
 
 
 def _alike(spec: Spec, a: str, b: str) -> Column:
@@ -462,26 +463,28 @@ class Join:
         spec = self.spec
         reach = self.keep(searching.select(F.explode("sigs").alias("sig")).distinct())
         told = self.keep(self.open.join(reach.hint("merge"), "sig", "left_semi").drop("sig").dropDuplicates(["i"]))
-        near = self._kernel(self._fetch(told.select("i"), "i"), lambda _: lambda part: neighbourhoods(part, spec, deep), "i bigint, low bigint, need bigint, seg bigint, key bigint, kind tinyint")
-        often = self.keep(near.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("whole"), F.sum("kind").alias("less")).filter("whole + less > 1"))
-        mine = near.join(searching.select("i"), "i").join(often, "key", "left")
-        whole, less = F.coalesce("whole", F.lit(1)), F.coalesce("less", F.lit(0))
+        near = self._kernel(self._fetch(told.select("i"), "i"), lambda _: lambda part: neighbourhoods(part, spec, deep), "i bigint, low bigint, over bigint, seg bigint, key bigint, kind tinyint")
+        # a key that stands for no whole subset, or for one alone, costs nothing, so most entries drop out here
+        often = self.keep(near.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("whole"), F.sum("kind").alias("less")).filter("whole > 0 and whole + less > 1"))
+        mine = near.join(searching.select("i"), "i").join(often, "key")
         # the second unit of weight costs no less than the first, which it includes
-        cost = {1: F.when(F.col("kind") == 0, whole - 1).otherwise(0), 2: F.when(F.col("kind") == 0, whole + less - 1).otherwise(F.coalesce("whole", F.lit(0)))}
+        cost = {1: F.when(F.col("kind") == 0, F.col("whole") - 1).otherwise(0), 2: F.when(F.col("kind") == 0, F.col("whole") + F.col("less") - 1).otherwise(F.col("whole"))}
         cost = {w: c for w, c in cost.items() if deep or w == 1}
-        segs = mine.groupBy("i", "low", "need", "seg").agg(*[F.sum(c).alias(f"cost{w}") for w, c in cost.items()])
-        units = F.array(*[F.struct(F.col(f"cost{w}").alias("cost"), F.lit(w).alias("weight"), "seg") for w in cost])
-        dealt = segs.select("i", "low", "need", F.explode(units).alias("u")).groupBy("i", "low").agg(F.array_sort(F.collect_list("u")).alias("u"), F.first("need").cast("int").alias("need"))
-        dealt = self.keep(dealt.select("i", "low", F.slice("u", F.lit(1), F.col("need")).alias("u")))
+        segs = mine.groupBy("i", "low", "over", "seg").agg(*[F.sum(c).alias(f"cost{w}") for w, c in cost.items()])
+        units = F.filter(F.array(*[F.struct(F.col(f"cost{w}").alias("cost"), F.lit(w).alias("weight"), "seg") for w in cost]), lambda u: u.cost > 0)
+        dealt = segs.groupBy("i", "low").agg(F.array_sort(F.flatten(F.collect_list(units))).alias("u"), F.first("over").cast("int").alias("over"))
+        # units without a cost are taken first and only counted
+        dealt = self.keep(dealt.select("i", "low", F.slice("u", F.lit(1), F.greatest(F.lit(0), F.col("over") + F.size("u"))).alias("u")))
         still = dealt.groupBy("i").agg(F.sum(F.aggregate("u", F.lit(0).cast("bigint"), lambda t, x: t + x.cost)).alias("cost")).join(searching, "i")
         still = self.keep(still.select("i", "sigs", "own", (F.lit(not deep) & (F.col("cost") > ENTRY_COST * F.col("own.n"))).alias("dear")))
-        taken = dealt.join(still.filter("not dear").select("i", "own"), "i").select("i", "own", "low", F.explode("u").alias("u")).filter("u.cost > 0")
+        taken = dealt.join(still.filter("not dear").select("i", "own"), "i").select("i", "own", "low", F.explode("u").alias("u"))
         taken = taken.groupBy("i", "low", "u.seg").agg(F.max("u.weight").alias("weight"), F.first("own").alias("own"))
         asks = self.keep(near.join(taken, ["i", "low", "seg"]).filter("weight = 2 or kind = 0").select("key", "kind", "weight", "i", "own"))
         found = None
         for kind in (0, 1) if deep else (0,):
-            asked = self.keep(near.filter(f"kind = {kind}").select("key", "i").join(told.hint("merge"), "i"))
-            met = self._meet(asks.filter("kind = 0 and weight = 2") if kind else asks, asked, "key")
+            asking = asks.filter("kind = 0 and weight = 2") if kind else asks
+            asked = near.filter(f"kind = {kind}").select("key", "i").join(asking.select("key"), "key", "left_semi")
+            met = self._meet(asking, self.keep(asked.join(told.hint("merge"), "i")), "key")
             found = met if found is None else found.unionByName(met)
         return found, still.filter("dear").drop("dear")
 

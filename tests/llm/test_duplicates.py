@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pcgspark.llm import components, jaccard_join, line_dedup, spotsigs
-from pcgspark.llm.common import table
+from pcgspark.llm.common import Scratch, materialise, table
 from pcgspark.llm.jaccard_join import Spec
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +89,22 @@ def test_families_of_near_copies(spark, docs_of, entry, monkeypatch):
         assert got == want
 
 
+def test_units_without_a_cost_are_only_counted(spark, docs_of, monkeypatch):
+    """Of the units of weight only those that cost something are listed, sorted and dealt."""
+    monkeypatch.setattr(jaccard_join, "ENTRY_COST", 0)
+    listed, keep = [], Scratch.__call__
+
+    def noted(self, df):
+        stored = keep(self, df)
+        if stored.columns == ["i", "low", "u"]:
+            listed.append(stored.select(F.explode("u").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.min("u.cost").alias("least")).first())
+        return stored
+
+    monkeypatch.setattr(Scratch, "__call__", noted)
+    jaccard_join.join_classes(docs_of(family(random.Random(21), 80, 40, 2)), Spec(3, 90, 100)).count()
+    assert listed and any(x["n"] for x in listed) and all(x["least"] > 0 for x in listed if x["n"])
+
+
 def test_one_document_with_several_texts(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, a), (9, None), (4, "other")]
@@ -148,6 +164,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_settled_components_take_one_round(spark):
+    stored = []
+    stars = spark.createDataFrame([(i, i % 7) for i in range(7, 70)], "a bigint, b bigint")
+    got = components.components(stars, lambda df: stored.append(1) or materialise(df)).collect()
+    assert {r["node"]: r["component"] for r in got} == {i: i % 7 for i in range(70)}
+    assert len(stored) == 4  # the edges, two tables of least neighbours, the round's result
+
+
+
 def test_passages_are_removed_once(spark, docs_of):
     rng = random.Random(3)
     line = lambda: " ".join(f"w{rng.randrange(100_000)}" for _ in range(12))
