@@ -7,6 +7,7 @@ depends on the whole series, blocks are summed up in a few numbers that combine
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,7 @@ def prominences(rows: DataFrame, flag: str, x: str, into: str = "prominence", or
 
 
 # -- band pass --------------------------------------------------------------------------------------------------------
+@lru_cache(maxsize=64)
 def _coefficients(rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     from pcgspark.functions import kernels
 
@@ -262,25 +264,44 @@ def band_pass(rows: DataFrame, x: str, rate: str, into: str = "filtered", order:
 
     The filter's recursion is an affine map of four numbers for each block. Blocks find their maps from a state of zero, the
     maps of a series are applied one after another, and then each block is filtered from its true state; first forward, then
-    backward over the result. Signals of ``PAD`` samples or fewer are too short and left out; null samples count as 0.
+    backward over the result. A signal that lies in one block is filtered at once. Signals of ``PAD`` samples or fewer are too
+    short and left out; null samples count as 0.
     """
     keys = [*by, PIECE]
     key_kinds = [*rows.select(*by).schema.fields, StructField(PIECE, LongType())]
     mapped = StructType([*key_kinds, *StructType.fromDDL(_MAPPED).fields])
-    slim = rows.select(*by, order, F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__v"), F.col(rate).cast("int").alias("__rate"))
+    slim = rows.select(*by, F.col(order).cast("bigint").alias(order), F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__v"), F.col(rate).cast("int").alias("__rate"))
 
-    def pack(table: pa.Table) -> pa.Table:
-        own, at, values = table[OWN].to_numpy(), table[order].to_numpy(), numbers(table, "__v")
-        mine, r = np.flatnonzero(own), table["__rate"][0].as_py()
-        # a block that has only rows of its neighbours begins beyond the end of the signal; signals that are too short are left out
-        if not len(mine) or len(at) <= PAD and at[0] == 0 and mine[-1] == len(at) - 1:
-            return _row(table, keys, [r, False, False, 0, [], [], 0.0]).slice(0, 0)
-        first, last = at[mine[0]] == 0, mine[-1] == len(at) - 1
+    def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A block's places and own rows, and whether the signal begins and ends in it."""
+        at, mine = table[order].to_numpy(), np.flatnonzero(table[OWN].to_numpy())
+        # a block that has only rows of its neighbours begins beyond the end of the signal
+        return at, mine, np.array([at[mine[0]] == 0, mine[-1] == len(at) - 1]) if len(mine) else np.zeros(2, bool)
+
+    def widened(table: pa.Table, mine: np.ndarray, first: bool, last: bool) -> np.ndarray:
+        values = numbers(table, "__v")
         ahead = 2 * values[0] - values[PAD:0:-1] if first else []
         behind = 2 * values[-1] - values[-2 : -PAD - 2 : -1] if last else []
-        wide = np.concatenate((ahead, values[mine], behind))
+        return np.concatenate((ahead, values[mine], behind))
+
+    def pack(table: pa.Table) -> pa.Table:
+        at, mine, ends = cut(table)
+        r = table["__rate"][0].as_py()
+        if not len(mine) or ends.all():
+            return _row(table, keys, [r, False, False, 0, [], [], 0.0]).slice(0, 0)
+        wide = widened(table, mine, *ends)
         _, end = _run(wide, r, np.zeros(4))
-        return _row(table, keys, [r, first, last, int(at[mine[0]]), wide, end, wide[0]])
+        return _row(table, keys, [r, bool(ends[0]), bool(ends[1]), int(at[mine[0]]), wide, end, wide[0]])
+
+    def whole(table: pa.Table) -> pa.Table:
+        at, mine, ends = cut(table)
+        y = np.empty(0)
+        if ends.all() and len(at) > PAD:
+            wide, r = widened(table, mine, True, True), table["__rate"][0].as_py()
+            steady = _coefficients(r)[2]
+            y, _ = _run(wide, r, steady * wide[0])
+            y = _run(y[::-1], r, steady * y[-1])[0][::-1][PAD : len(wide) - PAD]
+        return table.select([*by, order]).slice(0, len(y)).append_column(into, pa.array(y))
 
     def forward(table: pa.Table) -> pa.Table:
         (row,) = table.to_pylist()
@@ -295,7 +316,8 @@ def band_pass(rows: DataFrame, x: str, rate: str, into: str = "filtered", order:
         same = table.select(list(by)).take(pa.array(np.zeros(len(y), np.int64)))
         return same.append_column(order, pa.array(np.arange(at, at + len(y)))).append_column(into, pa.array(y))
 
+    out = StructType([*rows.select(*by).schema.fields, StructField(order, LongType()), StructField(into, DoubleType())])
     packed = map_blocks(slim, pack, mapped, PAD + 1, PAD + 1, order, by, size)
     once = map_groups(packed.join(_scanned(packed, by, False), keys).select(*packed.columns, "__state"), keys, [], forward, mapped)
-    out = StructType([*rows.select(*by).schema.fields, StructField(order, LongType()), StructField(into, DoubleType())])
-    return map_groups(once.join(_scanned(once, by, True), keys).select(*once.columns, "__state"), keys, [], backward, out)
+    long = map_groups(once.join(_scanned(once, by, True), keys).select(*once.columns, "__state"), keys, [], backward, out)
+    return map_blocks(slim, whole, out, PAD + 1, PAD + 1, order, by, size).unionByName(long)

@@ -75,6 +75,16 @@ def test_quantiles(rows, series, width, q, least):
         assert np.allclose(got[name][1].astype(float), want, equal_nan=True) and len(got[name][0]) == len(x)
 
 
+def test_signals_of_one_block_are_filtered_at_once(rows, series, monkeypatch):
+    """Only signals of several blocks are cut into maps and dealt from task to task."""
+    cut, scanned = [], blocks._scanned
+    monkeypatch.setattr(blocks, "_scanned", lambda found, *more: cut.append(found) or scanned(found, *more))
+    got = by_id(blocks.band_pass(rows.withColumn("hz", F.lit(600)), "amp", "hz", size=SMALL), "idx", "filtered")
+    assert set(got) == {name for name, x in series.items() if len(x) > 15}
+    assert any(15 < len(x) <= SMALL for x in series.values())
+    assert {r["recording_id"] for r in cut[0].select("recording_id").collect()} == {name for name, x in series.items() if len(x) > SMALL}
+
+
 def test_band_pass(rows, series):
     got = by_id(blocks.band_pass(rows.withColumn("hz", F.lit(600)), "amp", "hz", size=SMALL), "idx", "filtered")
     for name, x in series.items():
