@@ -16,9 +16,10 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_of(events: DataFrame) -> DataFrame:
     """recording_id, event_id, event_type, amp, idx (from 0), t_us, t_sec."""
-    w = Window.partitionBy("recording_id")
+    w = Window.partitionBy("recording_id").orderBy("ts", "event_id")
     rows = events.select(F.col("user_id").alias("recording_id"), "event_id", "event_type", F.col("value").alias("amp"), "ts")
-    rows = rows.withColumns({"first_ts": F.min("ts").over(w), "idx": F.row_number().over(w.orderBy("ts", "event_id")).cast("bigint") - 1})
+    # in order of time the least so far is the least of all, so both need one sort
+    rows = rows.withColumns({"first_ts": F.min("ts").over(w.rowsBetween(Window.unboundedPreceding, 0)), "idx": F.row_number().over(w).cast("bigint") - 1})
     return rows.select("recording_id", "event_id", "event_type", "amp", "idx", F.expr(f"timestampdiff(MICROSECOND, first_ts, ts) div {SCALE}").alias("t_us")).withColumn("t_sec", F.col("t_us") / 1e6)
 
 
