@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pcgspark.functions import exprs as X
@@ -15,7 +17,7 @@ from pcgspark.operators import labels as lab
 from pcgspark.operators import metrics
 from pcgspark.plans.adapter import beats, labels, series, signal
 from pcgspark.plans.catalogue import out, query
-from pcgspark.sources import sinks, tables, wav
+from pcgspark.sources import named, sinks, tables, wav
 
 _own: list[str] = []
 
@@ -33,29 +35,46 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pcgspark-files/{uuid.uuid4().hex}"
 
 
+def _id(rows: DataFrame) -> DataFrame:
+    """Rows without an id are a recording of their own, with a name that no id of the event table has."""
+    return rows.withColumn("recording_id", F.coalesce(F.col("recording_id").cast("string"), F.lit(_NONE)))
+
+
+def _read(spark: SparkSession, files: DataFrame, write: Callable[[str], None], read: Callable) -> DataFrame:
+    """What is read from a file for each recording, with the name that the reference gives it; where only Spark reaches the
+    folder, from the folders that ``write`` makes."""
+    path = _folder(spark)
+    if (local := named.local_path(path)) is None:
+        write(path)
+    else:
+        named.write_files(files, local)
+    found = read(spark, path, folders=local is None)
+    return found.withColumn("recording_id", F.expr(f"nullif(recording_id, '{_NONE}')"))
+
+
+_NONE = "no-recording"
 _MILLIS = "((t_us + 500) // 1000) / 1000.0"
 
 
 @query(f"select cast(recording_id as varchar) as recording_id, {_MILLIS} as t_sec, round(smoothed_bpm, 3) as bpm from series")
 def rate_files(spark, sf):
-    path = _folder(spark)
-    sinks.write_rates(series(spark, sf), path)
-    return tables.read_rates(spark, path, folders=True)
+    rates = _id(series(spark, sf))
+    return _read(spark, named.rate_files(rates), partial(sinks.write_rates, rates), tables.read_rates)
 
 
 @query(f"select cast(recording_id as varchar) as recording_id, {_MILLIS} as t_sec, round(amp, 3) as bpm, case event_type when 'click' then 'S1' else 'S2' end as peak_type from signal where event_type in ('click', 'view')")
 def label_files(spark, sf):
-    path, rows = _folder(spark), labels(spark, sf)
-    sinks.write_text(sinks.label_text(rows, lab.pairs(rows)), path)
-    return tables.read_labels(spark, path, folders=True)
+    rows = _id(labels(spark, sf))
+    texts = sinks.label_text(rows, lab.pairs(rows))
+    return _read(spark, named.text_files(texts, "_labels.csv"), partial(sinks.write_text, texts), tables.read_labels)
 
 
 @query("select cast(recording_id as varchar) as recording_id, round(case when count(*) % 2 = 0 then max(amp) end, 6) as start_bpm_hint from signal group by 1")
 def settings_files(spark, sf):
     hint = F.when(F.count(F.lit(1)) % 2 == 0, F.max("amp")).alias("start_bpm_hint")
-    path = _folder(spark)
-    sinks.write_settings(beats(spark, sf).groupBy("recording_id").agg(hint), path)
-    return out(tables.read_settings(spark, path, folders=True), "recording_id", start_bpm_hint="start_bpm_hint")
+    settings = _id(beats(spark, sf).groupBy("recording_id").agg(hint))
+    found = _read(spark, named.settings_files(settings), partial(sinks.write_settings, settings), tables.read_settings)
+    return out(found, "recording_id", start_bpm_hint="start_bpm_hint")
 
 
 @query("select cast(recording_id as varchar) as recording_id, idx, cast(trunc(amp / max(abs(amp)) over (partition by recording_id) * 32767) as integer) as pcm from signal")

@@ -3,7 +3,7 @@
 Spark's file writers choose names themselves. Here a row is (name, content), and its content becomes ``<path>/<name>`` when
 the whole write is committed. Tasks write into a folder of their attempt below ``<path>/.pending-<write>``; committing moves the
 files of the attempts that counted to their places, each at once, and both committing and aborting remove the folder. So a
-failed task leaves nothing, and a write that is run again replaces its files. The folder must be one that all workers see
+failed task leaves nothing, and a write that is run again replaces its files; tasks tell the driver their folder only. The folder must be one that all workers see
 by the same path; for stores that only Spark reaches, the sinks write a folder for each recording.
 
 Of rows with one name the last one to be moved counts; names with a separator or without a letter are refused, a null content is
@@ -32,7 +32,6 @@ SCHEMA = "name string, content binary"
 @dataclass
 class _Written(WriterCommitMessage):
     folder: str
-    names: list[str]
 
 
 class _Writer(DataSourceWriter):
@@ -41,7 +40,7 @@ class _Writer(DataSourceWriter):
         self.pending = os.path.join(self.path, f".pending-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator[Row]) -> _Written:
-        folder, names = os.path.join(self.pending, uuid.uuid4().hex), []
+        folder = os.path.join(self.pending, uuid.uuid4().hex)
         os.makedirs(folder)
         for row in iterator:
             name = row["name"]
@@ -49,18 +48,18 @@ class _Writer(DataSourceWriter):
                 raise ValueError(f"not a file's name: {name!r}")
             with open(os.path.join(folder, name), "wb") as f:
                 f.write(row["content"] or b"")
-            names.append(name)
-        return _Written(folder, names)
+        return _Written(folder)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        written = {name: m.folder for m in messages if m is not None for name in m.names}
+        folders = [m.folder for m in messages if m is not None]
         os.makedirs(self.path, exist_ok=True)
         if self.overwrite:
-            for name in set(os.listdir(self.path)) - set(written):
-                if os.path.isfile(old := os.path.join(self.path, name)):
+            for name in os.listdir(self.path):
+                if os.path.isfile(old := os.path.join(self.path, name)) and not any(os.path.exists(os.path.join(f, name)) for f in folders):
                     os.remove(old)
-        for name, folder in written.items():
-            os.replace(os.path.join(folder, name), os.path.join(self.path, name))
+        for folder in folders:
+            for name in os.listdir(folder):
+                os.replace(os.path.join(folder, name), os.path.join(self.path, name))
         shutil.rmtree(self.pending, ignore_errors=True)
 
     def abort(self, messages: list[_Written | None]) -> None:
@@ -82,6 +81,14 @@ class NamedFilesDataSource(DataSource):
         return _Writer(self.options, overwrite)
 
 
+def local_path(path: str) -> str | None:
+    """The path below a ``file:`` URL or a plain path; None for what only Spark reaches."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
 def write_files(files: DataFrame, path: str, overwrite: bool = False) -> None:
     """Rows (name, content) as files in a folder that all workers see."""
     ship(files.sparkSession)
@@ -106,6 +113,12 @@ def rate_files(series: DataFrame) -> DataFrame:
     return text_files(lines.select("recording_id", F.concat(F.lit("Time (s),Average BPM\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("value")), "_bpm_plot.csv")
 
 
+def settings_files(settings: DataFrame) -> DataFrame:
+    """``<id>_Analysis_Settings.json``: the hint, null where there is none."""
+    hint = F.to_json(F.struct("start_bpm_hint"), {"ignoreNullFields": "false"})
+    return text_files(settings.select("recording_id", hint.alias("value")), "_Analysis_Settings.json")
+
+
 def debug_files(prepared: DataFrame) -> DataFrame:
     """``<id>_filtered_debug.wav``: the band-passed signal."""
     return _of(sinks.debug_wav(prepared), "_filtered_debug.wav", F.col("content"))

@@ -1,3 +1,5 @@
+import dataclasses
+import os
 import struct
 
 import numpy as np
@@ -145,3 +147,34 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "out").iterdir()) == [("good.txt", b"x"), ("other.txt", b"")]
     named.write_files(rows.limit(0), str(tmp_path / "none"))
     assert list((tmp_path / "none").iterdir()) == []
+
+
+@pytest.mark.parametrize("query, suffix", [("settings_files", "_Analysis_Settings.json"), ("label_files", "_labels.csv"), ("rate_files", "_bpm_plot.csv")])
+def test_a_file_for_each_recording(spark, tmp_path, query, suffix):
+    """The queries write one file with the recording's name, and no folder, for each recording; rows without an id stay so."""
+    from pcgspark.plans import files, registry
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("user_id", F.expr("nullif(user_id, 3)"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    base = named.local_path(files._folder(spark)).rsplit("/", 1)[0]
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    got = registry.queries()[query](spark, str(tmp_path)).toPandas()
+    (made,) = set(os.listdir(base)) - before
+    ids = {r[0] for r in events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("no-recording"))).distinct().collect()}
+    assert set(os.listdir(f"{base}/{made}")) == {i + suffix for i in ids} and "no-recording" in ids
+    assert set(got["recording_id"].fillna("no-recording")) == ids
+
+
+def test_local_paths():
+    assert [named.local_path(x) for x in ("/a/b", "file:///a/b", "file:/a/b", "s3a://b/c", "a/b:c")] == ["/a/b", "/a/b", "/a/b", None, "a/b:c"]
+
+
+def test_settings_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 61.5), ("b", None)], "recording_id string, start_bpm_hint double")
+    named.write_files(named.settings_files(rows), str(tmp_path / "out"))
+    assert (tmp_path / "out/b_Analysis_Settings.json").read_text() == '{"start_bpm_hint":null}'
+    assert sorted(map(tuple, tables.read_settings(spark, str(tmp_path / "out")).collect())) == [("a", 61.5), ("b", None)]
+
+
+def test_tasks_send_no_names():
+    assert [f.name for f in dataclasses.fields(named._Written)] == ["folder"]
