@@ -2,7 +2,8 @@
 
 Words are taken in lower case and without punctuation and symbols at their ends; a word of nothing else is none. At
 every anchor (a very common word) a signature is the chain of the anchor and the next two content words, whatever
-number of anchors stand between them; a text's fingerprint is the set of its signatures' 64-bit hashes.
+number of anchors stand between them (a break of line or tab beside a content word counts as an anchor without a
+letter); a text's fingerprint is the set of its signatures' 64-bit hashes.
 
 A text with fewer than FEW chains, or fewer than one in SPARSE words (another language, no spaces, lists, junk), also
 gets chains at hash-chosen tokens: of each PICK consecutive ones that with the least hash, so that an edit changes only
@@ -35,43 +36,46 @@ ANCHORS = (
     "con de del el las los no para por se y"
 ).split()
 CHAIN = 2
+_BREAK = "\n"
 FEW, SPARSE = 3, 50
 PICK, LONG, CHARACTERS = 4, 32, 6
 _EDGE = r"[\p{P}\p{S}]"
-_STRIP = rf"(?<!\S){_EDGE}++(?:(?!\S)\s*+)?+|(?<!{_EDGE}){_EDGE}++(?!\S)"
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+# most characters fail the first look ahead, so that the costlier looks behind are for few
+_STRIP = rf"(?={_EDGE})(?:(?<!\S){_EDGE}++(?:(?!\S)\s*+)?+|(?<!{_EDGE}){_EDGE}++(?!\S))"
+# scripts are looked up only for characters from Thai on, the first of them
+_UNSPACED = r"[\x{0E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]]"
 _TOKEN = rf"[{_UNSPACED}]\p{{M}}*+|(?<![^\s{_UNSPACED}])[^\s{_UNSPACED}]{{1,{LONG}}}+(?![^\s{_UNSPACED}])|[^\s{_UNSPACED}]"
 BUCKET_ROWS = 500
 FREQUENCIES = 1 << 16  # counters of signatures, the order in which an index takes them
 MAX_BUCKETS, SEGMENTS = 100_000, 64
 
 
-def _content(anchors: list[str]) -> str:
-    """A content word: one that is no anchor."""
-    rests: dict[str, list[str]] = {}
-    for a in sorted(set(anchors), reverse=True):
-        rests.setdefault(a[0], []).append(a[1:])
-    # by first letter, so that most words are told after one character
-    anchor = "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items()) + ")"
-    return rf"(?<!\S)(?!{anchor}(?!\S))\S+"
+def _chains(words: Column, anchors: list[str], then: Callable[[Column, Column], Column]) -> Column:
+    """``then(hashes, number)`` of the chains: their hashes, equal ones too, and how many the runs of anchors have, of which
+    each counts its different anchors. A break of line, tab or such beside a content word is an anchor without a letter.
 
-
-def _chains(words: Column, anchors: list[str]) -> Column:
-    """Hashes of the chains: the text is cut at its content words, so that what stands before each is a run of anchors."""
-    cut = F.split(F.regexp_replace(words, F.lit(_content(anchors)), "\u0001$0\u0001"), "\u0001")
+    Words are told by a set and found by their places, without a regular expression and without making new strings: the
+    j-th anchor, at place i, has i - j content words before it.
+    """
+    tokens = F.array_remove(F.split(F.regexp_replace(words, r"[\t\n\x0B\f\r]\s*+", f" {_BREAK} "), " "), "")
+    anchor = lambda w: w.isin(anchors)
+    beside = lambda w, i, x: (w != _BREAK) | (i == 0) | ~anchor(F.get(x, i - 1)) | ~anchor(F.get(x, i + 1))
+    kept = _once(tokens, lambda x: F.when(F.array_contains(x, _BREAK), F.filter(x, lambda w, i: beside(w, i, x))).otherwise(x))
+    stands = lambda w: w.isin([*anchors, _BREAK])
+    parts = _once(kept, lambda x: F.struct(x.alias("w"), F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: stands(F.get(x, i))).alias("at"), F.filter(x, lambda w: ~stands(w)).alias("c")))
 
     def of(x: Column) -> Column:
-        content = lambda k: F.get(x, 2 * k + 1)
-        runs = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(x) / 2).cast("int") - CHAIN)), lambda k: (2 * k + 2 * CHAIN < F.size(x)) & (F.trim(F.get(x, 2 * k)) != ""))
-        chain = lambda k: F.transform(F.array_distinct(F.split(F.trim(F.get(x, 2 * k)), r"\s+")), lambda a: F.xxhash64(a, *[content(k + j) for j in range(CHAIN)]))
-        return F.flatten(F.transform(runs, chain))
+        at = F.filter(x.at, lambda i, j: i - j + CHAIN <= F.size(x.c))
+        word = lambda w: F.when(w == _BREAK, "").otherwise(w)
+        hashed = lambda at: F.transform(at, lambda i, j: F.xxhash64(word(F.get(x.w, i)), *[F.get(x.c, i - j + k) for k in range(CHAIN)]))
+        number = lambda at: F.size(F.array_distinct(F.transform(at, lambda i, j: F.xxhash64(F.get(x.w, i), i - j))))
+        return _once(at, lambda at: _once(hashed(at), lambda h: then(h, number(at))))
 
-    return _once(cut, of)
+    return _once(parts, of)
 
 
-def _chosen(words: Column) -> Column:
+def _chosen(tokens: Column) -> Column:
     """Hashes of the chains at hash-chosen tokens."""
-    tokens = F.regexp_extract_all(words, F.lit(_TOKEN), 0)
 
     def picked(x: Column) -> Column:
         starts = F.size(x.h) - CHAIN
@@ -95,13 +99,18 @@ def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
 
     def of(words: Column) -> Column:
-        found = _chains(words, anchors)
-        # a word has two characters or more with its space, so longer texts with so many chains need no count
-        few = lambda c: (F.size(c) < FEW) | ((F.size(c) * (2 * SPARSE) < F.length(words)) & (F.size(c) * SPARSE < F.size(F.regexp_extract_all(words, F.lit(_TOKEN), 0))))
-        return _once(found, lambda c: F.when(few(c), F.concat(c, _chosen(words))).otherwise(c))
+        def all_of(found: Column, number: Column) -> Column:
+            # a word has two characters or more with its space, so longer texts with so many chains need no count
+            maybe = lambda n: (n < FEW) | (n * (2 * SPARSE) < F.length(words))
+            few = lambda n, t: (n < FEW) | (n * SPARSE < F.size(t))
+            more = _once(F.regexp_extract_all(words, F.lit(_TOKEN), 0), lambda t: F.when(few(number, t), F.concat(found, _chosen(t))).otherwise(found))
+            # different hashes are no more than chains, so where they are enough, chains are not counted
+            return _once(F.array_distinct(found), lambda h: F.when(maybe(F.size(h)), F.array_distinct(more)).otherwise(h))
+
+        return _chains(words, anchors, all_of)
 
     hashes = _once(F.regexp_replace(low, _STRIP, ""), of)
-    return _once(hashes, lambda h: F.when(F.size(h) > 0, F.array_sort(F.array_distinct(h))).otherwise(F.array(F.xxhash64(low))))
+    return _once(hashes, lambda h: F.when(F.size(h) > 0, F.sort_array(h)).otherwise(F.array(F.xxhash64(low))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -201,11 +210,12 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         counters[r["at"]] = min(r["f"], (1 << 31) - 1)
     table = F.broadcast(spark.createDataFrame([(1, counters)], "one int, counters array<int>"))
     least = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
-    ordered = F.array_sort(F.transform("s", lambda x: F.struct(F.get("counters", F.pmod(x, F.lit(FREQUENCIES)).cast("int")).alias("f"), x.alias("g"))))
+    ordered = F.sort_array(F.transform("s", lambda x: F.struct(F.get("counters", F.pmod(x, F.lit(FREQUENCIES)).cast("int")).alias("f"), x.alias("g"))))
     part = _partition(F.col("n"), threshold)
     higher = _partition(F.floor(F.col("n") / F.lit(threshold) + 1e-9), threshold)
     prefix = sets.withColumn("one", F.lit(1)).join(table, "one").select("doc_id", "n", *_parity("s"), F.slice(ordered, F.lit(1), (F.col("n") - least + 1).cast("int")).alias("x"), F.array_distinct(F.array(part, higher)).alias("parts"), part.alias("own"))
-    filed = materialise(prefix.select("*", F.explode("parts").alias("part")).select("doc_id", "n", "b0", "b1", "b2", "b3", "own", "part", F.explode("x.g").alias("g")))
+    # both sides of the join read one shuffle of these rows, which are not stored besides
+    filed = prefix.select("*", F.explode("parts").alias("part")).select("doc_id", "n", "b0", "b1", "b2", "b3", "own", "part", F.explode("x.g").alias("g"))
     a, b = (filed.select("part", "g", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "own", "b0", "b1", "b2", "b3")]) for x in "ab")
     total = F.col("a_n") + F.col("b_n")
     differ = sum((F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))

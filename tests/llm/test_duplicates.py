@@ -351,6 +351,33 @@ def test_chains_against_their_definition(spark, docs_of):
     assert all(set(got[i]) >= set(want[i]) for i in want) and all(got[i] == sorted(want[i]) for i in want if len(want[i]) >= 10)
 
 
+def test_chains_with_breaks_and_control_characters(spark, docs_of):
+    """A break of line beside a content word is an anchor without a letter; a control character is part of its word."""
+    filler = " the one two of three four is five six on seven eight"
+    wanted = {
+        "the cat\u0001x sat on the mat" + filler: [("the", "cat\u0001x", "sat"), ("on", "mat", "one"), ("the", "mat", "one")],
+        "cat\n sat of the\nmat" + filler: [("", "sat", "mat"), ("of", "mat", "one"), ("the", "mat", "one"), ("", "mat", "one")],
+        "cat of\t\nthe  mat of of dog" + filler: [("of", "mat", "dog"), ("the", "mat", "dog"), ("of", "dog", "one")],
+    }
+    rest = [("the", "one", "two"), ("of", "three", "four"), ("is", "five", "six"), ("on", "seven", "eight")]
+    rows = [(i, *c) for i, chains in enumerate(wanted.values()) for c in chains + rest]
+    want: dict = {}
+    for r in spark.createDataFrame(rows, "i int, a string, b string, c string").select("i", F.xxhash64("a", "b", "c").alias("h")).collect():
+        want.setdefault(r["i"], []).append(r["h"])
+    got = {r["doc_id"]: r["s"] for r in docs_of(list(wanted)).select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    assert got == {i: sorted(h) for i, h in want.items()}
+
+
+def test_similar_pairs_store_no_index(spark, docs_of, monkeypatch):
+    """What is stored is a row for each set and each pair, not one for each signature of an index."""
+    stored = []
+    monkeypatch.setattr(spotsigs, "materialise", lambda df, keep=spotsigs.materialise: stored.append(keep(df)) or stored[-1])
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(["the", *base[:i], "other", *base[i:]]) for i in (0, 50, 100)]
+    assert spotsigs.similar_pairs(docs_of(texts)).count() == 3
+    assert sum(x.count() for x in stored) <= 6
+
+
 def test_signatures_of_every_kind_of_text(spark, docs_of):
     """An edited quarter leaves half of the signatures, with punctuation, in any language and without spaces."""
     rng = random.Random(11)
