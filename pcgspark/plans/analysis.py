@@ -99,6 +99,12 @@ def _periods(df: DataFrame, title: str) -> DataFrame:
     return ordered.groupBy(*BY).agg(F.concat(F.lit(f"## {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n")).alias(title))
 
 
+def rate_table(series: DataFrame) -> DataFrame:
+    """recording_id and the rows of the report's rate table in order, as text; reads nothing but the rate series."""
+    rates = series.select("recording_id", F.struct("t_sec", X.printf("| %.2f | %.1f |", "t_sec", "smoothed_bpm").alias("line")).alias("x"))
+    return rates.groupBy(*BY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n").alias("rates"))
+
+
 def report(a: Analysis) -> DataFrame:
     """recording_id and a Markdown summary: metrics, steepest slopes, significant changes, rate table."""
     fmt = lambda label, c, pattern: F.concat(F.lit(f"| {label} | "), _shown(pattern, c), F.lit(" |"))
@@ -108,8 +114,7 @@ def report(a: Analysis) -> DataFrame:
         "\n", F.concat(F.lit("# Analysis of "), "recording_id"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|---|---|"), fmt("Average BPM", "avg_bpm", "%.1f BPM"), span,
         fmt("Corrected RMSSD", "avg_rmssdc", "%.2f"), fmt("Windowed SDNN", "avg_sdnn", "%.2f ms"), fmt("1-minute recovery", "hrr_bpm", "%.1f BPM"), slope("Peak exertion", "peak_exertion"), slope("Peak recovery", "peak_recovery"),
     )
-    rates = a.series.select("recording_id", F.struct("t_sec", X.printf("| %.2f | %.1f |", "t_sec", "smoothed_bpm").alias("line")).alias("x"))
-    rates = rates.groupBy(*BY).agg(F.concat(F.lit("## Rate\n\n| Time (s) | BPM |\n|---|---|\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n")).alias("rates"))
+    rates = rate_table(a.series).withColumn("rates", F.concat(F.lit("## Rate\n\n| Time (s) | BPM |\n|---|---|\n"), "rates"))
     out = a.summary.select("recording_id", head.alias("head")).join(_periods(a.inclines, "Exertion periods"), "recording_id", "left").join(_periods(a.declines, "Recovery periods"), "recording_id", "left").join(rates, "recording_id", "left")
     return out.select("recording_id", F.concat_ws("\n\n", "head", "`Exertion periods`", "`Recovery periods`", "rates").alias("value"))
 
