@@ -74,7 +74,7 @@ def events(a: Analysis) -> DataFrame:
     """Peaks and troughs in order, with the state at each: floor, smoothed rate and belief, carried forward."""
     peaks = classify.peaks_of(a.analyses).select("recording_id", "sample_idx", "t_sec", "amp", F.col("peak_type").alias("kind"), "reasons", "floor")
     rate = a.analyses.select("recording_id", "sample_rate")
-    flat = a.prepared.select("recording_id", "sample_rate", "env", "floor", F.explode("troughs").alias("sample_idx"))
+    flat = a.prepared.filter(F.size("troughs") > 0).select("recording_id", "sample_rate", "env", "floor", F.explode("troughs").alias("sample_idx"))
     at = lambda c: F.element_at(c, (F.col("sample_idx") + 1).cast("int"))
     troughs = flat.select("recording_id", "sample_idx", (F.col("sample_idx") / F.col("sample_rate")).alias("t_sec"), at("env").alias("amp"), F.lit("Trough").alias("kind"), F.lit(None).cast(peaks.schema["reasons"].dataType).alias("reasons"), at("floor").alias("floor"))
     belief = metrics.mean_at(classify.belief_of(a.analyses), "t_sec", "bpm", "belief").join(rate, "recording_id")
